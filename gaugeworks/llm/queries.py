@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gaugeworks.llm import bpe, decontam
+from gaugeworks.llm import bpe, decontam, pii, secrets
+from gaugeworks.llm import spans as S
 
 
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
@@ -31,7 +32,27 @@ def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(docs, tokenizer_path(), digests=True)
 
 
-QUERIES = {"op7_decontamination": op7_decontamination, "op9_bpe": op9_bpe}
+def _span_report(found: DataFrame, column: str, kinds: list[str], base: int) -> DataFrame:
+    spans = F.col(column)
+    return found.select(
+        "doc_id",
+        *(S.count_kind(spans, k).alias(f"n_{kinds[k]}") for k in range(base)),
+        F.sha2(S.described(S.of_kinds(spans, base), kinds), 256).alias("base_sha256"),
+        S.described(spans, kinds).alias("spans"),
+    )
+
+
+def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    return _span_report(pii.find(docs), "pii", pii.KINDS, pii.BASE)
+
+
+def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    return _span_report(secrets.find(docs), "secrets", [r.kind for r in secrets.RULES], secrets.BASE)
+
+
+QUERIES = {"op3_pii": op3_pii, "op8_secrets": op8_secrets, "op7_decontamination": op7_decontamination, "op9_bpe": op9_bpe}
 
 ORACLE = {
     "op7_decontamination": r"""
