@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gaugeworks.llm import bpe, decontam, pii, secrets
+from gaugeworks.llm import bpe, decontam, html, pii, secrets, tokencount, toxicity, urls
 from gaugeworks.llm import spans as S
 
 
@@ -52,7 +52,28 @@ def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _span_report(secrets.find(docs), "secrets", [r.kind for r in secrets.RULES], secrets.BASE)
 
 
-QUERIES = {"op3_pii": op3_pii, "op8_secrets": op8_secrets, "op7_decontamination": op7_decontamination, "op9_bpe": op9_bpe}
+def op1_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extract(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
+def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return tokencount.count_tokens(docs, tokencount.piece_scores(tokenizer_path("piece_bpe_32k.model")))
+
+
+def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages, labels = spark.read.parquet(f"{sf_dir}/pages.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet")
+    return urls.judge(pages, urls.mine(pages, labels))
+
+
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet")
+    scored = toxicity.score(docs.select("doc_id", "text"), toxicity.fit(docs, labels))
+    value = F.col("_toxicity.score")
+    return scored.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), value.alias("score"), (value >= 0.5).cast("int").alias("predicted"), F.col("_toxicity.evidence").alias("evidence"))
+
+
+QUERIES = {"op1_html": op1_html, "op2_token_counts": op2_token_counts, "op3_pii": op3_pii, "op4_url_filter": op4_url_filter, "op5_toxicity": op5_toxicity, "op8_secrets": op8_secrets, "op7_decontamination": op7_decontamination, "op9_bpe": op9_bpe}
 
 ORACLE = {
     "op7_decontamination": r"""
