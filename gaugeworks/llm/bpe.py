@@ -33,18 +33,20 @@ from pyspark.sql import functions as F
 #: Words compiled into the lexicon; bounds the driver's work and the size of the file.
 LEXICON_WORDS = 32_768
 #: Entries of a worker's word memo before it is emptied.
-MEMO_WORDS = 150_000
+MEMO_WORDS = 400_000
 #: Texts whose characters all lie here are normalised alike by Python and by the tokenizers
 #: library: printable ASCII, tab, line feed, carriage return and U+00A1-U+017F but U+0130.
 _PLAIN = re.compile("[\t\n\r\x20-\x7e\xa1-įı-ſ]*")
 _HIGH = [chr(c) for c in range(0xA1, 0x180)]
 _LETTER = "a-zA-Z" + "".join(c for c in _HIGH if unicodedata.category(c)[0] == "L")
 _NUMBER = "0-9" + "".join(c for c in _HIGH if unicodedata.category(c)[0] == "N")
-_ASCII_WORDS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\sa-z0-9]+")
-_ASCII_ODD = re.compile("[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]")
 _WORDS = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTER}]+|[{_NUMBER}]|[^\\s{_LETTER}{_NUMBER}]+")
 
 
+def plain(text: str) -> bool:
+    return _PLAIN.fullmatch(text) is not None and "<|" not in text
+
+
 class Vocabulary:
     """Vocabulary, ranked merges and special tokens of a word-level BPE file of the tokenizers library."""
 
@@ -64,6 +66,13 @@ class Vocabulary:
         hidden = [b for b in range(256) if b not in set(shown)]
         self.byte_char = {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(hidden)}
 
+        # ids of single bytes inside and at the end of a word; (left id, right id) -> (rank, merged id), packed
+        self.inner = {b: self.ids[c] for b, c in self.byte_char.items()}
+        self.last = {b: self.ids[c + self.suffix] for b, c in self.byte_char.items()}
+        self.pairs = {self.ids[a] << 20 | self.ids[b]: r << 20 | self.ids[a + b] for (a, b), r in self.ranks.items()}
+        self.none = 1 << 62
+        self.char_byte = {c: b for b, c in self.byte_char.items()}
+
     def words(self, text: str) -> list[str | int]:
         """Pre-tokens of ``text`` in order, as plain strings; an int is the id of a special token."""
         if "<|" not in text or not self._special_re.search(text):
@@ -77,37 +86,36 @@ class Vocabulary:
         return out + self._plain_words(text[at:])
 
     def _plain_words(self, text: str) -> list[str]:
-        if text.isascii() and not _ASCII_ODD.search(text):
-            return _ASCII_WORDS.findall(text.lower())
         if _PLAIN.fullmatch(text):
             return _WORDS.findall(text.lower())
         normal = self.library.normalizer.normalize_str(text)
-        back = {c: b for b, c in self.byte_char.items()}
-        return [bytes(back[c] for c in w).decode("utf-8", "replace") for w, _ in self.library.pre_tokenizer.pre_tokenize_str(normal)]
+        return [bytes(self.char_byte[c] for c in w).decode("utf-8", "replace") for w, _ in self.library.pre_tokenizer.pre_tokenize_str(normal)]
 
     def merge(self, word: str) -> list[int]:
-        """Token ids of one pre-token: the adjacent pair of lowest rank is merged until none is left."""
-        parts = [self.byte_char[b] for b in word.encode()]
-        if not parts:
+        """Token ids of one pre-token: the leftmost adjacent pair of lowest rank is merged until none is left."""
+        data = word.encode()
+        if not data:
             return []
-        parts[-1] += self.suffix
-        if len(parts) > 64:
+        if len(data) > 64:
+            parts = [self.byte_char[b] for b in data]
+            parts[-1] += self.suffix
             return self._merge_long(parts)
-        none = len(self.ranks)
-        while len(parts) > 1:
-            best = min(zip(parts, parts[1:], strict=False), key=lambda p: self.ranks.get(p, none))
-            if best not in self.ranks:
+        ids = [self.inner[b] for b in data]
+        ids[-1] = self.last[data[-1]]
+        get, none = self.pairs.get, self.none
+        ranks = [get(a << 20 | b, none) for a, b in zip(ids, ids[1:], strict=False)]
+        while ranks:
+            best = min(ranks)
+            if best == none:
                 break
-            out, i = [], 0
-            while i < len(parts):
-                if i + 1 < len(parts) and (parts[i], parts[i + 1]) == best:
-                    out.append(parts[i] + parts[i + 1])
-                    i += 2
-                else:
-                    out.append(parts[i])
-                    i += 1
-            parts = out
-        return [self.ids[p] for p in parts if p in self.ids]
+            i = ranks.index(best)
+            ids[i] = best & 0xFFFFF
+            del ids[i + 1], ranks[i]
+            if i:
+                ranks[i - 1] = get(ids[i - 1] << 20 | ids[i], none)
+            if i < len(ranks):
+                ranks[i] = get(ids[i] << 20 | ids[i + 1], none)
+        return ids
 
     def _merge_long(self, parts: list[str]) -> list[int]:
         """The same merges by a heap over a linked list, for words of thousands of characters."""
@@ -228,6 +236,8 @@ def _lexicon(file: str) -> Lexicon:
 def _ship(spark: SparkSession, data: bytes, stem: str) -> str:
     """Hand a small file to every present and future executor; the name holds its digest."""
     name = f"{stem}-{hashlib.sha256(data).hexdigest()[:16]}"
+    if any(f.endswith(f"/{name}") for f in spark.sparkContext.listFiles):
+        return name  # this application has it already
     folder = tempfile.mkdtemp(prefix="gaugeworks-")
     with open(f"{folder}/{name}", "wb") as f:
         f.write(data)
@@ -239,17 +249,26 @@ def frequent_words(docs: DataFrame, vocabulary: str, limit: int, text: str = "te
     """The ``limit`` most frequent pre-tokens of all texts, ties by the word."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        voc, seen = _vocabulary(vocabulary), Counter()
+        voc, seen, chunks = _vocabulary(vocabulary), Counter(), Counter()
 
         def flush():
+            for chunk, n in chunks.items():
+                for w in _WORDS.findall(chunk.lower()):
+                    if len(w) <= 64:
+                        seen[w] += n
+            chunks.clear()
             out = pa.RecordBatch.from_pydict({"word": list(seen), "n": list(seen.values())}, schema=pa.schema([("word", pa.string()), ("n", pa.int64())]))
             seen.clear()
             return out
 
         for batch in batches:
             for t in batch.column(0).to_pylist():
-                if t:
+                if t and plain(t):
+                    chunks.update(t.split())
+                elif t:
                     seen.update(w for w in voc.words(t) if w.__class__ is str and len(w) <= 64)
+                if len(chunks) > 400_000:
+                    yield flush()
             if len(seen) > 400_000:
                 yield flush()
         yield flush()
@@ -270,31 +289,46 @@ def encoder(docs: DataFrame, path: str, lexicon_words: int = LEXICON_WORDS, text
     return vocabulary, lexicon
 
 
-class _Codec:
-    """Word memo of one worker: packed ids and decoded string of each word."""
+class _Codec(dict):
+    """Memo of one worker: white-space separated chunk of a plain text -> packed ids, decoded chunk.
+
+    No pre-token holds white space, and normalisation of plain characters looks at one at a time,
+    so a text's ids are those of its chunks in order.
+    """
 
     def __init__(self, vocabulary: str, lexicon: str):
         self.voc, self.lexicon = _vocabulary(vocabulary), _lexicon(lexicon)
-        self.packed: dict[str | int, bytes] = {}
-
-    def pack(self, word: str | int) -> bytes:
-        if word.__class__ is int:
-            ids = [word]
-        else:
-            ids = self.lexicon.get(word)
-            if ids is None:
-                ids = self.voc.merge(word)
-        out = struct.pack(f"<{len(ids)}I", *ids)
-        if len(self.packed) >= MEMO_WORDS:
-            self.packed.clear()
-        self.packed[word] = out
+        self.names = {i: t.encode() for i, t in self.voc.pieces.items()}
+
+    def __missing__(self, chunk: str) -> bytes:
+        ids = self.word_ids(_WORDS.findall(chunk.lower()))
+        out = self[chunk] = struct.pack(f"<{len(ids)}I", *ids)
         return out
 
+    def word_ids(self, words: list[str | int]) -> list[int]:
+        ids: list[int] = []
+        for w in words:
+            if w.__class__ is int:
+                ids.append(w)
+            else:
+                own = self.lexicon.get(w)
+                ids += self.voc.merge(w) if own is None else own
+        return ids
+
     def encode(self, text: str | None) -> bytes:
+        """Ids as little-endian unsigned 32-bit integers."""
         if not text:
             return b""
-        packed, pack = self.packed, self.pack
-        return b"".join([packed.get(w) or pack(w) for w in self.voc.words(text)])
+        if plain(text):
+            if len(self) > MEMO_WORDS:
+                self.clear()
+            return b"".join(map(self.__getitem__, text.split()))
+        ids = self.word_ids(self.voc.words(text))
+        return struct.pack(f"<{len(ids)}I", *ids)
+
+    def decode(self, packed: bytes) -> bytes:
+        """The pieces of the ids joined by single spaces, in UTF-8."""
+        return b" ".join(map(self.names.__getitem__, memoryview(packed).cast("I")))
 
 
 def encode(docs: DataFrame, path: str, id: str = "doc_id", text: str = "text", lexicon_words: int = LEXICON_WORDS, digests: bool = False) -> DataFrame:
@@ -304,12 +338,11 @@ def encode(docs: DataFrame, path: str, id: str = "doc_id", text: str = "text", l
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = _Codec(vocabulary, lexicon)
-        names = _Names(codec)
         for batch in batches:
             packed = [codec.encode(t) for t in batch.column(1).to_pylist()]
             cols = [batch.column(0), pa.array([len(p) // 4 for p in packed], pa.int64())]
             if digests:
-                cols += [pa.array([hashlib.sha256(p).hexdigest() for p in packed]), pa.array([hashlib.sha256(names.decode(p)).hexdigest() for p in packed])]
+                cols += [pa.array([hashlib.sha256(p).hexdigest() for p in packed]), pa.array([hashlib.sha256(codec.decode(p)).hexdigest() for p in packed])]
                 yield pa.RecordBatch.from_arrays(cols, ["id", "n_tokens", "ids_sha256", "decoded_sha256"])
             else:
                 offsets = [0]
@@ -324,18 +357,6 @@ def encode(docs: DataFrame, path: str, id: str = "doc_id", text: str = "text", l
     return src.mapInArrow(run, f"id {kind}, n_tokens long, {extra}").withColumnRenamed("id", id)
 
 
-class _Names:
-    """Decoding: the pieces of the ids joined by single spaces, in UTF-8."""
-
-    def __init__(self, codec: _Codec):
-        top = max(codec.voc.pieces, default=0)
-        self.names = [codec.voc.pieces.get(i, "").encode() for i in range(top + 1)]
-
-    def decode(self, packed: bytes) -> bytes:
-        names = self.names
-        return b" ".join([names[i] for i in memoryview(packed).cast("I")])
-
-
 def decode(ids: Iterable[int], path: str) -> str:
     """The text of ``ids``, special tokens kept."""
     with open(path, "rb") as f:
