@@ -30,10 +30,14 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gaugeworks.llm.store import materialise
+
 #: Words compiled into the lexicon; bounds the driver's work and the size of the file.
 LEXICON_WORDS = 32_768
 #: Entries of a worker's word memo before it is emptied.
 MEMO_WORDS = 400_000
+#: Nodes of the lexicon whose arcs a worker holds outside the memory map.
+NEAR_NODES = 16_384
 #: Texts whose characters all lie here are normalised alike by Python and by the tokenizers
 #: library: printable ASCII, tab, line feed, carriage return and U+00A1-U+017F but U+0130.
 _PLAIN = re.compile("[\t\n\r\x20-\x7e\xa1-įı-ſ]*")
@@ -203,22 +207,24 @@ class Lexicon:
         self.arcs, at = view[at : at + 3 * arcs], at + 3 * arcs
         self.offsets, at = view[at : at + self.n_words + 1], at + self.n_words + 1
         self.ids = view[at : at + ids]
+        self.near: dict[int, dict[int, tuple[int, int]]] = {}  # arcs of the nodes met first
+
+    def _arcs(self, node: int) -> dict[int, tuple[int, int]]:
+        arcs = self.arcs
+        own = {arcs[3 * k]: (arcs[3 * k + 1], arcs[3 * k + 2]) for k in range(self.first[node] >> 1, self.first[node + 1] >> 1)}
+        if len(self.near) < NEAR_NODES:
+            self.near[node] = own
+        return own
 
     def get(self, word: str) -> list[int] | None:
-        node, rank = self.root, 0
-        first, arcs = self.first, self.arcs
+        node, rank, near = self.root, 0, self.near
         for byte in word.encode():
-            low, high = first[node] >> 1, first[node + 1] >> 1
-            while low < high:  # arcs are sorted by byte
-                mid = (low + high) // 2
-                if arcs[3 * mid] < byte:
-                    low = mid + 1
-                else:
-                    high = mid
-            if low == first[node + 1] >> 1 or arcs[3 * low] != byte:
+            arc = (near.get(node) or self._arcs(node)).get(byte)
+            if arc is None:
                 return None
-            node, rank = arcs[3 * low + 1], rank + arcs[3 * low + 2]
-        return self.ids[self.offsets[rank] : self.offsets[rank + 1]].tolist() if first[node] & 1 and word else None
+            node, out = arc
+            rank += out
+        return self.ids[self.offsets[rank] : self.offsets[rank + 1]].tolist() if self.first[node] & 1 and word else None
 
 
 @functools.lru_cache(2)
@@ -246,7 +252,7 @@ def _ship(spark: SparkSession, data: bytes, stem: str) -> str:
 
 
 def frequent_words(docs: DataFrame, vocabulary: str, limit: int, text: str = "text") -> list[str]:
-    """The ``limit`` most frequent pre-tokens of all texts, ties by the word."""
+    """The most frequent pre-tokens of all texts: whole classes of frequency while they fit ``limit``."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         voc, seen, chunks = _vocabulary(vocabulary), Counter(), Counter()
@@ -274,8 +280,15 @@ def frequent_words(docs: DataFrame, vocabulary: str, limit: int, text: str = "te
         yield flush()
 
     found = docs.select(F.col(text).alias("t")).mapInArrow(count, "word string, n long")
-    top = found.groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word").limit(limit)
-    return [r.word for r in top.collect()]
+    # by classes of frequency: a sorted limit would send that many words of every partition to the driver
+    grade = F.floor(16 * F.log2("n"))
+    counted = materialise(found.groupBy("word").agg(F.sum("n").alias("n")).withColumn("grade", grade), "words")
+    taken, least = 0, None
+    for r in counted.groupBy("grade").agg(F.count("*").alias("words")).orderBy(F.desc("grade")).collect():  # under a thousand classes
+        if taken + r.words > limit:
+            break
+        taken, least = taken + r.words, r.grade
+    return [] if least is None else [r.word for r in counted.where(F.col("grade") >= least).select("word").collect()]
 
 
 def encoder(docs: DataFrame, path: str, lexicon_words: int = LEXICON_WORDS, text: str = "text") -> tuple[str, str]:
@@ -290,7 +303,7 @@ def encoder(docs: DataFrame, path: str, lexicon_words: int = LEXICON_WORDS, text
 
 
 class _Codec(dict):
-    """Memo of one worker: white-space separated chunk of a plain text -> packed ids, decoded chunk.
+    """Memo of one worker: white-space separated chunk of a plain text -> packed ids.
 
     No pre-token holds white space, and normalisation of plain characters looks at one at a time,
     so a text's ids are those of its chunks in order.
@@ -301,19 +314,23 @@ class _Codec(dict):
         self.names = {i: t.encode() for i, t in self.voc.pieces.items()}
 
     def __missing__(self, chunk: str) -> bytes:
-        ids = self.word_ids(_WORDS.findall(chunk.lower()))
-        out = self[chunk] = struct.pack(f"<{len(ids)}I", *ids)
+        words = _WORDS.findall(chunk.lower())
+        if len(words) == 1:
+            out = self.get(words[0]) or self._word(words[0])
+        else:
+            out = b"".join([self.get(w) or self._word(w) for w in words])
+        self[chunk] = out
         return out
 
-    def word_ids(self, words: list[str | int]) -> list[int]:
-        ids: list[int] = []
-        for w in words:
-            if w.__class__ is int:
-                ids.append(w)
-            else:
-                own = self.lexicon.get(w)
-                ids += self.voc.merge(w) if own is None else own
-        return ids
+    def _word(self, word: str | int) -> bytes:
+        """The packed ids of a pre-token, which as a chunk has the same ones."""
+        if word.__class__ is int:
+            return struct.pack("<I", word)
+        ids = self.lexicon.get(word)
+        if ids is None:
+            ids = self.voc.merge(word)
+        out = self[word] = struct.pack(f"<{len(ids)}I", *ids)
+        return out
 
     def encode(self, text: str | None) -> bytes:
         """Ids as little-endian unsigned 32-bit integers."""
@@ -323,8 +340,7 @@ class _Codec(dict):
             if len(self) > MEMO_WORDS:
                 self.clear()
             return b"".join(map(self.__getitem__, text.split()))
-        ids = self.word_ids(self.voc.words(text))
-        return struct.pack(f"<{len(ids)}I", *ids)
+        return b"".join(map(self._word, self.voc.words(text)))
 
     def decode(self, packed: bytes) -> bytes:
         """The pieces of the ids joined by single spaces, in UTF-8."""
