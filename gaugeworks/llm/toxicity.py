@@ -1,12 +1,12 @@
 """Toxicity by the nearest labelled examples under exact TF-IDF cosine.
 
 Features are lower-cased words and, as ``stem*``, their first four characters. From the labelled
-training texts the features whose occurrence depends on the label (chi-square of the 2x2 table of
-texts) are kept; the inverse document frequencies of those are counted over all texts. Examples
+training texts the features whose occurrence depends on the label (chi-square of the 2x2 table of texts,
+and a ratio of the classes' frequencies) are kept; the inverse document frequencies of those are counted over all texts. Examples
 and queries are unit TF-IDF vectors over the kept features. The index holds, for every feature,
 its postings by example and the highest weight within each block of examples; a query adds the
 block maxima, visits blocks by descending bound, and stops when no bound can reach the k-th best
-similarity, so its neighbours are exact. Votes weighted by similarity, with the base rate as
+similarity, so its neighbours are exact. Votes weighted by the cube of the similarity, with the base rate as
 ``PRIOR`` pseudo-votes, give the score; the neighbours are the evidence.
 
 Equal example vectors are held once, with their votes, so copies cost nothing. The examples are
@@ -33,23 +33,29 @@ from pyspark.sql import types as T
 
 #: Labelled training rows that are fitted, features kept, and neighbours that vote.
 EXAMPLES, FEATURES, NEIGHBOURS = 20_000, 2_048, 15
-#: Least chi-square and least number of training texts of a feature, pseudo-votes, examples in a block.
-CHI2, LEAST_TEXTS, PRIOR, BLOCK = 30.0, 5, 0.5, 64
+#: Least chi-square, ratio of the classes' frequencies and number of training texts of a feature.
+CHI2, RATIO, LEAST_TEXTS = 30.0, 4.0, 8
+#: Pseudo-votes, examples in a block.
+PRIOR, BLOCK = 0.5, 64
+#: Power of the similarity in a vote; postings up to which a query adds them up without bounds; blocks visited at once.
+POWER, SHORT, VISITED = 3, 2_048, 16
 STEM = 4
 _WORD = re.compile(r"[^\W\d_]+")
 _ASCII_WORD = re.compile(r"[a-z]+")
 
 
-def features(text: str | None) -> Counter:
+def features(text: str | None) -> dict[str, int]:
     """Counts of words and stems."""
     if not text:
-        return Counter()
+        return {}
     words = Counter((_ASCII_WORD if text.isascii() else _WORD).findall(text.lower()))
-    stems: Counter = Counter()
+    stems: dict[str, int] = {}
     for w, n in words.items():
         if len(w) > STEM:
-            stems[w[:STEM] + "*"] += n
-    return words + stems
+            w = w[:STEM] + "*"
+            stems[w] = stems.get(w, 0) + n
+    stems.update(words)
+    return stems
 
 
 @dataclass
@@ -64,8 +70,8 @@ class Model:
     evidence: list = field(default_factory=list)
     k: int = NEIGHBOURS
 
-    def vector(self, counts: Counter) -> dict[str, float]:
-        own = {f: (1 + math.log(counts[f])) * w for f, w in self.idf.items() if f in counts} if len(self.idf) < len(counts) else {f: (1 + math.log(n)) * self.idf[f] for f, n in counts.items() if f in self.idf}
+    def vector(self, counts: dict[str, int]) -> dict[str, float]:
+        own = {f: (1 + math.log(counts[f])) * self.idf[f] for f in self.idf.keys() & counts.keys()}
         norm = math.sqrt(sum(x * x for x in own.values()))
         return {f: x / norm for f, x in own.items()} if norm else {}
 
@@ -95,33 +101,44 @@ class Model:
         if not own:
             return []
         n = len(self.votes)
+        if sum(len(self.posting[f][0]) for f, _ in own) <= SHORT:  # nothing to skip
+            at = np.concatenate([self.posting[f][0] for f, _ in own])
+            met, place = np.unique(at, return_inverse=True)
+            scores = np.bincount(place, np.concatenate([x * self.posting[f][1] for f, x in own]))
+            top = np.lexsort((met, -scores))[: self.k]
+            return [(int(met[i]), float(scores[i])) for i in top]
         bound = np.zeros(n // BLOCK + 1)
         for f, x in own:
             blocks, high = self.block_max[f]
             bound[blocks] += x * high
         met: list[tuple[float, int]] = []
         least = 0.0
-        for b in np.argsort(-bound, kind="stable"):
-            if bound[b] <= 0 or len(met) >= self.k and bound[b] < least - 1e-12:
+        order = np.argsort(-bound, kind="stable")
+        for first in range(0, len(order), VISITED):
+            visit = order[first : first + VISITED]
+            if bound[visit[0]] <= 0 or len(met) >= self.k and bound[visit[0]] < least - 1e-12:
                 break
-            scores = np.zeros(BLOCK)
+            chosen = np.zeros(len(bound), bool)
+            chosen[visit] = True
+            scores = np.zeros(n)
             for f, x in own:
                 at, w = self.posting[f]
-                lo, hi = np.searchsorted(at, (b * BLOCK, (b + 1) * BLOCK))
-                if lo < hi:
-                    scores[at[lo:hi] - b * BLOCK] += x * w[lo:hi]
-            met += [(-scores[j], int(b * BLOCK + j)) for j in np.flatnonzero(scores > 0)]
-            met = sorted(met)[: self.k]
+                inside = chosen[at // BLOCK]
+                scores[at[inside]] += x * w[inside]
+            found = np.flatnonzero(scores > 0)
+            if len(found) > 4 * self.k:  # ties with the k-th stay
+                found = found[scores[found] >= np.partition(scores[found], -self.k)[-self.k]]
+            met = sorted([*met, *zip((-scores[found]).tolist(), found.tolist(), strict=True)])[: self.k]
             least = -met[-1][0] if met else 0.0
         return [(i, -s) for s, i in met]
 
-    def score(self, counts: Counter) -> tuple[float, list[int]]:
+    def score(self, counts: dict[str, int]) -> tuple[float, list[int]]:
         """Calibrated score, and the ids of the nearest examples."""
         met = self.neighbours(self.vector(counts))
         if not met:
             return self.base, []
         # a merged example stands for its copies but with a damped say, so that one text's copies do not decide alone
-        weight = np.array([s * math.log2(1 + self.votes[i].sum()) for i, s in met])
+        weight = np.array([s**POWER * math.log2(1 + self.votes[i].sum()) for i, s in met])
         share = np.array([self.votes[i, 1] / self.votes[i].sum() for i, _ in met])
         return float((weight @ share + PRIOR * self.base) / (weight.sum() + PRIOR)), [self.evidence[i] for i, _ in met[:3]]
 
@@ -151,7 +168,9 @@ def fit(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "tex
     a, b = F.col("a").cast("double"), F.col("b").cast("double")
     c, d = F.lit(pos) - a, F.lit(neg) - b
     chi2 = F.try_divide((pos + neg) * (a * d - b * c) * (a * d - b * c), (a + b) * (c + d) * (a + c) * (b + d))
-    best = table.where(F.col("f") != "").where(a + b >= LEAST_TEXTS).withColumn("x", chi2).where(F.col("x") >= CHI2).orderBy(F.desc("x"), "f").limit(FEATURES)
+    # smoothed by half a text: a word of long texts is in both classes and would only make neighbours of equals
+    ratio = (a + 0.5) / (pos + 1) * ((neg + 1) / (b + 0.5))
+    best = table.where(F.col("f") != "").where((a + b >= LEAST_TEXTS) & ((ratio >= RATIO) | (ratio <= 1 / RATIO))).withColumn("x", chi2).where(F.col("x") >= CHI2).orderBy(F.desc("x"), "f").limit(FEATURES)
     kept = {r.f for r in best.select("f").collect()}
     held = docs.sparkSession.sparkContext.broadcast(kept)
 
@@ -174,7 +193,7 @@ def fit(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "tex
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array([list(r.items()) for r in rows], pa.map_(pa.string(), pa.int64()))], ["i", "y", "c"])
 
     kind = taken.schema["i"].dataType.simpleString()
-    own = [(r.i, r.y, model.vector(Counter(r.c))) for r in taken.mapInArrow(vectors, f"i {kind}, y int, c map<string,long>").collect()]  # bounded by ``examples``
+    own = [(r.i, r.y, model.vector(dict(r.c))) for r in taken.mapInArrow(vectors, f"i {kind}, y int, c map<string,long>").collect()]  # bounded by ``examples``
     bare = [y for _, y, v in own if not v]
     model.base = (sum(bare) + pos / (pos + neg)) / (len(bare) + 1)
     return model.add([(i, 1 if y == 1 else 0, v) for i, y, v in own])
