@@ -7,7 +7,9 @@ n = k + 1 + h parts. At most k parts can differ, so h + 1 or more agree: each se
 parts and gives one signature for each, a digest of its elements there. A set whose larger
 partner's band is its own or one that a smaller partner may lie in gives the signatures of both.
 A part without elements says nothing and is common to very many sets; the first h empty parts of a set
-are left out. Of any h + 1 agreeing parts both sets then still keep the same one, so no pair is lost.
+are left out, and what they leave of h serves to leave out the signatures that most sets share. The
+order is the same for all sets, so of any h + 1 agreeing parts both still keep the same one, and no
+pair is lost.
 
 Signatures travel packed by bucket and meet in one group per bucket. Groups of up to ``GROUP`` sets
 give all their pairs; a larger one gives a star around a centre chosen by hash, and its members
@@ -29,17 +31,17 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gaugeworks.llm.components import components
 from gaugeworks.llm.store import materialise, small_or_shuffled
 
 SHINGLE = 5
-#: Sets of a signature group that are paired directly, of a chunk of a larger group, words of a sketch.
-GROUP, CHUNK, SKETCH = 16, 2_048, 16
-#: Signatures that a task holds before it hands them on; words in its memo.
-HELD, MEMO_WORDS = 2_000_000, 300_000
+#: Sets of a signature group that are paired directly, of a chunk of a larger group, least 64-bit words of a sketch.
+GROUP, CHUNK, SKETCH = 16, 2_048, 4
+#: Signatures that a task holds before it hands them on.
+HELD = 2_000_000
 _M1, _M2 = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
 _S = np.uint64(33)
 
@@ -50,28 +52,75 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _S)
 
 
-class WordHashes(dict):
-    def __missing__(self, word: bytes) -> int:
-        import xxhash
-
-        h = self[word] = xxhash.xxh3_64_intdigest(word)
-        return h
-
-
-def shingles(text: str | None, memo: WordHashes) -> np.ndarray:
+def _tables() -> tuple[np.ndarray, np.ndarray]:
+    """A random value for each byte, A-Z as a-z and white space as zero; which bytes are white space."""
+    value = _mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    value[65:91] = value[97:123]
+    space = np.zeros(256, bool)
+    space[[0x20, *range(0x09, 0x0E)]] = True
+    value[space] = 0
+    return value, space
+
+
+_VALUE, _SPACE = _tables()
+_BASE = 0x5851F42D4C957F2D
+#: Bytes that are hashed at once; longer texts are cut between words.
+PIECE = 1 << 20
+
+
+class Powers:
+    """Powers of the base and of its inverse modulo 2**64, grown on demand."""
+
+    up = down = np.ones(1, np.uint64)
+
+    @classmethod
+    def get(cls, n: int) -> tuple[np.ndarray, np.ndarray]:
+        if len(cls.up) < n:
+            size = 1 << (n - 1).bit_length()
+            inverse = pow(_BASE, -1, 1 << 64)
+            for name, base in (("up", _BASE), ("down", inverse)):
+                row = np.full(size, base, np.uint64)
+                row[0] = 1
+                setattr(cls, name, np.multiply.accumulate(row))
+        return cls.up, cls.down
+
+
+def word_hashes(text: str) -> np.ndarray:
+    """64-bit hashes of the words of ``text`` in order, all at once: a word's polynomial is a
+    difference of prefix sums, shifted down to its start."""
+    raw = np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8)
+    out, at = [], 0
+    while at < len(raw):
+        end = min(len(raw), at + PIECE)
+        while end < len(raw) and not _SPACE[raw[end]]:
+            more = np.flatnonzero(_SPACE[raw[end : end + PIECE]])
+            end = end + int(more[0]) if len(more) else min(len(raw), end + PIECE)
+        part = raw[at:end]
+        at = end
+        gap = np.concatenate(([True], _SPACE[part], [True]))
+        start = np.flatnonzero(gap[:-1] & ~gap[1:])
+        stop = np.flatnonzero(~gap[:-1] & gap[1:])
+        if not len(start):
+            continue
+        up, down = Powers.get(len(part) + 1)
+        sums = np.zeros(len(part) + 1, np.uint64)
+        np.cumsum(_VALUE[part] * up[: len(part)], out=sums[1:])
+        out.append(_mix((sums[stop] - sums[start]) * down[start] + (stop - start).astype(np.uint64)))
+    return np.concatenate(out) if out else np.zeros(0, np.uint64)
+
+
+def shingles(text: str | None) -> np.ndarray:
     """The sorted hashes of the distinct shingles of ``text``."""
-    words = text.encode().lower().split() if text else []
-    if not words:
-        return np.zeros(0, np.uint64)
-    if len(memo) > MEMO_WORDS:
-        memo.clear()
-    own = np.fromiter(map(memo.__getitem__, words), np.uint64, len(words))
-    size = min(SHINGLE, len(words))
+    own = word_hashes(text) if text else np.zeros(0, np.uint64)
+    if not len(own):
+        return own
+    size = min(SHINGLE, len(own))
     n = len(own) - size + 1
     out = np.full(n, size, np.uint64)
     for k in range(size):
         out = out * _M1 + own[k : n + k]
-    return np.unique(_mix(out))
+    out = np.sort(_mix(out))
+    return out[np.concatenate(([True], out[1:] != out[:-1]))]
 
 
 def similar(a: np.ndarray, b: np.ndarray) -> bool:
@@ -104,31 +153,45 @@ def _bands() -> list[tuple[int, int, int, int]]:
 BANDS = _bands()
 
 
+def _parts(own: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """For each band of a set: its number, the parts that hold elements and where they begin. The
+    parts are equal ranges of the hash space, so a sorted set lies in them in order."""
+    top = band_of(len(own))
+    for band in range(top, -1, -1):
+        _, high, n, _ = BANDS[band]
+        if band < top and 4 * high // 3 < len(own):
+            return  # no smaller partner lies there
+        parts = ((own >> np.uint64(32)) * np.uint64(n)) >> np.uint64(32)
+        first = np.flatnonzero(np.concatenate(([True], parts[1:] != parts[:-1])))
+        yield band, parts[first], first
+
+
 def signatures(own: np.ndarray) -> np.ndarray:
-    """PartEnum signatures of a set: 64-bit digests of (band, part, elements)."""
-    size = len(own)
-    if not size:
+    """PartEnum signatures of a set: 64-bit digests of (band, part, elements), the lowest bit that of the band."""
+    if not len(own):
         return np.zeros(0, np.uint64)
     out = []
     value = _mix(own ^ np.uint64(0x9E3779B97F4A7C15))
-    top = band_of(size)
-    for band in range(top, -1, -1):
-        _, high, n, spare = BANDS[band]
-        if band < top and 4 * high // 3 < size:
-            break  # no smaller partner lies there
-        salt = np.uint64((band * 0x2545F4914F6CDD1D + 1) & (1 << 64) - 1)
-        part = ((_mix(own + salt) >> np.uint64(32)) * np.uint64(n)) >> np.uint64(32)
-        order = np.argsort(part, kind="stable")
-        parts = part[order]
-        first = np.flatnonzero(np.concatenate(([True], parts[1:] != parts[:-1])))
-        sums, at = np.add.reduceat(value[order], first), parts[first]
-        if n - len(first) > spare:
+    for band, at, first in _parts(own):
+        _, _, n, spare = BANDS[band]
+        sums = np.add.reduceat(value, first)
+        if n - len(at) > spare:
             empty = np.setdiff1d(np.arange(n, dtype=np.uint64), at)[spare:]
             sums, at = np.concatenate((sums, np.zeros(len(empty), np.uint64))), np.concatenate((at, empty))
-        out.append(_mix(sums ^ _mix(at * np.uint64(1_000_003) + salt)))
+        salt = np.uint64((band * 0x2545F4914F6CDD1D + 1) & (1 << 64) - 1)
+        out.append(_mix(sums ^ _mix(at * np.uint64(1_000_003) + salt)) & np.uint64((1 << 64) - 2) | np.uint64(band & 1))
     return np.concatenate(out)
 
 
+def _spare(own: np.ndarray) -> list[int]:
+    """What the empty parts leave of the number of signatures that may be left out, for even and odd bands."""
+    left = [0, 0]
+    for band, at, _ in _parts(own):
+        _, _, n, spare = BANDS[band]
+        left[band & 1] = max(0, spare - (n - len(at)))
+    return left
+
+
 def _digest(own: np.ndarray) -> int:
     import xxhash
 
@@ -136,28 +199,38 @@ def _digest(own: np.ndarray) -> int:
     return d - (1 << 64) if d >> 63 else d
 
 
-def _sketch(own: np.ndarray) -> list[int]:
-    odd = np.bincount((_mix(own ^ _M2) % np.uint64(64 * SKETCH)).astype(np.int64), minlength=64 * SKETCH) & 1
-    return np.packbits(odd.astype(np.uint8)).view(np.int64).tolist()
+def _sketch(own: np.ndarray) -> bytes:
+    """Parities of the elements by position, two to four positions an element: the bits in which two
+    sketches differ are at most the elements in which the sets do."""
+    bits = max(64 * SKETCH, 1 << (2 * len(own) - 1).bit_length())
+    odd = np.bincount((_mix(own ^ _M2) & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8)).tobytes()
+
+
+def _fold(sketch: bytes, size: int) -> np.ndarray:
+    """A sketch of ``size`` bytes as 64-bit words: a longer one is halved by exclusive or."""
+    own = np.frombuffer(sketch, np.uint64)
+    while len(own) * 8 > size:
+        own = own[: len(own) // 2] ^ own[len(own) // 2 :]
+    return own
 
 
 def describe(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(id, n, h, sketch): size, digest and parity sketch of every document's set."""
+    """(id, n, h, sketch, spare): size, digest, parity sketch and spare signatures of every document's set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo = WordHashes()
         for batch in batches:
-            sets = [shingles(t, memo) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([_digest(s) for s in sets], pa.int64()), pa.array([_sketch(s) if len(s) else None for s in sets], pa.list_(pa.int64()))], ["id", "n", "h", "sketch"])
+            sets = [shingles(t) for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([_digest(s) for s in sets], pa.int64()), pa.array([_sketch(s) if len(s) else None for s in sets], pa.binary()), pa.array([_spare(s) if len(s) else None for s in sets], pa.list_(pa.int32()))], ["id", "n", "h", "sketch", "spare"])
 
-    return docs.select(F.col(id).cast("long").alias("id"), F.col(text).cast("string").alias("t")).mapInArrow(run, "id long, n long, h long, sketch array<long>")
+    return docs.select(F.col(id).cast("long").alias("id"), F.col(text).cast("string").alias("t")).mapInArrow(run, "id long, n long, h long, sketch binary, spare array<int>")
 
 
 def _packed(docs: DataFrame, bits: int, text: str) -> DataFrame:
     """(bucket, data): signatures of the distinct sets, those of a bucket packed together."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo, seen = WordHashes(), set()
+        seen: set[int] = set()
         sigs: list[np.ndarray] = []
         ids: list[int] = []
         counts: list[int] = []
@@ -178,7 +251,7 @@ def _packed(docs: DataFrame, bits: int, text: str) -> DataFrame:
 
         for batch in batches:
             for t in batch.column(0).to_pylist():
-                own = shingles(t, memo)
+                own = shingles(t)
                 if not len(own):
                     continue
                 h = _digest(own)
@@ -261,21 +334,25 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
         spark.conf.set(key, before)
 
 
-def _differ(x, y) -> F.Column:
-    return F.aggregate(F.zip_with(x, y, lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda s, v: s + v)
+def _possible(pairs: DataFrame) -> DataFrame:
+    """(a, b) of the pairs whose sizes and sketches do not rule out similarity."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            a, b, n, m, x, y = (batch.column(k).to_pylist() for k in range(6))
+            good = [7 * int(np.bitwise_count(_fold(p, min(len(p), len(q))) ^ _fold(q, min(len(p), len(q)))).sum()) <= i + j for i, j, p, q in zip(n, m, x, y, strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array([min(i, j) for i, j in zip(a, b, strict=True)], pa.int64()), pa.array([max(i, j) for i, j in zip(a, b, strict=True)], pa.int64())], ["a", "b"]).filter(pa.array(good, pa.bool_()))
 
-def _possible(pairs: DataFrame) -> DataFrame:
-    """Pairs with sizes n_a, n_b and sketches that do not rule out similarity."""
     n, m = F.col("n_a"), F.col("n_b")
-    return pairs.where((4 * F.least(n, m) >= 3 * F.greatest(n, m)) & (7 * _differ(F.col("s_a"), F.col("s_b")) <= n + m))
+    own = pairs.where(4 * F.least(n, m) >= 3 * F.greatest(n, m)).select("r_a", "r_b", "n_a", "n_b", "s_a", "s_b")
+    return own.mapInArrow(run, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
     """``id``, n_shingles and component_id of every row."""
     own = materialise(describe(docs, id, text), "sets")
     # one entry for equal sets, named by the least id
-    reps = materialise(own.where("n > 0 AND id IS NOT NULL").groupBy("h").agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.first("sketch").alias("s")), "reps")
+    reps = materialise(own.where("n > 0 AND id IS NOT NULL").groupBy("h").agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.first("sketch").alias("s"), F.first("spare").alias("spare")), "reps")
     links = _links(docs, own, reps, id, text)
     named = reps.select("h", "rep").join(components(links).withColumnRenamed("id", "rep"), "rep", "left").select("h", F.coalesce("component", "rep").alias("c"))
     out = own.select("id", "n", F.when(F.col("n") > 0, F.col("h")).alias("h")).join(small_or_shuffled(named, 16), "h", "left")
@@ -290,7 +367,7 @@ def _links(docs: DataFrame, own: DataFrame, reps: DataFrame, id: str, text: str)
     side = lambda s: reps.select(F.col("h").alias(s), F.col("rep").alias(f"r_{s}"), F.col("n").alias(f"n_{s}"), F.col("s").alias(f"s_{s}"))
     pairs = met.where("grp IS NULL").select("a", "b").distinct()
     pairs = _possible(pairs.join(side("a"), "a").join(side("b"), "b"))
-    pairs = materialise(pairs.select(F.least("r_a", "r_b").alias("a"), F.greatest("r_a", "r_b").alias("b")), "possible")
+    pairs = materialise(pairs, "possible")
     forest = pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
     sets = _sets(docs, pairs.select("a").unionAll(pairs.select("b")).distinct(), id, text)
     links = _verified(forest, sets)
@@ -313,9 +390,8 @@ def _sets(docs: DataFrame, wanted: DataFrame, id: str, text: str) -> DataFrame:
     wanted = materialise(wanted.select(F.col("a").alias("id")), "wanted")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo = WordHashes()
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([shingles(t, memo).tobytes() for t in batch.column(1).to_pylist()], pa.binary())], ["id", "data"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([shingles(t).tobytes() for t in batch.column(1).to_pylist()], pa.binary())], ["id", "data"])
 
     src = docs.select(F.col(id).cast("long").alias("id"), F.col(text).cast("string").alias("t"))
     src = src.join(small_or_shuffled(wanted, 8), "id", "left_semi")
@@ -324,26 +400,66 @@ def _sets(docs: DataFrame, wanted: DataFrame, id: str, text: str) -> DataFrame:
 
 
 def _crowds(met: DataFrame, reps: DataFrame, named: DataFrame) -> DataFrame:
-    """Possible pairs of larger groups whose members are not yet of one component."""
-    member = met.where("grp IS NOT NULL").select(F.col("a").alias("h"), "grp").join(reps, "h").join(named.withColumnRenamed("id", "rep"), "rep", "left")
+    """Possible pairs of larger groups whose members are not yet of one component.
+
+    Of the signatures in larger groups a set leaves out its commonest, as many as its empty parts
+    spare; the order is the same for all sets, so similar ones keep an agreeing signature."""
+    listed = met.where("grp IS NOT NULL").select(F.col("a").alias("h"), "grp")
+    size = listed.groupBy("grp").agg(F.count("*").alias("size"))
+    own = listed.join(size, "grp").join(reps.select("h", "rep", "spare"), "h")
+    odd = F.col("grp").bitwiseAND(F.lit(1).cast("long"))
+    w = Window.partitionBy("rep", odd).orderBy(F.desc("size"), "grp")
+    own = own.withColumn("_r", F.row_number().over(w)).where(F.col("_r") > F.get("spare", odd.cast("int")))
+    member = own.select("grp", "rep").join(reps.select("rep", "n", "s"), "rep").join(named.withColumnRenamed("id", "rep"), "rep", "left")
     member = materialise(member.select("grp", "rep", "n", "s", F.coalesce("component", "rep").alias("c")), "members")
     group = member.groupBy("grp").agg(F.count("*").alias("m"), F.min("c").alias("x"), F.max("c").alias("y"), F.bit_xor(F.xxhash64("rep")).alias("k")).where("x != y")
     group = group.groupBy("m", "k").agg(F.min("grp").alias("grp"))  # equal groups once
     rows = member.join(group, "grp").withColumn("of", F.ceil(F.col("m") / CHUNK).cast("int")).withColumn("part", F.pmod(F.xxhash64("rep"), F.col("of")).cast("int"))
     ends = F.transform(F.sequence(F.lit(0), F.col("of") - 1), lambda o: F.struct(F.least(F.col("part"), o).alias("i"), F.greatest(F.col("part"), o).alias("j")))
-    rows = rows.select("grp", "rep", "n", "s", "c", F.explode(ends).alias("e")).select("grp", "rep", "n", "s", "c", "e.i", "e.j", F.pmod(F.xxhash64("rep"), F.lit(1)).alias("z"))
-
-    def compare(table: pd.DataFrame) -> pd.DataFrame:
-        rep, n, c = (table[k].to_numpy(np.int64) for k in ("rep", "n", "c"))
-        sketch = np.stack(table["s"].to_numpy()).astype(np.int64).view(np.uint64)
-        left, right = [], []
-        for p in range(len(rep) - 1):
-            cand = p + 1 + np.flatnonzero((c[p + 1 :] != c[p]) & (4 * np.minimum(n[p], n[p + 1 :]) >= 3 * np.maximum(n[p], n[p + 1 :])))
-            if len(cand):
-                bits = np.bitwise_count(sketch[cand] ^ sketch[p]).sum(axis=1, dtype=np.int64)
-                cand = cand[7 * bits <= n[p] + n[cand]]
-                left.append(np.minimum(rep[p], rep[cand]))
-                right.append(np.maximum(rep[p], rep[cand]))
-        return pd.DataFrame({"a": np.concatenate(left) if left else np.zeros(0, np.int64), "b": np.concatenate(right) if right else np.zeros(0, np.int64)})
-
-    return rows.drop("z").groupBy("grp", "i", "j").applyInPandas(compare, "a long, b long").distinct()
+    rows = rows.select("grp", "rep", "n", "s", "c", F.explode(ends).alias("e")).select("grp", "rep", "n", "s", "c", "e.i", "e.j")
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.Table] = []
+        key = None
+        for batch in batches:
+            # groups come whole and in order, as the partitions are sorted by their keys
+            keys = np.stack([batch.column(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in range(3)], 1)
+            cuts = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1).tolist(), len(keys)]
+            for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
+                if hi > lo:
+                    if key != (own := tuple(keys[lo])):
+                        if held:
+                            yield _apart(held)
+                        held, key = [], own
+                    held.append(batch.slice(lo, hi - lo))
+        if held:
+            yield _apart(held)
+
+    work = rows.select("grp", "i", "j", "rep", "n", "c", "s").repartition("grp", "i", "j").sortWithinPartitions("grp", "i", "j")
+    return work.mapInArrow(compare, "a long, b long").distinct()
+
+
+def _apart(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
+    """Pairs of one chunk of a group that lie in different components and may be similar."""
+    rep, n, c = (np.concatenate([p.column(k).to_numpy() for p in parts]) for k in (3, 4, 5))
+    order = np.argsort(n, kind="stable")
+    rep, n, c = rep[order], n[order], c[order]
+    data = [x for p in parts for x in p.column(6).to_pylist()]
+    size = min(map(len, data))
+    sketch = np.stack([_fold(data[k], size) for k in order])
+    left, right = [], []
+    # partners of row p: larger ones up to 4/3 of its size
+    last = np.searchsorted(n, 4 * n // 3, "right")
+    step = max(1, (1 << 22) // max(1, sketch.shape[1] * len(rep)))
+    for at in range(0, len(rep), step):
+        rows = np.arange(at, min(at + step, len(rep)))
+        p, q = np.nonzero((np.arange(len(rep))[None, :] > rows[:, None]) & (np.arange(len(rep))[None, :] < last[rows][:, None]) & (c[rows][:, None] != c[None, :]))
+        p = rows[p]
+        for k in range(0, len(p), 1 << 16):
+            i, j = p[k : k + (1 << 16)], q[k : k + (1 << 16)]
+            bits = np.bitwise_count(sketch[i] ^ sketch[j]).sum(axis=1, dtype=np.int64)
+            good = 7 * bits <= n[i] + n[j]
+            left.append(np.minimum(rep[i[good]], rep[j[good]]))
+            right.append(np.maximum(rep[i[good]], rep[j[good]]))
+    none = [np.zeros(0, np.int64)]
+    return pa.RecordBatch.from_arrays([pa.array(np.concatenate(left or none)), pa.array(np.concatenate(right or none))], ["a", "b"])
