@@ -64,7 +64,6 @@ def mask_rule(low: float, high: float | None = None, closing: int = 0, angles: i
 REGION = "array<struct<region:int,area:int,top:int,left:int,bottom:int,right:int,cells:array<int>>>"
 
 
-@F.pandas_udf(REGION)
 def _regions(m: pd.Series, h: pd.Series, w: pd.Series) -> pd.Series:
     out = []
     for x, a, b in zip(m, h, w, strict=True):
@@ -79,7 +78,7 @@ def _regions(m: pd.Series, h: pd.Series, w: pd.Series) -> pd.Series:
 
 def regions(masks: DataFrame, id: str, mask: str, height: int, width: int, keep: tuple[str, ...] = ()) -> DataFrame:
     """8-connected regions of every mask: (id, region, area, box, cells); a region's name is its least position."""
-    own = masks.select(id, *keep, F.explode(_regions(F.col(mask), F.lit(height), F.lit(width))).alias("r"))
+    own = masks.select(id, *keep, F.explode(F.pandas_udf(_regions, REGION)(F.col(mask), F.lit(height), F.lit(width))).alias("r"))
     return own.select(id, *keep, "r.*")
 
 
