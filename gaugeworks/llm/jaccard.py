@@ -144,7 +144,7 @@ def _bands() -> list[tuple[int, int, int, int]]:
     while low < 1 << 40:
         high = max(low, int(low * 1.6))
         k = (high + 4 * high // 3) // 7
-        h = 1 + -(-(k + 1) * 15 // 100)
+        h = 1 + -(-(k + 1) * 30 // 100)
         out.append((low, high, k + 1 + h, h))
         low = high + 1
     return out
@@ -410,13 +410,16 @@ def _crowds(met: DataFrame, reps: DataFrame, named: DataFrame) -> DataFrame:
     odd = F.col("grp").bitwiseAND(F.lit(1).cast("long"))
     w = Window.partitionBy("rep", odd).orderBy(F.desc("size"), "grp")
     own = own.withColumn("_r", F.row_number().over(w)).where(F.col("_r") > F.get("spare", odd.cast("int")))
-    member = own.select("grp", "rep").join(reps.select("rep", "n", "s"), "rep").join(named.withColumnRenamed("id", "rep"), "rep", "left")
-    member = materialise(member.select("grp", "rep", "n", "s", F.coalesce("component", "rep").alias("c")), "members")
-    group = member.groupBy("grp").agg(F.count("*").alias("m"), F.min("c").alias("x"), F.max("c").alias("y"), F.bit_xor(F.xxhash64("rep")).alias("k")).where("x != y")
-    group = group.groupBy("m", "k").agg(F.min("grp").alias("grp"))  # equal groups once
-    rows = member.join(group, "grp").withColumn("of", F.ceil(F.col("m") / CHUNK).cast("int")).withColumn("part", F.pmod(F.xxhash64("rep"), F.col("of")).cast("int"))
+    here = named.withColumnRenamed("id", "rep")
+    member = materialise(own.select("grp", "rep").join(here, "rep", "left").select("grp", "rep", F.coalesce("component", "rep").alias("c")), "members")
+    # groups of one family mostly share their least member: they meet there, each set once
+    group = member.groupBy("grp").agg(F.min("c").alias("x"), F.max("c").alias("y"), F.min("rep").alias("centre")).where("x != y").select("grp", "centre")
+    rows = member.join(group, "grp").groupBy("centre", "rep").agg(F.first("c").alias("c"), F.collect_list("grp").alias("grps"))
+    rows = materialise(rows, "crowds")
+    size = rows.groupBy("centre").agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("of"))
+    rows = rows.join(size, "centre").withColumn("part", F.pmod(F.xxhash64("rep"), F.col("of")).cast("int")).join(reps.select("rep", "n", "s"), "rep")
     ends = F.transform(F.sequence(F.lit(0), F.col("of") - 1), lambda o: F.struct(F.least(F.col("part"), o).alias("i"), F.greatest(F.col("part"), o).alias("j")))
-    rows = rows.select("grp", "rep", "n", "s", "c", F.explode(ends).alias("e")).select("grp", "rep", "n", "s", "c", "e.i", "e.j")
+    rows = rows.select("centre", "rep", "n", "c", "s", "grps", F.explode(ends).alias("e"))
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.Table] = []
@@ -435,12 +438,12 @@ def _crowds(met: DataFrame, reps: DataFrame, named: DataFrame) -> DataFrame:
         if held:
             yield _apart(held)
 
-    work = rows.select("grp", "i", "j", "rep", "n", "c", "s").repartition("grp", "i", "j").sortWithinPartitions("grp", "i", "j")
+    work = rows.select("centre", "e.i", "e.j", "rep", "n", "c", "s", "grps").repartition("centre", "i", "j").sortWithinPartitions("centre", "i", "j")
     return work.mapInArrow(compare, "a long, b long").distinct()
 
 
 def _apart(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
-    """Pairs of one chunk of a group that lie in different components and may be similar."""
+    """Pairs of one chunk that share a group, lie in different components and may be similar."""
     rep, n, c = (np.concatenate([p.column(k).to_numpy() for p in parts]) for k in (3, 4, 5))
     order = np.argsort(n, kind="stable")
     rep, n, c = rep[order], n[order], c[order]
@@ -450,16 +453,25 @@ def _apart(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
     left, right = [], []
     # partners of row p: larger ones up to 4/3 of its size
     last = np.searchsorted(n, 4 * n // 3, "right")
-    step = max(1, (1 << 22) // max(1, sketch.shape[1] * len(rep)))
-    for at in range(0, len(rep), step):
-        rows = np.arange(at, min(at + step, len(rep)))
-        p, q = np.nonzero((np.arange(len(rep))[None, :] > rows[:, None]) & (np.arange(len(rep))[None, :] < last[rows][:, None]) & (c[rows][:, None] != c[None, :]))
-        p = rows[p]
-        for k in range(0, len(p), 1 << 16):
-            i, j = p[k : k + (1 << 16)], q[k : k + (1 << 16)]
-            bits = np.bitwise_count(sketch[i] ^ sketch[j]).sum(axis=1, dtype=np.int64)
-            good = 7 * bits <= n[i] + n[j]
-            left.append(np.minimum(rep[i[good]], rep[j[good]]))
-            right.append(np.maximum(rep[i[good]], rep[j[good]]))
+    groups = [g for part in parts for g in part.column(7).to_pylist()]
+    where: dict[int, list[int]] = {}
+    for row, k in enumerate(order):
+        for g in groups[k]:
+            where.setdefault(g, []).append(row)
+    met = np.zeros((len(rep), len(rep)), bool)  # at most two chunks squared
+    for rows in where.values():
+        met[np.ix_(rows, rows)] = True
+    place = np.arange(len(rep))
+    for row in place:
+        met[row, : row + 1] = False
+        met[row, last[row] :] = False
+    met &= c[:, None] != c[None, :]
+    p, q = np.nonzero(met)
+    for k in range(0, len(p), 1 << 14):
+        i, j = p[k : k + (1 << 14)], q[k : k + (1 << 14)]
+        bits = np.bitwise_count(sketch[i] ^ sketch[j]).sum(axis=1, dtype=np.int64)
+        good = 7 * bits <= n[i] + n[j]
+        left.append(np.minimum(rep[i[good]], rep[j[good]]))
+        right.append(np.maximum(rep[i[good]], rep[j[good]]))
     none = [np.zeros(0, np.int64)]
     return pa.RecordBatch.from_arrays([pa.array(np.concatenate(left or none)), pa.array(np.concatenate(right or none))], ["a", "b"])
