@@ -40,6 +40,8 @@ from gaugeworks.llm.store import materialise, small_or_shuffled
 SHINGLE = 5
 #: Sets of a signature group that are paired directly, of a chunk of a larger group, least 64-bit words of a sketch.
 GROUP, CHUNK, SKETCH = 16, 2_048, 4
+#: Positions an element of the sketches that tell the members of a family apart.
+WIDE = 8
 #: Signatures that a task holds before it hands them on.
 HELD = 2_000_000
 _M1, _M2 = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
@@ -199,10 +201,10 @@ def _digest(own: np.ndarray) -> int:
     return d - (1 << 64) if d >> 63 else d
 
 
-def _sketch(own: np.ndarray) -> bytes:
-    """Parities of the elements by position, two to four positions an element: the bits in which two
-    sketches differ are at most the elements in which the sets do."""
-    bits = max(64 * SKETCH, 1 << (2 * len(own) - 1).bit_length())
+def _sketch(own: np.ndarray, positions: int = 2) -> bytes:
+    """Parities of the elements by position, with ``positions`` to twice as many an element: the bits in
+    which two sketches differ are at most the elements in which the sets do."""
+    bits = max(64 * SKETCH, 1 << (positions * len(own) - 1).bit_length())
     odd = np.bincount((_mix(own ^ _M2) & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
     return np.packbits(odd.astype(np.uint8)).tobytes()
 
@@ -216,14 +218,14 @@ def _fold(sketch: bytes, size: int) -> np.ndarray:
 
 
 def describe(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(id, n, h, sketch, spare): size, digest, parity sketch and spare signatures of every document's set."""
+    """(id, n, h, sketch, wide, spare): size, digest, parity sketches and spare signatures of every document's set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = [shingles(t) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([_digest(s) for s in sets], pa.int64()), pa.array([_sketch(s) if len(s) else None for s in sets], pa.binary()), pa.array([_spare(s) if len(s) else None for s in sets], pa.list_(pa.int32()))], ["id", "n", "h", "sketch", "spare"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([_digest(s) for s in sets], pa.int64()), *(pa.array([_sketch(s, p) if len(s) else None for s in sets], pa.binary()) for p in (2, WIDE)), pa.array([_spare(s) if len(s) else None for s in sets], pa.list_(pa.int32()))], ["id", "n", "h", "sketch", "wide", "spare"])
 
-    return docs.select(F.col(id).cast("long").alias("id"), F.col(text).cast("string").alias("t")).mapInArrow(run, "id long, n long, h long, sketch binary, spare array<int>")
+    return docs.select(F.col(id).cast("long").alias("id"), F.col(text).cast("string").alias("t")).mapInArrow(run, "id long, n long, h long, sketch binary, wide binary, spare array<int>")
 
 
 def _packed(docs: DataFrame, bits: int, text: str) -> DataFrame:
@@ -352,7 +354,7 @@ def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text") ->
     """``id``, n_shingles and component_id of every row."""
     own = materialise(describe(docs, id, text), "sets")
     # one entry for equal sets, named by the least id
-    reps = materialise(own.where("n > 0 AND id IS NOT NULL").groupBy("h").agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.first("sketch").alias("s"), F.first("spare").alias("spare")), "reps")
+    reps = materialise(own.where("n > 0 AND id IS NOT NULL").groupBy("h").agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.first("sketch").alias("s"), F.first("wide").alias("wide"), F.first("spare").alias("spare")), "reps")
     links = _links(docs, own, reps, id, text)
     named = reps.select("h", "rep").join(components(links).withColumnRenamed("id", "rep"), "rep", "left").select("h", F.coalesce("component", "rep").alias("c"))
     out = own.select("id", "n", F.when(F.col("n") > 0, F.col("h")).alias("h")).join(small_or_shuffled(named, 16), "h", "left")
@@ -417,7 +419,7 @@ def _crowds(met: DataFrame, reps: DataFrame, named: DataFrame) -> DataFrame:
     rows = member.join(group, "grp").groupBy("centre", "rep").agg(F.first("c").alias("c"), F.collect_list("grp").alias("grps"))
     rows = materialise(rows, "crowds")
     size = rows.groupBy("centre").agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("of"))
-    rows = rows.join(size, "centre").withColumn("part", F.pmod(F.xxhash64("rep"), F.col("of")).cast("int")).join(reps.select("rep", "n", "s"), "rep")
+    rows = rows.join(size, "centre").withColumn("part", F.pmod(F.xxhash64("rep"), F.col("of")).cast("int")).join(reps.select("rep", "n", F.col("wide").alias("s")), "rep")
     ends = F.transform(F.sequence(F.lit(0), F.col("of") - 1), lambda o: F.struct(F.least(F.col("part"), o).alias("i"), F.greatest(F.col("part"), o).alias("j")))
     rows = rows.select("centre", "rep", "n", "c", "s", "grps", F.explode(ends).alias("e"))
 
