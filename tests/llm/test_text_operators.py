@@ -55,6 +55,15 @@ def test_pii(spark):
     assert len(got) == len(texts) + 1 and df.columns[:4] == ["doc_id", "text", "n_words", "id"]
 
 
+def test_pii_zero_parts(spark):
+    texts = ["10.0.0.1", "at 127.0.0.1, 192.168.0.7", "0.0.0.0", "1.2.3.000", "00.010.0255.1", "0.0.0.256 0.00256.0.0 000.1.2", "0" * 20_000 + ".0.0." + "0" * 20_000, "0" * 20_000 + ".0.0.300"]
+    df = pii.find(docs_of(spark, texts).where("doc_id IS NOT NULL"))
+    got = {r.doc_id: r.s for r in df.select("doc_id", S.described(S.of_kinds(F.col("pii"), pii.BASE), pii.KINDS).alias("s")).collect()}
+    assert got[0] == "ip:0:8" and got[2] == "ip:0:7" and got[3] == "ip:0:9" and got[5] == got[7] == ""
+    for i, s in got.items():
+        assert hashlib.sha256(s.encode()).hexdigest() == found(texts[i], [PII[0], ("ip", PII[1][1], lambda m: all(int(p[-4300:]) <= 255 for p in m[0].split("."))), *PII[2:]])
+
+
 def test_pii_context_and_checksums(spark):
     texts = ["ssn 123-45-6789", "part 123-45-6789", "iban DE89 3704 0044 0532 0130 00", "iban DE88 3704 0044 0532 0130 00"]
     got = [r.s for r in pii.find(docs_of(spark, texts).where("doc_id IS NOT NULL")).orderBy("doc_id").select(S.described(F.col("pii"), pii.KINDS).alias("s")).collect()]
