@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 #: Bytes of bank vectors that are broadcast at once; a larger bank is taken in blocks.
 BANK_BYTES = 64 << 20
+#: Distances held at once by a task.
+TILE = 1 << 22
 
 
 def squared_distances(q: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -29,33 +31,55 @@ def _blocks(bank: DataFrame, id: str, vector: str, limit: int) -> Iterator[tuple
             yield np.array([r.i for r in rows], np.int64), np.array([r.v for r in rows], np.float64)
 
 
-def knn_join(queries: DataFrame, bank: DataFrame, k: int, id: str, vector: str, bank_id: str | None = None, exclude_self: bool = False, limit: int = BANK_BYTES) -> DataFrame:
+def _nearest(q: np.ndarray, own: np.ndarray, bank: np.ndarray, ids: np.ndarray, k: int, per: int | None) -> tuple[np.ndarray, ...]:
+    """Row, bank position, distance and rounded distance of at least the k nearest, ties by bank id.
+
+    One matrix product bounds the k-th distance; what may lie within it is measured exactly."""
+    qq, bb = (q * q).sum(1), (bank * bank).sum(1)
+    d = np.hstack([q, qq[:, None], np.ones((len(q), 1))]) @ np.hstack([-2.0 * bank, np.ones((len(bank), 1)), bb[:, None]]).T
+    if per:  # ids are in order, so what shares a quotient lies together
+        group = ids // per
+        for r, (lo, hi) in enumerate(zip(np.searchsorted(group, own // per), np.searchsorted(group, own // per, "right"), strict=True)):
+            d[r, lo:hi] = np.inf
+    m = min(k, len(bank))
+    kth = d.min(1) if m == 1 else np.partition(d, m - 1, axis=1)[:, m - 1]
+    slack = 1e-12 * (qq + bb.max())
+    within = (np.sqrt(np.maximum(kth, 0.0) + slack) + 2e-9) ** 2 + slack
+    rows, cols = np.nonzero((d <= within[:, None]) & (d < np.inf))
+    exact = np.concatenate([np.sqrt(((q[rows[a : a + 65536]] - bank[cols[a : a + 65536]]) ** 2).sum(1)) for a in range(0, len(rows), 65536)] or [np.empty(0)])
+    near = np.round(exact, 9)  # so that equal distances tie in spite of rounding
+    order = np.lexsort((cols, near, rows))
+    rows = rows[order]
+    top = np.arange(len(rows)) - np.searchsorted(rows, rows) < k
+    first = order[top]
+    return rows[top], cols[first], exact[first], near[first]
+
+
+def knn_join(queries: DataFrame, bank: DataFrame, k: int, id: str, vector: str, bank_id: str | None = None, exclude_self: bool = False, limit: int = BANK_BYTES, per: int = 1) -> DataFrame:
     """(id, rank, neighbour, distance) of the k nearest bank vectors, ties by bank id; k is clamped to the bank.
 
-    The queries stay where they are; the bank comes to them, whole or block by block."""
+    The queries stay where they are; the bank comes to them, whole or block by block. ``exclude_self``
+    leaves out the bank rows whose id has the query's quotient by ``per``, as parts of one whole have."""
     spark = queries.sparkSession
     src = queries.select(F.col(id).cast("long").alias("i"), F.col(vector).cast("array<double>").alias("v")).where("v IS NOT NULL")
-    found, n = None, 0
+    found = None
     for block in _blocks(bank, bank_id or id, vector, limit):
         held = spark.sparkContext.broadcast(block)
 
         def run(batches: Iterator[pd.DataFrame], held=held) -> Iterator[pd.DataFrame]:
             ids, bank = held.value
+            whole = np.isfinite(bank).all(1)
+            ids, bank = ids[whole], bank[whole]
+            step = max(1, min(1024, TILE // max(1, len(ids))))
             for batch in batches:
-                for at in range(0, len(batch), 1024):
-                    part = batch.iloc[at : at + 1024]
-                    q = np.array(part["v"].tolist(), np.float64)
-                    d = np.sqrt(squared_distances(q, bank))
-                    near = np.round(d, 9)  # so that equal distances tie in spite of rounding
-                    if exclude_self:
-                        near[part["i"].to_numpy()[:, None] == ids[None, :]] = np.inf
-                    top = np.argsort(near, axis=1, kind="stable")[:, :k]
-                    rows = np.repeat(np.arange(len(part)), top.shape[1])
-                    out = pd.DataFrame({"i": part["i"].to_numpy()[rows], "neighbour": ids[top.ravel()], "distance": d[rows, top.ravel()], "near": near[rows, top.ravel()]})
-                    yield out[np.isfinite(out["near"])]
+                for at in range(0, len(batch) if len(ids) else 0, step):
+                    part = batch.iloc[at : at + step]
+                    own = part["i"].to_numpy()
+                    rows, cols, d, near = _nearest(np.array(part["v"].tolist(), np.float64), own, bank, ids, k, per if exclude_self else None)
+                    yield pd.DataFrame({"i": own[rows], "neighbour": ids[cols], "distance": d, "near": near})
 
         part = src.mapInPandas(run, "i long, neighbour long, distance double, near double")
-        found, n = part if found is None else found.unionAll(part), n + 1
+        found = part if found is None else found.unionAll(part)
     if found is None:
         return spark.createDataFrame([], "i long, rank int, neighbour long, distance double").withColumnRenamed("i", id)
     w = Window.partitionBy("i").orderBy("near", "neighbour")

@@ -129,6 +129,13 @@ def shading_guard_limit(spark, d):
     return rounded(neighbours.knn_join(v, v, 1, "vec_id", "map", exclude_self=True).agg(F.max("distance").alias("guard_limit")))
 
 
+@query()
+def shading_guard_limit_all(spark, d):
+    """The limit over all normals; the query above keeps to the subset that its twin names."""
+    v = T.maps(spark, d).where("label = 0")
+    return rounded(neighbours.knn_join(v, v, 1, "vec_id", "map", exclude_self=True).agg(F.max("distance").alias("guard_limit")))
+
+
 @query(f"WITH {MAPS}, s AS (SELECT vec_id, label, list_sum(map) / 64 AS x FROM m), t AS (SELECT avg(x) AS mu, greatest(stddev_samp(x), 1e-6) AS sd FROM s WHERE label = 0) SELECT vec_id, round(abs(x - mu) / sd, 6) AS score FROM s, t")
 def mean_intensity_scorer(spark, d):
     s = T.maps(spark, d).select("vec_id", "label", C.mean_of(F.col("map")).alias("x"))
