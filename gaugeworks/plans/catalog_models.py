@@ -123,6 +123,23 @@ def train_proximity(spark, d):
     return rounded(ranking.roc_auc(own, "label", "distance"))
 
 
+def normals(spark, d):
+    return T.maps(spark, d).where("label = 0")
+
+
+@query()
+def knn_join_all(spark, d):
+    """Neighbours among all normals; knn_join keeps to the bank that its twin names."""
+    return rounded(neighbours.knn_join(T.maps(spark, d), normals(spark, d), 3, "vec_id", "map", exclude_self=True))
+
+
+@query()
+def train_proximity_all(spark, d):
+    near = neighbours.knn_join(T.maps(spark, d), normals(spark, d), 1, "vec_id", "map", exclude_self=True)
+    own = near.join(T.maps(spark, d).select("vec_id", "label"), "vec_id").withColumn("distance", F.round("distance", 9))
+    return rounded(ranking.roc_auc(own, "label", "distance"))
+
+
 @query(f"WITH {MAPS}, v AS (SELECT * FROM m WHERE label = 0 AND vec_id % 2 = 0), n AS (SELECT a.vec_id, min(sqrt(list_sum(list_transform(list_zip(a.map, b.map), lambda z: (z[1] - z[2]) * (z[1] - z[2]))))) AS d FROM v a JOIN v b ON a.vec_id <> b.vec_id GROUP BY 1) SELECT round(max(d), 6) AS guard_limit FROM n")
 def shading_guard_limit(spark, d):
     v = T.maps(spark, d).where("label = 0 AND vec_id % 2 = 0")

@@ -34,3 +34,28 @@ def test_guard_limit_takes_all_normals(spark, small):
     own = distances(v, v)
     np.fill_diagonal(own, np.inf)
     assert catalog.QUERIES["shading_guard_limit_all"](spark, d).first().guard_limit == pytest.approx(own.min(1).max(), abs=1e-6)
+
+
+def brute_neighbours(small, k):
+    _, ids, label, x = small
+    bank = ids[label < 5]
+    d = distances(x, x[bank])
+    for i in ids:
+        own = sorted((round(d[i, j], 9), b) for j, b in enumerate(bank) if b != i)[:k]
+        yield from ((i, r + 1, b, round(v, 6)) for r, (v, b) in enumerate(own))
+
+
+def test_neighbours_among_all_normals(spark, small):
+    got = sorted(map(tuple, catalog.QUERIES["knn_join_all"](spark, small[0]).collect()))
+    want = sorted(brute_neighbours(small, 3))
+    assert [g[:3] for g in got] == [w[:3] for w in want] and [g[3] for g in got] == pytest.approx([w[3] for w in want], abs=2e-6)
+    assert any(w[2] % 5 and w[3] == 0 for w in want)
+
+
+def test_proximity_to_all_normals(spark, small):
+    label = small[2]
+    s = {w[0]: w[3] for w in brute_neighbours(small, 1)}
+    pos, neg = ([s[i] for i in range(N) if (label[i] >= 5) == y] for y in (True, False))
+    row = catalog.QUERIES["train_proximity_all"](spark, small[0]).first()
+    assert row.auroc == pytest.approx(np.mean([(p > n) + 0.5 * (p == n) for p in pos for n in neg]), abs=1e-6)
+    assert (row.n_pos, row.n_neg) == (len(pos), len(neg))
