@@ -173,13 +173,42 @@ def greedy_coreset(x: np.ndarray, n: int, first: int = 0) -> np.ndarray:
 
 
 def coreset(df: DataFrame, id: str, vector: str, n: int, candidates: int = 20_000, seed: int | str = 0) -> DataFrame:
-    """A bank of ``n`` rows: k-centre greedy over the first ``candidates`` rows in seeded order."""
-    from gaugeworks.operators.splits import first_of
-
-    rows = first_of(df.select(id, F.col(vector).cast("array<double>").alias("v")), id, candidates, seed).collect()
-    ids = [r[0] for r in rows]
-    keep = greedy_coreset(np.array([r.v for r in rows], np.float64), n) if rows else []
-    chosen = df.sparkSession.createDataFrame([(ids[k], o) for o, k in enumerate(keep)], f"{id} {df.schema[id].dataType.simpleString()}, pick int")
+    """A bank of ``n`` rows: k-centre greedy over all rows, begun at the first in seeded order, ties to the earlier in it.
+
+    The ``candidates`` rows farthest from the bank come to the driver at a time. Distances only shrink, so picks
+    among them are those of the whole while they lie farther than any row left out did."""
+    from gaugeworks.operators.splits import seeded
+
+    own = df.select(F.col(id).alias("i"), F.col(vector).cast("array<double>").alias("v"), seeded(seed, F.col(id)).alias("s")).where("v IS NOT NULL")
+    ids: list = []
+    bank: list[np.ndarray] = []
+    while len(ids) < n:
+        centres = np.array(bank)
+
+        @F.pandas_udf("double")
+        def least(v: pd.Series) -> pd.Series:
+            x, d = np.array(v.tolist(), np.float64), np.full(len(v), np.inf)
+            for c in centres:
+                d = np.minimum(d, ((x - c) ** 2).sum(1))
+            return pd.Series(d)
+
+        far = own.where(~F.col("i").isin(ids)).withColumn("d", least("v")) if ids else own.withColumn("d", F.lit(float("inf")))
+        rows = far.orderBy(F.desc("d"), "s", "i").limit(candidates + 1 if ids else 1).collect()
+        if not rows:
+            break
+        bound = rows.pop().d if len(rows) > candidates else -1.0
+        rows.sort(key=lambda r: (r.s, r.i))
+        x, d = np.array([r.v for r in rows], np.float64), np.array([r.d for r in rows])
+        at = int(np.argmax(d))  # the farthest of all rows, whatever the bound
+        while True:
+            ids.append(rows[at].i)
+            bank.append(x[at])
+            d = np.where(d < 0, d, np.minimum(d, ((x - x[at]) ** 2).sum(1)))
+            d[at] = -1.0
+            at = int(np.argmax(d))
+            if len(ids) == n or d[at] <= bound or d[at] < 0:
+                break
+    chosen = df.sparkSession.createDataFrame([(k, o) for o, k in enumerate(ids)], f"{id} {df.schema[id].dataType.simpleString()}, pick int")
     return df.join(F.broadcast(chosen), id)  # ``n`` rows
 
 
@@ -203,14 +232,17 @@ def density_subsample(df: DataFrame, id: str, vector: str, share: float, k: int
     return own.groupBy("g").applyInPandas(run, "i long, crowding long").withColumnRenamed("i", id)
 
 
-def reweighted(best: DataFrame, bank: DataFrame, id: str, vector: str, patch: str, k: int = 3) -> DataFrame:
+def reweighted(best: DataFrame, bank: DataFrame, id: str, vector: str, patch: str, k: int = 3, per: int | None = None) -> DataFrame:
     """Scores of images from their patches' nearest bank rows.
 
     ``best`` has (id, patch, neighbour, distance). The farthest patch of an image gives its
-    distance, weighted by 1 - softmax over the distances from the nearest bank row's own neighbours."""
-    top = best.groupBy(id).agg(F.max_by(F.struct(F.col(patch).alias("patch"), "neighbour", "distance", "v"), F.struct("distance", -F.col(patch))).alias("t")).select(id, "t.*")
-    support = knn_join(bank, bank, k, "bank_id", vector).select(F.col("bank_id").alias("neighbour"), F.col("neighbour").alias("member"))
+    distance, weighted by 1 - softmax over the distances from the nearest bank row's own neighbours.
+    With ``per`` patches an image, bank ids being id * per + patch, an image's own rows are not among these."""
+    top = best.groupBy(id).agg(F.max_by(F.struct(F.col(patch).alias("patch"), "neighbour", "distance", "v"), F.struct("distance", -F.col(patch))).alias("t")).select(id, "t.*").persist()  # read twice
     member = bank.select(F.col("bank_id").alias("member"), F.col(vector).alias("m"))
-    near = top.join(support, "neighbour").join(member, "member")
+    held = top.join(member, F.col("neighbour") == F.col("member")).select((F.col(id) * (per or 1)).alias("own"), F.col("m").alias(vector))
+    support = knn_join(held, bank, k, "own", vector, "bank_id", exclude_self=per is not None, per=per or 1)
+    support = support.select(F.floor(F.col("own") / (per or 1)).cast("long").alias(id), F.col("neighbour").alias("member"))
+    near = top.join(support, id).join(member, "member")
     gap = F.sqrt(F.aggregate(F.zip_with("v", "m", lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x))
     return near.groupBy(id, "patch", "neighbour", "distance").agg((F.col("distance") * (1.0 - F.try_divide(F.exp(F.col("distance")), F.sum(F.exp(gap))))).alias("score"))

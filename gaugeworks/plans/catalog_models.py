@@ -191,8 +191,7 @@ def gaussian_scorer(spark, d):
 
 @query()
 def memory_bank_scorer(spark, d):
-    normal = T.maps(spark, d).where("label = 0 AND vec_id % 2 = 0")
-    chosen = neighbours.coreset(normal, "vec_id", "map", 50, seed=1)
+    chosen = neighbours.coreset(normals(spark, d), "vec_id", "map", 50, seed=1)
     near = neighbours.knn_join(T.maps(spark, d), chosen, 1, "vec_id", "map", exclude_self=True)
     return near.select("vec_id", F.col("distance").alias("score"), F.col("neighbour").alias("nearest_normal"))
 
@@ -206,11 +205,10 @@ def patches(spark, d):
 @query()
 def reweighted_scores(spark, d):
     p = patches(spark, d)
-    memory = p.where("label = 0 AND vec_id % 5 = 0").select(F.col("key").alias("bank_id"), "v")
-    test = p.where("vec_id % 5 <> 0")
-    near = neighbours.knn_join(test.select("key", "v"), memory.withColumnRenamed("bank_id", "key"), 1, "key", "v")
-    best = near.join(test, "key").select("vec_id", "patch", "neighbour", "distance", "v")
-    return neighbours.reweighted(best, memory, "vec_id", "v", "patch")
+    memory = p.where("label = 0").select(F.col("key").alias("bank_id"), "v")
+    near = neighbours.knn_join(p.select("key", "v"), memory, 1, "key", "v", "bank_id", exclude_self=True, per=8)
+    best = near.join(p, "key").select("vec_id", "patch", "neighbour", "distance", "v")
+    return neighbours.reweighted(best, memory, "vec_id", "v", "patch", per=8)
 
 
 @query()

@@ -1,8 +1,11 @@
 """Queries over whole sets, against brute force on a small table: copies lie across parities and categories."""
 
+import hashlib
+
 import numpy as np
 import pytest
 
+from gaugeworks.operators import neighbours
 from gaugeworks.plans import catalog, catalog_models
 
 N = 60
@@ -59,3 +62,50 @@ def test_proximity_to_all_normals(spark, small):
     row = catalog.QUERIES["train_proximity_all"](spark, small[0]).first()
     assert row.auroc == pytest.approx(np.mean([(p > n) + 0.5 * (p == n) for p in pos for n in neg]), abs=1e-6)
     assert (row.n_pos, row.n_neg) == (len(pos), len(neg))
+
+
+def brute_coreset(rows, n):
+    """Plain k-centre greedy over (id, vector) in seeded order."""
+    rows = sorted(rows, key=lambda r: (hashlib.sha256(f"1:{r[0]}".encode()).hexdigest(), r[0]))
+    chosen, least = [0], np.full(len(rows), np.inf)
+    while True:
+        least = np.minimum(least, [((v - rows[chosen[-1]][1]) ** 2).sum() for _, v in rows])
+        least[chosen] = -1.0
+        if len(chosen) == min(n, len(rows)):
+            return [rows[i][0] for i in chosen]
+        chosen.append(int(np.argmax(least)))
+
+
+@pytest.mark.parametrize("candidates", [4, 17, 20_000])
+def test_coreset_looks_at_all_rows(spark, small, candidates):
+    _, ids, _, x = small
+    d = spark.createDataFrame([(int(i), x[i].tolist()) for i in ids], "vec_id long, map array<double>").repartition(3)
+    for n in (12, N + 5):
+        if n == 12 or candidates > 4:
+            got = neighbours.coreset(d, "vec_id", "map", n, candidates, seed=1).orderBy("pick").collect()
+            assert [r.vec_id for r in got] == brute_coreset(list(zip(ids, x)), n)
+
+
+def test_memory_bank_fits_on_all_normals(spark, small):
+    d, ids, label, x = small
+    bank = brute_coreset([(i, x[i]) for i in ids if label[i] < 5], 50)
+    got = {r.vec_id: (r.score, r.nearest_normal) for r in catalog.QUERIES["memory_bank_scorer"](spark, d).collect()}
+    assert any(b % 2 for b in bank) and set(got) == set(ids)
+    for i in ids:
+        s, b = min((round(float(np.sqrt(((x[i] - x[b]) ** 2).sum())), 9), b) for b in bank if b != i)
+        assert got[i] == (pytest.approx(s, abs=1e-8), b)
+
+
+def test_every_image_has_a_reweighted_score(spark, small):
+    d, ids, label, x = small
+    bank = [(8 * i + k, x[i, 8 * k : 8 * k + 8]) for i in ids if label[i] < 5 for k in range(8)]
+    near = lambda v, i, k: sorted((round(float(np.sqrt(((v - w) ** 2).sum())), 9), b) for b, w in bank if b // 8 != i)[:k]
+    got = {r.vec_id: r for r in catalog.QUERIES["reweighted_scores"](spark, d).collect()}
+    assert set(got) == set(ids)
+    whole = dict(bank)
+    for i in ids:
+        s, minus, b = max((near(p, i, 1)[0][0], -k, near(p, i, 1)[0][1]) for k, p in enumerate(x[i].reshape(8, 8)))
+        own = x[i].reshape(8, 8)[-minus]
+        gaps = [np.exp(np.sqrt(((own - whole[m]) ** 2).sum())) for _, m in near(whole[b], i, 3)]
+        r = got[i]
+        assert (r.patch, r.neighbour) == (-minus, b) and r.score == pytest.approx(s * (1 - np.exp(s) / sum(gaps)), abs=1e-7)
