@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -84,6 +86,36 @@ def distance_percentile(df: DataFrame, id: str, bits: str, percentile: float) ->
     return by.agg(F.sum("pairs").alias("pairs"), F.min("distance").alias("least"), F.percentile("distance", F.lit(percentile / 100.0), F.col("pairs")).alias("threshold"))
 
 
+def distance_percentile_by(df: DataFrame, by: str, bits: str, percentile: float, chunk: int = 4096) -> DataFrame:
+    """:func:`distance_percentile` of all pairs within each value of ``by``, folded by distinct hash.
+
+    The hashes of a value meet in pairs of chunks; only counts by distance leave them."""
+    one = df.groupBy(F.col(by).alias("g"), F.col(bits).alias("h")).agg(F.count("*").alias("m")).where("h IS NOT NULL")
+    of = one.groupBy(F.col("g").alias("_g")).agg(F.ceil(F.count("*") / chunk).cast("int").alias("of"))
+    own = one.join(of, F.col("g").eqNullSafe(F.col("_g"))).select("g", "h", "m", "of", F.pmod(F.xxhash64("h"), F.col("of")).cast("int").alias("part"))
+    ends = F.transform(F.sequence(F.lit(0), F.col("of") - 1), lambda o: F.struct(F.least("part", o).alias("i"), F.greatest("part", o).alias("j")))
+    own = own.select("g", "h", "m", "part", F.explode(ends).alias("e")).select("g", "h", "m", "part", "e.i", "e.j")
+    kind = df.schema[by].dataType.simpleString()
+
+    def run(t: pd.DataFrame) -> pd.DataFrame:
+        h, m, part = t["h"].to_numpy(np.int64), t["m"].to_numpy(np.int64), t["part"].to_numpy()
+        i, j = int(t["i"].iloc[0]), int(t["j"].iloc[0])
+        a, b = np.flatnonzero(part == i), np.flatnonzero(part == j)
+        pairs = np.zeros(65, np.int64)
+        for k, x in enumerate(a):
+            y = b[k + 1 :] if i == j else b
+            # counts stay exact: a row's sum is below 2^53
+            pairs += np.rint(np.bincount(np.bitwise_count((h[y] ^ h[x]).view(np.uint64)), m[y], 65)).astype(np.int64) * m[x]
+        if i == j:
+            pairs[0] += (m * (m - 1) // 2).sum()
+        d = np.flatnonzero(pairs)
+        return pd.DataFrame({"g": [t["g"].iloc[0]] * len(d), "distance": d.astype(np.int32), "pairs": pairs[d]})
+
+    met = own.groupBy("g", "i", "j").applyInPandas(run, f"g {kind}, distance int, pairs long")
+    met = met.groupBy("g", "distance").agg(F.sum("pairs").alias("pairs"))
+    return met.groupBy(F.col("g").alias(by)).agg(F.sum("pairs").alias("pairs"), F.min("distance").alias("least"), F.percentile("distance", F.lit(percentile / 100.0), F.col("pairs")).alias("threshold"))
+
+
 def report(rule: str, offenders: DataFrame, a: str, b: str, what: str) -> DataFrame:
     """One row for ``rule``: ok without offenders; at most ``LISTED`` of them are named."""
     pair = F.struct(F.col(a).cast("string").alias("a"), F.col(b).cast("string").alias("b"))

@@ -214,6 +214,12 @@ def phash_threshold(spark, d):
     return rounded(integrity.distance_percentile(T.hashes(spark, d).where("category = 0"), "vec_id", "bits", 1.0))
 
 
+@query()
+def phash_threshold_all(spark, d):
+    """A row for each category; the query above keeps to the one that its twin names."""
+    return rounded(integrity.distance_percentile_by(T.hashes(spark, d), "category", "bits", 1.0))
+
+
 @query(f"WITH {TEXTS}, r AS (SELECT count(*) - count(DISTINCT h) AS n FROM x), c AS (SELECT h FROM x GROUP BY h HAVING count(DISTINCT source) > 1) SELECT 'duplicates' AS rule, n = 0 AS ok, n || ' repeated rows' AS detail FROM r UNION ALL SELECT 'disjoint', count(*) = 0, count(*) || ' shared contents' FROM c")
 def leak_audit(spark, d):
     x = _texts(spark, d)

@@ -5,7 +5,8 @@ import hashlib
 import numpy as np
 import pytest
 
-from gaugeworks.operators import neighbours
+from gaugeworks.operators import integrity, neighbours
+from gaugeworks.plans import tables as T
 from gaugeworks.plans import catalog, catalog_models
 
 N = 60
@@ -109,3 +110,19 @@ def test_every_image_has_a_reweighted_score(spark, small):
         gaps = [np.exp(np.sqrt(((own - whole[m]) ** 2).sum())) for _, m in near(whole[b], i, 3)]
         r = got[i]
         assert (r.patch, r.neighbour) == (-minus, b) and r.score == pytest.approx(s * (1 - np.exp(s) / sum(gaps)), abs=1e-7)
+
+
+def test_thresholds_of_all_categories(spark, small):
+    rows = T.hashes(spark, small[0]).collect()
+    want = {}
+    for c in range(10):
+        h = [r.bits for r in rows if r.category == c]
+        d = [bin((a ^ b) & (2**64 - 1)).count("1") for k, a in enumerate(h) for b in h[:k]]
+        want[c] = (len(d), min(d), pytest.approx(np.percentile(d, 1), abs=1e-6))
+    got = {r.category: (r.pairs, r.least, r.threshold) for r in catalog.QUERIES["phash_threshold_all"](spark, small[0]).collect()}
+    assert got == want
+    copies = spark.createDataFrame([(0, 5), (0, 5), (0, 5), (0, 4), (0, -1), (1, 3)], "category int, bits long")
+    for chunk in (1, 2, 4096):
+        assert [(r.category, r.pairs, r.least) for r in integrity.distance_percentile_by(copies, "category", "bits", 1.0, chunk).collect()] == [(0, 10, 0)]
+        got = integrity.distance_percentile_by(T.hashes(spark, small[0]), "category", "bits", 1.0, chunk).collect()
+        assert {r.category: (r.pairs, r.least, r.threshold) for r in got} == want
