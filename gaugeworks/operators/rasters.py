@@ -43,6 +43,17 @@ def perturbed(name: str, severity: int, seed: int = 0) -> Callable[..., Column]:
     return on_maps(lambda a: K.perturb(a, name, severity, np.random.default_rng([seed, zlib.crc32(name.encode()), severity])))
 
 
+def perturbed_by(seed: int = 0) -> Callable[..., Column]:
+    """:func:`perturbed` with name and severity from columns, after map, height and width."""
+
+    @F.pandas_udf("array<double>")
+    def run(m: pd.Series, h: pd.Series, w: pd.Series, name: pd.Series, severity: pd.Series) -> pd.Series:
+        each = zip(m, h, w, name, severity, strict=True)
+        return pd.Series([None if x is None else K.perturb(np.asarray(x, np.float64).reshape(a, b), k, s, np.random.default_rng([seed, zlib.crc32(k.encode()), s])).ravel().tolist() for x, a, b, k, s in each])
+
+    return run
+
+
 def mask_rule(low: float, high: float | None = None, closing: int = 0, angles: int = 4, fill: bool = True, erosion: int = 0, least: int = 1, mark: bool = False) -> Callable[..., Column]:
     """Threshold, oriented closing, hysteresis, filled holes, erosion, small regions dropped; with ``mark`` an
     empty result gets its highest cell."""

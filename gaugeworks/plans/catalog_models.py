@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from gaugeworks.functions import columns as C
+from gaugeworks.functions.kernels import PERTURBATIONS
 from gaugeworks.operators import neighbours, pooled, ranking, rasters, splits, statistics, studies, thresholds
 from gaugeworks.plans import tables as T
 from gaugeworks.plans.catalog import AUROC, CELLS, EVENTS, KTH, MAPS, VAL, query, rounded
@@ -80,13 +81,10 @@ def mask_rules(spark, d):
 
 @query()
 def perturbation_grid(spark, d):
-    m = T.maps(spark, d).where("label = 1")
-    out = None
-    for name in ("gaussian_blur", "exposure_up", "noise"):
-        for s in (0, 3, 5):
-            part = m.select("vec_id", F.lit(name).alias("name"), F.lit(s).alias("severity"), F.array_max(rasters.perturbed(name, s, 1)("map", F.lit(8), F.lit(8))).alias("score"))
-            out = part if out is None else out.unionAll(part)
-    return out
+    name = F.explode(F.array(*map(F.lit, PERTURBATIONS))).alias("name")
+    severity = F.explode(F.sequence(F.lit(0), F.lit(5))).alias("severity")
+    m = T.maps(spark, d).select("vec_id", "map", name).select("vec_id", "map", "name", severity)
+    return m.select("vec_id", "name", "severity", F.array_max(rasters.perturbed_by(1)("map", F.lit(8), F.lit(8), "name", "severity")).alias("score"))
 
 
 @query()
