@@ -114,7 +114,7 @@ def _scan(docs: DataFrame, grams: NGrams, text: str, result, fields: list[pa.Fie
             for t in batch.column(at).cast(pa.string()).to_pylist():
                 own = words(t)
                 hit, met = ngrams.scan(own)
-                rows.append(result(own, hit, sorted(ngrams.names[i] for i in met)))
+                rows.append(result(own, hit, sorted({ngrams.names[i] for i in met})))
             cols = [pa.array([r[k] for r in rows], f.type) for k, f in enumerate(fields)]
             yield pa.RecordBatch.from_arrays([*batch.columns, *cols], names=[*batch.schema.names, *(f.name for f in fields)])
 

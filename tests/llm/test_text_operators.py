@@ -185,6 +185,15 @@ def test_decontamination(spark, words):
     assert decontam.remove_spans("Keep " + long + ", this", grams).split() == ["Keep", ",", "this"] or "Keep" in decontam.remove_spans("Keep " + long + ", this", grams)
 
 
+def test_decontamination_with_repeated_items(spark, words):
+    item, other = words(20), words(15)
+    bench = spark.createDataFrame([(1, item), (1, item), (1, other), (2, other)], "item_id long, text string")
+    docs = docs_of(spark, [words(9) + " " + item, item + " x " + other, words(9)])
+    for block in (decontam.ITEM_BYTES, 60):
+        got = {r.doc_id: r._items for r in decontam.contamination(docs, bench, block_bytes=block).collect()}
+        assert got == {0: ["1"], 1: ["1", "2"], 2: [], None: []}
+
+
 def test_url_parts_and_rules(spark):
     rows = ["http://A.Example.NET/en/1?q", "https://example.com/de/", "ftp://x.org/fr", "x://y.org/fr/a#b", "no scheme", None, "http://net/", "http://x.net?a/en/", "a://b://c/d", "http://h\n.net/x"]
     pages = spark.createDataFrame(list(enumerate(rows)), "page_id long, url string").withColumn("host", F.lit(1))
