@@ -38,10 +38,10 @@ from gaugeworks.llm.components import components
 from gaugeworks.llm.store import materialise, small_or_shuffled
 
 SHINGLE = 5
-#: Sets of a signature group that are paired directly, of a chunk of a larger group, least 64-bit words of a sketch.
-GROUP, CHUNK, SKETCH = 16, 2_048, 4
-#: Positions an element of the sketches that tell the members of a family apart.
-WIDE = 8
+#: Sets of a signature group that are paired directly, sets and elements of a chunk of a larger group, least 64-bit words of a sketch.
+GROUP, CHUNK, CHUNK_ELEMENTS, SKETCH = 16, 2_048, 4 << 20, 4
+#: Positions an element of the sketches that tell the members of a family apart; sets of a chunk compared at once.
+WIDE, STRIP = 8, 64
 #: Signatures that a task holds before it hands them on.
 HELD = 2_000_000
 _M1, _M2 = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
@@ -54,44 +54,32 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _S)
 
 
-def _tables() -> tuple[np.ndarray, np.ndarray]:
-    """A random value for each byte, A-Z as a-z and white space as zero; which bytes are white space."""
-    value = _mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-    value[65:91] = value[97:123]
-    space = np.zeros(256, bool)
-    space[[0x20, *range(0x09, 0x0E)]] = True
-    value[space] = 0
-    return value, space
+#: Places in a word whose byte values are tabulated; further ones are computed.
+PLACES = 64
 
 
-_VALUE, _SPACE = _tables()
-_BASE = 0x5851F42D4C957F2D
-#: Bytes that are hashed at once; longer texts are cut between words.
-PIECE = 1 << 20
-
-
-class Powers:
-    """Powers of the base and of its inverse modulo 2**64, grown on demand."""
+def _value(byte: np.ndarray, place: np.ndarray, salt: int) -> np.ndarray:
+    """A random 64-bit value for each (byte, place in its word)."""
+    return _mix((byte.astype(np.uint64) << np.uint64(32) | place.astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(salt))
 
-    up = down = np.ones(1, np.uint64)
 
-    @classmethod
-    def get(cls, n: int) -> tuple[np.ndarray, np.ndarray]:
-        if len(cls.up) < n:
-            size = 1 << (n - 1).bit_length()
-            inverse = pow(_BASE, -1, 1 << 64)
-            for name, base in (("up", _BASE), ("down", inverse)):
-                row = np.full(size, base, np.uint64)
-                row[0] = 1
-                setattr(cls, name, np.multiply.accumulate(row))
-        return cls.up, cls.down
+#: Two independent functions: the first names shingles, the second confirms that sets with one digest are equal.
+_SALTS = (0x5851F42D4C957F2D, 0xD1342543DE82EF95)
+_SPACE = np.zeros(256, bool)
+_SPACE[[0x20, *range(0x09, 0x0E)]] = True
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] = _LOWER[97:123]
+_TABLES = [_value(np.tile(_LOWER, PLACES), np.repeat(np.arange(PLACES), 256), salt) * ~np.tile(_SPACE, PLACES) for salt in _SALTS]
+#: Bytes that are hashed at once; longer texts are cut between words.
+PIECE = 1 << 20
 
 
-def word_hashes(text: str) -> np.ndarray:
-    """64-bit hashes of the words of ``text`` in order, all at once: a word's polynomial is a
-    difference of prefix sums, shifted down to its start."""
+def word_hashes(text: str, functions: int = 1) -> list[np.ndarray]:
+    """64-bit hashes of the words of ``text`` in order, one array for each hash function: the sum of a
+    word's tabulated values for byte and place, mixed with its length."""
     raw = np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8)
-    out, at = [], 0
+    out: list[list[np.ndarray]] = [[] for _ in range(functions)]
+    at = 0
     while at < len(raw):
         end = min(len(raw), at + PIECE)
         while end < len(raw) and not _SPACE[raw[end]]:
@@ -104,27 +92,51 @@ def word_hashes(text: str) -> np.ndarray:
         stop = np.flatnonzero(~gap[:-1] & gap[1:])
         if not len(start):
             continue
-        up, down = Powers.get(len(part) + 1)
-        sums = np.zeros(len(part) + 1, np.uint64)
-        np.cumsum(_VALUE[part] * up[: len(part)], out=sums[1:])
-        out.append(_mix((sums[stop] - sums[start]) * down[start] + (stop - start).astype(np.uint64)))
-    return np.concatenate(out) if out else np.zeros(0, np.uint64)
+        part = part[start[0] :]
+        start, stop = start - start[0], stop - start[0]
+        place = np.arange(len(part)) - np.repeat(start, np.diff(start, append=len(part)))
+        far = np.flatnonzero((place >= PLACES) & ~_SPACE[part])
+        cell = np.minimum(place, PLACES - 1) << 8 | part
+        for k in range(functions):
+            values = _TABLES[k][cell]
+            if len(far):
+                values[far] = _value(_LOWER[part[far]], place[far], _SALTS[k])
+            values[_SPACE[part]] = 0
+            out[k].append(_mix(np.add.reduceat(values, start) + (stop - start).astype(np.uint64)))
+    return [np.concatenate(o) if o else np.zeros(0, np.uint64) for o in out]
+
+
+def _combined(own: np.ndarray) -> np.ndarray:
+    """Hashes of the runs of five words, or of the whole sequence where there are fewer."""
+    size = min(SHINGLE, len(own))
+    n = len(own) - size + 1
+    out = np.full(n, size, np.uint64)
+    for k in range(size):
+        out = _mix(out * _M1 + own[k : n + k])
+    return out
 
 
 def shingles(text: str | None) -> np.ndarray:
     """The sorted hashes of the distinct shingles of ``text``."""
-    own = word_hashes(text) if text else np.zeros(0, np.uint64)
+    (own,) = word_hashes(text) if text else (np.zeros(0, np.uint64),)
     if not len(own):
         return own
-    size = min(SHINGLE, len(own))
-    n = len(own) - size + 1
-    out = np.full(n, size, np.uint64)
-    for k in range(size):
-        out = out * _M1 + own[k : n + k]
-    out = np.sort(_mix(out))
+    out = np.sort(_combined(own))
     return out[np.concatenate(([True], out[1:] != out[:-1]))]
 
 
+def confirmed(text: str | None) -> tuple[np.ndarray, int]:
+    """The shingles of ``text`` and a digest of the set under the second hash function."""
+    own, more = word_hashes(text, 2) if text else (np.zeros(0, np.uint64),) * 2
+    if not len(own):
+        return own, 0
+    out, second = _combined(own), _combined(more)
+    order = np.argsort(out, kind="stable")
+    out = out[order]
+    fresh = np.concatenate(([True], out[1:] != out[:-1]))
+    return out[fresh], int(np.sum(_mix(second[order[fresh]]), dtype=np.uint64).view(np.int64))
+
+
 def similar(a: np.ndarray, b: np.ndarray) -> bool:
     """Jaccard of at least 3/4, by whole numbers."""
     if not len(a) or not len(b) or 4 * min(len(a), len(b)) < 3 * max(len(a), len(b)):
@@ -218,14 +230,26 @@ def _fold(sketch: bytes, size: int) -> np.ndarray:
 
 
 def describe(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(id, n, h, sketch, wide, spare): size, digest, parity sketches and spare signatures of every document's set."""
+    """(id, n, h, g, sketch, spare): size, two digests, parity sketch and spare signatures of every document's set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [shingles(t) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([_digest(s) for s in sets], pa.int64()), *(pa.array([_sketch(s, p) if len(s) else None for s in sets], pa.binary()) for p in (2, WIDE)), pa.array([_spare(s) if len(s) else None for s in sets], pa.list_(pa.int32()))], ["id", "n", "h", "sketch", "wide", "spare"])
+            both = [confirmed(t) for t in batch.column(1).to_pylist()]
+            sets = [own for own, _ in both]
+            yield pa.RecordBatch.from_arrays(
+                [
+                    batch.column(0),
+                    pa.array([len(s) for s in sets], pa.int64()),
+                    pa.array([_digest(s) for s in sets], pa.int64()),
+                    pa.array([g for _, g in both], pa.int64()),
+                    pa.array([_sketch(s) if len(s) else None for s in sets], pa.binary()),
+                    pa.array([_spare(s) if len(s) else None for s in sets], pa.list_(pa.int32())),
+                ],
+                ["id", "n", "h", "g", "sketch", "spare"],
+            )
 
-    return docs.select(F.col(id).cast("long").alias("id"), F.col(text).cast("string").alias("t")).mapInArrow(run, "id long, n long, h long, sketch binary, wide binary, spare array<int>")
+    src = docs.select(F.col(id).cast("long").alias("id"), F.col(text).cast("string").alias("t"))
+    return src.mapInArrow(run, "id long, n long, h long, g long, sketch binary, spare array<int>")
 
 
 def _packed(docs: DataFrame, bits: int, text: str) -> DataFrame:
@@ -277,7 +301,7 @@ def _packed(docs: DataFrame, bits: int, text: str) -> DataFrame:
 
 
 def _meet(key: tuple, table: pd.DataFrame) -> pd.DataFrame:
-    """Candidates of one bucket: pairs (a, b) with group null, and members a of larger groups."""
+    """Candidates of one bucket: pairs (a, b) with group null, and members a of larger groups with the group's size."""
     low, own = [], []
     for data in table["data"]:
         n = len(data) // 12
@@ -290,7 +314,7 @@ def _meet(key: tuple, table: pd.DataFrame) -> pd.DataFrame:
     sig, ids = sig[fresh], ids[fresh]
     first = np.flatnonzero(np.concatenate(([True], sig[1:] != sig[:-1])))
     size = np.diff(np.concatenate((first, [len(sig)])))
-    left, right, group, member = [], [], [], []
+    left, right, group, member, sizes = [], [], [], [], []
     for m in range(2, GROUP + 1):
         at = first[size == m]
         if len(at):
@@ -305,18 +329,20 @@ def _meet(key: tuple, table: pd.DataFrame) -> pd.DataFrame:
         right.append(np.maximum(rest, centre))
         group.append(np.full(m, int(key[0]) << 32 | int(sig[f]), np.int64))
         member.append(own)
+        sizes.append(np.full(m, m, np.int64))
     pairs = np.unique(np.stack((np.concatenate(left), np.concatenate(right)), 1), axis=0) if left else np.zeros((0, 2), np.int64)
     out = pd.DataFrame({"a": pairs[:, 0], "b": pairs[:, 1]}).astype("Int64")
     out["grp"] = pd.array([None] * len(out), "Int64")
+    out["size"] = out["grp"]
     if group:
-        more = pd.DataFrame({"a": np.concatenate(member), "grp": np.concatenate(group)}).astype("Int64")
+        more = pd.DataFrame({"a": np.concatenate(member), "grp": np.concatenate(group), "size": np.concatenate(sizes)}).astype("Int64")
         more["b"] = pd.array([None] * len(more), "Int64")
-        out = pd.concat([out, more[["a", "b", "grp"]]])
+        out = pd.concat([out, more[["a", "b", "grp", "size"]]])
     return out
 
 
 def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Those of ``pairs`` (a, b) whose sets are similar."""
+    """Those of ``pairs`` (a, b) of which two sets are similar."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -326,14 +352,7 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
     side = lambda s: sets.select(F.col("id").alias(s), F.col("data").alias(f"data_{s}"))
     work = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "data_a", "data_b")
-    spark = pairs.sparkSession
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(key)
-    spark.conf.set(key, "256")  # a row holds two whole sets
-    try:
-        return materialise(work.mapInArrow(run, "a long, b long"), "links")
-    finally:
-        spark.conf.set(key, before)
+    return materialise(work.mapInArrow(run, "a long, b long"), "links")
 
 
 def _possible(pairs: DataFrame) -> DataFrame:
@@ -354,19 +373,21 @@ def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text") ->
     """``id``, n_shingles and component_id of every row."""
     own = materialise(describe(docs, id, text), "sets")
     # one entry for equal sets, named by the least id
-    reps = materialise(own.where("n > 0 AND id IS NOT NULL").groupBy("h").agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.first("sketch").alias("s"), F.first("wide").alias("wide"), F.first("spare").alias("spare")), "reps")
+    reps = own.where("n > 0 AND id IS NOT NULL").groupBy("h", "g").agg(F.min("id").alias("rep"), *(F.first(c).alias(c) for c in ("n", "sketch", "spare")))
+    reps = materialise(reps, "reps")
     links = _links(docs, own, reps, id, text)
-    named = reps.select("h", "rep").join(components(links).withColumnRenamed("id", "rep"), "rep", "left").select("h", F.coalesce("component", "rep").alias("c"))
-    out = own.select("id", "n", F.when(F.col("n") > 0, F.col("h")).alias("h")).join(small_or_shuffled(named, 16), "h", "left")
+    named = reps.select("h", "g", "rep").join(components(links).withColumnRenamed("id", "rep"), "rep", "left").select("h", "g", F.coalesce("component", "rep").alias("c"))
+    # texts without shingles have a null in their key, so they meet nobody, and spread over the tasks by the rest of it
+    out = own.select("id", "n", F.when(F.col("n") > 0, F.col("h")).alias("h"), F.when(F.col("n") > 0, F.col("g")).otherwise(F.xxhash64("id")).alias("g")).join(small_or_shuffled(named, 24), ["h", "g"], "left")
     return out.select(F.col("id").alias(id), F.col("n").alias("n_shingles"), F.when(F.col("id").isNotNull(), F.coalesce("c", "id")).alias("component_id"))
 
 
 def _links(docs: DataFrame, own: DataFrame, reps: DataFrame, id: str, text: str) -> DataFrame:
     """Verified links (a, b) between entries of ``reps`` that connect what similarity connects."""
     bits = max(8, int(own.count() // 2_000).bit_length())
-    met = _packed(docs, bits, text).groupBy("bucket").applyInPandas(_meet, "a long, b long, grp long")
+    met = _packed(docs, bits, text).groupBy("bucket").applyInPandas(_meet, "a long, b long, grp long, size long")
     met = materialise(met, "candidates")
-    side = lambda s: reps.select(F.col("h").alias(s), F.col("rep").alias(f"r_{s}"), F.col("n").alias(f"n_{s}"), F.col("s").alias(f"s_{s}"))
+    side = lambda s: reps.select(F.col("h").alias(s), F.col("rep").alias(f"r_{s}"), F.col("n").alias(f"n_{s}"), F.col("sketch").alias(f"s_{s}"))
     pairs = met.where("grp IS NULL").select("a", "b").distinct()
     pairs = _possible(pairs.join(side("a"), "a").join(side("b"), "b"))
     pairs = materialise(pairs, "possible")
@@ -376,55 +397,67 @@ def _links(docs: DataFrame, own: DataFrame, reps: DataFrame, id: str, text: str)
     named = components(links)
     to = lambda s: named.select(F.col("id").alias(s), F.col("component").alias(f"c_{s}"))
     apart = pairs.join(to("a"), "a", "left").join(to("b"), "b", "left").where(F.coalesce("c_a", "a") != F.coalesce("c_b", "b")).select("a", "b")
-    apart = apart.join(forest, ["a", "b"], "left_anti")
-    more = _crowds(met, reps, named).join(pairs, ["a", "b"], "left_anti")
-    rest = materialise(apart.unionAll(more).distinct(), "rest")
-    if rest.isEmpty():
-        return links
-    wanted = rest.select("a").unionAll(rest.select("b")).distinct()
-    lacking = wanted.join(sets.select(F.col("id").alias("a")), "a", "left_anti")
-    sets = sets.unionAll(_sets(docs, lacking, id, text))
-    return links.unionAll(_verified(rest, sets))
+    apart = materialise(apart.join(forest, ["a", "b"], "left_anti"), "apart")
+    if not apart.isEmpty():
+        links = links.unionAll(_verified(apart, sets))
+        named = components(links)
+    return links.unionAll(_crowds(docs, met, reps, named, sets, id, text))
 
 
 def _sets(docs: DataFrame, wanted: DataFrame, id: str, text: str) -> DataFrame:
-    """(id, data): the whole sets of the documents named in ``wanted`` (column a)."""
+    """(id, data): the whole sets of the documents named in ``wanted`` (column a); an id that repeats
+    with different texts has several."""
     wanted = materialise(wanted.select(F.col("a").alias("id")), "wanted")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([shingles(t).tobytes() for t in batch.column(1).to_pylist()], pa.binary())], ["id", "data"])
+            sets = [shingles(t) for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([_digest(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], ["id", "h", "data"])
 
     src = docs.select(F.col(id).cast("long").alias("id"), F.col(text).cast("string").alias("t"))
     src = src.join(small_or_shuffled(wanted, 8), "id", "left_semi")
-    # rows that repeat an id hold one text, or the entry's own is found by its size and digest
-    return materialise(src.mapInArrow(run, "id long, data binary"), "sets").dropDuplicates(["id"])
+    return materialise(src.mapInArrow(run, "id long, h long, data binary"), "sets").dropDuplicates(["id", "h"]).select("id", "data")
 
 
-def _crowds(met: DataFrame, reps: DataFrame, named: DataFrame) -> DataFrame:
-    """Possible pairs of larger groups whose members are not yet of one component.
+def _crowds(docs: DataFrame, met: DataFrame, reps: DataFrame, named: DataFrame, sets: DataFrame, id: str, text: str) -> DataFrame:
+    """Links between members of larger groups that are not yet of one component.
 
     Of the signatures in larger groups a set leaves out its commonest, as many as its empty parts
-    spare; the order is the same for all sets, so similar ones keep an agreeing signature."""
-    listed = met.where("grp IS NOT NULL").select(F.col("a").alias("h"), "grp")
-    size = listed.groupBy("grp").agg(F.count("*").alias("size"))
-    own = listed.join(size, "grp").join(reps.select("h", "rep", "spare"), "h")
+    spare; the order is the same for all sets, so similar ones keep an agreeing signature. The groups
+    of a family meet at their common least member. There the members of the greatest component are
+    settled among themselves; the others meet them and one another in chunks, which give a spanning
+    forest of verified links and no more, so nothing grows with the square of a group but comparisons
+    in memory between members that no link has joined."""
+    listed = met.where("grp IS NOT NULL").select(F.col("a").alias("h"), "grp", "size")
+    own = listed.join(reps.select("h", "rep", "spare"), "h")
     odd = F.col("grp").bitwiseAND(F.lit(1).cast("long"))
     w = Window.partitionBy("rep", odd).orderBy(F.desc("size"), "grp")
     own = own.withColumn("_r", F.row_number().over(w)).where(F.col("_r") > F.get("spare", odd.cast("int")))
     here = named.withColumnRenamed("id", "rep")
     member = materialise(own.select("grp", "rep").join(here, "rep", "left").select("grp", "rep", F.coalesce("component", "rep").alias("c")), "members")
-    # groups of one family mostly share their least member: they meet there, each set once
     group = member.groupBy("grp").agg(F.min("c").alias("x"), F.max("c").alias("y"), F.min("rep").alias("centre")).where("x != y").select("grp", "centre")
-    rows = member.join(group, "grp").groupBy("centre", "rep").agg(F.first("c").alias("c"), F.collect_list("grp").alias("grps"))
-    rows = materialise(rows, "crowds")
-    size = rows.groupBy("centre").agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("of"))
-    rows = rows.join(size, "centre").withColumn("part", F.pmod(F.xxhash64("rep"), F.col("of")).cast("int")).join(reps.select("rep", "n", F.col("wide").alias("s")), "rep")
-    ends = F.transform(F.sequence(F.lit(0), F.col("of") - 1), lambda o: F.struct(F.least(F.col("part"), o).alias("i"), F.greatest(F.col("part"), o).alias("j")))
-    rows = rows.select("centre", "rep", "n", "c", "s", "grps", F.explode(ends).alias("e"))
+    group = materialise(group, "groups")
+    rows = member.join(small_or_shuffled(group, 16), "grp").groupBy("centre", "rep").agg(F.first("c").alias("c"))
+    rows = materialise(rows.join(reps.groupBy("rep").agg(F.max("n").alias("n")), "rep"), "crowds")
+    if rows.isEmpty():
+        return named.select(F.col("id").alias("a"), F.col("component").alias("b")).limit(0)
+    lacking = rows.select(F.col("rep").alias("a")).distinct().join(sets.select(F.col("id").alias("a")), "a", "left_anti")
+    sets = sets.unionAll(_sets(docs, lacking, id, text))
+
+    parts = rows.groupBy("centre", "c").agg(F.count("*").alias("m"), F.sum("n").alias("n")).groupBy("centre")
+    chunks = lambda m, n: F.ceil(F.greatest(m / CHUNK, n / CHUNK_ELEMENTS)).cast("int")
+    parts = parts.agg(F.max_by("c", F.struct("m", "c")).alias("main"), F.max(F.struct("m", "n")).alias("top"), F.sum("m").alias("m"), F.sum("n").alias("n"))
+    parts = parts.select("centre", "main", chunks(F.col("top.m"), F.col("top.n")).alias("settled"), chunks(F.col("m") - F.col("top.m"), F.col("n") - F.col("top.n")).alias("open"))
+    rows = rows.join(small_or_shuffled(materialise(parts, "parts"), 24), "centre")
+    inside = F.col("c") == F.col("main")
+    rows = rows.withColumn("part", F.pmod(F.xxhash64("rep"), F.when(inside, F.col("settled")).otherwise(F.col("open"))).cast("int"))
+    with_open = F.transform(F.sequence(F.lit(0), F.col("open") - 1), lambda o: F.when(inside, F.struct(o.alias("i"), (-1 - F.col("part")).alias("j"))).otherwise(F.struct(F.least(F.col("part"), o).alias("i"), F.greatest(F.col("part"), o).alias("j"))))
+    with_settled = F.transform(F.sequence(F.lit(1), F.col("settled")), lambda o: F.struct(F.col("part").alias("i"), (-o).alias("j")))
+    rows = rows.select("centre", "rep", "c", F.explode(F.when(inside, with_open).otherwise(F.concat(with_open, with_settled))).alias("e"))
+    work = rows.join(sets.select(F.col("id").alias("rep"), "data"), "rep").select("centre", "e.i", "e.j", "rep", "c", "data")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.Table] = []
+        held: list[pa.RecordBatch] = []
         key = None
         for batch in batches:
             # groups come whole and in order, as the partitions are sorted by their keys
@@ -432,48 +465,55 @@ def _crowds(met: DataFrame, reps: DataFrame, named: DataFrame) -> DataFrame:
             cuts = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1).tolist(), len(keys)]
             for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
                 if hi > lo:
-                    if key != (own := tuple(keys[lo])):
+                    if key != (first := tuple(keys[lo])):
                         if held:
-                            yield _apart(held)
-                        held, key = [], own
+                            yield _joined(held)
+                        held, key = [], first
                     held.append(batch.slice(lo, hi - lo))
         if held:
-            yield _apart(held)
-
-    work = rows.select("centre", "e.i", "e.j", "rep", "n", "c", "s", "grps").repartition("centre", "i", "j").sortWithinPartitions("centre", "i", "j")
-    return work.mapInArrow(compare, "a long, b long").distinct()
-
-
-def _apart(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
-    """Pairs of one chunk that share a group, lie in different components and may be similar."""
-    rep, n, c = (np.concatenate([p.column(k).to_numpy() for p in parts]) for k in (3, 4, 5))
-    order = np.argsort(n, kind="stable")
-    rep, n, c = rep[order], n[order], c[order]
-    data = [x for p in parts for x in p.column(6).to_pylist()]
-    size = min(map(len, data))
-    sketch = np.stack([_fold(data[k], size) for k in order])
-    left, right = [], []
-    # partners of row p: larger ones up to 4/3 of its size
-    last = np.searchsorted(n, 4 * n // 3, "right")
-    groups = [g for part in parts for g in part.column(7).to_pylist()]
-    where: dict[int, list[int]] = {}
-    for row, k in enumerate(order):
-        for g in groups[k]:
-            where.setdefault(g, []).append(row)
-    met = np.zeros((len(rep), len(rep)), bool)  # at most two chunks squared
-    for rows in where.values():
-        met[np.ix_(rows, rows)] = True
-    place = np.arange(len(rep))
-    for row in place:
-        met[row, : row + 1] = False
-        met[row, last[row] :] = False
-    met &= c[:, None] != c[None, :]
-    p, q = np.nonzero(met)
-    for k in range(0, len(p), 1 << 14):
-        i, j = p[k : k + (1 << 14)], q[k : k + (1 << 14)]
-        bits = np.bitwise_count(sketch[i] ^ sketch[j]).sum(axis=1, dtype=np.int64)
-        good = 7 * bits <= n[i] + n[j]
-        left.append(np.minimum(rep[i[good]], rep[j[good]]))
-        right.append(np.maximum(rep[i[good]], rep[j[good]]))
-    none = [np.zeros(0, np.int64)]
-    return pa.RecordBatch.from_arrays([pa.array(np.concatenate(left or none)), pa.array(np.concatenate(right or none))], ["a", "b"])
+            yield _joined(held)
+
+    work = work.repartition("centre", "i", "j").sortWithinPartitions("centre", "i", "j")
+    return materialise(work.mapInArrow(compare, "a long, b long"), "links")
+
+
+def _joined(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
+    """A spanning forest of the links between different components of one chunk."""
+    rep, c = (np.concatenate([p.column(k).to_numpy() for p in parts]) for k in (3, 4))
+    own = [np.frombuffer(x, np.uint64) for p in parts for x in p.column(5).to_pylist()]
+    order = sorted(range(len(own)), key=lambda k: len(own[k]))
+    own, rep = [own[k] for k in order], rep[order]
+    n = np.array([len(x) for x in own])
+    label = np.unique(c[order], return_inverse=True)[1]
+    links: list[tuple[int, int]] = []
+    last = np.searchsorted(n, 4 * n // 3, "right")  # partners are larger ones up to 4/3 of the size
+    size, base, table = -1, 0, np.zeros((0, 0), np.uint64)
+    for lo in range(0, len(own), STRIP):
+        hi, end = min(lo + STRIP, len(own)), int(last[min(lo + STRIP, len(own)) - 1])
+        if not n[lo] or (label[lo:end] == label[lo]).all():
+            continue
+        need = len(_sketch(own[lo], WIDE))
+        if need != size:  # sizes ascend, so one table of folded sketches is held
+            size, base = need, lo
+            table = np.stack([_fold(_sketch(x, WIDE), size) for x in own[lo:]])
+        left, right = table[lo - base : hi - base], table[lo - base : end - base]
+        bound = n[lo:hi, None] + n[None, lo:end]
+        possible = np.arange(lo, end)[None, :] > np.arange(lo, hi)[:, None]
+        possible &= (np.arange(lo, end)[None, :] < last[lo:hi, None]) & (label[lo:hi, None] != label[None, lo:end])
+        bits = np.zeros(bound.shape, np.int64)
+        for word in range(table.shape[1]):
+            bits += np.bitwise_count(left[:, None, word] ^ right[None, :, word])
+            if word % 16 == 15 and not (possible & (7 * bits <= bound)).any():
+                break
+        i, j = np.nonzero(possible & (7 * bits <= bound))
+        near = np.argsort(bits[i, j], kind="stable")
+        i, j = i[near] + lo, j[near] + lo
+        while len(i):  # the nearest first; what they join need not be compared again
+            for p, q in zip(i[:STRIP].tolist(), j[:STRIP].tolist(), strict=True):
+                if label[p] != label[q] and similar(own[p], own[q]):
+                    label[label == label[q]] = label[p]
+                    links.append((int(rep[p]), int(rep[q])))
+            i, j = i[STRIP:], j[STRIP:]
+            other = label[i] != label[j]
+            i, j = i[other], j[other]
+    return pa.RecordBatch.from_arrays([pa.array([min(x) for x in links], pa.int64()), pa.array([max(x) for x in links], pa.int64())], ["a", "b"])
