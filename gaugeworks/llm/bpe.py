@@ -30,17 +30,23 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gaugeworks.llm.store import materialise
+from gaugeworks.llm.store import materialise, release
 
 #: Words compiled into the lexicon; bounds the driver's work and the size of the file.
 LEXICON_WORDS = 32_768
-#: Entries of a worker's word memo before it is emptied.
-MEMO_WORDS = 400_000
+#: Bytes of a worker's memo of chunks before it is emptied, what an entry costs besides its characters and
+#: ids, and the longest chunk held.
+MEMO_BYTES, ENTRY_BYTES, MEMO_CHUNK = 24 << 20, 220, 128
+#: While words are counted: characters of text and distinct chunks after which the counts are handed on.
+COUNTED_CHARS, COUNTED_CHUNKS = 16 << 20, 150_000
+#: Characters of a text that are split at once.
+PIECE = 1 << 20
 #: Nodes of the lexicon whose arcs a worker holds outside the memory map.
 NEAR_NODES = 16_384
 #: Texts whose characters all lie here are normalised alike by Python and by the tokenizers
 #: library: printable ASCII, tab, line feed, carriage return and U+00A1-U+017F but U+0130.
 _PLAIN = re.compile("[\t\n\r\x20-\x7e\xa1-įı-ſ]*")
+_GAP = re.compile(r"[\t\n\r\x20]")
 _HIGH = [chr(c) for c in range(0xA1, 0x180)]
 _LETTER = "a-zA-Z" + "".join(c for c in _HIGH if unicodedata.category(c)[0] == "L")
 _NUMBER = "0-9" + "".join(c for c in _HIGH if unicodedata.category(c)[0] == "N")
@@ -51,6 +57,18 @@ def plain(text: str) -> bool:
     return _PLAIN.fullmatch(text) is not None and "<|" not in text
 
 
+def _chunks(text: str) -> Iterator[list[str]]:
+    """The white-space separated chunks of a plain text, of about ``PIECE`` characters at a time."""
+    at = 0
+    while at < len(text):
+        end = at + PIECE
+        if end < len(text):
+            gap = _GAP.search(text, end)
+            end = gap.start() if gap else len(text)
+        yield (text[at:end] if at or end < len(text) else text).split()
+        at = end
+
+
 class Vocabulary:
     """Vocabulary, ranked merges and special tokens of a word-level BPE file of the tokenizers library."""
 
@@ -58,24 +76,31 @@ class Vocabulary:
         from tokenizers import Tokenizer
 
         spec = json.loads(data)
-        self.ids: dict[str, int] = spec["model"]["vocab"]
-        self.suffix: str = spec["model"]["end_of_word_suffix"] or ""
-        self.ranks = {tuple(m if isinstance(m, list) else m.split(" ")): i for i, m in enumerate(spec["model"]["merges"])}
+        ids: dict[str, int] = spec["model"]["vocab"]
+        suffix: str = spec["model"]["end_of_word_suffix"] or ""
+        merges = [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in spec["model"]["merges"]]
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
-        self.pieces = {i: t for t, i in (self.ids | self.special).items()}
         self._special_re = re.compile("|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) or "(?!)")
-        self.library = Tokenizer.from_str(data.decode())
         # the fixed byte-to-character table of byte-level BPE: printable bytes stand for themselves
         shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
         hidden = [b for b in range(256) if b not in set(shown)]
-        self.byte_char = {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(hidden)}
+        byte_char = {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(hidden)}
+        self.char_byte = {c: b for b, c in byte_char.items()}
 
         # ids of single bytes inside and at the end of a word; (left id, right id) -> (rank, merged id), packed
-        self.inner = {b: self.ids[c] for b, c in self.byte_char.items()}
-        self.last = {b: self.ids[c + self.suffix] for b, c in self.byte_char.items()}
-        self.pairs = {self.ids[a] << 20 | self.ids[b]: r << 20 | self.ids[a + b] for (a, b), r in self.ranks.items()}
+        self.inner = {b: ids[c] for b, c in byte_char.items()}
+        self.last = {b: ids[c + suffix] for b, c in byte_char.items()}
+        self.pairs = {ids[a] << 20 | ids[b]: r << 20 | ids[a + b] for r, (a, b) in enumerate(merges)}
         self.none = 1 << 62
-        self.char_byte = {c: b for b, c in self.byte_char.items()}
+        #: the pieces in UTF-8 by id
+        self.names: list[bytes] = [b""] * (1 + max(*ids.values(), *self.special.values(), 0))
+        for piece, i in (ids | self.special).items():
+            self.names[i] = piece.encode()
+        # the library's normaliser and pre-tokeniser alone; the model's tables would double a worker's memory
+        spec["model"] |= {"vocab": {}, "merges": []}
+        spec["added_tokens"] = []
+        spec["post_processor"] = None
+        self.library = Tokenizer.from_str(json.dumps(spec))
 
     def words(self, text: str) -> list[str | int]:
         """Pre-tokens of ``text`` in order, as plain strings; an int is the id of a special token."""
@@ -100,12 +125,10 @@ class Vocabulary:
         data = word.encode()
         if not data:
             return []
-        if len(data) > 64:
-            parts = [self.byte_char[b] for b in data]
-            parts[-1] += self.suffix
-            return self._merge_long(parts)
         ids = [self.inner[b] for b in data]
         ids[-1] = self.last[data[-1]]
+        if len(ids) > 64:
+            return self._merge_long(ids)
         get, none = self.pairs.get, self.none
         ranks = [get(a << 20 | b, none) for a, b in zip(ids, ids[1:], strict=False)]
         while ranks:
@@ -121,28 +144,28 @@ class Vocabulary:
                 ranks[i] = get(ids[i] << 20 | ids[i + 1], none)
         return ids
 
-    def _merge_long(self, parts: list[str]) -> list[int]:
+    def _merge_long(self, ids: list[int]) -> list[int]:
         """The same merges by a heap over a linked list, for words of thousands of characters."""
         import heapq
 
-        n = len(parts)
+        n, get = len(ids), self.pairs.get
         nxt, prv = [*range(1, n), -1], [*range(-1, n - 1)]
-        part: list[str | None] = list(parts)
-        heap = [(r, i, parts[i], parts[i + 1]) for i in range(n - 1) if (r := self.ranks.get((parts[i], parts[i + 1]))) is not None]
+        part: list[int] = list(ids)  # -1: merged into the part before it
+        heap = [(m, i, ids[i], ids[i + 1]) for i in range(n - 1) if (m := get(ids[i] << 20 | ids[i + 1])) is not None]
         heapq.heapify(heap)
         while heap:
-            _, i, a, b = heapq.heappop(heap)
+            m, i, a, b = heapq.heappop(heap)
             j = nxt[i]
             if part[i] != a or j < 0 or part[j] != b:
                 continue
-            part[i], part[j] = a + b, None
+            part[i], part[j] = m & 0xFFFFF, -1
             nxt[i] = nxt[j]
             if nxt[i] >= 0:
                 prv[nxt[i]] = i
             for p, q in ((prv[i], i), (i, nxt[i])):
-                if p >= 0 and q >= 0 and (r := self.ranks.get((part[p], part[q]))) is not None:
-                    heapq.heappush(heap, (r, p, part[p], part[q]))
-        return [self.ids[p] for p in part if p is not None and p in self.ids]
+                if p >= 0 and q >= 0 and (m := get(part[p] << 20 | part[q])) is not None:
+                    heapq.heappush(heap, (m, p, part[p], part[q]))
+        return [p for p in part if p >= 0]
 
 
 def compile_lexicon(entries: Iterable[tuple[str, list[int]]]) -> bytes:
@@ -255,7 +278,7 @@ def frequent_words(docs: DataFrame, vocabulary: str, limit: int, text: str = "te
     """The most frequent pre-tokens of all texts: whole classes of frequency while they fit ``limit``."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        voc, seen, chunks = _vocabulary(vocabulary), Counter(), Counter()
+        voc, seen, chunks, chars = _vocabulary(vocabulary), Counter(), Counter(), 0
 
         def flush():
             for chunk, n in chunks.items():
@@ -270,14 +293,18 @@ def frequent_words(docs: DataFrame, vocabulary: str, limit: int, text: str = "te
         for batch in batches:
             for t in batch.column(0).to_pylist():
                 if t and plain(t):
-                    chunks.update(t.split())
+                    for piece in _chunks(t):
+                        chunks.update(piece)
+                        if len(chunks) + len(seen) > COUNTED_CHUNKS:
+                            yield flush()
                 elif t:
                     seen.update(w for w in voc.words(t) if w.__class__ is str and len(w) <= 64)
-                if len(chunks) > 400_000:
+                chars += len(t or "")
+                if chars > COUNTED_CHARS or len(chunks) + len(seen) > COUNTED_CHUNKS:
                     yield flush()
-            if len(seen) > 400_000:
-                yield flush()
+                    chars = 0
         yield flush()
+        release()
 
     found = docs.select(F.col(text).alias("t")).mapInArrow(count, "word string, n long")
     # by classes of frequency: a sorted limit would send that many words of every partition to the driver
@@ -311,7 +338,8 @@ class _Codec(dict):
 
     def __init__(self, vocabulary: str, lexicon: str):
         self.voc, self.lexicon = _vocabulary(vocabulary), _lexicon(lexicon)
-        self.names = {i: t.encode() for i, t in self.voc.pieces.items()}
+        self.names = self.voc.names
+        self.held = 0
 
     def __missing__(self, chunk: str) -> bytes:
         words = _WORDS.findall(chunk.lower())
@@ -319,9 +347,17 @@ class _Codec(dict):
             out = self.get(words[0]) or self._word(words[0])
         else:
             out = b"".join([self.get(w) or self._word(w) for w in words])
-        self[chunk] = out
+        self._hold(chunk, out)
         return out
 
+    def _hold(self, chunk: str, ids: bytes) -> None:
+        if len(chunk) <= MEMO_CHUNK:
+            self.held += ENTRY_BYTES + len(chunk) + len(ids)
+            if self.held > MEMO_BYTES:
+                self.clear()
+                self.held = 0
+            self[chunk] = ids
+
     def _word(self, word: str | int) -> bytes:
         """The packed ids of a pre-token, which as a chunk has the same ones."""
         if word.__class__ is int:
@@ -329,7 +365,8 @@ class _Codec(dict):
         ids = self.lexicon.get(word)
         if ids is None:
             ids = self.voc.merge(word)
-        out = self[word] = struct.pack(f"<{len(ids)}I", *ids)
+        out = struct.pack(f"<{len(ids)}I", *ids)
+        self._hold(word, out)
         return out
 
     def encode(self, text: str | None) -> bytes:
@@ -337,9 +374,7 @@ class _Codec(dict):
         if not text:
             return b""
         if plain(text):
-            if len(self) > MEMO_WORDS:
-                self.clear()
-            return b"".join(map(self.__getitem__, text.split()))
+            return b"".join([b"".join(map(self.__getitem__, piece)) for piece in _chunks(text)])
         return b"".join(map(self._word, self.voc.words(text)))
 
     def decode(self, packed: bytes) -> bytes:
@@ -366,6 +401,8 @@ def encode(docs: DataFrame, path: str, id: str = "doc_id", text: str = "text", l
                     offsets.append(offsets[-1] + len(p) // 4)
                 values = pa.Array.from_buffers(pa.int32(), offsets[-1], [None, pa.py_buffer(b"".join(packed))])
                 yield pa.RecordBatch.from_arrays([*cols, pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), values)], ["id", "n_tokens", "token_ids"])
+        del codec
+        release()
 
     src = docs.select(F.col(id).alias("id"), F.col(text).cast("string").alias("t"))
     kind = src.schema["id"].dataType.simpleString()
@@ -376,5 +413,5 @@ def encode(docs: DataFrame, path: str, id: str = "doc_id", text: str = "text", l
 def decode(ids: Iterable[int], path: str) -> str:
     """The text of ``ids``, special tokens kept."""
     with open(path, "rb") as f:
-        pieces = Vocabulary(f.read()).pieces
-    return " ".join(pieces[i] for i in ids)
+        names = Vocabulary(f.read()).names
+    return b" ".join(names[i] for i in ids).decode()

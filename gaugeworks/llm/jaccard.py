@@ -12,16 +12,18 @@ order is the same for all sets, so of any h + 1 agreeing parts both still keep t
 pair is lost.
 
 Signatures travel packed by bucket and meet in one group per bucket. Groups of up to ``GROUP`` sets
-give all their pairs; a larger one gives a star around a centre chosen by hash, and its members
-are looked at again once links are known: only pairs of different components remain then, in
-chunks of bounded size, so neither a dense nor a common group is ever expanded. Candidate pairs
+give all their pairs; a larger one gives a star around a centre chosen by hash. Candidate pairs
 pass a size check and an exact bound from parity sketches (bits that differ <= |A xor B|); the
 rest are verified on the whole sets, a spanning forest first, then those pairs that still lie in
-different components.
-
-Equal sets are joined as one (by a 64-bit digest). Null and empty texts have no shingles and link
-with nothing; fewer than five words form one shingle; repeated rows share a component; texts are
-read whole; extra columns are ignored; an empty table gives no rows.
+different components. Then the members of larger groups are looked at again: those of the group's
+greatest component are settled, the others meet them and one another in chunks of bounded size,
+and a chunk gives a spanning forest of verified links, so no group is ever expanded to its pairs.
+
+Equal sets are joined as one, by two independent 64-bit digests (128 bits: for 10**10 texts a chance
+of about 10**-19 that two different ones are taken for one). Null and empty texts have no shingles and
+link with nothing; fewer than five words form one shingle; repeated rows share a component; rows that
+repeat an id with different texts are judged row by row; a null id has a null component; texts are read
+whole; extra columns are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -35,7 +37,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gaugeworks.llm.components import components
-from gaugeworks.llm.store import materialise, small_or_shuffled
+from gaugeworks.llm.store import materialise, release, small_or_shuffled
 
 SHINGLE = 5
 #: Sets of a signature group that are paired directly, sets and elements of a chunk of a larger group, least 64-bit words of a sketch.
@@ -43,7 +45,7 @@ GROUP, CHUNK, CHUNK_ELEMENTS, SKETCH = 16, 2_048, 4 << 20, 4
 #: Positions an element of the sketches that tell the members of a family apart; sets of a chunk compared at once.
 WIDE, STRIP = 8, 64
 #: Signatures that a task holds before it hands them on.
-HELD = 2_000_000
+HELD = 1_000_000
 _M1, _M2 = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
 _S = np.uint64(33)
 
@@ -247,6 +249,7 @@ def describe(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFra
                 ],
                 ["id", "n", "h", "g", "sketch", "spare"],
             )
+        release()
 
     src = docs.select(F.col(id).cast("long").alias("id"), F.col(text).cast("string").alias("t"))
     return src.mapInArrow(run, "id long, n long, h long, g long, sketch binary, spare array<int>")
@@ -292,10 +295,11 @@ def _packed(docs: DataFrame, bits: int, text: str) -> DataFrame:
             if held > HELD:
                 yield from flush()
                 held = 0
-            if len(seen) > 1_000_000:
+            if len(seen) > 200_000:
                 seen.clear()
         if held:
             yield from flush()
+        release()
 
     return docs.select(F.col(text).cast("string").alias("t")).mapInArrow(run, "bucket int, data binary")
 
@@ -349,6 +353,7 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
             x, y = (batch.column(k).to_pylist() for k in (2, 3))
             good = pa.array([similar(np.frombuffer(p, np.uint64), np.frombuffer(q, np.uint64)) for p, q in zip(x, y, strict=True)], pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(good)
+        release()
 
     side = lambda s: sets.select(F.col("id").alias(s), F.col("data").alias(f"data_{s}"))
     work = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "data_a", "data_b")
@@ -472,6 +477,7 @@ def _crowds(docs: DataFrame, met: DataFrame, reps: DataFrame, named: DataFrame,
                     held.append(batch.slice(lo, hi - lo))
         if held:
             yield _joined(held)
+        release()
 
     work = work.repartition("centre", "i", "j").sortWithinPartitions("centre", "i", "j")
     return materialise(work.mapInArrow(compare, "a long, b long"), "links")

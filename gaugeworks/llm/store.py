@@ -7,10 +7,13 @@ outlives one job is written below the folder the cluster names in ``spark.checkp
 from __future__ import annotations
 
 import atexit
+import ctypes
+import gc
 import shutil
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,9 +24,11 @@ _OWN: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder; a temporary one only where none is configured (tests)."""
+    """The cluster's shared folder. A session of one machine without one gets a temporary folder (tests)."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         key = spark.sparkContext.applicationId
         if key not in _OWN:
             _OWN[key] = tempfile.mkdtemp(prefix="gaugeworks-")
@@ -43,3 +48,13 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
 def small_or_shuffled(df: DataFrame, row_bytes: int, limit: int = BROADCAST_BYTES) -> DataFrame:
     """Hint a broadcast when the counted rows fit ``limit`` bytes; otherwise leave a shuffle join."""
     return F.broadcast(df) if df.count() * row_bytes <= limit else df
+
+
+def release() -> None:
+    """Give memory back to the system at the end of a task: Python workers live on and serve later stages."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except AttributeError:  # a C library without it
+        pass
