@@ -61,9 +61,8 @@ def mod97(match: Column) -> Column:
     return F.aggregate(turned, F.lit(0), step) == 1
 
 
-def score(text: Column, kind: int, start: Column) -> Column:
-    """The base score of ``kind``, raised by one of its context words just before ``start``."""
-    before = F.substr(text, F.greatest(start - NEAR, F.lit(0)) + 1, F.least(start, F.lit(NEAR)))
+def score(before: Column, kind: int) -> Column:
+    """The base score of ``kind``, raised by one of its context words in the ``NEAR`` characters ``before`` a span."""
     return F.lit(SCORE[kind]) + F.when(before.rlike(rf"(?i)\b(?:{CONTEXT_WORDS[kind]})"), CONTEXT).otherwise(0.0)
 
 
@@ -71,17 +70,16 @@ def find(docs: DataFrame, text: str = "text", into: str = "pii") -> DataFrame:
     """``docs`` with ``into``: its spans by start, then kind (see :data:`KINDS`)."""
     t = F.coalesce(F.col(text).cast("string"), F.lit(""))
     n_digits = lambda m: F.length(F.regexp_replace(m, "[^0-9]", ""))
-    enough = lambda kind: lambda start: score(t, kind, start) >= LEAST
     only = lambda test, found: F.when(test, found).otherwise(S.no_spans())
     return docs.withColumn(
         into,
         S.in_order(
             only(t.contains("@"), S.spans(t, EMAIL, 0)),
-            S.spans(t, IP, 1, lambda m, _, s: m.rlike(rf"^{PART}(?:\.{PART}){{3}}$")),
-            S.spans(t, CARD, 2, lambda m, _, s: luhn(m)),
-            only(t.contains("+"), S.spans(t, PHONE, 3, lambda m, _, s: n_digits(m).between(10, 15))),
-            S.spans(t, IBAN, 4, lambda m, _, s: mod97(m) & enough(4)(s)),
-            only(t.contains("-"), S.spans(t, SSN, 5, lambda m, _, s: enough(5)(s))),
+            S.spans(t, IP, 1, lambda m, _, b: m.rlike(rf"^{PART}(?:\.{PART}){{3}}$")),
+            S.spans(t, CARD, 2, lambda m, _, b: luhn(m)),
+            only(t.contains("+"), S.spans(t, PHONE, 3, lambda m, _, b: n_digits(m).between(10, 15))),
+            S.spans(t, IBAN, 4, lambda m, _, b: mod97(m) & (score(b, 4) >= LEAST), near=NEAR),
+            only(t.contains("-"), S.spans(t, SSN, 5, lambda m, _, b: score(b, 5) >= LEAST, near=NEAR)),
         ),
     )
 
@@ -91,9 +89,10 @@ def scored(docs: DataFrame, text: str = "text", found: str = "pii", into: str =
     t = F.coalesce(F.col(text).cast("string"), F.lit(""))
 
     def one(s: Column) -> Column:
+        before = F.substr(t, F.greatest(s["start"] - NEAR, F.lit(0)) + 1, F.least(s["start"], F.lit(NEAR)))
         value = F.lit(None).cast("double")
         for k in range(len(KINDS)):
-            value = F.when(s["kind"] == k, F.least(score(t, k, s["start"]), F.lit(1.0))).otherwise(value)
+            value = F.when(s["kind"] == k, F.least(score(before, k), F.lit(1.0))).otherwise(value)
         return F.struct(s["start"].alias("start"), s["end"].alias("end"), F.get(F.array(*map(F.lit, KINDS)), s["kind"]).alias("kind"), value.alias("score"))
 
     return docs.withColumn(into, F.transform(found, one))

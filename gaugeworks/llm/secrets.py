@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gaugeworks.llm import spans as S
-from gaugeworks.llm.store import materialise, small_or_shuffled
+from gaugeworks.llm.store import materialise, small_or_shuffled, unused
 
 
 @dataclass(frozen=True)
@@ -134,19 +134,21 @@ def candidates(docs: DataFrame, rules: list[Rule] = RULES, text: str = "text") -
 
 def find(docs: DataFrame, text: str = "text", rules: list[Rule] = RULES, into: str = "secrets") -> DataFrame:
     """``docs`` with ``into``: spans by start, then kind (an index into ``rules``)."""
+    digest, kinds = unused("digest", docs), unused("kinds", docs)
     found, full = candidates(docs, rules, text)
-    found = materialise(found, "candidates")
+    found = materialise(found, "candidates").withColumnsRenamed({"_digest": digest, "_kinds": kinds})
     t = F.coalesce(F.col(text).cast("string"), F.lit(""))
     columns = []
     for k, r in enumerate(rules):
         keep = (lambda m, g, s, f=r.keep: f(m, g)) if r.keep else None
         own = S.spans(t, r.pattern, k, keep, r.group)
-        columns.append(own if r.kind in full else F.when(F.array_contains("_kinds", r.kind), own).otherwise(S.no_spans()))
-    held = docs.withColumn("_digest", _digest(text)).join(small_or_shuffled(found, 96), "_digest", "left")
-    return held.withColumn(into, S.in_order(*columns)).drop("_digest", "_kinds")
+        columns.append(own if r.kind in full else F.when(F.array_contains(kinds, r.kind), own).otherwise(S.no_spans()))
+    held = docs.withColumn(digest, _digest(text)).join(small_or_shuffled(found, 96), digest, "left")
+    return held.withColumn(into, S.in_order(*columns)).drop(digest, kinds)
 
 
 def redact(docs: DataFrame, text: str = "text", rules: list[Rule] = RULES) -> DataFrame:
     """``docs`` with every secret in ``text`` replaced by its kind in brackets."""
-    found = find(docs, text, rules, "_secrets")
-    return found.withColumn(text, S.redact(F.col(text), F.col("_secrets"), [r.kind for r in rules])).drop("_secrets")
+    into = unused("secrets", docs)
+    found = find(docs, text, rules, into)
+    return found.withColumn(text, S.redact(F.col(text), F.col(into), [r.kind for r in rules])).drop(into)

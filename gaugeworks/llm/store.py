@@ -50,6 +50,15 @@ def small_or_shuffled(df: DataFrame, row_bytes: int, limit: int = BROADCAST_BYTE
     return F.broadcast(df) if df.count() * row_bytes <= limit else df
 
 
+def unused(name: str, *frames: DataFrame) -> str:
+    """A column name like ``name`` that none of ``frames`` has, in any case."""
+    taken = {c.lower() for f in frames for c in f.columns}
+    k = 0
+    while f"_{name}_{k}" in taken:
+        k += 1
+    return f"_{name}_{k}"
+
+
 def release() -> None:
     """Give memory back to the system at the end of a task: Python workers live on and serve later stages."""
     gc.collect()
