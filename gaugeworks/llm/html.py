@@ -1,13 +1,19 @@
 """Main-text extraction by scoring the element tree of a page.
 
 A tolerant parser builds the tree of block elements. Every paragraph gives points for its length
-and commas to its ancestors, fully to the nearest container and less above; a container's points
-are discounted by its share of link text, and the best one is kept with those siblings that score
-well or are plain paragraphs. Elements that hold no article text by their tag, role, class or id (menus, headers,
-footers, sidebars, notices, adverts, forms, scripts, comments) are left out before scoring.
+and commas to its ancestors, fully to the nearest container, less to the next ``LEVELS``; a container's points
+are discounted by its share of link text, and the best one (of equal ones the first) is kept with those
+siblings that score well or are plain paragraphs.
 
-A null or empty page, or one without text, gives the empty string. Whole pages are parsed in one
-pass (linear in their length); repeated pages give equal rows; extra columns are ignored.
+Elements that hold no article text are left out before scoring: by tag (menus, forms, scripts, ...), by role,
+or by a class or id of which a whole token says so ("sidebar", "cookie-notice"). A token that only
+contains such a word ("related-work") makes an element doubtful: it is left out if it consists of links
+for more than ``DOUBTFUL_LINKS`` of its characters, else it counts like any other.
+
+A null or empty page, or one without text outside of what is left out, gives the empty string. Whole
+pages are parsed in one pass; as in browsers, elements deeper than ``DEPTH`` levels are not nested further, so the
+work is linear in the length of a page. Repeated pages give equal rows; an empty table gives no rows; extra
+columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -21,7 +27,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 _TAG = re.compile(r"""<(?:(!--)|(/?)([a-zA-Z][^\s/><]*)((?:[^<>"']++|"[^"]*+"|'[^']*+')*+)>|(/?)([a-zA-Z][^\s/><]*)([^<>]*+)>|[!?][^>]*+>)""")
-_ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden|aria-hidden)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+)))?""", re.I)
+#: One attribute after another, so that quoted values are never searched for names.
+_ATTRIBUTE = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+)))?|["'=/]""")
 _NAME_PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|[0-9]+")
 
 RAW = {"script", "style", "textarea", "title", "xmp", "iframe", "noembed", "noframes"}
@@ -32,50 +39,68 @@ BLOCKS = CONTAINERS | LEAVES | DROPPED | {"header", "ul", "ol", "dl", "table", "
 VOID = {"br", "hr", "img", "input", "meta", "link", "base", "col", "embed", "source", "track", "wbr", "area", "param"}
 #: What an opening tag closes, and the tags the search for it does not leave.
 IMPLIED = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "body": ({"head"}, {"html"})}
-#: Parts of class names and ids, and roles, of elements that hold no article text.
+#: Words in class names and ids of elements that hold no article text.
 UNLIKELY = {
-    "ad", "ads", "adsense", "advert", "adverts", "advertisement", "advertising", "banner", "breadcrumb", "breadcrumbs", "comment", "comments",
-    "consent", "cookie", "cookies", "copyright", "disqus", "feedback", "footer", "gdpr", "login", "masthead", "menu", "modal", "nav", "navbar",
+    "ad", "ads", "adsense", "advert", "adverts", "advertisement", "advertising", "aside", "banner", "breadcrumb", "breadcrumbs", "comment", "comments",
+    "consent", "cookie", "cookies", "copyright", "disqus", "feedback", "footer", "gdpr", "header", "login", "masthead", "menu", "modal", "nav", "navbar",
     "navigation", "newsletter", "notice", "notification", "overlay", "pager", "pagination", "paywall", "popup", "promo", "promotion", "recommended",
     "related", "replies", "reply", "respond", "share", "sharing", "sidebar", "signup", "social", "sponsor", "sponsored", "subscribe",
     "subscription", "toolbar", "widget",
 }
+#: Words that beside one of those only tell its place or shape.
+NEUTRAL = {
+    "area", "bar", "block", "bottom", "box", "button", "buttons", "col", "column", "container", "form", "global", "group", "header", "inner", "item",
+    "items", "left", "link", "links", "list", "main", "outer", "page", "panel", "policy", "primary", "right", "row", "secondary", "section", "site", "slot",
+    "sticky", "text", "thread", "top", "unit", "user", "reader", "wrap", "wrapper", "zone",
+}
 ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "dialog", "alert", "alertdialog", "menu", "menubar", "toolbar", "form"}
 LIKELY = {"article", "body", "content", "entry", "main", "post", "story", "text"}
 TAG_POINTS = {"article": 25, "main": 15, "div": 5, "section": 5, "td": 3, "blockquote": 3}
 #: A sibling is kept from this share of the best score on, and at least this score.
 SIBLING_SHARE, SIBLING_LEAST, SIBLING_LINKS = 0.2, 10.0, 0.25
+#: Share of link text from which a doubtful element is left out; containers that a text gives points to; greatest depth.
+DOUBTFUL_LINKS, LEVELS, DEPTH = 0.25, 5, 512
 
 
 class _Node:
-    __slots__ = ("tag", "up", "kids", "out", "names", "points", "chars", "links")
+    __slots__ = ("tag", "up", "box", "depth", "kids", "out", "doubtful", "inside", "likely", "points", "chars", "links")
 
-    def __init__(self, tag: str, up: _Node | None, out: bool, names: frozenset[str]):
-        self.tag, self.up, self.out, self.names = tag, up, out, names
+    def __init__(self, tag: str, up: _Node | None, out: bool = False, doubtful: bool = False, likely: bool = False):
+        self.tag, self.up, self.out, self.doubtful, self.likely = tag, up, out, doubtful, likely
+        self.box = None if up is None else up if up.tag in CONTAINERS else up.box  # nearest container above
+        self.depth = 0 if up is None else up.depth + 1
+        self.inside = tag in ("article", "main") or up is not None and up.inside
         self.kids: list = []  # nodes and (text, linked characters)
         self.points = 0.0
         self.chars = self.links = 0
 
 
-def _names(attributes: str) -> tuple[set[str], bool]:
-    """Parts of class, id and role, and whether the element is hidden."""
-    found, hidden = set(), False
+def _judged(attributes: str) -> tuple[bool, bool, bool]:
+    """Whether an element's attributes rule it out, make it doubtful, or speak for it."""
+    out = doubtful = likely = False
     for m in _ATTRIBUTE.finditer(attributes):
-        value = m[2] or m[3] or m[4] or ""
-        key = m[1].lower()
+        key, value = (m[1] or "").lower(), m[2] or m[3] or m[4] or ""
         if key == "hidden":
-            hidden = True
+            out = True
         elif key == "aria-hidden":
-            hidden |= value == "true"
+            out |= value.lower() == "true"
         elif key == "role":
-            found |= {"role:" + value.lower()}
-        else:
-            found |= {p.lower() for p in _NAME_PART.findall(value)}
-    return found, hidden
+            out |= value.lower() in ROLES
+        elif key in ("class", "id"):
+            for token in value.split():
+                parts = {p.lower() for p in _NAME_PART.findall(token)}
+                words = {p for p in parts if not p.isdigit()}
+                if words & UNLIKELY:
+                    if words <= UNLIKELY | NEUTRAL:
+                        out = True
+                    else:
+                        doubtful = True
+                likely |= bool(words & LIKELY)
+    return out, doubtful, likely
 
 
-def _parse(page: str, by_name: bool) -> _Node:
-    root = node = _Node("html", None, False, frozenset())
+def _parse(page: str) -> _Node:
+    root = node = _Node("html", None)
     text: list[str] = []
     linked, in_link, at = 0, 0, 0
 
@@ -88,12 +113,6 @@ def _parse(page: str, by_name: bool) -> _Node:
             text.clear()
         linked = 0
 
-    def inside(tag: str) -> bool:
-        n = node
-        while n is not None and n.tag != tag:
-            n = n.up
-        return n is not None
-
     while True:
         m = _TAG.search(page, at)
         # a "<" that opens no tag stays in the text
@@ -146,44 +165,56 @@ def _parse(page: str, by_name: bool) -> _Node:
                 n = n.up
         if tag in VOID:
             continue
-        names, hidden = _names(attributes) if attributes else (set(), False)
-        out = node.out or tag in DROPPED or tag == "header" and not (inside("article") or inside("main"))
-        if not out and by_name and tag not in ("body", "article", "main"):
-            out = hidden or bool(names & UNLIKELY) or "header" in names and not inside("article") or any(n[:5] == "role:" and n[5:] in ROLES for n in names)
-        elif not out and by_name and tag == "article":
-            out = bool(names & {"comment", "comments", "reply"})
-        child = _Node(tag, node, out, frozenset(names))
+        named_out, doubtful, likely = _judged(attributes) if attributes else (False, False, False)
+        out = node.out or tag in DROPPED or tag == "header" and not node.inside
+        if tag not in ("html", "body", "main"):
+            out |= named_out and not (tag == "article" and likely)
+        if node.depth >= DEPTH:
+            node = node.up
+        child = _Node(tag, node, out, doubtful and not likely and tag != "body", likely)
         node.kids.append(child)
         node = child
     flush()
     return root
 
 
-def _score(node: _Node, best: list) -> None:
-    """Fills points, chars and links below ``node`` without recursion; ``best`` gets the candidates."""
-    order, stack = [], [node]
+def _score(root: _Node) -> list[tuple[float, _Node]]:
+    """Points, characters and links of every element, from the leaves up; (score, element) of the containers in page order."""
+    order, stack = [], [root]
     while stack:
         n = stack.pop()
         order.append(n)
         stack += [k for k in reversed(n.kids) if k.__class__ is _Node and not k.out]
+    for n in reversed(order):  # children before their parents
+        for k in n.kids:
+            if k.__class__ is tuple:
+                n.chars += len(k[0])
+                n.links += k[1]
+        if n.doubtful and n.links > DOUBTFUL_LINKS * n.chars:
+            n.out = True
+        elif n.up is not None:
+            n.up.chars += n.chars
+            n.up.links += n.links
     for n in order:
+        if n.up is not None and n.up.out:
+            n.out = True
+        if n.out:
+            continue
         for k in n.kids:
             if k.__class__ is tuple:
-                chars, links = len(k[0]), k[1]
-                points = (1 + k[0].count(",") + min(chars / 100, 3)) * (1 - links / chars)
-                up, share, level = n, 1.0, 0
-                while up is not None:
-                    up.chars += chars
-                    up.links += links
-                    if up.tag in CONTAINERS:
-                        up.points += points * share
-                        level += 1
-                        share = 0.5 if level == 1 else 1 / (3 * level)
-                    up = up.up
+                points = (1 + k[0].count(",") + min(len(k[0]) / 100, 3)) * (1 - k[1] / len(k[0]))
+                up = n if n.tag in CONTAINERS else n.box
+                for level in range(LEVELS):
+                    if up is None:
+                        break
+                    up.points += points * (1.0, 0.5)[level] if level < 2 else points / (3 * level)
+                    up = up.box
+    found = []
     for n in order:
-        if n.tag in CONTAINERS and n.chars and n.tag != "html":
-            bonus = TAG_POINTS.get(n.tag, 0) + 15 * bool(n.names & LIKELY)
-            best.append(((n.points + bonus) * (1 - n.links / n.chars), n))
+        if n.tag in CONTAINERS and n.chars and n.tag != "html" and not n.out:
+            bonus = TAG_POINTS.get(n.tag, 0) + 15 * n.likely
+            found.append(((n.points + bonus) * (1 - n.links / n.chars), n))
+    return found
 
 
 def _texts(node: _Node, into: list[str]) -> None:
@@ -200,29 +231,25 @@ def main_text(page: str | None) -> str:
     """The article text of ``page``: blocks in page order, joined by two line feeds."""
     if not page:
         return ""
-    for by_name in (True, False):
-        root = _parse(page, by_name)
-        found: list = []
-        _score(root, found)
-        blocks: list[str] = []
-        if found:
-            scores = {id(n): s for s, n in found}
-            top, best = max(found, key=lambda x: x[0])
-            whole = best.tag in ("article", "main", "body")
-            for k in best.up.kids if best.up is not None else [best]:
-                if k.__class__ is tuple:
-                    if not whole and k[1] <= SIBLING_LINKS * len(k[0]):
-                        blocks.append(k[0])
-                elif k is best or not k.out and (
-                    scores.get(id(k), 0) >= max(SIBLING_LEAST, SIBLING_SHARE * top)
-                    or not whole and k.tag in LEAVES and k.links <= SIBLING_LINKS * k.chars
-                ):
-                    _texts(k, blocks)
-        else:
-            _texts(root, blocks)
-        if blocks:
-            return "\n\n".join(blocks)
-    return ""
+    root = _parse(page)
+    found = _score(root)
+    blocks: list[str] = []
+    if not found:
+        _texts(root, blocks)
+        return "\n\n".join(blocks)
+    scores = {id(n): s for s, n in found}
+    top, best = max(found, key=lambda x: x[0])
+    whole = best.tag in ("article", "main", "body")
+    for k in best.up.kids if best.up is not None else [best]:
+        if k.__class__ is tuple:
+            if not whole and k[1] <= SIBLING_LINKS * len(k[0]):
+                blocks.append(k[0])
+        elif k is best or not k.out and (
+            scores.get(id(k), 0) >= max(SIBLING_LEAST, SIBLING_SHARE * top)
+            or not whole and k.tag in LEAVES and k.links <= SIBLING_LINKS * k.chars
+        ):
+            _texts(k, blocks)
+    return "\n\n".join(blocks)
 
 
 def extract(pages: DataFrame, id: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
