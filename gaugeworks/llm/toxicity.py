@@ -1,29 +1,33 @@
 """Toxicity by the nearest labelled examples under exact TF-IDF cosine.
 
-Features are lower-cased words and, as ``stem*``, their first four characters. From the labelled
-training texts the features whose occurrence depends on the label (chi-square of the 2x2 table of texts,
-and a ratio of the classes' frequencies) are kept; the inverse document frequencies of those are counted over all texts. Examples
-and queries are unit TF-IDF vectors over the kept features. The index holds, for every feature,
-its postings by example and the highest weight within each block of examples; a query adds the
-block maxima, visits blocks by descending bound, and stops when no bound can reach the k-th best
-similarity, so its neighbours are exact. Votes weighted by the cube of the similarity, with the base rate as
-``PRIOR`` pseudo-votes, give the score; the neighbours are the evidence.
+Features are the lower-cased words of a text and, as stems, their first four letters, hashed into 2**20 places,
+so a model has a bounded size whatever the vocabulary. Every word of the examples counts but stop words
+(in more than ``MOST_TEXTS`` of all texts and of both labels alike): its weight is (1 + ln tf) times its inverse document frequency over all
+texts times how far its presence depends on the label among the examples (between ``FLOOR`` and 1, by the
+chi-square and the ratio of the classes' frequencies). Without that last factor the nearest texts are those
+of one topic and language, toxic or not.
+
+The examples are unit vectors in an inverted index: for each feature its postings by block of examples, with the
+highest weight in each block. A query adds the block maxima, visits blocks by descending bound,
+and stops when no bound can reach the k-th best similarity, so its neighbours are exact. Votes weighted by
+the cube of the similarity, with the base rate as ``PRIOR`` pseudo-votes, give the score; all voting
+neighbours are the evidence.
 
 Equal example vectors are held once, with their votes, so copies cost nothing. The examples are
 the ``EXAMPLES`` labelled training rows that come first by a hash of their id (a documented bound
-on what is fitted); frequencies, scores and candidates cover all rows. Null and empty texts, and
-texts without a kept feature, get the base rate of training texts without kept features;
-repeated documents are scored alike; conflicting labels of one id count as toxic; empty tables
-give no rows; extra columns pass through :func:`reject`.
+on what is fitted); document frequencies and scores cover all rows. Null and empty texts, and
+texts that share no word with an example, get the base rate; texts are read whole; repeated documents are
+scored alike; equally near examples count in a fixed order; conflicting labels of one id count as toxic;
+a null id is never a training row, and counts as held out; empty tables give no rows; extra columns pass
+through, whatever their names.
 """
 
 from __future__ import annotations
 
 import math
 import re
-from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -31,121 +35,152 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Labelled training rows that are fitted, features kept, and neighbours that vote.
-EXAMPLES, FEATURES, NEIGHBOURS = 20_000, 2_048, 15
-#: Least chi-square, ratio of the classes' frequencies and number of training texts of a feature.
-CHI2, RATIO, LEAST_TEXTS = 30.0, 4.0, 8
-#: Pseudo-votes, examples in a block.
-PRIOR, BLOCK = 0.5, 64
-#: Power of the similarity in a vote; postings up to which a query adds them up without bounds; blocks visited at once.
-POWER, SHORT, VISITED = 3, 2_048, 16
-STEM = 4
-_WORD = re.compile(r"[^\W\d_]+")
-_ASCII_WORD = re.compile(r"[a-z]+")
-
-
-def features(text: str | None) -> dict[str, int]:
-    """Counts of words and stems."""
+from gaugeworks.llm.jaccard import word_hashes
+from gaugeworks.llm.store import release, unused
+
+#: Labelled training rows that are fitted, and neighbours that vote.
+EXAMPLES, NEIGHBOURS = 8_192, 15
+#: Bits of a feature's place; letters of a longer word that stand for its stem.
+BITS, STEM = 20, 4
+#: Least weight of a word that says nothing about the label; chi-square and ratio at which one says much.
+FLOOR, CHI2, RATIO = 0.01, 30.0, 4.0
+#: Share of all texts beyond which a word is a stop word, unless it depends on the label for more than ``TELLING``.
+MOST_TEXTS, TELLING = 0.05, 0.5
+#: Pseudo-votes; power of the similarity in a vote.
+PRIOR, POWER = 0.5, 3
+#: Examples in a block; postings up to which a query adds them up without bounds; blocks visited first.
+BLOCK, SHORT, VISITED = 64, 65_536, 16
+_OTHER = re.compile(r"[\W\d_]+")
+_LETTERS = bytes(b if chr(b).isalpha() and b < 0x80 else 0x20 for b in range(256)).decode("latin-1")
+
+
+def features(text: str | None) -> tuple[np.ndarray, np.ndarray]:
+    """The places of the distinct words and stems of ``text``, ascending, and how often each occurs."""
     if not text:
-        return {}
-    words = Counter((_ASCII_WORD if text.isascii() else _WORD).findall(text.lower()))
-    stems: dict[str, int] = {}
-    for w, n in words.items():
-        if len(w) > STEM:
-            w = w[:STEM] + "*"
-            stems[w] = stems.get(w, 0) + n
-    stems.update(words)
-    return stems
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    low = text.lower()
+    words = (low.translate(_LETTERS) if low.isascii() else _OTHER.sub(" ", low)).split()
+    (own,) = word_hashes(" ".join([*words, *(w[:STEM] + "*" for w in words if len(w) > STEM)]))
+    return np.unique((own >> np.uint64(64 - BITS)).astype(np.int64), return_counts=True)
+
+
+def _runs(first: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The numbers first[k], ..., first[k] + size[k] - 1 of all k in a row."""
+    ends = np.cumsum(size)
+    return np.arange(ends[-1] if len(ends) else 0) + np.repeat(first - (ends - size), size)
 
 
 @dataclass
 class Model:
-    """Examples over kept features. Postings: feature -> (examples, weights) and block maxima."""
+    """Weights by place, the base rate, and the examples by segment: the postings of one feature in one block."""
 
-    idf: dict[str, float]
+    weight: np.ndarray
     base: float
-    posting: dict[str, tuple[np.ndarray, np.ndarray]] = field(default_factory=dict)
-    block_max: dict[str, tuple[np.ndarray, np.ndarray]] = field(default_factory=dict)
-    votes: np.ndarray = field(default_factory=lambda: np.zeros((0, 2)))
-    evidence: list = field(default_factory=list)
     k: int = NEIGHBOURS
 
-    def vector(self, counts: dict[str, int]) -> dict[str, float]:
-        own = {f: (1 + math.log(counts[f])) * self.idf[f] for f in self.idf.keys() & counts.keys()}
-        norm = math.sqrt(sum(x * x for x in own.values()))
-        return {f: x / norm for f, x in own.items()} if norm else {}
+    def __post_init__(self):
+        self.add([])
+
+    def vector(self, counts: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        at, n = counts
+        w = (1 + np.log(n)) * self.weight[at]
+        kept = w > 0
+        at, w = at[kept], w[kept]
+        norm = math.sqrt(float(w @ w))
+        return at, w / norm if norm else w
 
-    def add(self, examples: list[tuple[int, int, dict[str, float]]]) -> Model:
+    def add(self, examples: list[tuple[int, int, tuple[np.ndarray, np.ndarray]]]) -> Model:
         """``examples``: id, label, vector. Equal vectors are merged; similar ones become neighbours in blocks."""
-        merged: dict[tuple, list] = {}
-        for i, y, v in sorted(examples, key=lambda e: e[0]):
-            slot = merged.setdefault(tuple(sorted((f, round(x, 12)) for f, x in v.items())), [v, [0, 0], i])
-            slot[1][y] += 1
-        order = sorted((k for k in merged if k), key=lambda k: [f for f, x in sorted(k, key=lambda p: (-p[1], p[0]))])
-        rows: dict[str, list] = {}
-        for n, key in enumerate(order):
-            for f, x in merged[key][0].items():
-                rows.setdefault(f, []).append((n, x))
-        for f, p in rows.items():
-            at, w = np.array([a for a, _ in p]), np.array([x for _, x in p])
-            self.posting[f] = (at, w)
-            blocks, first = np.unique(at // BLOCK, return_index=True)
-            self.block_max[f] = (blocks, np.maximum.reduceat(w, first))
-        self.votes = np.array([merged[k][1] for k in order], float).reshape(-1, 2)
-        self.evidence = [merged[k][2] for k in order]
+        merged: dict[bytes, list] = {}
+        for i, y, (at, w) in sorted(examples, key=lambda e: e[0]):
+            if len(at):
+                slot = merged.setdefault(at.tobytes() + np.round(w, 9).tobytes(), [at, w, [0, 0], i])
+                slot[2][y] += 1
+        rows = sorted(merged.values(), key=lambda r: [*r[0][np.lexsort((r[0], -r[1]))[:4]].tolist(), r[3]])
+        self.votes = np.array([r[2] for r in rows], float).reshape(-1, 2)
+        self.evidence = [r[3] for r in rows]
+        at = np.concatenate([np.zeros(0, np.int64), *(r[0] for r in rows)])
+        of = np.repeat(np.arange(len(rows)), [len(r[0]) for r in rows])
+        order = np.lexsort((of, at))
+        self.example = of[order].astype(np.int32)
+        self.value = np.concatenate([np.zeros(0), *(r[1] for r in rows)])[order]
+        key = at[order] << 32 | self.example // BLOCK
+        first = np.flatnonzero(np.diff(key, prepend=-1))
+        self.segment_first, self.segment_size = first, np.diff(first, append=len(key))
+        self.segment_block = (key[first] & 0xFFFFFFFF).astype(np.int32)
+        self.segment_max = np.maximum.reduceat(self.value, first) if len(first) else np.zeros(0)
+        self.places, start = np.unique(key[first] >> 32, return_index=True)
+        self.segments = np.append(start, len(first))  # of each place
         return self
 
-    def neighbours(self, query: dict[str, float]) -> list[tuple[int, float]]:
-        """The k nearest distinct examples with positive similarity, ties by position: exact."""
-        own = [(f, x) for f, x in query.items() if f in self.posting]
-        if not own:
-            return []
+    def neighbours(self, query: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        """The k nearest distinct examples with positive similarity and those similarities, ties by position: exact."""
+        at, x = query
+        where = np.searchsorted(self.places, at)
+        met = np.flatnonzero(self.places[np.minimum(where, len(self.places) - 1)] == at) if len(self.places) else where[:0]
+        first = self.segments[where[met]]
+        size = self.segments[where[met] + 1] - first
+        segment, x = _runs(first, size), np.repeat(x[met], size)
+        block = self.segment_block[segment]
         n = len(self.votes)
-        if sum(len(self.posting[f][0]) for f, _ in own) <= SHORT:  # nothing to skip
-            at = np.concatenate([self.posting[f][0] for f, _ in own])
-            met, place = np.unique(at, return_inverse=True)
-            scores = np.bincount(place, np.concatenate([x * self.posting[f][1] for f, x in own]))
-            top = np.lexsort((met, -scores))[: self.k]
-            return [(int(met[i]), float(scores[i])) for i in top]
-        bound = np.zeros(n // BLOCK + 1)
-        for f, x in own:
-            blocks, high = self.block_max[f]
-            bound[blocks] += x * high
-        met: list[tuple[float, int]] = []
-        least = 0.0
-        order = np.argsort(-bound, kind="stable")
-        for first in range(0, len(order), VISITED):
-            visit = order[first : first + VISITED]
-            if bound[visit[0]] <= 0 or len(met) >= self.k and bound[visit[0]] < least - 1e-12:
-                break
-            chosen = np.zeros(len(bound), bool)
-            chosen[visit] = True
-            scores = np.zeros(n)
-            for f, x in own:
-                at, w = self.posting[f]
-                inside = chosen[at // BLOCK]
-                scores[at[inside]] += x * w[inside]
-            found = np.flatnonzero(scores > 0)
+        if int(self.segment_size[segment].sum()) <= SHORT:  # nothing to skip
+            order, bound = None, None
+        else:
+            bound = np.bincount(block, x * self.segment_max[segment], n // BLOCK + 1)
+            order = np.argsort(-bound, kind="stable")
+        best, score = np.zeros(0, np.int64), np.zeros(0)
+        done, step = 0, VISITED
+        while True:
+            if order is None:
+                inside = slice(None)
+            else:
+                if done >= len(order) or bound[order[done]] <= 0 or len(best) >= self.k and bound[order[done]] < score[-1] - 1e-12:
+                    break
+                chosen = np.zeros(len(bound), bool)
+                chosen[order[done : done + step]] = True
+                inside = np.flatnonzero(chosen[block])
+                done, step = done + step, 2 * step
+            own = segment[inside]
+            size = self.segment_size[own]
+            posting = _runs(self.segment_first[own], size)
+            sums = np.bincount(self.example[posting], np.repeat(x[inside], size) * self.value[posting], n)
+            found = np.flatnonzero(sums > 0)
             if len(found) > 4 * self.k:  # ties with the k-th stay
-                found = found[scores[found] >= np.partition(scores[found], -self.k)[-self.k]]
-            met = sorted([*met, *zip((-scores[found]).tolist(), found.tolist(), strict=True)])[: self.k]
-            least = -met[-1][0] if met else 0.0
-        return [(i, -s) for s, i in met]
-
-    def score(self, counts: dict[str, int]) -> tuple[float, list[int]]:
-        """Calibrated score, and the ids of the nearest examples."""
-        met = self.neighbours(self.vector(counts))
-        if not met:
+                found = found[sums[found] >= np.partition(sums[found], -self.k)[-self.k]]
+            best, score = np.concatenate((best, found)), np.concatenate((score, sums[found]))
+            top = np.lexsort((best, -score))[: self.k]
+            best, score = best[top], score[top]
+            if order is None:
+                break
+        return best, score
+
+    def score(self, counts: tuple[np.ndarray, np.ndarray]) -> tuple[float, list[int]]:
+        """Calibrated score, and the ids of the voting examples, nearest first."""
+        met, near = self.neighbours(self.vector(counts))
+        if not len(met):
             return self.base, []
         # a merged example stands for its copies but with a damped say, so that one text's copies do not decide alone
-        weight = np.array([s**POWER * math.log2(1 + self.votes[i].sum()) for i, s in met])
-        share = np.array([self.votes[i, 1] / self.votes[i].sum() for i, _ in met])
-        return float((weight @ share + PRIOR * self.base) / (weight.sum() + PRIOR)), [self.evidence[i] for i, _ in met[:3]]
+        votes = self.votes[met]
+        copies = votes.sum(axis=1)
+        weight = near**POWER * np.log2(1 + copies)
+        value = float((weight @ (votes[:, 1] / copies) + PRIOR * self.base) / (weight.sum() + PRIOR))
+        return min(max(value, 0.0), 1.0), [self.evidence[i] for i in met.tolist()]
 
 
 def held_out(id: Column) -> Column:
     """Rows whose labels are never learnt from."""
-    return F.crc32(id.cast("string")) % 5 == 0
+    return F.coalesce(F.crc32(id.cast("string")) % 5 == 0, F.lit(True))
+
+
+def dependence(toxic: np.ndarray, clean: np.ndarray, n_toxic: float, n_clean: float) -> np.ndarray:
+    """From ``FLOOR`` to 1: how far a word's presence, in so many toxic and clean texts, depends on the label."""
+    a, b, c, d = toxic, clean, n_toxic - toxic, n_clean - clean
+    below = (a + b) * (c + d) * (a + c) * (b + d)
+    chi2 = (n_toxic + n_clean) * (a * d - b * c) ** 2 / np.where(below > 0, below, 1)
+    # smoothed by half a text: a word of long texts is in both classes and would only make neighbours of equals
+    ratio = np.abs(np.log((a + 0.5) / (n_toxic + 1) * ((n_clean + 1) / (b + 0.5))))
+    sure = np.where(below > 0, chi2**2 / (chi2**2 + CHI2**2), 0) * np.minimum(1, ratio / math.log(RATIO)) ** 2
+    return FLOOR + (1 - FLOOR) * sure
 
 
 def fit(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "text", label: str = "toxic", examples: int = EXAMPLES) -> Model:
@@ -154,54 +189,49 @@ def fit(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "tex
     # at most ``examples`` rows of two numbers
     taken = docs.select(F.col(id).alias("i"), F.col(text).cast("string").alias("t")).join(F.broadcast(chosen), "i")
 
-    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [(y, f) for t, y in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True) for f in [*features(t), ""]]
-            met = Counter(rows)
-            yield pa.RecordBatch.from_pydict({"f": [f for _, f in met], "y": [y for y, _ in met], "n": list(met.values())}, schema=pa.schema([("f", pa.string()), ("y", pa.int32()), ("n", pa.int64())]))
-
-    table = taken.mapInArrow(each, "f string, y int, n long").groupBy("f").agg(F.sum(F.when(F.col("y") == 1, F.col("n")).otherwise(0)).alias("a"), F.sum(F.when(F.col("y") == 1, 0).otherwise(F.col("n"))).alias("b"))
-    size = table.where("f = ''").first()
-    if size is None:
-        return Model({}, 0.0)
-    pos, neg = float(size.a), float(size.b)
-    a, b = F.col("a").cast("double"), F.col("b").cast("double")
-    c, d = F.lit(pos) - a, F.lit(neg) - b
-    chi2 = F.try_divide((pos + neg) * (a * d - b * c) * (a * d - b * c), (a + b) * (c + d) * (a + c) * (b + d))
-    # smoothed by half a text: a word of long texts is in both classes and would only make neighbours of equals
-    ratio = (a + 0.5) / (pos + 1) * ((neg + 1) / (b + 0.5))
-    best = table.where(F.col("f") != "").where((a + b >= LEAST_TEXTS) & ((ratio >= RATIO) | (ratio <= 1 / RATIO))).withColumn("x", chi2).where(F.col("x") >= CHI2).orderBy(F.desc("x"), "f").limit(FEATURES)
-    kept = {r.f for r in best.select("f").collect()}
-    held = docs.sparkSession.sparkContext.broadcast(kept)
+            own = [features(t) for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *(pa.array([f[k].astype(np.int32).tobytes() for f in own], pa.binary()) for k in (0, 1))], ["i", "y", "f", "n"])
+
+    kind = taken.schema["i"].dataType.simpleString()
+    rows = taken.mapInArrow(places, f"i {kind}, y int, f binary, n binary").collect()  # ``examples`` rows of 2**BITS places at most
+    model = Model(np.zeros(1 << BITS), 0.0)
+    if not rows:
+        return model
+    own = [(r.i, 1 if r.y == 1 else 0, (np.frombuffer(r.f, np.int32).astype(np.int64), np.frombuffer(r.n, np.int32).astype(np.int64))) for r in rows]
+    present = [sum((np.bincount(c[0], minlength=1 << BITS) for _, y, c in own if y == label), np.zeros(1 << BITS)) for label in (1, 0)]
+    n_toxic = float(sum(y for _, y, _ in own))
+    n_clean = len(own) - n_toxic
+    held = docs.sparkSession.sparkContext.broadcast(np.packbits(present[0] + present[1] > 0))
 
     def frequency(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, met, n = held.value, Counter(), 0
+        wanted, met, n = np.unpackbits(held.value).astype(bool), np.zeros(1 << BITS, np.int64), 0
         for batch in batches:
             for t in batch.column(0).to_pylist():
                 n += 1
-                met.update(own & features(t).keys())
-        met[""] = n
-        yield pa.RecordBatch.from_pydict({"f": list(met), "n": list(met.values())}, schema=pa.schema([("f", pa.string()), ("n", pa.int64())]))
-
-    counts = {r.f: r.n for r in docs.select(F.col(text).cast("string").alias("t")).mapInArrow(frequency, "f string, n long").groupBy("f").agg(F.sum("n").alias("n")).collect()}
-    total = counts.pop("", 0)
-    model = Model({f: math.log((1 + total) / (1 + counts.get(f, 0))) + 1 for f in kept}, 0.0)
-
-    def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = [{f: n for f, n in features(t).items() if f in held.value} for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array([list(r.items()) for r in rows], pa.map_(pa.string(), pa.int64()))], ["i", "y", "c"])
-
-    kind = taken.schema["i"].dataType.simpleString()
-    own = [(r.i, r.y, model.vector(dict(r.c))) for r in taken.mapInArrow(vectors, f"i {kind}, y int, c map<string,long>").collect()]  # bounded by ``examples``
-    bare = [y for _, y, v in own if not v]
-    model.base = (sum(bare) + pos / (pos + neg)) / (len(bare) + 1)
-    return model.add([(i, 1 if y == 1 else 0, v) for i, y, v in own])
+                met[features(t)[0]] += 1
+        at = np.flatnonzero(wanted & (met > 0))
+        yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1), pa.int64()), pa.array(np.append(met[at], n), pa.int64())], ["f", "n"])
+        release()
+
+    counted = docs.select(F.col(text).cast("string").alias("t")).mapInArrow(frequency, "f long, n long").groupBy("f").agg(F.sum("n").alias("n")).toArrow()  # 2**BITS rows at most
+    at, n = (counted.column(k).to_numpy() for k in ("f", "n"))
+    total = int(n[at < 0].sum())
+    idf = np.zeros(1 << BITS)
+    idf[at[at >= 0]] = np.log((1 + total) / (1 + n[at >= 0])) + 1
+    depends = dependence(present[0], present[1], n_toxic, n_clean)
+    often = np.zeros(1 << BITS, bool)
+    often[at[at >= 0]] = n[at >= 0] > max(1.0, MOST_TEXTS * total)
+    model.weight = np.where(often & (depends <= TELLING), 0.0, idf * depends)
+    bare = [y for _, y, c in own if not len(c[0])]
+    model.base = (sum(bare) + n_toxic / len(own)) / (len(bare) + 1)
+    return model.add([(i, y, model.vector(c)) for i, y, c in own])
 
 
 def score(docs: DataFrame, model: Model, text: str = "text", into: str = "_toxicity") -> DataFrame:
     """``docs`` with ``into``: struct<score double, evidence array<long>>; no shuffle."""
-    held = docs.sparkSession.sparkContext.broadcast(model)
+    held = docs.sparkSession.sparkContext.broadcast(model)  # bounded by its examples and 2**BITS places
     src = docs.drop(into)
     at = src.columns.index(text)
 
@@ -211,6 +241,7 @@ def score(docs: DataFrame, model: Model, text: str = "text", into: str = "_toxic
             rows = [m.score(features(t)) for t in batch.column(at).cast(pa.string()).to_pylist()]
             own = pa.StructArray.from_arrays([pa.array([s for s, _ in rows], pa.float64()), pa.array([e for _, e in rows], pa.list_(pa.int64()))], ["score", "evidence"])
             yield pa.RecordBatch.from_arrays([*batch.columns, own], names=[*batch.schema.names, into])
+        release()
 
     result = T.StructType([T.StructField("score", T.DoubleType()), T.StructField("evidence", T.ArrayType(T.LongType()))])
     return src.mapInArrow(run, T.StructType([*src.schema.fields, T.StructField(into, result)]))
@@ -218,4 +249,5 @@ def score(docs: DataFrame, model: Model, text: str = "text", into: str = "_toxic
 
 def reject(docs: DataFrame, model: Model, text: str = "text", least: float = 0.5) -> DataFrame:
     """The documents that score below ``least``, all columns kept."""
-    return score(docs, model, text).where(F.col("_toxicity.score") < least).drop("_toxicity")
+    into = unused("toxicity", docs)
+    return score(docs, model, text, into).where(F.col(f"{into}.score") < least).drop(into)

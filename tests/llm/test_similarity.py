@@ -1,6 +1,7 @@
 import collections
 import random
 import re
+import zlib
 
 import numpy as np
 import pytest
@@ -75,7 +76,7 @@ def test_jaccard_join(spark):
             w = hot + [rng.choice(voc) for _ in range(rng.choice([0, 5, 10, 14, 20]))]
         rows.append((i, " ".join(w)))
     rows += [(2000, None), (2001, ""), (2002, "  "), (2003, "A b"), (2004, "a  B"), (2005, "x " * 50), (2006, "a b"), (2006, "a b")]
-    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumnRenamed("h", "h")
+    docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 AS h", "2 AS g", "3 AS rep", "4 AS component_id", "5 AS n", "6 AS data")
     assert sorted(map(tuple, jaccard.near_duplicates(docs).collect())) == brute_jaccard(rows)
     assert jaccard.near_duplicates(docs.limit(0)).count() == 0
 
@@ -106,10 +107,42 @@ def test_sketches_bound_the_difference():
 
 def test_word_hashes_agree_across_pieces(monkeypatch):
     text = "Abc  def\tGHI\n" * 40 + "é" * 70 + " end"
-    whole = jaccard.word_hashes(text)
+    (whole,) = jaccard.word_hashes(text)
     monkeypatch.setattr(jaccard, "PIECE", 16)
-    assert (jaccard.word_hashes(text) == whole).all() and len(whole) == 122
-    assert (jaccard.word_hashes("ABC") == jaccard.word_hashes("abc")).all() and len(jaccard.word_hashes(" \x0b ")) == 0
+    assert (jaccard.word_hashes(text)[0] == whole).all() and len(whole) == 122
+    assert jaccard.word_hashes("ABC") == jaccard.word_hashes("abc") and len(jaccard.word_hashes(" \x0b ")[0]) == 0
+
+
+def test_long_words_of_two_letters_differ(spark):
+    """Thue-Morse words, which defeat any polynomial modulo 2**64."""
+    a = "".join("ab"[bin(i).count("1") & 1] for i in range(1024))
+    b = a.translate({97: "b", 98: "a"})
+    docs = spark.createDataFrame([(1, a), (2, b), (3, a.upper())], "doc_id long, text string")
+    assert sorted(map(tuple, jaccard.near_duplicates(docs).collect())) == [(1, 1, 1), (2, 1, 2), (3, 1, 1)]
+
+
+def test_jaccard_join_of_repeated_ids(spark):
+    texts = ["a b c d e f g h i j k l m", "n o p q r s t u v w x y z", "a b c d e f g h i j k l m n"]
+    rows = [(7, texts[0]), (7, texts[1]), (8, texts[2]), (9, texts[1]), (None, texts[0]), (None, None)]
+    got = sorted(map(tuple, jaccard.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()), key=repr)
+    assert got == sorted([(7, 9, 7), (7, 9, 7), (8, 10, 7), (9, 9, 7), (None, 9, None), (None, 0, None)], key=repr)
+
+
+@pytest.mark.parametrize("chunk", [2_048, 50])
+def test_large_family(spark, monkeypatch, chunk):
+    """Edits of one text, of which many are as far from it as the bound: their links go through each other."""
+    monkeypatch.setattr(jaccard, "CHUNK", chunk)
+    rng = random.Random(6)
+    voc = [f"w{i}" for i in range(400)]
+    base = [rng.choice(voc) for _ in range(120)]
+    rows = []
+    for i in range(500):
+        w = list(base)
+        for _ in range(rng.choice([0, 2, 4, 5, 6, 7, 8, 9, 12])):
+            w[rng.randrange(len(w))] = rng.choice(voc)
+        rows.append((i, " ".join(w)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(map(tuple, jaccard.near_duplicates(docs).collect())) == brute_jaccard(rows)
 
 
 def brute_vectors(rows, least=0.93):
@@ -167,8 +200,6 @@ def test_toxicity(spark, words):
         else:
             assert r._toxicity.score == model.base and r._toxicity.evidence == []
     assert len(got) == 400 and any(r.held for r in got)
-    import zlib
-
     assert all(r.held == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0) for r in got)
     assert not any(e is None or zlib.crc32(str(e).encode()) % 5 == 0 for r in got for e in r._toxicity.evidence)
     kept = toxicity.reject(docs, model)
@@ -177,22 +208,86 @@ def test_toxicity(spark, words):
     assert toxicity.fit(docs.limit(0), labels).base == 0.0
 
 
-def test_neighbours_are_exact(monkeypatch):
+def cosines(model, examples, query):
+    """Similarity of ``query`` with every example, by plain dictionaries."""
+    q = dict(zip(*(x.tolist() for x in query), strict=True))
+    return {i: sum(x * q.get(f, 0.0) for f, x in zip(at.tolist(), w.tolist(), strict=True)) for i, _, (at, w) in examples}
+
+
+@pytest.mark.parametrize("short", [0, 1 << 30])
+def test_neighbours_are_exact(monkeypatch, short):
     rng = random.Random(4)
-    names = [f"f{k}" for k in range(30)]
-    model = toxicity.Model({f: 1 + rng.random() for f in names}, 0.1, k=7)
-    examples = [(i, i % 2, model.vector({f: rng.randrange(1, 4) for f in rng.sample(names, rng.randrange(1, 6))})) for i in range(500)]
+    model = toxicity.Model(np.array([1 + rng.random() for _ in range(30)]), 0.1, k=7)
+    counts = lambda m: tuple(np.array(x) for x in zip(*sorted((f, rng.randrange(1, 4)) for f in rng.sample(range(30), m)), strict=True))
+    examples = [(i, i % 2, model.vector(counts(rng.randrange(1, 6)))) for i in range(500)]
     model.add(examples)
-    held = {}
-    for f, (at, w) in model.posting.items():
-        for a, x in zip(at, w, strict=True):
-            held.setdefault(int(a), {})[f] = x
-    monkeypatch.setattr(toxicity, "SHORT", 0)
+    assert model.votes.sum() == 500 and len(model.votes) < 500
+    monkeypatch.setattr(toxicity, "SHORT", short)
+    monkeypatch.setattr(toxicity, "VISITED", 1)
     for _ in range(50):
-        q = model.vector({f: 1 for f in rng.sample(names, 4)})
-        want = sorted(((-sum(q[f] * v.get(f, 0) for f in q), i) for i, v in held.items()))[:7]
-        got = model.neighbours(q)
-        assert np.allclose([s for _, s in got], [-s for s, _ in want if s < 0][: len(got)]) and len(got) == sum(s < 0 for s, _ in want)
+        q = model.vector(counts(4))
+        by_id = cosines(model, examples, q)
+        want = sorted((by_id[i] for i in model.evidence), reverse=True)[:7]
+        met, near = model.neighbours(q)
+        assert np.allclose(near, [w for w in want if w > 0]) and np.allclose(near, [by_id[model.evidence[i]] for i in met])
+
+
+def test_toxicity_end_to_end(spark, words):
+    """Scores against neighbours, votes and weights recounted by dictionaries; texts without a telling word have neighbours too."""
+    docs, labels = labelled(spark, words)
+    rows = {r.doc_id: r.text for r in docs.collect()}
+    known = {r.doc_id: r.toxic for r in labels.collect() if zlib.crc32(str(r.doc_id).encode()) % 5}
+    grams = {i: collections.Counter(f for w in re.findall(r"[a-z]+", (t or "").lower()) for f in ([w, w[:4] + "*"] if len(w) > 4 else [w])) for i, t in rows.items()}
+    toxic, clean = (collections.Counter(f for i, y in known.items() if y == v for f in grams[i]) for v in (1, 0))
+    df = collections.Counter(f for g in grams.values() for f in g)
+    n1 = sum(known.values())
+    depends = {f: float(toxicity.dependence(np.float64(toxic[f]), np.float64(clean[f]), n1, len(known) - n1)) for f in {*toxic, *clean}}
+    weight = {f: (np.log((1 + len(rows)) / (1 + df[f])) + 1) * d for f, d in depends.items() if d > toxicity.TELLING or df[f] <= toxicity.MOST_TEXTS * len(rows)}
+
+    def vector(g):
+        own = {f: (1 + np.log(n)) * weight[f] for f, n in g.items() if f in weight}
+        norm = np.sqrt(sum(x * x for x in own.values()))
+        return {f: x / norm for f, x in own.items()}
+
+    merged = {}
+    for i, y in sorted(known.items()):
+        if v := vector(grams[i]):
+            merged.setdefault(tuple(sorted((f, round(x, 9)) for f, x in v.items())), [v, [0, 0]])[1][y] += 1
+    model = toxicity.fit(docs, labels)
+    for r in toxicity.score(docs, model).collect():
+        q = vector(grams[r.doc_id])
+        near = sorted(((sum(x * q.get(f, 0) for f, x in v.items()), votes) for v, votes in merged.values()), key=lambda p: -p[0])
+        near = [p for p in near if p[0] > 1e-12]
+        if len(near) > 15 and near[15][0] > near[14][0] - 1e-9:
+            continue  # a tie at the end
+        w = [s**3 * np.log2(1 + sum(v)) for s, v in near[:15]]
+        want = (sum(x * v[1] / sum(v) for x, (_, v) in zip(w, near[:15], strict=True)) + 0.5 * model.base) / (sum(w) + 0.5) if near else model.base
+        assert abs(r._toxicity.score - want) < 1e-9 and len(r._toxicity.evidence) == len(near[:15])
+
+
+def test_toxicity_of_clean_words_and_clashes(spark):
+    rng = random.Random(8)
+    voc = [f"{a}{b}{c}{d}" for a in "bdfgk" for b in "aeiou" for c in ("lm", "rn", "st", "xx") for d in "aeiou"]  # each in few texts
+    rows = [(i, " ".join(rng.choice(voc[:250] if i % 2 else voc[250:]) for _ in range(12)) + " ba" * 3, float(i)) for i in range(300)]
+    docs = spark.createDataFrame([*rows, (900, "ba " * 200_000, 0.0), (901, " ".join(voc[:3]), 0.0), (None, "zzz", 0.0)], "doc_id long, text string, _toxicity double")
+    labels = spark.createDataFrame([(i, 0) for i in range(300)] + [(1, 1), (1, None)], "doc_id long, toxic int")
+    model = toxicity.fit(docs, labels)
+    kept = toxicity.reject(docs, model)
+    assert kept.columns == docs.columns and kept.count() == 303
+    got = {r.doc_id: r.t for r in toxicity.score(docs, model, into="t").collect()}
+    assert len(got[901].evidence) == 15 and got[901].score < 0.5  # no telling word, yet neighbours
+    assert got[None].score == model.base and got[None].evidence == []
+    assert docs.select(toxicity.held_out(F.col("doc_id")).alias("h")).where("h IS NULL").count() == 0
+
+
+def test_toxicity_is_calibrated(spark):
+    """On held-out rows the Brier score beats the base rate's by far, and groups of scores keep what they say."""
+    data = DATA.replace("0.001", "0.01")
+    docs, labels = spark.read.parquet(f"{data}/documents.parquet"), spark.read.parquet(f"{data}/labels.parquet")
+    got = toxicity.score(docs, toxicity.fit(docs, labels)).join(labels, "doc_id").where(toxicity.held_out(F.col("doc_id"))).select("_toxicity.score", "toxic").collect()
+    s, y = (np.array([float(r[k]) for r in got]) for k in (0, 1))
+    assert ((s - y) ** 2).mean() < 0.5 * y.mean() * (1 - y.mean())
+    assert abs(s[s < 0.3].mean() - y[s < 0.3].mean()) < 0.12
 
 
 def test_pipeline(spark):
