@@ -36,7 +36,7 @@ from gaugeworks.llm.store import materialise, release
 LEXICON_WORDS = 32_768
 #: Bytes of a worker's memo of chunks before it is emptied, what an entry costs besides its characters and
 #: ids, and the longest chunk held.
-MEMO_BYTES, ENTRY_BYTES, MEMO_CHUNK = 24 << 20, 220, 128
+MEMO_BYTES, ENTRY_BYTES, MEMO_CHUNK = 48 << 20, 220, 128
 #: While words are counted: characters of text and distinct chunks after which the counts are handed on.
 COUNTED_CHARS, COUNTED_CHUNKS = 16 << 20, 150_000
 #: Characters of a text that are split at once.

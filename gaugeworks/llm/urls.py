@@ -3,14 +3,18 @@
 A written rule names a host (its subdomains included) and the start of a path; the longest that
 fits decides. Other URLs are judged by rules that Spark's FP-growth mines from the labelled
 pages: every URL becomes a transaction of tokens (host labels and suffixes, path parts, query keys, scheme,
-file extension), a labelled page adds its label, and the rules "tokens -> block" that keep
-minimum support and confidence, and improve on every shorter rule they contain, are matched
-through an inverted index from token to rules. Without a rule that fits, the URL is allowed.
+file extension), a labelled page adds its label, and of the rules "tokens -> block" those stay that hold
+on ``LEAST_PAGES`` labelled pages and the share ``MIN_SUPPORT``, whose confidence keeps a lower bound (Wilson, 95 %) of
+``MIN_CONFIDENCE`` and a lift of ``MIN_LIFT`` over the share of bad pages, and that improve on every rule with fewer
+of the same tokens. They are matched through an inverted index from token to rules. Without a rule that
+fits, the URL is allowed. :func:`held_out_quality` tells what the mined rules are worth on pages they never saw.
 
 The rules are bounded by the minimum support: at most (tokens of a URL / support) tokens can be
-frequent at all, whatever the number of pages. Null URLs and URLs without "://" have an empty
-host and path and fit no written rule; repeated rows are judged alike; pages without label, or
-with a null one, teach nothing; empty tables give no rules or no rows; extra columns are ignored.
+frequent at all, whatever the number of pages, and the tests above are made before rules leave the executors.
+Null URLs and URLs without "://" have an empty host and path and fit no written rule; very long URLs are
+read whole; repeated rows are judged alike, and count as often as they are labelled; pages without label, or
+with a null one, teach nothing; a page labelled both ways is bad; rules of equal confidence give one verdict;
+empty tables give no rules or no rows; extra columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -24,7 +28,7 @@ from pyspark.sql import functions as F
 
 #: verdict by host and path, longest first by :func:`written`.
 RULES = {"net/": "block", "example.net/en/": "allow", "example.com/de/": "block", "org/fr/": "allow"}
-MIN_SUPPORT, MIN_CONFIDENCE, LONGEST = 0.002, 0.6, 4
+MIN_SUPPORT, LEAST_PAGES, MIN_CONFIDENCE, MIN_LIFT = 0.002, 8, 0.5, 1.5
 BLOCK, ALLOW = "label=block", "label=allow"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -60,7 +64,7 @@ class Mined:
     support: float
 
 
-def mine(pages: DataFrame, labels: DataFrame, url: str = "url", id: str = "page_id", label_id: str = "doc_id", bad: Column | None = None, min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE) -> list[Mined]:
+def mine(pages: DataFrame, labels: DataFrame, url: str = "url", id: str = "page_id", label_id: str = "doc_id", bad: Column | None = None, min_support: float = MIN_SUPPORT, least_pages: int = LEAST_PAGES, min_confidence: float = MIN_CONFIDENCE, min_lift: float = MIN_LIFT) -> list[Mined]:
     """Pruned rules from token sets to ``block``, from every labelled page."""
     from pyspark.ml.fpm import FPGrowth
 
@@ -68,14 +72,34 @@ def mine(pages: DataFrame, labels: DataFrame, url: str = "url", id: str = "page_
     known = labels.select(F.col(label_id).alias("_id"), bad.alias("_bad")).where("_bad IS NOT NULL").groupBy("_id").agg(F.max("_bad").alias("_bad"))
     own = pages.select(F.col(id).alias("_id"), F.col(url).cast("string").alias("_url")).where("_url IS NOT NULL").join(known, "_id")
     rows = own.select(F.concat(tokens(F.col("_url")), F.array(F.when(F.col("_bad"), BLOCK).otherwise(ALLOW))).alias("items"))
-    if rows.isEmpty():
+    size = rows.agg(F.count("*").alias("n"), F.sum(F.array_contains("items", BLOCK).cast("int")).alias("bad")).first()
+    if not size.n or not size.bad:
         return []
-    model = FPGrowth(itemsCol="items", minSupport=min_support, minConfidence=min_confidence).fit(rows)
-    sets = model.associationRules.where(F.array_contains("consequent", BLOCK) & (F.size("antecedent") <= LONGEST))
+    model = FPGrowth(itemsCol="items", minSupport=max(min_support, least_pages / size.n), minConfidence=min_confidence).fit(rows)
+    sets = model.associationRules.where(F.array_contains("consequent", BLOCK))
+    pages_met = F.col("support") * size.n / F.col("confidence")
+    sets = sets.where((wilson(F.col("confidence"), pages_met) >= min_confidence) & (F.col("confidence") >= min_lift * size.bad / size.n))
     found = [Mined(frozenset(r.antecedent), r.confidence, r.support) for r in sets.select("antecedent", "confidence", "support").collect()]
     return prune(found)
 
 
+def wilson(share: Column, n: Column) -> Column:
+    """Lower end of the 95 % score interval of a share among ``n``."""
+    z = 1.96
+    return (share + z * z / (2 * n) - z * F.sqrt(share * (1 - share) / n + z * z / (4 * n * n))) / (1 + z * z / n)
+
+
+def held_out_quality(pages: DataFrame, labels: DataFrame, id: str = "page_id", label_id: str = "doc_id", fold: int = 0, folds: int = 5, **options) -> DataFrame:
+    """One row (n, n_bad, n_blocked, n_right) over the labelled pages of one fold by hash, under rules mined from the others."""
+    inside = lambda c: F.pmod(F.xxhash64(c), F.lit(folds)) == fold
+    bad = options.get("bad", (F.col("quality") == 0) | (F.col("toxic") == 1))
+    mined = mine(pages, labels.where(~inside(label_id)), id=id, label_id=label_id, **options)
+    truth = labels.where(inside(label_id)).select(F.col(label_id).alias("_id"), bad.alias("_bad")).where("_bad IS NOT NULL").groupBy("_id").agg(F.max("_bad").alias("_bad"))
+    judged = judge(pages, mined, rules={}, id=id).select(F.col(id).alias("_id"), (F.col("verdict") == "block").alias("_blocked")).join(truth, "_id")
+    count = lambda c, name: F.coalesce(F.sum(c.cast("long")), F.lit(0)).alias(name)
+    return judged.agg(F.count("*").alias("n"), count(F.col("_bad"), "n_bad"), count(F.col("_blocked"), "n_blocked"), count(F.col("_bad") & F.col("_blocked"), "n_right"))
+
+
 def prune(rules: list[Mined]) -> list[Mined]:
     """Without those that a rule with fewer of the same tokens matches in confidence."""
     kept: dict[frozenset[str], Mined] = {}

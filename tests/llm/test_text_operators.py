@@ -64,6 +64,20 @@ def test_pii_zero_parts(spark):
         assert hashlib.sha256(s.encode()).hexdigest() == found(texts[i], [PII[0], ("ip", PII[1][1], lambda m: all(int(p[-4300:]) <= 255 for p in m[0].split("."))), *PII[2:]])
 
 
+def test_spans_are_linear(spark):
+    """Tens of thousands of matches, over many inner arrays."""
+    df = spark.createDataFrame([("1.2.3.4 " * 30_000,), ("a@b.c " * 3_000 + "123-45-6789 " * 600,)], "text string")
+    one, two = (r.s for r in pii.find(df).orderBy(F.length("text").desc()).select(F.col("pii").alias("s")).collect())
+    assert [(x.start, x.end) for x in one] == [(8 * k, 8 * k + 7) for k in range(30_000)]
+    assert [(x.start, x.end) for x in two] == [(6 * k, 6 * k + 5) for k in range(3_000)]
+
+
+def test_clashing_columns(spark):
+    docs = spark.createDataFrame([(1, "token=abcdefgh", 5, 6)], "doc_id long, text string, _kinds_0 int, _digest int").selectExpr("*", "7 AS _digest_0", "8 AS _secrets_0")
+    got = secrets.redact(docs)
+    assert got.columns == docs.columns and tuple(got.first()) == (1, "[assign]", 5, 6, 7, 8)
+
+
 def test_pii_context_and_checksums(spark):
     texts = ["ssn 123-45-6789", "part 123-45-6789", "iban DE89 3704 0044 0532 0130 00", "iban DE88 3704 0044 0532 0130 00"]
     got = [r.s for r in pii.find(docs_of(spark, texts).where("doc_id IS NOT NULL")).orderBy("doc_id").select(S.described(F.col("pii"), pii.KINDS).alias("s")).collect()]
@@ -108,6 +122,54 @@ def test_extraction_query(spark):
     assert sorted(map(tuple, html.extract(pages).collect()), key=str) == sorted([(1, "u", "a b", 3)] * 2 + [(None, None, "", 0)], key=str)
 
 
+def test_extraction_keeps_article_elements():
+    long = "Second half, which is long, and has commas, and more words, so it counts."
+    for part in ("<div style='overflow:hidden'><p>{}</div>", '<div data-class="ad"><p>{}</div>', '<div data-id="share"><p>{}</div>', '<ul class="related-work"><li>{}</ul>', '<div title="a class=ad"><p>{}</div>'):
+        assert html.main_text("<article><p>One, two, three, four, five, six.</p>" + part.format(long) + "</article>").endswith(long)
+    assert html.main_text('<div class="content-social-science"><p>' + long * 3 + "</div><div><p>a b c d</div>").startswith("Second half")
+    assert html.main_text('<div class="cookie notice">We use cookies, please accept.</div>') == ""
+    assert "Other" not in html.main_text('<article><p>' + long + '<div class="related-stories"><a href=x>Other story</a></div></article>')
+    assert html.main_text("<div><p>a, b, c</div><div><p>d, e, f</div>") == html.main_text("<div><p>a, b, c</div>\n<div><p>d, e, f</div>")  # a tie
+
+
+def test_extraction_scores_by_brute_force():
+    """Points by walking every text's ancestors, on random trees."""
+    import random
+
+    rng = random.Random(3)
+
+    def tree(depth):
+        return "".join(f"<{t}>{'x, ' * rng.randrange(1, 9)}{tree(depth - 1) if depth else ''}</{t}>" for t in rng.choices(["div", "section", "p" if not depth else "td", "blockquote"], k=rng.randrange(1, 4)))
+
+    for _ in range(30):
+        root = html._parse(tree(4))
+        found = html._score(root)
+        want, stack = {}, [root]
+        while stack:
+            n = stack.pop()
+            for k in n.kids:
+                if k.__class__ is tuple:
+                    box, level = n, 0
+                    while box is not None:
+                        if box.tag in html.CONTAINERS:
+                            if level < html.LEVELS:
+                                want[id(box)] = want.get(id(box), 0) + (1 + k[0].count(",") + min(len(k[0]) / 100, 3)) * (1, 0.5, 1 / 6, 1 / 9, 1 / 12)[level]
+                            level += 1
+                        box = box.up
+                else:
+                    stack.append(k)
+        assert found and all(abs(s - want[id(n)] - html.TAG_POINTS.get(n.tag, 0)) < 1e-9 for s, n in found)
+
+
+@pytest.mark.parametrize("part", ["<div>x", "<li>", "<div><li>", "<div></section>", "<table><tr><td>"])
+def test_extraction_is_linear(part):
+    import time
+
+    start = time.perf_counter()
+    html.main_text(part * 8_000)
+    assert time.perf_counter() - start < 4  # a quadratic walk takes far longer
+
+
 def test_token_counts(spark):
     scores = tokencount.zipf(["▁", "a", "b", "ab", "▁a", "▁ab", "bb", "▁abb"])
 
@@ -181,8 +243,29 @@ def test_decontamination(spark, words):
     assert decontam.contamination(docs, bench.limit(0)).where("_n_hit > 0").count() == 0
     kept = decontam.remove_contaminated(docs, bench)
     assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == {None, *range(7), 8, 9}
-    grams = decontam.NGrams(items)
-    assert decontam.remove_spans("Keep " + long + ", this", grams).split() == ["Keep", ",", "this"] or "Keep" in decontam.remove_spans("Keep " + long + ", this", grams)
+    assert decontam.contamination(docs.limit(0), bench).count() == 0
+
+
+def test_span_removal(spark, words):
+    item, short = "b1 " + words(18) + " b2", "s1 s2 s3"
+    texts = ["Keep " + item.upper() + ", this", f"a, {short}! {item} b", "none  here", "", None, item]
+    docs = spark.createDataFrame([(i, t, 1, 2) for i, t in enumerate(texts)], "doc_id long, text string, _words_0 int, _n_hit int")
+    bench = spark.createDataFrame([(1, item), (2, short), (2, short)], "item_id long, text string")
+    for block in (decontam.ITEM_BYTES, 60):
+        got = decontam.remove_spans(docs, bench, block_bytes=block)
+        assert got.columns == docs.columns
+        assert {r.doc_id: r.text for r in got.collect()} == {0: "Keep , this", 1: "a,  b", 2: "none  here", 3: "", 4: None, 5: ""}
+        kept = decontam.remove_contaminated(docs, bench, block_bytes=block)
+        assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == {2, 3, 4}
+
+
+def test_item_blocks_are_bounded(spark, words):
+    """A text that many ids share is held once in a block, and its ids are split over blocks."""
+    item = words(40)
+    bench = spark.createDataFrame([(i, item) for i in range(200)], "item_id long, text string")
+    blocks = list(decontam._blocks(bench, "item_id", "text", 4_000))
+    assert len(blocks) > 5 and sum(map(len, blocks)) == 200
+    assert all(len(decontam.NGrams(b).flat) in (0, 40) for b in blocks)
 
 
 def test_decontamination_with_repeated_items(spark, words):
@@ -205,13 +288,24 @@ def test_url_parts_and_rules(spark):
 
 
 def test_url_mining(spark):
-    pages = spark.createDataFrame([(i, f"http://{'bad' if i % 3 == 0 else 'good'}.com/{'shop' if i % 2 else 'news'}/{i}") for i in range(120)], "page_id long, url string")
-    labels = spark.createDataFrame([(i, int(not (i % 3 == 0 and i % 2)), 0) for i in range(100)], "doc_id long, quality int, toxic int")
+    rows = [(i, f"http://{'bad' if i % 3 == 0 else 'good'}.com/{'shop' if i % 2 else 'news'}/{i}") for i in range(120)]
+    pages = spark.createDataFrame([*rows, (5, rows[5][1]), (500, None), (501, "http://x.com/" + "a/" * 5_000)], "page_id long, url string").selectExpr("*", "1 AS host", "2 AS items")
+    labels = spark.createDataFrame([(i, int(not (i % 3 == 0 and i % 2)), 0) for i in range(100)] + [(7, None, None)], "doc_id long, quality int, toxic int")
     mined = urls.mine(pages, labels)
-    assert any(r.tokens <= {"host=bad", "site=bad.com", "path=shop", "host=com", "path=0", "scheme=http"} for r in mined)
-    for r in urls.judge(pages, mined).collect():
+    # supports and confidences recounted on every labelled page
+    held = pages.join(labels, pages.page_id == labels.doc_id).where("quality IS NOT NULL AND url IS NOT NULL").select(urls.tokens(F.col("url")).alias("t"), "quality").collect()
+    for r in mined:
+        met = [x.quality for x in held if r.tokens <= set(x.t)]
+        assert len(met) >= urls.LEAST_PAGES and abs(r.confidence - met.count(0) / len(met)) < 1e-9 and abs(r.support - met.count(0) / len(held)) < 1e-9
+    assert mined and {"host=bad", "path=shop"} in [set(r.tokens) for r in mined] or any({"path=shop"} <= r.tokens for r in mined)
+    for r in urls.judge(pages, mined).where("page_id < 500").collect():
         assert (r.verdict == "block") == (r.page_id % 3 == 0 and r.page_id % 2 == 1)
-    assert urls.mine(pages, labels.limit(0)) == []
+    q = urls.held_out_quality(pages, labels).first()
+    assert q.n > 5 and q.n_blocked == q.n_right == q.n_bad
+    assert urls.mine(pages, labels.limit(0)) == [] and urls.mine(pages.limit(0), labels) == [] and urls.judge(pages.limit(0), mined).count() == 0
+    # labels that have nothing to do with the URLs teach nothing
+    noise = spark.createDataFrame([(i, int(i * 7919 % 13 > 3), 0) for i in range(100)], "doc_id long, quality int, toxic int")
+    assert urls.mine(spark.createDataFrame([(i, f"http://h{i}.com/p{i % 50}/") for i in range(100)], "page_id long, url string"), noise) == []
     # postings against plain subset tests
     index, sets = urls.Index({}, mined), [["host=bad", "path=shop"], ["host=good"], []]
     for tokens in sets:
