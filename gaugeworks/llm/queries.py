@@ -73,6 +73,22 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), value.alias("score"), (value >= 0.5).cast("int").alias("predicted"), F.col("_toxicity.evidence").alias("evidence"))
 
 
+def pii_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The columns of op3_pii that a SQL twin can express."""
+    return op3_pii(spark, sf_dir).drop("spans")
+
+
+def secrets_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The columns of op8_secrets that a SQL twin can express."""
+    return op8_secrets(spark, sf_dir).drop("spans")
+
+
+def url_written_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Host, path, rule and the rule's verdict of every page."""
+    judged = urls.judge(spark.read.parquet(f"{sf_dir}/pages.parquet"), [])
+    return judged.select("page_id", "host", "path", "rule", F.when(F.col("rule").isNotNull(), F.col("verdict")).alias("verdict"))
+
+
 def op6_embedding_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.near_duplicates(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
 
@@ -81,9 +97,47 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
-QUERIES = {"op6_embedding_join": op6_embedding_join, "op10_jaccard_join": op10_jaccard_join, "op1_html": op1_html, "op2_token_counts": op2_token_counts, "op3_pii": op3_pii, "op4_url_filter": op4_url_filter, "op5_toxicity": op5_toxicity, "op8_secrets": op8_secrets, "op7_decontamination": op7_decontamination, "op9_bpe": op9_bpe}
+QUERIES = {"op6_embedding_join": op6_embedding_join, "op10_jaccard_join": op10_jaccard_join, "op1_html": op1_html, "op2_token_counts": op2_token_counts, "op3_pii": op3_pii, "op4_url_filter": op4_url_filter, "op5_toxicity": op5_toxicity, "op8_secrets": op8_secrets, "op7_decontamination": op7_decontamination, "op9_bpe": op9_bpe, "pii_base": pii_base, "secrets_base": secrets_base, "url_written_rules": url_written_rules}
+
+
+def _spans_sql(kinds: dict[str, tuple[str, str]]) -> str:
+    """Counts and digest of the matches of each kind's pattern for which its condition on ``s`` holds."""
+    rows = ", ".join(f"('{kind}', {no}, '{pattern}')" for no, (kind, (pattern, _)) in enumerate((k, (p.replace("'", "''"), c)) for k, (p, c) in kinds.items()))
+    tests = " ".join(f"WHEN '{kind}' THEN {test}" for kind, (_, test) in kinds.items())
+    counts = ", ".join(f"CAST(count(*) FILTER (kind = '{kind}') AS BIGINT) AS n_{kind}" for kind in kinds)
+    return rf"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
+k(kind, no, pattern) AS (VALUES {rows}),
+x AS (SELECT r, kind, no, regexp_extract_all(t, pattern) AS m, string_split_regex(t, pattern) AS g FROM d, k),
+y AS (SELECT r, kind, no, m, g, unnest(range(1, len(m) + 1)) AS i FROM x WHERE len(m) > 0),
+z AS (SELECT r, kind, no, m[i] AS s, list_sum(list_transform(g[1:i], lambda v: length(v))) + coalesce(list_sum(list_transform(m[1:i - 1], lambda v: length(v))), 0) AS a FROM y),
+q AS (SELECT *, regexp_replace(s, '[^0-9]', '', 'g') AS digits FROM z),
+f AS (SELECT r, kind, no, CAST(a AS BIGINT) AS a, CAST(a + length(s) AS BIGINT) AS b FROM q WHERE CASE kind {tests} END),
+c AS (SELECT r, {counts}, string_agg(kind || ':' || a || ':' || b, ',' ORDER BY a, no) AS named FROM f GROUP BY r)
+SELECT doc_id, {", ".join(f"coalesce(n_{kind}, 0) AS n_{kind}" for kind in kinds)}, sha256(coalesce(named, '')) AS base_sha256 FROM d LEFT JOIN c USING (r)"""
+
+
+_LUHN = "list_sum(list_transform(range(1, length(digits) + 1), lambda p: CASE WHEN p % 2 = 1 THEN CAST(digits[-p] AS INT) WHEN CAST(digits[-p] AS INT) > 4 THEN 2 * CAST(digits[-p] AS INT) - 9 ELSE 2 * CAST(digits[-p] AS INT) END)) % 10 = 0"
+_EITHER_CASE = "".join(f"[{c.upper()}{c}]" if c.isalpha() else c for c in "(password|passwd|secret|token|api_?key)")
 
 ORACLE = {
+    "pii_base": _spans_sql({
+        "email": (r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "true"),
+        "ip": (r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "list_max(list_transform(string_split(s, '.'), lambda p: CASE WHEN length(ltrim(p, '0')) > 3 THEN 999 ELSE CAST('0' || ltrim(p, '0') AS INT) END)) <= 255"),
+        "card": (r"[0-9]([ -]?[0-9])+", f"length(digits) BETWEEN 14 AND 19 AND {_LUHN}"),
+        "phone": (r"\+[0-9][ ().0-9-]+[0-9]", "length(digits) BETWEEN 10 AND 15"),
+    }),
+    "secrets_base": _spans_sql({
+        "assign": (_EITHER_CASE + r"""["']? *[:=] *["']?([A-Za-z0-9+/_.=-]+)""", r"""length(regexp_extract(s, '[:=] *["'']?([A-Za-z0-9+/_.=-]+)$', 1)) >= 6"""),
+        "access": ("AKIA[A-Z0-9]+", "length(s) >= 20"),
+        "hex": ("[0-9a-f]{24,}", "true"),
+    }),
+    "url_written_rules": r"""
+WITH u AS (SELECT page_id, row_number() OVER () AS r, coalesce(translate(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS host, coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path FROM pages),
+k(rule, verdict) AS (VALUES ('net/', 'block'), ('example.net/en/', 'allow'), ('example.com/de/', 'block'), ('org/fr/', 'allow')),
+p AS (SELECT rule, verdict, string_split(rule, '/')[1] AS h, substr(rule, length(string_split(rule, '/')[1]) + 1) AS start FROM k),
+b AS (SELECT r, arg_max(rule, length(rule)) AS rule, arg_max(verdict, length(rule)) AS verdict FROM u JOIN p ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, start) GROUP BY r)
+SELECT page_id, host, path, rule, verdict FROM u LEFT JOIN b USING (r)""",
     "op6_embedding_join": r"""
 WITH RECURSIVE u AS (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings),
 v AS (SELECT vec_id, label, e, sqrt(list_sum(list_transform(e, lambda x: x * x))) AS n FROM u

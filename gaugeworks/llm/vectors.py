@@ -5,7 +5,9 @@ projections on leading principal directions. The vectors of a label are sorted b
 (side eps) of those projections, lexicographically, and cut into blocks: intervals of the epsilon
 grid order. Blocks whose boxes are farther apart than eps are never paired; a pair is joined by
 halving both intervals, skipping halves that are provably distant, down to leaves that one matrix
-product compares in double precision.
+product compares in double precision. A block is as large as ``BLOCK_BYTES`` allows, for it travels once
+to every block it may meet. How much is skipped depends on the data: where vectors of a label spread
+evenly over many directions the boxes of intervals overlap, and every pair of blocks of the label is met.
 
 A task returns link counts and, through a union-find over what it saw, only the links that
 connect something new, never all pairs of a dense group. Equal vectors of a label are joined as
@@ -30,16 +32,17 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from gaugeworks.llm.components import components
-from gaugeworks.llm.store import materialise
+from gaugeworks.llm.store import materialise, release
 
 THRESHOLD = 0.93
-#: Leading directions, vectors they are taken from, rows of a block and of a leaf.
-DIRECTIONS, SAMPLE, BLOCK, LEAF = 8, 5_000, 1_024, 128
+#: Leading directions, vectors they are taken from, bytes of a block, rows of a leaf.
+DIRECTIONS, SAMPLE, BLOCK_BYTES, LEAF = 8, 5_000, 4 << 20, 128
 _SLACK = 1e-9
 
 
 def _units(raw: np.ndarray) -> np.ndarray:
     x = raw.astype(np.float64)
+    x = x / np.abs(x).max(axis=1, keepdims=True)  # so that no square overflows or vanishes
     return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
 
@@ -121,15 +124,17 @@ def join_blocks(x: np.ndarray, y: np.ndarray | None, basis: np.ndarray, least: f
     return nx, ny, links
 
 
-def near_duplicates(vectors: DataFrame, id: str = "vec_id", label: str = "label", vector: str = "embedding", threshold: float = THRESHOLD, block: int = BLOCK) -> DataFrame:
-    """``id``, n_links, component_id and kept of every row."""
+def near_duplicates(vectors: DataFrame, id: str = "vec_id", label: str = "label", vector: str = "embedding", threshold: float = THRESHOLD, block: int | None = None) -> DataFrame:
+    """``id``, n_links, component_id and kept of every row; ``block``: rows of a block instead of ``BLOCK_BYTES``."""
     spark = vectors.sparkSession
     rows = vectors.select(F.col(id).cast("long").alias("i"), F.col(label).alias("g"), F.col(vector).alias("v"))
     bad = lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))
     valid = F.col("i").isNotNull() & F.col("g").isNotNull() & F.col("v").isNotNull() & ~F.exists("v", bad) & F.exists("v", lambda x: x != 0)
     one = rows.where(valid).groupBy("g", "v").agg(F.min("i").alias("rep"), F.count("*").alias("mult"))
     one = materialise(one.withColumn("dim", F.size("v")), "distinct")
-    n = one.count()
+    size = one.agg(F.count("*").alias("n"), F.max("dim").alias("dim")).first()
+    n = size.n
+    block = block or max(64, BLOCK_BYTES // (8 * (size.dim or 1)))
     sample: dict[int, list] = {}
     for r in one.orderBy(F.xxhash64("rep"), "rep").limit(SAMPLE).select("dim", "v").collect():
         sample.setdefault(r.dim, []).append(r.v)
@@ -223,15 +228,9 @@ def _join(one: DataFrame, n: int, basis, threshold: float, block: int) -> DataFr
                 new = [(p, q) for p, q in ((name(i), name(j)) for i, j in links) if p != q and sets.union(p, q)]
                 ids, sums = np.concatenate([rx[nx > 0], ry[ny > 0]]), np.concatenate([nx[nx > 0], ny[ny > 0]])
                 yield pa.RecordBatch.from_arrays([pa.array([*ids.tolist(), *(p for p, _ in new)], pa.int64()), pa.array([*([None] * len(ids)), *(q for _, q in new)], pa.int64()), pa.array([*sums.tolist(), *([0] * len(new))], pa.int64())], ["rep", "other", "n"])
+        release()
 
-    spark = one.sparkSession
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(key)
-    spark.conf.set(key, "16")  # a row holds two blocks
-    try:
-        return materialise(work.mapInArrow(compare, "rep long, other long, n long"), "found")
-    finally:
-        spark.conf.set(key, before)
+    return materialise(work.mapInArrow(compare, "rep long, other long, n long"), "found")
 
 
 _BLOCKS = pa.schema([("block", pa.int64()), ("g", pa.string()), ("dim", pa.int32()), ("lo", pa.list_(pa.float64())), ("hi", pa.list_(pa.float64())), ("reps", pa.binary()), ("mults", pa.binary()), ("data", pa.binary())])
