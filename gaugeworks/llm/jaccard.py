@@ -28,7 +28,7 @@ whole; extra columns are ignored; an empty table gives no rows.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -446,9 +446,6 @@ def _crowds(docs: DataFrame, met: DataFrame, reps: DataFrame, named: DataFrame,
     rows = materialise(rows.join(reps.groupBy("rep").agg(F.max("n").alias("n")), "rep"), "crowds")
     if rows.isEmpty():
         return named.select(F.col("id").alias("a"), F.col("component").alias("b")).limit(0)
-    lacking = rows.select(F.col("rep").alias("a")).distinct().join(sets.select(F.col("id").alias("a")), "a", "left_anti")
-    sets = sets.unionAll(_sets(docs, lacking, id, text))
-
     parts = rows.groupBy("centre", "c").agg(F.count("*").alias("m"), F.sum("n").alias("n")).groupBy("centre")
     chunks = lambda m, n: F.ceil(F.greatest(m / CHUNK, n / CHUNK_ELEMENTS)).cast("int")
     parts = parts.agg(F.max_by("c", F.struct("m", "c")).alias("main"), F.max(F.struct("m", "n")).alias("top"), F.sum("m").alias("m"), F.sum("n").alias("n"))
@@ -458,50 +455,53 @@ def _crowds(docs: DataFrame, met: DataFrame, reps: DataFrame, named: DataFrame,
     rows = rows.withColumn("part", F.pmod(F.xxhash64("rep"), F.when(inside, F.col("settled")).otherwise(F.col("open"))).cast("int"))
     with_open = F.transform(F.sequence(F.lit(0), F.col("open") - 1), lambda o: F.when(inside, F.struct(o.alias("i"), (-1 - F.col("part")).alias("j"))).otherwise(F.struct(F.least(F.col("part"), o).alias("i"), F.greatest(F.col("part"), o).alias("j"))))
     with_settled = F.transform(F.sequence(F.lit(1), F.col("settled")), lambda o: F.struct(F.col("part").alias("i"), (-o).alias("j")))
-    rows = rows.select("centre", "rep", "c", F.explode(F.when(inside, with_open).otherwise(F.concat(with_open, with_settled))).alias("e"))
-    work = rows.join(sets.select(F.col("id").alias("rep"), "data"), "rep").select("centre", "e.i", "e.j", "rep", "c", "data")
+    rows = rows.select("centre", "rep", "c", F.explode(F.when(inside, with_open).otherwise(F.concat(with_open, with_settled))).alias("e")).select("centre", "e.i", "e.j", "rep", "c")
+    # first the sketches: they tell which members can have a partner at all, and only those bring their whole sets
+    rows = rows.join(reps.groupBy("rep").agg(F.first("n").alias("n"), F.first("sketch").alias("sketch")), "rep")
+    alive = materialise(_by_chunk(rows.select("centre", "i", "j", "rep", "c", "n", "sketch"), _alive, "centre long, i int, j int, rep long, c long"), "alive")
+    lacking = alive.select(F.col("rep").alias("a")).distinct().join(sets.select(F.col("id").alias("a")), "a", "left_anti")
+    sets = sets.unionAll(_sets(docs, lacking, id, text))
+    work = alive.join(sets.select(F.col("id").alias("rep"), "data"), "rep").select("centre", "i", "j", "rep", "c", "data")
+    return materialise(_by_chunk(work, _joined, "a long, b long"), "links")
+
 
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _by_chunk(rows: DataFrame, settle: Callable[[list[pa.RecordBatch]], pa.RecordBatch], schema: str) -> DataFrame:
+    """``settle`` of the rows of each chunk, which are those of one (centre, i, j)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
         key = None
         for batch in batches:
-            # groups come whole and in order, as the partitions are sorted by their keys
+            # chunks come whole and in order, as the partitions are sorted by their keys
             keys = np.stack([batch.column(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in range(3)], 1)
             cuts = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1).tolist(), len(keys)]
             for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
                 if hi > lo:
                     if key != (first := tuple(keys[lo])):
                         if held:
-                            yield _joined(held)
+                            yield settle(held)
                         held, key = [], first
                     held.append(batch.slice(lo, hi - lo))
         if held:
-            yield _joined(held)
+            yield settle(held)
         release()
 
-    work = work.repartition("centre", "i", "j").sortWithinPartitions("centre", "i", "j")
-    return materialise(work.mapInArrow(compare, "a long, b long"), "links")
+    return rows.repartition("centre", "i", "j").sortWithinPartitions("centre", "i", "j").mapInArrow(run, schema)
 
 
-def _joined(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
-    """A spanning forest of the links between different components of one chunk."""
-    rep, c = (np.concatenate([p.column(k).to_numpy() for p in parts]) for k in (3, 4))
-    own = [np.frombuffer(x, np.uint64) for p in parts for x in p.column(5).to_pylist()]
-    order = sorted(range(len(own)), key=lambda k: len(own[k]))
-    own, rep = [own[k] for k in order], rep[order]
-    n = np.array([len(x) for x in own])
-    label = np.unique(c[order], return_inverse=True)[1]
-    links: list[tuple[int, int]] = []
+def _possible_pairs(n: np.ndarray, label: np.ndarray, sketch: Callable[[int], bytes]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Pairs (i, j) of rows in order of size, with the bits in which their sketches differ, that lie in different
+    components and may be similar; ``label`` may change between the strips."""
     last = np.searchsorted(n, 4 * n // 3, "right")  # partners are larger ones up to 4/3 of the size
     size, base, table = -1, 0, np.zeros((0, 0), np.uint64)
-    for lo in range(0, len(own), STRIP):
-        hi, end = min(lo + STRIP, len(own)), int(last[min(lo + STRIP, len(own)) - 1])
+    for lo in range(0, len(n), STRIP):
+        hi, end = min(lo + STRIP, len(n)), int(last[min(lo + STRIP, len(n)) - 1])
         if not n[lo] or (label[lo:end] == label[lo]).all():
             continue
-        need = len(_sketch(own[lo], WIDE))
+        need = len(sketch(lo))
         if need != size:  # sizes ascend, so one table of folded sketches is held
             size, base = need, lo
-            table = np.stack([_fold(_sketch(x, WIDE), size) for x in own[lo:]])
+            table = np.stack([_fold(sketch(k), size) for k in range(lo, len(n))])
         left, right = table[lo - base : hi - base], table[lo - base : end - base]
         bound = n[lo:hi, None] + n[None, lo:end]
         possible = np.arange(lo, end)[None, :] > np.arange(lo, hi)[:, None]
@@ -512,8 +512,34 @@ def _joined(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
             if word % 16 == 15 and not (possible & (7 * bits <= bound)).any():
                 break
         i, j = np.nonzero(possible & (7 * bits <= bound))
-        near = np.argsort(bits[i, j], kind="stable")
-        i, j = i[near] + lo, j[near] + lo
+        if len(i):
+            yield i + lo, j + lo, bits[i, j]
+
+
+def _alive(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
+    """The rows of a chunk that may have a partner in another component."""
+    table = pa.concat_tables([pa.Table.from_batches([p]) for p in parts]).combine_chunks()
+    n, c = (table.column(k).to_numpy() for k in (5, 4))
+    order = np.argsort(n, kind="stable")
+    sketches = table.column(6).to_pylist()
+    met = np.zeros(len(n), bool)
+    for i, j, _ in _possible_pairs(n[order], c[order], lambda k: sketches[order[k]]):
+        met[order[i]] = met[order[j]] = True
+    rows = table.select(range(5)).filter(pa.array(met)).combine_chunks()
+    return rows.to_batches()[0] if rows.num_rows else pa.RecordBatch.from_pylist([], schema=rows.schema)
+
+
+def _joined(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
+    """A spanning forest of the links between different components of one chunk."""
+    rep, c = (np.concatenate([p.column(k).to_numpy() for p in parts]) for k in (3, 4))
+    own = [np.frombuffer(x, np.uint64) for p in parts for x in p.column(5).to_pylist()]
+    order = sorted(range(len(own)), key=lambda k: len(own[k]))
+    own, rep = [own[k] for k in order], rep[order]
+    label = np.unique(c[order], return_inverse=True)[1]
+    links: list[tuple[int, int]] = []
+    for i, j, bits in _possible_pairs(np.array([len(x) for x in own]), label, lambda k: _sketch(own[k], WIDE)):
+        near = np.argsort(bits, kind="stable")
+        i, j = i[near], j[near]
         while len(i):  # the nearest first; what they join need not be compared again
             for p, q in zip(i[:STRIP].tolist(), j[:STRIP].tolist(), strict=True):
                 if label[p] != label[q] and similar(own[p], own[q]):
