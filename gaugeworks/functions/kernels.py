@@ -89,25 +89,27 @@ def ellipse(radius: int) -> np.ndarray:
     return x * x + y * y <= radius * radius + 0.25
 
 
-def line(radius: int, degrees: float) -> np.ndarray:
-    """A line of 2 radius + 1 cells at an angle."""
-    out = np.zeros((2 * radius + 1, 2 * radius + 1), bool)
-    t = np.linspace(-radius, radius, 4 * radius + 1)
+def line(radius: int, degrees: float, thick: bool = False) -> np.ndarray:
+    """A line of 2 radius + 1 cells at an angle; a thick one holds all cells within about one of it."""
+    y, x = np.mgrid[-radius : radius + 1, -radius : radius + 1]
     a = math.radians(degrees)
+    out = np.zeros(x.shape, bool)
+    t = np.linspace(-radius, radius, 4 * radius + 1)
     out[np.rint(radius - t * math.sin(a)).astype(int), np.rint(radius + t * math.cos(a)).astype(int)] = True
-    return out
+    return out | (np.abs(x * math.sin(a) + y * math.cos(a)) <= 1.0 + 1e-9) if thick else out
 
 
 def oriented_closing(mask: np.ndarray, radius: int, angles: int) -> np.ndarray:
-    """Union of closings by lines at evenly spaced angles; gaps along a line are bridged."""
+    """Union of the mask and its closings by lines at evenly spaced angles: dilated by a thick line, eroded by a
+    thin one, so that a thin defect at an angle between two lines is bridged as well."""
     if radius < 1 or angles < 1:
         return mask.copy()
-    p = np.pad(mask, radius)
+    p = np.pad(mask, radius + 1)
     out = p.copy()
     for k in range(angles):
-        e = line(radius, 180.0 * k / angles)
-        out |= erode(dilate(p, e), e)
-    return out[radius:-radius, radius:-radius]
+        degrees = 180.0 * k / angles
+        out |= erode(dilate(p, line(radius, degrees, thick=True)), line(radius, degrees))
+    return out[radius + 1 : -radius - 1, radius + 1 : -radius - 1]
 
 
 def fill_holes(mask: np.ndarray) -> np.ndarray:

@@ -212,21 +212,33 @@ def coreset(df: DataFrame, id: str, vector: str, n: int, candidates: int = 20_00
     return df.join(F.broadcast(chosen), id)  # ``n`` rows
 
 
-def density_subsample(df: DataFrame, id: str, vector: str, share: float, k: int = 5, groups: int = 8, seed: int | str = 0) -> DataFrame:
-    """In seeded groups, the least crowded share: crowding counts neighbours nearer than the group's mean k-NN distance."""
-    from gaugeworks.operators.splits import cluster_fold
-
-    own = df.select(F.col(id).cast("long").alias("i"), F.col(vector).cast("array<double>").alias("v"), cluster_fold(F.col(id), groups, seed).alias("g"))
-
-    def run(table: pd.DataFrame) -> pd.DataFrame:
-        table = table.sort_values("i")
+def density_subsample(df: DataFrame, id: str, vector: str, share: float, k: int = 100, subset: int = 4_096, seed: int | str = 0) -> DataFrame:
+    """(id, crowding) of the share of rows that covers the table with the fewest crowded ones.
+
+    Rows are dealt at random to groups of about ``subset``. A row's crowding is the number of its k nearest group
+    members closer than the group's mean distance to such members; a group keeps its quota of the
+    least crowded, ties in random order. A task holds subset**2 distances whatever the size of the table."""
+    from gaugeworks.operators.splits import ranked
+
+    m = df.count()
+    n = int(m * share)
+    if not n:
+        return df.select(id, F.lit(0).cast("long").alias("crowding")).limit(0)
+    groups = -(-m // subset)
+    own = ranked(df.select(id, vector), id, seed)
+    own = own.select(F.col(id).cast("long").alias("i"), F.col(vector).alias("v"), "rank", F.pmod(F.col("rank") - 1, F.lit(groups)).cast("int").alias("g"))
+    sizes = [(m - g + groups - 1) // groups for g in range(groups)]
+    spare = n - sum(n * s // m for s in sizes)
+
+    def run(key: tuple, table: pd.DataFrame) -> pd.DataFrame:
+        table = table.sort_values("rank")  # a random order, alike on every run
         x = np.array(table["v"].tolist(), np.float64)
         d = np.sqrt(squared_distances(x, x))
         np.fill_diagonal(d, np.inf)
-        m = min(k, len(x) - 1)
-        radius = np.sort(d, axis=1)[:, m - 1].mean() if m else 0.0
-        crowd = (d < radius).sum(1)
-        keep = np.argsort(crowd, kind="stable")[: max(1, round(share * len(x)))]
+        near = np.sort(d, axis=1)[:, : min(k, len(x) - 1)]
+        crowd = (near < near.mean()).sum(1) if near.size else np.zeros(len(x), np.int64)
+        quota = n * len(x) // m + (key[0] < spare)
+        keep = np.argsort(crowd, kind="stable")[:quota]
         return pd.DataFrame({"i": table["i"].to_numpy()[keep], "crowding": crowd[keep].astype(np.int64)})
 
     return own.groupBy("g").applyInPandas(run, "i long, crowding long").withColumnRenamed("i", id)

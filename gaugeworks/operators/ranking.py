@@ -1,8 +1,10 @@
 """Exact ranking metrics: rows are first folded by score, so ties need no window over all rows.
 
 Running sums over scores are taken in buckets between approximate quantiles: a window runs within
-a bucket, the buckets' totals (at most ``BUCKETS`` a group) are added on. The result is exact
-wherever the bounds lie, and no step puts all scores into one task.
+a bucket, the buckets' totals are added on. The number of buckets follows the number of distinct
+scores, so a bucket holds about ``BUCKET_ROWS`` whatever the size. The result is exact
+wherever the bounds lie, and no step puts all scores into one task. A folded table is kept while it is
+read again (``persist``, spilling to disk), so the rows below it are read once.
 """
 
 from __future__ import annotations
@@ -14,7 +16,8 @@ from pyspark.sql import functions as F
 
 from gaugeworks.functions.columns import binary, finite, share
 
-BUCKETS = 64
+#: Rows of a bucket, about.
+BUCKET_ROWS = 250_000
 
 
 def folded(df: DataFrame, label: str, score: str, by: Sequence[str] = ()) -> DataFrame:
@@ -23,18 +26,19 @@ def folded(df: DataFrame, label: str, score: str, by: Sequence[str] = ()) -> Dat
     return own.groupBy(*by, "score").agg(F.sum("_y").alias("pos"), F.sum(1 - F.col("_y")).alias("neg"))
 
 
-def bucketed(df: DataFrame, order: str, buckets: int = BUCKETS) -> DataFrame:
-    """``df`` with _bucket, ascending with ``order``."""
-    bounds = df.approxQuantile(order, [i / buckets for i in range(1, buckets)], 0.005)
-    inner = sorted(set(bounds))
+def bucketed(df: DataFrame, order: str, rows: int = BUCKET_ROWS) -> DataFrame:
+    """``df``, kept, with _bucket, ascending with ``order``."""
+    df = df.persist()
+    buckets = -(-df.count() // rows)
+    inner = sorted(set(df.approxQuantile(order, [i / buckets for i in range(1, buckets)], 0.2 / buckets))) if buckets > 1 else []
     if not inner:
         return df.withColumn("_bucket", F.lit(0))
     return df.withColumn("_bucket", F.size(F.filter(F.array(*map(F.lit, inner)), lambda b: b < F.col(order))))
 
 
-def running(df: DataFrame, order: str, sums: Sequence[str], by: Sequence[str] = (), descending: bool = False, buckets: int = BUCKETS) -> DataFrame:
+def running(df: DataFrame, order: str, sums: Sequence[str], by: Sequence[str] = (), descending: bool = False, rows: int = BUCKET_ROWS) -> DataFrame:
     """``df`` with cum_<c> for each of ``sums``: the inclusive running sum along ``order``."""
-    own = bucketed(df, order, buckets)
+    own = bucketed(df, order, rows)
     way = (lambda c: F.col(c).desc()) if descending else (lambda c: F.col(c).asc())
     inside = Window.partitionBy(*by, "_bucket").orderBy(way(order)).rowsBetween(Window.unboundedPreceding, 0)
     before = Window.partitionBy(*by).orderBy(way("_bucket")).rowsBetween(Window.unboundedPreceding, -1)
@@ -44,6 +48,18 @@ def running(df: DataFrame, order: str, sums: Sequence[str], by: Sequence[str] =
     return out.select(*df.columns, *((F.sum(c).over(inside) + F.col(f"_b_{c}")).alias(f"cum_{c}") for c in sums))
 
 
+def with_previous(df: DataFrame, order: str, value: str, by: Sequence[str] = (), rows: int = BUCKET_ROWS) -> DataFrame:
+    """``df`` with _x0 and _y0: ``order`` and ``value`` of the row before along (order, value), NULL for the first.
+    The last row of a bucket is handed to the next one."""
+    own = bucketed(df, order, rows)
+    point = F.struct(F.col(order).alias("x"), F.col(value).alias("y"))
+    ends = own.groupBy(*by, "_bucket").agg(F.max(point).alias("_e"))
+    ends = ends.select(*by, "_bucket", F.lag("_e").over(Window.partitionBy(*by).orderBy("_bucket")).alias("_c"))
+    inside = Window.partitionBy(*by, "_bucket").orderBy(order, value)
+    out = own.join(ends, [*by, "_bucket"]).withColumn("_p", F.coalesce(F.lag(point).over(inside), "_c"))
+    return out.select(*df.columns, F.col("_p.x").alias("_x0"), F.col("_p.y").alias("_y0"))
+
+
 def roc_auc(df: DataFrame, label: str, score: str, by: Sequence[str] = ()) -> DataFrame:
     """auroc with mid-ranks for ties, n_pos, n_neg; NULL where a class is empty."""
     own = running(folded(df, label, score, by), "score", ["neg"], by)
@@ -71,7 +87,7 @@ def curve(df: DataFrame, label: str, score: str, by: Sequence[str] = ()) -> Data
 def f1_max(df: DataFrame, label: str, score: str) -> DataFrame:
     """Best F1 over tie-group ends (the highest score wins ties) and its threshold: midway to the
     next lower score, or the lowest score less one."""
-    own = running(folded(df, label, score), "score", ["pos", "neg"], descending=True)
+    own = running(folded(df, label, score), "score", ["pos", "neg"], descending=True).persist()
     total = own.agg(F.sum("pos").alias("_p"))
     tp, fp = F.col("cum_pos"), F.col("cum_neg")
     rated = own.crossJoin(F.broadcast(total)).withColumn("f1", share(2 * tp, tp + fp + F.col("_p")))
@@ -100,20 +116,41 @@ def escape_rate(df: DataFrame, label: str, score: str, kind: str, threshold: Col
 
 def trapezoid(df: DataFrame, x: str, y: str, by: Sequence[str] = ()) -> DataFrame:
     """Area under y(x) by trapezoids, x ascending."""
-    w = Window.partitionBy(*by).orderBy(x)
-    own = df.select(*by, ((F.col(x) - F.lag(x).over(w)) * (F.col(y) + F.lag(y).over(w)) / 2.0).alias("_a"))
-    return own.groupBy(*by).agg(F.coalesce(F.sum("_a"), F.lit(0.0)).alias("area"))
+    own = with_previous(df.select(*by, x, y), x, y, by)
+    return own.groupBy(*by).agg(F.coalesce(F.sum((F.col(x) - F.col("_x0")) * (F.col(y) + F.col("_y0")) / 2.0), F.lit(0.0)).alias("area"))
+
+
+def areas_to_limits(points: DataFrame, fpr: str, value: str, limits: Sequence[float], by: Sequence[str] = ()) -> DataFrame:
+    """(fpr_limit, area): normalised areas under value(fpr) up to each limit, from one sweep: from (0, 0),
+    interpolated at the limit, held flat beyond the last point."""
+    own = with_previous(points.select(*by, fpr, value), fpr, value, by)
+    x0, y0, x, y = F.coalesce("_x0", F.lit(0.0)), F.coalesce("_y0", F.lit(0.0)), F.col(fpr), F.col(value)
+    slope = F.coalesce(F.try_divide(y - y0, x - x0), F.lit(0.0))
+
+    def area(limit: float) -> Column:
+        m = F.lit(float(limit))
+        y1 = F.when(x > m, y0 + slope * (m - x0)).otherwise(y)
+        return F.sum(F.when(x0 < m, (F.least(x, m) - x0) * (y0 + y1) / 2.0).otherwise(0.0))
+
+    last = F.max(F.struct(x.alias("x"), y.alias("y")))
+    out = own.groupBy(*by).agg(*(((area(m) + F.greatest(F.lit(0.0), F.lit(float(m)) - last["x"]) * last["y"]) / F.lit(float(m))).alias(f"_{k}") for k, m in enumerate(limits)))
+    each = F.array(*(F.struct(F.lit(float(m)).alias("fpr_limit"), F.col(f"_{k}").alias("area")) for k, m in enumerate(limits)))
+    return out.select(*by, F.explode(each).alias("_a")).select(*by, "_a.*")
 
 
 def area_to_limit(points: DataFrame, fpr: str, value: str, limit: float, by: Sequence[str] = ()) -> DataFrame:
-    """Normalised area under value(fpr) up to ``limit``: from (0, 0), interpolated at the limit, held flat beyond the last point."""
-    w = Window.partitionBy(*by).orderBy(fpr, value)
-    x0, y0 = F.coalesce(F.lag(fpr).over(w), F.lit(0.0)), F.coalesce(F.lag(value).over(w), F.lit(0.0))
-    x1 = F.least(F.col(fpr), F.lit(float(limit)))
-    slope = F.coalesce(F.try_divide(F.col(value) - y0, F.col(fpr) - x0), F.lit(0.0))
-    y1 = F.when(F.col(fpr) > limit, y0 + slope * (F.lit(float(limit)) - x0)).otherwise(F.col(value))
-    piece = F.when(x0 < limit, (x1 - x0) * (y0 + y1) / 2.0).otherwise(0.0)
-    own = points.select(*by, piece.alias("_a"), F.col(fpr).alias("_x"), F.col(value).alias("_y"))
-    last = F.max(F.struct("_x", "_y"))
-    flat = F.greatest(F.lit(0.0), F.lit(float(limit)) - last["_x"]) * last["_y"]
-    return own.groupBy(*by).agg(((F.sum("_a") + flat) / F.lit(float(limit))).alias("area"))
+    """:func:`areas_to_limits` for one limit."""
+    return areas_to_limits(points, fpr, value, (limit,), by).drop("fpr_limit")
+
+
+def at_cuts(test: DataFrame, label: str, score: str, cuts: DataFrame, cut: str) -> DataFrame:
+    """``cuts`` with fpr and recall of ``test`` at each one's threshold (score > cut is flagged), however many
+    there are: test rows are folded by score, cuts join them as empty scores, and one running sum serves all."""
+    empty = cuts.select(F.col(cut).cast("double").alias("score"), F.lit(0).alias("pos"), F.lit(0).alias("neg")).where("score IS NOT NULL")
+    own = folded(test, label, score).select("score", "pos", "neg").unionAll(empty).groupBy("score").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
+    own = running(own, "score", ["pos", "neg"], descending=True).persist()
+    total = own.agg(F.sum("pos").alias("_p"), F.sum("neg").alias("_n"))
+    above = own.crossJoin(F.broadcast(total)).select(  # one row
+        F.col("score").alias("_s"), share(F.col("cum_neg") - F.col("neg"), F.col("_n")).alias("fpr"), share(F.col("cum_pos") - F.col("pos"), F.col("_p")).alias("recall")
+    )
+    return cuts.join(above, F.col(cut).cast("double") == F.col("_s"), "left").drop("_s")

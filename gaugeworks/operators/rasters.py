@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gaugeworks.functions import kernels as K
-from gaugeworks.operators.ranking import area_to_limit, running
+from gaugeworks.operators.ranking import areas_to_limits, running
 
 
 def on_maps(f: Callable[[np.ndarray], np.ndarray], returns: str = "array<double>") -> Callable[..., Column]:
@@ -93,13 +93,41 @@ def regions(masks: DataFrame, id: str, mask: str, height: int, width: int, keep:
     return own.select(id, *keep, "r.*")
 
 
-def region_contrast(found: DataFrame, maps: DataFrame, id: str, values: str) -> DataFrame:
-    """Mean inside each region less the mean of the rest of its map; NULL where there is no rest."""
-    own = found.join(maps.select(id, values), id)
-    inside = F.aggregate("cells", F.lit(0.0), lambda s, c: s + F.get(values, c))
-    whole = F.aggregate(values, F.lit(0.0), lambda s, x: s + x)
-    rest = F.size(values) - F.col("area")
-    return own.select(id, "region", "area", (inside / F.col("area") - F.try_divide(whole - inside, rest)).alias("contrast"))
+MEASURED = "array<struct<region:int,area:int,height:int,width:int,diameter:double,contrast:double>>"
+#: Distance in cells (along rows and columns) to which the ring around a region reaches.
+RING = 4
+
+
+def measured(maps: DataFrame, id: str, mask: str, values: str, height: int, width: int, keep: tuple[str, ...] = ()) -> DataFrame:
+    """The regions of every mask with area, extents, diameter of the disc of that area, and local contrast: the
+    absolute difference of the means inside and on the ring around it, outside the mask; NULL without a ring."""
+    near = np.add.outer(np.abs(np.arange(-RING, RING + 1)), np.abs(np.arange(-RING, RING + 1))) <= RING
+
+    @F.pandas_udf(MEASURED)
+    def run(mask: pd.Series, values: pd.Series) -> pd.Series:
+        out = []
+        for m, v in zip(mask, values, strict=True):
+            m, v = np.asarray(m, bool).reshape(height, width), np.asarray(v, np.float64).reshape(height, width)
+            lab, rows = K.components(m), []
+            for name in np.unique(lab[lab >= 0]):
+                inside = lab == name
+                i, j = np.nonzero(inside)
+                ring = K.dilate(inside, near) & ~m
+                contrast = float(abs(v[inside].mean() - v[ring].mean())) if ring.any() else None
+                rows.append({"region": int(name), "area": len(i), "height": int(np.ptp(i)) + 1, "width": int(np.ptp(j)) + 1, "diameter": 2.0 * float(np.sqrt(len(i) / np.pi)), "contrast": contrast})
+            out.append(rows)
+        return pd.Series(out)
+
+    return maps.select(id, *keep, F.explode(run(F.col(mask), F.col(values))).alias("r")).select(id, *keep, "r.*")
+
+
+def region_summary(regions: DataFrame, id: str, cells: int, by: tuple[str, ...] = ()) -> DataFrame:
+    """Counts and low percentiles of the sizes of :func:`measured` regions of maps of ``cells`` cells."""
+    area, fraction, extent = F.col("area").cast("double"), F.col("area") / F.lit(float(cells)), F.least("height", "width").cast("double")
+    columns = {"area_px": (area, (1, 5, 50)), "area_fraction": (fraction, (1, 5, 50)), "diameter_px": (F.col("diameter"), (1, 5, 50)), "min_extent": (extent, (1, 50)), "local_contrast": (F.col("contrast"), (5, 50))}
+    named = [F.percentile(c, F.lit(x / 100.0)).alias(f"{n}_median" if x == 50 else f"{n}_p{x}") for n, (c, xs) in columns.items() for x in xs]
+    images = F.count_distinct(id)
+    return regions.groupBy(*by).agg(F.count("*").alias("n_regions"), images.alias("n_images"), (F.count("*") / images).alias("regions_per_image"), F.max(area).alias("area_px_max"), F.max(fraction).alias("area_fraction_max"), *named)
 
 
 def pro_points(cells: DataFrame, found: DataFrame, id: str, value: str = "value") -> DataFrame:
@@ -116,11 +144,7 @@ def pro_points(cells: DataFrame, found: DataFrame, id: str, value: str = "value"
 def au_pro(cells: DataFrame, found: DataFrame, id: str, limits: tuple[float, ...] = (0.3,), value: str = "value") -> DataFrame:
     """Normalised area under the overlap curve up to each limit of FPR, from one sweep."""
     points = pro_points(cells, found, id, value).groupBy("fpr").agg(F.max("pro").alias("pro"))
-    own = [area_to_limit(points, "fpr", "pro", limit).select(F.lit(limit).alias("fpr_limit"), F.col("area").alias("au_pro")) for limit in limits]
-    out = own[0]
-    for o in own[1:]:
-        out = out.unionAll(o)
-    return out
+    return areas_to_limits(points, "fpr", "pro", limits).select("fpr_limit", F.col("area").alias("au_pro"))
 
 
 def fuse(a: Column, b: Column, mode: str = "mean") -> Column:
@@ -137,19 +161,18 @@ def percentile_of(values: Column, q: float) -> Column:
 
 
 def tile_plan(length: int, tile: int, overlap: int) -> list[tuple[int, int, int, int]]:
-    """Windows (start, stop, own from, own to) over one axis; cuts lie midway in the overlaps."""
+    """Windows (start, stop, own from, own to) of ``tile`` cells over one axis, spread evenly from 0 to ``length`` with
+    neighbours sharing twice the ``overlap`` or more; a cell belongs to the window in whose middle half it lies, so the
+    cuts are midway through what two windows share. A short axis is one window."""
     if length <= tile + 2 * overlap:
         return [(0, length, 0, length)]
-    step = tile
-    starts = list(range(0, max(1, length - overlap), step))
-    out = []
-    for s in starts:
-        a, b = max(0, s - overlap), min(length, s + tile + overlap)
-        if length - (s + tile) <= overlap:
-            out.append((a, length, s, length))
-            break
-        out.append((a, b, s, s + tile))
-    return out
+    if tile <= 2 * overlap:
+        raise ValueError("a tile must be longer than both its overlaps")
+    room = length - tile
+    gaps = -(-room // (tile - 2 * overlap))
+    starts = [round(k * room / gaps) for k in range(gaps + 1)]
+    cuts = [(left + tile + right) // 2 for left, right in zip(starts, starts[1:], strict=False)]
+    return [(s, s + tile, a, b) for s, a, b in zip(starts, [0, *cuts], [*cuts, length], strict=True)]
 
 
 def generate(spark, n: int, height: int, width: int, seed: int = 0, share: float = 0.3) -> DataFrame:

@@ -101,7 +101,9 @@ def normal_shift(a: DataFrame, b: DataFrame, score: str) -> DataFrame:
     gap = F.greatest(F.abs(F.col("u") - F.col("p") * F.col("n") / 2.0) - 0.5, F.lit(0.0))
     z = F.coalesce(F.try_divide(gap, sd), F.lit(0.0))
     med = both.agg(F.median(F.when(F.col("y") == 0, F.col("s"))).alias("median_a"), F.median(F.when(F.col("y") == 1, F.col("s"))).alias("median_b"))
-    return sums.select(share(F.col("u"), F.col("p") * F.col("n")).alias("auroc"), z.alias("z")).crossJoin(F.broadcast(med))
+    tail = F.pandas_udf(lambda x: x.map(normal_two_sided), "double")  # of one row
+    out = sums.select(share(F.col("u"), F.col("p") * F.col("n")).alias("auroc"), z.alias("z"), F.col("n").cast("long").alias("n_a"), F.col("p").cast("long").alias("n_b"))
+    return out.withColumn("p_value", tail("z")).crossJoin(F.broadcast(med))
 
 
 def normal_two_sided(z: float) -> float:
@@ -154,10 +156,9 @@ def binomial_upper_bound(failures: int, trials: int, confidence: float = 0.95) -
     return (low + high) / 2
 
 
-def sign_test(wins: int, losses: int) -> float:
-    """Exact two-sided p of wins against losses."""
-    n = wins + losses
-    return 1.0 if n == 0 else min(1.0, 2 * sum(math.comb(n, i) for i in range(min(wins, losses) + 1)) / 2**n)
+def sign_test(wins: int, n: int) -> float:
+    """Exact one-sided p of ``wins`` or more among ``n`` untied pairs."""
+    return sum(math.comb(n, i) for i in range(wins, n + 1)) / 2**n
 
 
 def exceedance_p(fp: int, n_test: int, n_calibration: int, k: int) -> float:

@@ -303,7 +303,7 @@ def holm_bonferroni(spark, d):
 @query(f"WITH {EVENTS}, {VAL}, b AS (SELECT score, 0 AS y FROM v UNION ALL SELECT score, 1 FROM t WHERE label = 0), f AS (SELECT score, sum(y) AS pos, count(*) - sum(y) AS neg FROM b GROUP BY score) SELECT round(sum(pos * (cn - neg / 2.0)) / (sum(pos) * sum(neg)), 6) AS auroc, (SELECT round(median(score) FILTER (y = 0), 6) FROM b) AS median_a, (SELECT round(median(score) FILTER (y = 1), 6) FROM b) AS median_b FROM (SELECT *, sum(neg) OVER (ORDER BY score) AS cn FROM f)")
 def normal_shift(spark, d):
     e = T.events(spark, d).where("label = 0")
-    return rounded(statistics.normal_shift(e.where("split = 'validation'"), e.where("split = 'test'"), "score").drop("z"))
+    return rounded(statistics.normal_shift(e.where("split = 'validation'"), e.where("split = 'test'"), "score").drop("z", "p_value", "n_a", "n_b"))
 
 
 WEIGHTS = "r AS (SELECT doc_id, row_number() OVER (ORDER BY sha256('1:' || CAST(doc_id AS VARCHAR)), doc_id) AS k FROM labels), d AS (SELECT resample, floor(CAST(('0x' || substr(sha256('1:' || resample || ':' || k), 1, 8))::BIGINT AS DOUBLE) / 4294967296.0 * (SELECT count(*) FROM r)) + 1 AS k, count(*) AS weight FROM r, range(50) AS g(resample) GROUP BY ALL)"
@@ -344,4 +344,4 @@ def wilcoxon_signed_rank(spark, d):
 @query()
 def exact_tails(spark, d):
     c = operating_point(spark, d).first()
-    return statistics.one_row(spark, {"upper_bound": statistics.binomial_upper_bound(c.fp, c.fp + c.tn), "exceedance_p": statistics.exceedance_p(c.fp, c.fp + c.tn, 100, 1), "sign_test_p": statistics.sign_test(c.tp, c.fp)})
+    return statistics.one_row(spark, {"upper_bound": statistics.binomial_upper_bound(c.fp, c.fp + c.tn), "exceedance_p": statistics.exceedance_p(c.fp, c.fp + c.tn, 100, 1), "sign_test_p": statistics.sign_test(c.tp, c.tp + c.fp)})

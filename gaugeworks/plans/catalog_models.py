@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from gaugeworks.functions import columns as C
 from gaugeworks.functions.kernels import PERTURBATIONS
-from gaugeworks.operators import neighbours, pooled, ranking, rasters, splits, statistics, studies, thresholds
+from gaugeworks.operators import neighbours, pooled, predictions, ranking, rasters, splits, statistics, studies, thresholds
 from gaugeworks.plans import tables as T
 from gaugeworks.plans.catalog import AUROC, CELLS, EVENTS, KTH, MAPS, VAL, query, rounded
 
@@ -28,15 +28,29 @@ def connected_regions(spark, d):
     return found(spark, d).drop("cells")
 
 
-@query(f"WITH RECURSIVE {CELLS}, {REGIONS} SELECT vec_id, CAST(region AS INT) AS region, CAST(area AS INT) AS area, round(i.s / area - (w.s - i.s) / (64 - area), 6) AS contrast FROM r JOIN (SELECT l.vec_id, l.region, sum(value) AS s FROM l JOIN c USING (vec_id, pos) GROUP BY ALL) i USING (vec_id, region) JOIN (SELECT vec_id, sum(value) AS s FROM c GROUP BY 1) w USING (vec_id)")
+CONTRAST = (
+    "ring AS (SELECT DISTINCT l.vec_id, l.region, c.pos, c.value FROM l JOIN c ON c.vec_id = l.vec_id AND NOT c.truth AND abs(c.pos // 8 - l.pos // 8) + abs(c.pos % 8 - l.pos % 8) <= 4), "
+    "z AS (SELECT vec_id, region, area, least(bottom - top, \"right\" - \"left\") AS extent, 2 * sqrt(area / pi()) AS diameter, abs(i.m - o.m) AS contrast FROM r "
+    "JOIN (SELECT l.vec_id, l.region, avg(value) AS m FROM l JOIN c USING (vec_id, pos) GROUP BY ALL) i USING (vec_id, region) LEFT JOIN (SELECT vec_id, region, avg(value) AS m FROM ring GROUP BY ALL) o USING (vec_id, region))"
+)
+
+
+def measured(spark, d):
+    return rasters.measured(masked(spark, d), "vec_id", "mask", "map", 8, 8)
+
+
+@query(f"WITH RECURSIVE {CELLS}, {REGIONS}, {CONTRAST} SELECT vec_id, CAST(region AS INT) AS region, CAST(area AS INT) AS area, round(diameter, 6) AS diameter, round(contrast, 6) AS contrast FROM z")
 def region_contrast(spark, d):
-    return rounded(rasters.region_contrast(found(spark, d), T.maps(spark, d), "vec_id", "map"))
+    return rounded(measured(spark, d).select("vec_id", "region", "area", "diameter", "contrast"))
+
 
+def _p(column, name, *levels):
+    return ", ".join(f"round(quantile_cont({column}, {q / 100}), 6) AS {name}_{'median' if q == 50 else f'p{q}'}" for q in levels)
 
-@query(f"WITH RECURSIVE {CELLS}, {REGIONS} SELECT count(*) AS regions, count(DISTINCT vec_id) AS images, round(quantile_cont(area, 0.01), 6) AS p1, round(quantile_cont(area, 0.05), 6) AS p5, round(quantile_cont(area, 0.5), 6) AS p50, CAST(max(area) AS INT) AS largest FROM r")
+
+@query(f"WITH RECURSIVE {CELLS}, {REGIONS}, {CONTRAST} SELECT count(*) AS n_regions, count(DISTINCT vec_id) AS n_images, round(count(*)::DOUBLE / count(DISTINCT vec_id), 6) AS regions_per_image, CAST(max(area) AS DOUBLE) AS area_px_max, round(max(area / 64.0::DOUBLE), 6) AS area_fraction_max, {_p('CAST(area AS DOUBLE)', 'area_px', 1, 5, 50)}, {_p('area / 64.0::DOUBLE', 'area_fraction', 1, 5, 50)}, {_p('diameter', 'diameter_px', 1, 5, 50)}, {_p('CAST(extent AS DOUBLE)', 'min_extent', 1, 50)}, {_p('contrast', 'local_contrast', 5, 50)} FROM z")
 def summarize_regions(spark, d):
-    p = lambda q: F.percentile("area", F.lit(q))
-    return rounded(found(spark, d).agg(F.count("*").alias("regions"), F.count_distinct("vec_id").alias("images"), p(0.01).alias("p1"), p(0.05).alias("p5"), p(0.5).alias("p50"), F.max("area").alias("largest")))
+    return rounded(rasters.region_summary(measured(spark, d), "vec_id", 64))
 
 
 PRO = "q AS (SELECT value, sum(CASE WHEN region IS NULL THEN 0.0 ELSE 1.0 / (area * (SELECT count(*) FROM r)) END) AS w, count(*) FILTER (region IS NULL) AS neg FROM c LEFT JOIN l USING (vec_id, pos) LEFT JOIN r USING (vec_id, region) GROUP BY value), p AS (SELECT CAST(sum(neg) OVER o AS DOUBLE) / (SELECT sum(neg) FROM q) AS fpr, sum(w) OVER o AS pro FROM q WINDOW o AS (ORDER BY value DESC)), f AS (SELECT fpr, max(pro) AS pro FROM p GROUP BY fpr), z AS (SELECT fpr AS x1, pro AS y1, coalesce(lag(fpr) OVER (ORDER BY fpr), 0) AS x0, coalesce(lag(pro) OVER (ORDER BY fpr), 0) AS y0 FROM f)"
@@ -153,32 +167,26 @@ def shading_guard_limit_all(spark, d):
 
 @query(f"WITH {MAPS}, s AS (SELECT vec_id, label, list_sum(map) / 64 AS x FROM m), t AS (SELECT avg(x) AS mu, greatest(stddev_samp(x), 1e-6) AS sd FROM s WHERE label = 0) SELECT vec_id, round(abs(x - mu) / sd, 6) AS score FROM s, t")
 def mean_intensity_scorer(spark, d):
-    s = T.maps(spark, d).select("vec_id", "label", C.mean_of(F.col("map")).alias("x"))
-    t = s.where("label = 0").agg(F.avg("x").alias("mu"), F.greatest(F.stddev_samp("x"), F.lit(1e-6)).alias("sd"))
-    return rounded(s.crossJoin(F.broadcast(t)).select("vec_id", (F.abs(F.col("x") - F.col("mu")) / F.col("sd")).alias("score")))
+    m = T.maps(spark, d)
+    return rounded(predictions.build("mean_intensity", "map").fit(m.where("label = 0"), "train").transform(m).select("vec_id", "score"))
 
 
 @query("SELECT vec_id, round(CAST(('0x' || substr(sha256('11:' || CAST(vec_id AS VARCHAR)), 1, 8))::BIGINT AS DOUBLE) / 4294967296.0, 6) AS score FROM embeddings")
 def random_scorer(spark, d):
-    return rounded(T.maps(spark, d).select("vec_id", C.uniform(11, F.col("vec_id")).alias("score")))
+    m = T.maps(spark, d)
+    return rounded(predictions.build("random", "map", id="vec_id", seed=11).fit(m.where("label = 0"), "train").transform(m).select("vec_id", "score"))
 
 
-@query(f"WITH {CELLS}, b AS (SELECT vec_id, label, CAST(least(greatest(floor((value + 0.6) / 0.075), 0), 15) AS INT) AS bin FROM c), o AS (SELECT vec_id, bin, count(*) / 64.0 AS p FROM b GROUP BY ALL), g AS (SELECT bin, count(*) / (64.0 * (SELECT count(*) FROM m WHERE label = 0)) AS q FROM b WHERE label = 0 GROUP BY bin), x AS (SELECT vec_id, bin, coalesce(p, 0) AS p, coalesce(q, 0) AS q FROM (SELECT vec_id, bin FROM m, (SELECT unnest(range(16)) AS bin)) LEFT JOIN o USING (vec_id, bin) LEFT JOIN g USING (bin)) SELECT vec_id, round(sum(CASE WHEN p + q > 0 THEN 0.5 * (p - q) * (p - q) / (p + q) ELSE 0 END), 6) AS score FROM x GROUP BY vec_id")
+@query(f"WITH {CELLS}, b AS (SELECT vec_id, label, CAST(least(greatest(floor((value + 3.0) * (64 / 6.0::DOUBLE)), 0), 63) AS INT) AS bin FROM c), o AS (SELECT vec_id, bin, count(*) / 64.0 AS p FROM b GROUP BY ALL), g AS (SELECT bin, count(*) / (64.0 * (SELECT count(*) FROM m WHERE label = 0)) AS q FROM b WHERE label = 0 GROUP BY bin), x AS (SELECT vec_id, bin, coalesce(p, 0) AS p, coalesce(q, 0) AS q FROM (SELECT vec_id, bin FROM m, (SELECT unnest(range(64)) AS bin)) LEFT JOIN o USING (vec_id, bin) LEFT JOIN g USING (bin)) SELECT vec_id, round(sum(CASE WHEN p + q > 0 THEN 0.5 * (p - q) * (p - q) / (p + q) ELSE 0 END), 6) AS score FROM x GROUP BY vec_id")
 def histogram_scorer(spark, d):
     m = T.maps(spark, d)
-    place = lambda x: F.least(F.greatest(F.floor((x + 0.6) / 0.075), F.lit(0)), F.lit(15)).cast("int")
-    bins = F.transform("map", place)
-    each = m.select("vec_id", "label", bins.alias("b")).select("vec_id", "label", F.transform(F.sequence(F.lit(0), F.lit(15)), lambda k: F.size(F.filter("b", lambda x: x == k)) / 64.0).alias("p"))
-    mean = each.where("label = 0").select(F.posexplode("p").alias("k", "x")).groupBy("k").agg(F.avg("x").alias("x")).agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "x"))), lambda s: s["x"]).alias("q"))  # 16 numbers
-    own = each.crossJoin(F.broadcast(mean))
-    term = F.zip_with("p", "q", lambda p, q: F.when(p + q > 0, 0.5 * (p - q) * (p - q) / (p + q)).otherwise(0.0))
-    return rounded(own.select("vec_id", F.aggregate(term, F.lit(0.0), lambda s, x: s + x).alias("score")))
+    return rounded(predictions.build("histogram", "map").fit(m.where("label = 0"), "train").transform(m).select("vec_id", "score"))
 
 
 @query()
 def pca_scorer(spark, d):
-    mean, comps, _ = neighbours.pca_fit(T.maps(spark, d).where("label = 0"), "map", 8)
-    return neighbours.pca_residual(T.maps(spark, d).select("vec_id", "map"), "map", mean, comps).drop("map")
+    m = T.maps(spark, d)
+    return predictions.build("pixel_pca", "map", components=8).fit(m.where("label = 0"), "train").transform(m.select("vec_id", "map")).drop("map")
 
 
 @query()

@@ -16,7 +16,7 @@ def test_holm(spark):
 def test_exact_tails():
     assert math.isnan(statistics.binomial_upper_bound(0, 0)) and statistics.binomial_upper_bound(3, 3) == 1.0
     assert statistics.binomial_upper_bound(0, 20) == pytest.approx(1 - 0.05 ** (1 / 20))
-    assert statistics.sign_test(5, 0) == pytest.approx(2 / 32) and statistics.sign_test(0, 0) == 1.0
+    assert statistics.sign_test(5, 5) == pytest.approx(1 / 32) and statistics.sign_test(0, 0) == 1.0 and statistics.sign_test(4, 5) == pytest.approx(6 / 32)
     assert statistics.exceedance_p(0, 10, 10, 1) == 1.0
     # one calibration score, one test score: either is the larger with chance 1/2
     assert statistics.exceedance_p(1, 1, 1, 1) == pytest.approx(0.5)
