@@ -38,11 +38,14 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet in the shared folder and read it back: lineage ends there."""
+    """Write ``df`` as Parquet in the shared folder and read it back: lineage ends there. The table is deleted when
+    the application ends."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/gaugeworks/{uuid.uuid4().hex}/{name}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    folder = f"{shared_dir(spark)}/gaugeworks/{uuid.uuid4().hex}"
+    df.write.parquet(f"{folder}/{name}")
+    held = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    held.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(held)
+    return spark.read.schema(df.schema).parquet(f"{folder}/{name}")
 
 
 def small_or_shuffled(df: DataFrame, row_bytes: int, limit: int = BROADCAST_BYTES) -> DataFrame:

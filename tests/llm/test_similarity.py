@@ -296,6 +296,26 @@ def test_toxicity_is_calibrated(spark):
     assert abs(s[s < 0.3].mean() - y[s < 0.3].mean()) < 0.12
 
 
+def test_pipeline_stages_on_odd_rows(spark):
+    """Null ids and texts, repeated rows, clashing columns and empty tables, at every stage."""
+    same = " ".join(f"w{i}" for i in range(40))
+    rows = [(1, same), (1, same), (2, same + " more"), (3, None), (4, ""), (None, same), (None, None), (5, "token=abcdefgh"), (5, "token=abcdefgh"), (6, "x" * 200_000)]
+    extra = ["1 AS h", "2 AS _digest", "3 AS _kinds_0", "4 AS _n_words", "5 AS _toxicity", "6 AS component_id", "7 AS id", "8 AS text_", "9 AS n_tokens"]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "CAST(length(text) AS BIGINT) AS n_chars", *extra)
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        assert stage(spark, docs.limit(0), DATA).count() == 0
+        out = stage(spark, docs, DATA)
+        assert out.columns == docs.columns
+        ids = sorted((r.doc_id for r in out.collect()), key=repr)
+        if name == "n-gram Jaccard join":
+            assert ids == [1, 3, 4, 5, 6, None, None]
+        else:
+            assert ids == sorted((i for i, _ in rows), key=repr)
+    assert {r.text for r in corpus_pipeline.secrets_stage(spark, docs.where("doc_id = 5"), DATA).collect()} == {"[assign]"}
+    last = corpus_pipeline.encoding_stage(spark, docs, DATA)
+    assert last.count() == len(rows) and corpus_pipeline.encoding_stage(spark, docs.limit(0), DATA).count() == 0
+
+
 def test_pipeline(spark):
     docs = spark.read.parquet(f"{DATA}/documents.parquet")
     names = [n for n, _ in corpus_pipeline.STAGES]
