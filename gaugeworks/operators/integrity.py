@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from itertools import combinations
 
 import numpy as np
 import pandas as pd
@@ -42,32 +43,36 @@ def sign_hash(values: Column) -> Column:
     return F.aggregate(F.sequence(F.lit(0), F.lit(63)), F.lit(0).cast("long"), lambda h, i: F.when(F.get(values, i) > middle, h.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), i))).otherwise(h))
 
 
+#: Bands that a hash is cut into at most, so that a band's value stays selective.
+BANDS = 5
+
+
 def hamming_pairs(df: DataFrame, id: str, bits: str, distance: int, extra: Sequence[str] = ()) -> DataFrame:
     """Pairs a < b of 64-bit hashes that differ in ``distance`` bits or fewer.
 
-    The hash is cut into distance + 1 bands, of which a pair shares one; it is taken at the first
-    band it shares. Equal hashes are joined as one and expanded only in the result.
+    The hash is cut into at most ``BANDS`` bands; of a pair, one band differs in ``distance // bands`` bits or fewer, so one
+    side asks for every value of each band that near to its own, and the other side answers with its own. Equal hashes are
+    joined as one and expanded only in the result.
     """
-    n = distance + 1
+    n = min(BANDS, distance + 1)
     cuts = [64 * k // n for k in range(n + 1)]
+    one = df.select(F.col(bits).alias("h")).where("h IS NOT NULL").distinct()
 
-    def band(h: Column, k: int) -> Column:
+    def band(k: int) -> Column:
         width = cuts[k + 1] - cuts[k]
-        mask = F.lit((1 << width) - 1 if width < 63 else -1).cast("long")
-        return F.shiftrightunsigned(h, cuts[k]).bitwiseAND(mask)
-
-    one = df.select(F.col(bits).alias("h")).distinct()
-    rows = one.select("h", F.posexplode(F.array(*(band(F.col("h"), k) for k in range(n)))).alias("k", "v"))
-    x, y = rows.alias("x"), rows.alias("y")
-    first = F.lit(True)
-    for k in range(n):
-        earlier = F.lit(False)
-        for j in range(k):
-            earlier = earlier | (band(F.col("x.h"), j) == band(F.col("y.h"), j))
-        first = first & ((F.col("x.k") != k) | ~earlier)
-    near = (F.col("x.k") == F.col("y.k")) & (F.col("x.v") == F.col("y.v")) & (F.col("x.h") < F.col("y.h"))
-    met = x.join(y, near).where((hamming(F.col("x.h"), F.col("y.h")) <= distance) & first)
-    links = met.select(F.col("x.h").alias("h"), F.col("y.h").alias("g")).unionAll(one.select("h", F.col("h").alias("g")))
+        return F.shiftrightunsigned("h", cuts[k]).bitwiseAND(F.lit((1 << width) - 1 if width < 63 else -1).cast("long"))
+
+    def near(k: int) -> list[int]:
+        places = range(cuts[k + 1] - cuts[k])
+        return [sum(1 << p for p in flip) for r in range(distance // n + 1) for flip in combinations(places, r)]
+
+    signed = lambda m: m - (1 << 64) if m >> 63 else m
+    own = one.select(F.col("h").alias("g"), F.posexplode(F.array(*(band(k) for k in range(n)))).alias("k", "v"))
+    turned = lambda k: F.transform(F.array(*(F.lit(signed(m)).cast("long") for m in near(k))), lambda m: band(k).bitwiseXOR(m))
+    balls = F.array(*map(turned, range(n)))
+    asked = one.select("h", F.posexplode(balls).alias("k", "vs")).select("h", "k", F.explode("vs").alias("v"))
+    met = asked.join(own, ["k", "v"]).where((F.col("h") < F.col("g")) & (hamming(F.col("h"), F.col("g")) <= distance)).select("h", "g").distinct()
+    links = met.unionAll(one.select("h", F.col("h").alias("g")))
     side = lambda s, h: df.select(F.col(id).alias(s), F.col(bits).alias(h), *(F.col(c).alias(f"{c}_{s}") for c in extra))
     out = links.join(side("a", "h"), "h").join(side("b", "g"), "g").where((F.col("h") != F.col("g")) | (F.col("a") < F.col("b")))
     swap = F.col("a") > F.col("b")
@@ -75,15 +80,16 @@ def hamming_pairs(df: DataFrame, id: str, bits: str, distance: int, extra: Seque
     return out.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), hamming(F.col("h"), F.col("g")).cast("int").alias("distance"), *ends)
 
 
+def hamming_groups(df: DataFrame, id: str, bits: str, distance: int) -> tuple[DataFrame, DataFrame]:
+    """The same without expanding equal hashes: pairs (a, b, distance) of their least ids, and (id, representative)."""
+    named = df.where(F.col(bits).isNotNull()).groupBy(F.col(bits).alias("_h")).agg(F.min(id).alias("representative"))
+    member = df.join(named, F.col(bits) == F.col("_h")).select(id, "representative")
+    return hamming_pairs(named, "representative", "_h", distance), member
+
+
 def distance_percentile(df: DataFrame, id: str, bits: str, percentile: float) -> DataFrame:
-    """Distribution of the distances of all pairs of a stated query set, exact: pairs are folded by distinct hash."""
-    one = df.groupBy(F.col(bits).alias("h")).agg(F.count("*").alias("m"))
-    x, y = one.alias("x"), F.broadcast(one).alias("y")  # the caller states the set; see the catalog
-    met = x.join(y, F.col("x.h") <= F.col("y.h"))
-    same = F.col("x.h") == F.col("y.h")
-    weight = F.when(same, F.col("x.m") * (F.col("x.m") - 1) / 2).otherwise(F.col("x.m") * F.col("y.m")).cast("long")
-    by = met.groupBy(hamming(F.col("x.h"), F.col("y.h")).cast("int").alias("distance")).agg(F.sum(weight).alias("pairs")).where("pairs > 0")
-    return by.agg(F.sum("pairs").alias("pairs"), F.min("distance").alias("least"), F.percentile("distance", F.lit(percentile / 100.0), F.col("pairs")).alias("threshold"))
+    """Distribution of the distances of all pairs of a stated query set, exact; see :func:`distance_percentile_by`."""
+    return distance_percentile_by(df.withColumn("_all", F.lit(0)), "_all", bits, percentile).drop("_all")
 
 
 def distance_percentile_by(df: DataFrame, by: str, bits: str, percentile: float, chunk: int = 4096) -> DataFrame:

@@ -204,9 +204,13 @@ def sign_hash(spark, d):
     return T.hashes(spark, d).select("vec_id", "bits")
 
 
-@query(f"WITH {HASHES} SELECT a.vec_id AS a, b.vec_id AS b, CAST(bit_count(xor(a.bits, b.bits)) AS INT) AS distance FROM h a JOIN h b ON a.vec_id < b.vec_id WHERE bit_count(xor(a.bits, b.bits)) <= 14")
+@query(f"WITH {HASHES}, x AS (SELECT vec_id, bits FROM h UNION ALL SELECT vec_id + 1000000, xor(bits, (1::BIGINT << CAST(vec_id % 20 AS INT)) - 1) FROM h) SELECT a.vec_id AS a, b.vec_id AS b, CAST(bit_count(xor(a.bits, b.bits)) AS INT) AS distance FROM x a JOIN x b ON a.vec_id < b.vec_id WHERE bit_count(xor(a.bits, b.bits)) <= 14")
 def near_duplicates_hamming(spark, d):
-    return integrity.hamming_pairs(T.hashes(spark, d), "vec_id", "bits", 14)
+    """Hashes with a copy of each in which 0 to 19 of the lowest bits are turned."""
+    h = T.hashes(spark, d).select("vec_id", "bits")
+    turned = F.expr("bits ^ (shiftleft(1L, CAST(vec_id % 20 AS INT)) - 1)")
+    both = F.array(F.struct("vec_id", "bits"), F.struct((F.col("vec_id") + 1_000_000).alias("vec_id"), turned.alias("bits")))
+    return integrity.hamming_pairs(h.select(F.explode(both).alias("x")).select("x.*"), "vec_id", "bits", 14)
 
 
 @query(f"WITH {HASHES}, q AS (SELECT * FROM h WHERE category = 0), p AS (SELECT bit_count(xor(a.bits, b.bits)) AS d FROM q a JOIN q b ON a.vec_id < b.vec_id) SELECT count(*) AS pairs, CAST(min(d) AS INT) AS least, round(quantile_cont(CAST(d AS DOUBLE), 0.01), 6) AS threshold FROM p")
@@ -228,9 +232,9 @@ def leak_audit(spark, d):
     return integrity.audit(a, b).select("rule", "ok", "detail")
 
 
-@query(f"WITH {CELLS} SELECT vec_id FROM m WHERE label = 1 AND vec_id NOT IN (SELECT vec_id FROM c WHERE truth)")
+@query(f"WITH {CELLS} SELECT vec_id FROM m WHERE label = 1 AND vec_id NOT IN (SELECT vec_id FROM c WHERE truth AND value > 0.3)")
 def masks_present(spark, d):
-    marked = T.cells(spark, d).where("truth").select("vec_id").distinct().withColumn("mask", F.lit(True))
+    marked = T.cells(spark, d).where("truth AND value > 0.3").select("vec_id").distinct().withColumn("mask", F.lit(True))
     return integrity.masks_present(T.maps(spark, d).select("vec_id", "label").join(marked, "vec_id", "left"), "label", "mask", "vec_id")
 
 

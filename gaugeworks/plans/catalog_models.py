@@ -257,9 +257,9 @@ def upsert_latest(spark, d):
     return studies.latest(o, ("c_custkey",), "o_orderkey")
 
 
-@query("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
+@query("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'P')")
 def resumable_work_list(spark, d):
-    return studies.undone(T.read(spark, d, "customer").select("c_custkey"), T.read(spark, d, "orders").withColumnRenamed("o_custkey", "c_custkey"), ("c_custkey",))
+    return studies.undone(T.read(spark, d, "customer").select("c_custkey"), T.read(spark, d, "orders").where("o_orderstatus = 'P'").withColumnRenamed("o_custkey", "c_custkey"), ("c_custkey",))
 
 
 @query("SELECT name, severity FROM (SELECT unnest(['blur', 'noise', 'light']) AS name), (SELECT unnest([0, 1, 2, 3, 4, 5]) AS severity)")
