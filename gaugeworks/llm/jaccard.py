@@ -76,11 +76,12 @@ _TABLES = [_value(np.tile(_LOWER, PLACES), np.repeat(np.arange(PLACES), 256), sa
 PIECE = 1 << 20
 
 
-def word_hashes(text: str, functions: int = 1) -> list[np.ndarray]:
+def word_hashes(text: str, functions: int = 1, stem: int = 0) -> list[np.ndarray]:
     """64-bit hashes of the words of ``text`` in order, one array for each hash function: the sum of a
-    word's tabulated values for byte and place, mixed with its length."""
+    word's tabulated values for byte and place, mixed with its length. With ``stem`` a further array has those of the
+    first so many bytes of each longer word."""
     raw = np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8)
-    out: list[list[np.ndarray]] = [[] for _ in range(functions)]
+    out: list[list[np.ndarray]] = [[] for _ in range(functions + bool(stem))]
     at = 0
     while at < len(raw):
         end = min(len(raw), at + PIECE)
@@ -105,6 +106,12 @@ def word_hashes(text: str, functions: int = 1) -> list[np.ndarray]:
                 values[far] = _value(_LOWER[part[far]], place[far], _SALTS[k])
             values[_SPACE[part]] = 0
             out[k].append(_mix(np.add.reduceat(values, start) + (stop - start).astype(np.uint64)))
+            if stem and not k:
+                longer = start[stop - start > stem]
+                head = values[longer]
+                for place in range(1, stem):
+                    head = head + values[longer + place]
+                out[-1].append(_mix(head))
     return [np.concatenate(o) if o else np.zeros(0, np.uint64) for o in out]
 
 

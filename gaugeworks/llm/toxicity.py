@@ -1,6 +1,6 @@
 """Toxicity by the nearest labelled examples under exact TF-IDF cosine.
 
-Features are the lower-cased words of a text and, as stems, their first four letters, hashed into 2**20 places,
+Features are the lower-cased words of a text and, as stems, their first four bytes, hashed into 2**20 places,
 so a model has a bounded size whatever the vocabulary. Every word of the examples counts but stop words
 (in more than ``MOST_TEXTS`` of all texts and of both labels alike): its weight is (1 + ln tf) times its inverse document frequency over all
 texts times how far its presence depends on the label among the examples (between ``FLOOR`` and 1, by the
@@ -40,12 +40,12 @@ from gaugeworks.llm.store import release, unused
 
 #: Labelled training rows that are fitted, and neighbours that vote.
 EXAMPLES, NEIGHBOURS = 8_192, 15
-#: Bits of a feature's place; letters of a longer word that stand for its stem.
+#: Bits of a feature's place; bytes of a longer word that stand for its stem.
 BITS, STEM = 20, 4
 #: Least weight of a word that says nothing about the label; chi-square and ratio at which one says much.
 FLOOR, CHI2, RATIO = 0.01, 30.0, 4.0
 #: Share of all texts beyond which a word is a stop word, unless it depends on the label for more than ``TELLING``.
-MOST_TEXTS, TELLING = 0.05, 0.5
+MOST_TEXTS, TELLING = 0.03, 0.5
 #: Pseudo-votes; power of the similarity in a vote.
 PRIOR, POWER = 0.5, 3
 #: Examples in a block; postings up to which a query adds them up without bounds; blocks visited first.
@@ -59,9 +59,8 @@ def features(text: str | None) -> tuple[np.ndarray, np.ndarray]:
     if not text:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
     low = text.lower()
-    words = (low.translate(_LETTERS) if low.isascii() else _OTHER.sub(" ", low)).split()
-    (own,) = word_hashes(" ".join([*words, *(w[:STEM] + "*" for w in words if len(w) > STEM)]))
-    return np.unique((own >> np.uint64(64 - BITS)).astype(np.int64), return_counts=True)
+    both = word_hashes(low.translate(_LETTERS) if low.isascii() else _OTHER.sub(" ", low), stem=STEM)
+    return np.unique((np.concatenate(both) >> np.uint64(64 - BITS)).astype(np.int64), return_counts=True)
 
 
 def _runs(first: np.ndarray, size: np.ndarray) -> np.ndarray:
