@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from gaugeworks.functions import columns as C
-from gaugeworks.operators import calibration, photometric, predictions, splits, studies
+from gaugeworks.operators import calibration, photometric, predictions, ranking, rasters, screens, splits, studies, thresholds
 from gaugeworks.plans import tables as T
-from gaugeworks.plans.catalog import EVENTS, MAPS, query, rounded
+from gaugeworks.plans.catalog import AUROC, CELLS, EVENTS, KTH, MAPS, VAL, query, rounded
 
 # --- calibration -------------------------------------------------------------------------------
 
@@ -201,3 +201,80 @@ def object_masks(spark, d):
     fore = off.groupBy("vec_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "x"))), lambda s: s["x"]).alias("f"))  # 64 cells
     mask = fore.select("vec_id", photometric.object_mask()("f", F.lit(8), F.lit(8)).alias("mask"))
     return mask.select("vec_id", "mask", photometric.on_grid(4, 4)(F.transform("mask", lambda x: x.cast("double")), F.lit(8), F.lit(8)).alias("grid"))
+
+
+# --- screens -----------------------------------------------------------------------------------
+
+
+LEVELS = "[" + ", ".join(str(1.0 - 0.36 * k / 10) for k in range(11)) + "]"
+
+
+@query(f"WITH {CELLS}, n AS (SELECT value FROM c WHERE NOT truth), q AS (SELECT unnest(quantile_cont(value, {LEVELS})) AS t FROM n UNION SELECT max(value) + greatest(abs(max(value)), 1.0) * pow(2.0, -52) FROM n) SELECT DISTINCT round(t, 6) AS threshold FROM q")
+def threshold_grid(spark, d):
+    return rounded(screens.threshold_grid(T.cells(spark, d).where("NOT truth"), "value", 0.3, 11)).distinct()
+
+
+@query(f"WITH {CELLS}, r AS (SELECT unnest(['sigma', 'quantile']) AS rule, unnest([avg(value) + 3 * stddev_pop(value), quantile_cont(value, 0.999)]) AS threshold FROM c WHERE label = 0) SELECT rule, round(threshold, 6) AS threshold, round(count(*) FILTER (value > threshold AND truth) / nullif(count(*) FILTER (value > threshold), 0)::DOUBLE, 6) AS precision, round(count(*) FILTER (value > threshold AND truth) / count(*) FILTER (truth)::DOUBLE, 6) AS recall, round(2.0 * count(*) FILTER (value > threshold AND truth) / (count(*) FILTER (value > threshold) + count(*) FILTER (truth)), 6) AS f1 FROM c, r WHERE label = 1 GROUP BY rule, threshold")
+def pixel_threshold_rules(spark, d):
+    c = T.cells(spark, d)
+    return rounded(screens.pixel_thresholds(c.where("label = 0"), c.where("label = 1"), "value", "truth"))
+
+
+POOLS = "p AS (SELECT 'validation' AS pool, score FROM e WHERE label = 0 AND split = 'validation' UNION ALL SELECT 'early', score FROM e WHERE label = 0 AND split = 'validation' AND user_id % 2 = 0 UNION ALL SELECT 'both', score FROM e WHERE label = 0 AND split = 'validation'), o AS (SELECT *, row_number() OVER (PARTITION BY pool ORDER BY score DESC) AS q, count(*) OVER (PARTITION BY pool) AS n FROM p), k AS (SELECT pool, n, CAST(floor(0.02 * (n + 1) + 1e-9) AS INT) AS k, score AS threshold FROM o WHERE q = greatest(1, CAST(floor(0.02 * (n + 1) + 1e-9) AS INT)))"
+
+
+@query(f"WITH {EVENTS}, {POOLS}, x AS (SELECT pool, n, k, threshold, count(*) FILTER (label = 0 AND t.score > threshold) AS fa, count(*) FILTER (label = 0) AS m, avg(CAST(t.score > threshold AS DOUBLE)) FILTER (label = 1) AS recall FROM k, e AS t WHERE t.split = 'test' GROUP BY ALL) SELECT pool, n, round(threshold, 6) AS threshold, round(fa / m::DOUBLE, 6) AS fpr, round(recall, 6) AS recall, fa AS false_alarms, round(k / (n + 1)::DOUBLE * m, 6) AS expected, fa <= k / (n + 1)::DOUBLE * m + 2 * sqrt(k / (n + 1)::DOUBLE * m) AS within_bound FROM x")
+def recalibration(spark, d):
+    e = T.events(spark, d)
+    pool = e.where("label = 0 AND split = 'validation'")
+    return rounded(screens.recalibration({"validation": pool, "early": pool.where("user_id % 2 = 0"), "both": pool}, e.where("split = 'test'"), "label", "score", 0.02))
+
+
+@query(f"WITH {MAPS}, b AS (SELECT vec_id, label, list_max(list_transform(list_filter(range(64), lambda i: i // 8 BETWEEN 1 AND 6 AND i % 8 BETWEEN 1 AND 6), lambda i: map[i + 1])) AS score FROM m), v AS (SELECT * FROM b WHERE label = 0), {KTH.format(a=0.05)} SELECT vec_id, round(score, 6) AS score, score > threshold AS flagged FROM b, th")
+def border_masked_scores(spark, d):
+    b = T.maps(spark, d).select("vec_id", "label", screens.inner_max(F.col("map"), 8, 8, 1).alias("score"))
+    at = thresholds.ranked_threshold(b.where("label = 0"), "score", 0.05).select("threshold")
+    return rounded(b.crossJoin(F.broadcast(at)).select("vec_id", "score", (F.col("score") > F.col("threshold")).alias("flagged")))
+
+
+@query(f"WITH {EVENTS}, {VAL}, {KTH.format(a=0.05)}, s AS (SELECT * FROM t WHERE user_id % 4 = 1), f AS (SELECT score, sum(label) AS pos, count(*) - sum(label) AS neg FROM s GROUP BY score) SELECT (SELECT round({AUROC}, 6) FROM (SELECT *, sum(neg) OVER (ORDER BY score) AS cn FROM f)) AS auroc, CAST((SELECT sum(pos) FROM f) AS BIGINT) AS n_pos, CAST((SELECT sum(neg) FROM f) AS BIGINT) AS n_neg, round(avg(CAST(score > threshold AS DOUBLE)) FILTER (label = 0), 6) AS fpr, round(avg(CAST(score > threshold AS DOUBLE)) FILTER (label = 1), 6) AS recall FROM s, (SELECT threshold FROM th)")
+def condition_subset(spark, d):
+    e = T.events(spark, d)
+    at = thresholds.ranked_threshold(e.where("split = 'validation' AND label = 0"), "score", 0.05)
+    return rounded(screens.condition_metrics(e.where("split = 'test'"), F.col("user_id") % 4 == 1, "label", "score", at))
+
+
+@query("SELECT p_partkey, CASE WHEN len(v) = 0 THEN 'base' ELSE array_to_string(v, ',') END AS variant FROM (SELECT p_partkey, list_filter([CASE WHEN p_brand <> 'Brand#11' THEN 'brand=' || p_brand END, CASE WHEN p_size <> 7 THEN 'size=' || p_size END], lambda x: x IS NOT NULL) AS v FROM part)")
+def sweep_variants(spark, d):
+    p = T.read(spark, d, "part")
+    held = F.create_map(F.lit("size"), F.col("p_size").cast("string"), F.lit("brand"), F.col("p_brand"))
+    return screens.sweep_labels(p.withColumn("settings", held), "settings", {"brand": "Brand#11", "size": "7"}).select("p_partkey", "variant")
+
+
+@query("SELECT CAST(unnest([448, 999]) AS INT) AS long_side, unnest(['marginal', NULL]) AS verdict, unnest([false, false]) AS accepted")
+def transform_policy(spark, d):
+    verdicts = spark.createDataFrame([(320, "reject"), (448, "marginal"), (640, "accept")], "long_side int, verdict string")
+    return screens.transform_policy(verdicts, 448).unionAll(screens.transform_policy(verdicts, 999))
+
+
+@query()
+def confirmation_rule(spark, d):
+    return screens.confirmed(method_comparisons(spark, d), ("rule",))
+
+
+@query()
+def smoothing_sweep(spark, d):
+    """AUROC of the maximum after smoothing by each of several widths."""
+    m = T.maps(spark, d)
+    swept = None
+    for sigma in (0.0, 0.5, 1.0, 2.0):
+        one = m.select("label", F.lit(sigma).alias("sigma"), F.array_max(rasters.smooth(sigma)("map", F.lit(8), F.lit(8)) if sigma else F.col("map")).alias("score"))
+        swept = one if swept is None else swept.unionAll(one)
+    return ranking.roc_auc(swept, "label", "score", ("sigma",))
+
+
+@query()
+def logistic_head(spark, d):
+    m = T.maps(spark, d).select("vec_id", "label", F.array_max("map").alias("high"), C.mean_of(F.col("map")).alias("mean"), C.top_fraction_mean(F.col("map"), 0.05).alias("top"))
+    model = screens.logistic_head(m.where("vec_id % 3 <> 0"), ("high", "mean", "top"), "label")
+    return screens.head_scores(model, m).select("vec_id", "label", "score")
