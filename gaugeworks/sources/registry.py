@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import time
 from collections.abc import Mapping
 from dataclasses import asdict, dataclass, field
 
@@ -131,9 +132,87 @@ def write_results(df: DataFrame, path: str, keys: list[str]) -> None:
     df.orderBy(*keys).coalesce(1).write.mode("overwrite").option("header", True).csv(path)
 
 
+def append_results(spark: SparkSession, df: DataFrame, path: str, keys: list[str]) -> int:
+    """Append the rows whose keys are not at ``path`` yet; how many there were. A repeated call appends nothing."""
+    from pyspark.errors import AnalysisException
+
+    own = df.dropDuplicates(keys)
+    try:
+        own = own.join(spark.read.parquet(path).select(*keys), keys, "left_anti")
+    except AnalysisException:  # nothing there yet
+        pass
+    own = own.persist()
+    n = own.count()
+    if n:
+        own.write.mode("append").parquet(path)
+    own.unpersist()
+    return n
+
+
+def save_artifact(spark: SparkSession, path: str, tables: Mapping[str, DataFrame], meta: Mapping, threshold: float, guards: DataFrame | None = None) -> None:
+    """A fitted model as Parquet tables beside one JSON text of settings, frozen threshold and format; the text is
+    written last, so that a folder without it holds no artifact."""
+    root = path.rstrip("/")
+    for name, df in {**tables, **({"guards": guards} if guards is not None else {})}.items():
+        df.write.mode("overwrite").parquet(f"{root}/{name}")
+    text = canonical({"format": ARTIFACT, "tables": sorted(tables), "guards": guards is not None, "threshold": threshold, **meta})
+    spark.createDataFrame([(text,)], "value string").coalesce(1).write.mode("overwrite").text(f"{root}/meta")
+
+
+def load_artifact(spark: SparkSession, path: str) -> tuple[dict, dict[str, DataFrame]]:
+    """Settings and tables of an artifact; another format is refused."""
+    root = path.rstrip("/")
+    meta = json.loads(spark.read.text(f"{root}/meta", wholetext=True).first().value)
+    if meta.get("format") != ARTIFACT:
+        raise ValueError(f"{path} has format {meta.get('format')}, not {ARTIFACT}")
+    names = [*meta["tables"], *(["guards"] if meta["guards"] else [])]
+    return meta, {n: spark.read.parquet(f"{root}/{n}") for n in names}
+
+
+#: Version of the artifact's layout.
+ARTIFACT = 1
+
+
+class Tracker:
+    """Parameters and metrics of a run as rows of one table, written when the run ends, also by an error."""
+
+    def __init__(self, spark: SparkSession, path: str, name: str, reportable: bool = True):
+        self.spark, self.path, self.name, self.reportable, self.rows = spark, path, name, reportable, []
+
+    def __enter__(self) -> Tracker:
+        self.began = time.time()
+        return self
+
+    def log(self, kind: str, values: Mapping[str, object]) -> None:
+        self.rows += [(kind, k, None if isinstance(v, str) else float(v), str(v)) for k, v in flattened(values).items()]
+
+    def __exit__(self, error, *_) -> None:
+        self.log("run", {"seconds": time.time() - self.began, "status": "failed" if error else "completed"})
+        own = self.spark.createDataFrame(self.rows, "kind string, key string, value double, text string")
+        own = own.select(F.lit(self.name).alias("run"), F.lit(self.reportable).alias("reportable"), "*")
+        own.coalesce(1).write.mode("append").parquet(self.path)
+
+
 def markdown(df: DataFrame, limit: int = 1000) -> str:
-    """A report of at most ``limit`` rows as a Markdown table, undefined values as a dash."""
-    rows = df.limit(limit).collect()
+    """A report as a Markdown table, undefined values as a dash. A table of more than ``limit`` rows is cut, and says so."""
+    rows = df.limit(limit + 1).collect()
     shown = lambda v: "-" if v is None or v != v else f"{v:.4g}" if isinstance(v, float) else str(v)
     head = f"| {' | '.join(df.columns)} |\n|{'---|' * len(df.columns)}\n"
-    return head + "".join(f"| {' | '.join(shown(v) for v in r)} |\n" for r in rows)
+    text = head + "".join(f"| {' | '.join(shown(v) for v in r)} |\n" for r in rows[:limit])
+    return text if len(rows) <= limit else f"{text}\nThe first {limit} of {df.count()} rows.\n"
+
+
+def report(title: str, sections: Mapping[str, DataFrame]) -> str:
+    """A profile's or study's tables below one another, each under its name; an empty one is said to be empty."""
+    parts = [f"# {title}\n"]
+    for name, df in sections.items():
+        parts.append(f"## {name}\n\n" + ("No rows.\n" if df.isEmpty() else markdown(df)))
+    return "\n".join(parts)
+
+
+def write_report(spark: SparkSession, title: str, sections: Mapping[str, DataFrame], path: str) -> None:
+    """The report as Markdown text and each table as JSON lines below ``path``."""
+    root = path.rstrip("/")
+    spark.createDataFrame([(report(title, sections),)], "value string").coalesce(1).write.mode("overwrite").text(f"{root}/report")
+    for k, df in enumerate(sections.values()):
+        df.coalesce(1).write.mode("overwrite").json(f"{root}/table-{k}")

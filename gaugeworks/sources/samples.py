@@ -80,6 +80,17 @@ def split_list(spark: SparkSession, path: str) -> DataFrame:
     return own.select(F.col("image").alias("image_path"), (F.col("label") != "normal").cast("int").alias("label"), F.when(F.col("label") == "normal", "good").otherwise(F.col("label")).alias("defect_type"), "split", F.col("object").alias("category"), F.col("mask").alias("mask_path"))
 
 
+def load_category(spark: SparkSession, root: str, category: str, of: Layout, split_csv: str | None = None, require_masks: bool = True) -> dict[str, DataFrame]:
+    """The samples of one category by split, from a split list where one is named, else from the folders; ordered by path.
+    A split of the layout that has no rows is an empty table, and one without any split an error."""
+    rows = split_list(spark, split_csv) if split_csv else discover(spark, root, of, require_masks)
+    rows = rows.where(F.col("category") == category)
+    names = [r.split for r in rows.select("split").distinct().collect()] if split_csv else list(of.splits)  # a handful
+    if rows.isEmpty():
+        raise ValueError(f"no samples of {category} below {split_csv or root}")
+    return {s: check_training(rows.where(F.col("split") == s), of.fit_splits).orderBy("image_path") for s in names}
+
+
 def defect_types(spark: SparkSession, path: str) -> DataFrame:
     """(image, type) from a list whose columns may go by several names."""
     raw = spark.read.csv(path, header=True)
