@@ -56,10 +56,20 @@ def cluster_fold(cluster: Column, k: int, seed: int | str) -> Column:
 
 
 def draws(df: DataFrame, id: str, n_draws: int, size: int, seed: int | str) -> DataFrame:
-    """``n_draws`` seeded samples of ``size`` rows without replacement, with the column draw."""
-    own = df.withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(n_draws - 1))))
-    w = Window.partitionBy("draw").orderBy(F.sha2(F.concat(F.lit(f"{seed}:"), F.col("draw").cast("string"), F.lit(":"), F.col(id).cast("string")), 256), id)
-    return own.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= size).drop("_r")
+    """``n_draws`` seeded samples of ``size`` rows without replacement, with the column draw.
+
+    A draw takes its rows of least hash. Only rows whose hash lies below a generous bound go on to be ranked, so a draw's
+    window holds about ``size`` rows; should the bound have left a draw too few, all rows are ranked."""
+    n = df.count()
+    h = F.sha2(F.concat(F.lit(f"{seed}:"), F.col("draw").cast("string"), F.lit(":"), F.col(id).cast("string")), 256)
+    own = df.withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(n_draws - 1)))).withColumn("_h", h)
+    likely = (size + 6.0 * size**0.5 + 20.0) / max(n, 1)
+    if likely < 0.5:
+        few = own.where(F.conv(F.substring("_h", 1, 8), 16, 10).cast("long") < int(likely * 2**32)).persist()
+        enough = few.groupBy("draw").agg(F.count("*").alias("_n")).where(F.col("_n") >= size).count() == n_draws
+        own = few if enough else own
+    w = Window.partitionBy("draw").orderBy("_h", id)
+    return own.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= size).drop("_r", "_h")
 
 
 def listing_digest(df: DataFrame, id: str, by: tuple[str, ...]) -> DataFrame:
