@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gaugeworks.llm import bpe, decontam, html, jaccard, pii, secrets, tokencount, toxicity, urls, vectors
+from gaugeworks.llm import bpe, decontam, html, jaccard, pieces, pii, secrets, tokencount, toxicity, urls, vectors
 from gaugeworks.llm import spans as S
 
 
@@ -97,7 +97,12 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
-QUERIES = {"op6_embedding_join": op6_embedding_join, "op10_jaccard_join": op10_jaccard_join, "op1_html": op1_html, "op2_token_counts": op2_token_counts, "op3_pii": op3_pii, "op4_url_filter": op4_url_filter, "op5_toxicity": op5_toxicity, "op8_secrets": op8_secrets, "op7_decontamination": op7_decontamination, "op9_bpe": op9_bpe, "pii_base": pii_base, "secrets_base": secrets_base, "url_written_rules": url_written_rules}
+def op11_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return pieces.encode(docs, tokenizer_path("piece_bpe_32k.model"), digests=True)
+
+
+QUERIES = {"op11_sentencepiece": op11_sentencepiece, "op6_embedding_join": op6_embedding_join, "op10_jaccard_join": op10_jaccard_join, "op1_html": op1_html, "op2_token_counts": op2_token_counts, "op3_pii": op3_pii, "op4_url_filter": op4_url_filter, "op5_toxicity": op5_toxicity, "op8_secrets": op8_secrets, "op7_decontamination": op7_decontamination, "op9_bpe": op9_bpe, "pii_base": pii_base, "secrets_base": secrets_base, "url_written_rules": url_written_rules}
 
 
 def _spans_sql(kinds: dict[str, tuple[str, str]]) -> str:
