@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gaugeworks.llm import bpe, decontam, html, jaccard, pieces, pii, secrets, tokencount, toxicity, urls, vectors
+from gaugeworks.llm import bpe, decontam, html, jaccard, pieces, pii, ranking, secrets, tokencount, toxicity, urls, vectors
 from gaugeworks.llm import spans as S
 
 
@@ -102,7 +102,12 @@ def op11_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.encode(docs, tokenizer_path("piece_bpe_32k.model"), digests=True)
 
 
-QUERIES = {"op11_sentencepiece": op11_sentencepiece, "op6_embedding_join": op6_embedding_join, "op10_jaccard_join": op10_jaccard_join, "op1_html": op1_html, "op2_token_counts": op2_token_counts, "op3_pii": op3_pii, "op4_url_filter": op4_url_filter, "op5_toxicity": op5_toxicity, "op8_secrets": op8_secrets, "op7_decontamination": op7_decontamination, "op9_bpe": op9_bpe, "pii_base": pii_base, "secrets_base": secrets_base, "url_written_rules": url_written_rules}
+def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, items = spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    return ranking.search(docs, items)
+
+
+QUERIES = {"op12_lexical_search": op12_lexical_search, "op11_sentencepiece": op11_sentencepiece, "op6_embedding_join": op6_embedding_join, "op10_jaccard_join": op10_jaccard_join, "op1_html": op1_html, "op2_token_counts": op2_token_counts, "op3_pii": op3_pii, "op4_url_filter": op4_url_filter, "op5_toxicity": op5_toxicity, "op8_secrets": op8_secrets, "op7_decontamination": op7_decontamination, "op9_bpe": op9_bpe, "pii_base": pii_base, "secrets_base": secrets_base, "url_written_rules": url_written_rules}
 
 
 def _spans_sql(kinds: dict[str, tuple[str, str]]) -> str:
@@ -162,6 +167,18 @@ l AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE
 r AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT r.a, l.b FROM r JOIN l ON l.a = r.b),
 m AS (SELECT a, min(b) AS component_id FROM r GROUP BY a)
 SELECT documents.doc_id, coalesce(n.n, 0) AS n_shingles, component_id FROM documents JOIN m ON m.a = documents.doc_id LEFT JOIN n ON n.doc_id = documents.doc_id""",
+    "op12_lexical_search": r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents WHERE text IS NOT NULL),
+i AS (SELECT row_number() OVER () AS q, item_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM benchmark WHERE text IS NOT NULL),
+p AS (SELECT r, t, count(*) AS tf FROM (SELECT r, unnest(w) AS t FROM d) GROUP BY r, t),
+a AS (SELECT q, item_id, t, count(*) AS times FROM (SELECT q, item_id, unnest(w) AS t FROM i) GROUP BY ALL),
+n AS (SELECT count(*) AS docs, CAST(sum(len(w)) AS BIGINT) AS terms FROM d WHERE len(w) > 0),
+f AS (SELECT t, CAST(floor(1000 * ln(CAST(2 * docs + 2 AS DOUBLE) / CAST(2 * df + 1 AS DOUBLE))) AS BIGINT) AS weight FROM (SELECT t, count(*) AS df FROM p GROUP BY t), n),
+m AS (SELECT r, doc_id, 75 + (25 * len(w) * docs) // terms AS m FROM d, n WHERE len(w) > 0),
+s AS (SELECT q, item_id, r, doc_id, CAST(sum(times * weight * ((1000000000 * tf) // (1000 * tf + 12 * m))) AS BIGINT) AS score
+      FROM a JOIN f USING (t) JOIN p USING (t) JOIN m USING (r) GROUP BY ALL),
+k AS (SELECT item_id, row_number() OVER (PARTITION BY q ORDER BY score DESC, doc_id) AS rank, doc_id, score FROM s WHERE score > 0)
+SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM k WHERE rank <= 20""",
     "op7_decontamination": r"""
 WITH dw AS (SELECT doc_id, row_number() OVER () AS r, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
 iw AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
