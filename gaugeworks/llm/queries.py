@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gaugeworks.llm import bpe, decontam, html, jaccard, pieces, pii, ranking, secrets, tokencount, toxicity, urls, vectors
+from gaugeworks.llm import bpe, decontam, html, jaccard, negatives, pieces, pii, ranking, secrets, tokencount, toxicity, urls, vectors
 from gaugeworks.llm import spans as S
 
 
@@ -107,7 +107,13 @@ def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranking.search(docs, items)
 
 
-QUERIES = {"op12_lexical_search": op12_lexical_search, "op11_sentencepiece": op11_sentencepiece, "op6_embedding_join": op6_embedding_join, "op10_jaccard_join": op10_jaccard_join, "op1_html": op1_html, "op2_token_counts": op2_token_counts, "op3_pii": op3_pii, "op4_url_filter": op4_url_filter, "op5_toxicity": op5_toxicity, "op8_secrets": op8_secrets, "op7_decontamination": op7_decontamination, "op9_bpe": op9_bpe, "pii_base": pii_base, "secrets_base": secrets_base, "url_written_rules": url_written_rules}
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.mine(rows.withColumn("label", moved), F.col("vec_id") % 50 == 0)
+
+
+QUERIES = {"op13_hard_negatives": op13_hard_negatives, "op12_lexical_search": op12_lexical_search, "op11_sentencepiece": op11_sentencepiece, "op6_embedding_join": op6_embedding_join, "op10_jaccard_join": op10_jaccard_join, "op1_html": op1_html, "op2_token_counts": op2_token_counts, "op3_pii": op3_pii, "op4_url_filter": op4_url_filter, "op5_toxicity": op5_toxicity, "op8_secrets": op8_secrets, "op7_decontamination": op7_decontamination, "op9_bpe": op9_bpe, "pii_base": pii_base, "secrets_base": secrets_base, "url_written_rules": url_written_rules}
 
 
 def _spans_sql(kinds: dict[str, tuple[str, str]]) -> str:
@@ -179,6 +185,14 @@ s AS (SELECT q, item_id, r, doc_id, CAST(sum(times * weight * ((1000000000 * tf)
       FROM a JOIN f USING (t) JOIN p USING (t) JOIN m USING (r) GROUP BY ALL),
 k AS (SELECT item_id, row_number() OVER (PARTITION BY q ORDER BY score DESC, doc_id) AS rank, doc_id, score FROM s WHERE score > 0)
 SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM k WHERE rank <= 20""",
+    "op13_hard_negatives": r"""
+WITH u AS (SELECT row_number() OVER () AS r, vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS e FROM embeddings
+      WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND NOT list_contains(list_transform(embedding, lambda x: x IS NULL OR NOT isfinite(x)), true)),
+s AS (SELECT a.r, a.vec_id AS anchor_id, a.label AS own, b.vec_id, b.label, CAST(list_dot_product(a.e, b.e) AS BIGINT) AS score FROM u a JOIN u b ON len(a.e) = len(b.e) WHERE a.vec_id % 50 = 0),
+p AS (SELECT r, vec_id AS positive_id, score AS positive_score, row_number() OVER (PARTITION BY r ORDER BY score DESC, vec_id) AS k FROM s WHERE label = own AND vec_id <> anchor_id),
+n AS (SELECT anchor_id, positive_id, row_number() OVER (PARTITION BY r, k ORDER BY score DESC, vec_id) AS rank, vec_id AS negative_id, positive_score, score AS negative_score
+      FROM p JOIN s USING (r) WHERE k <= 5 AND label <> own AND 50 * positive_score <= 100 * score AND 100 * score <= 95 * positive_score)
+SELECT anchor_id, positive_id, CAST(rank AS INTEGER) AS rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 3""",
     "op7_decontamination": r"""
 WITH dw AS (SELECT doc_id, row_number() OVER () AS r, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
 iw AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
