@@ -2,16 +2,18 @@
 
 White space is written as a marker, and no piece of the model goes on past a word into the next marker; so
 a text is cut before every run of markers, and each part (a marked word) is segmented alone with the same
-result. Texts are laid out in blocks: the distinct marked words of a block with a number for each, and the texts
-as sequences of these numbers. Over all blocks every distinct marked word is segmented once, by merging the
-adjacent pair of highest score (the leftmost of equals) until no pair is a piece; characters without a piece become
-bytes. The ids go back to the blocks by (word, block), once for each block that holds the word, and to the texts by
-position. So neither texts nor single occurrences are shuffled by word, however often a word occurs.
+result. A marked word is cut again where two characters meet that no piece holds side by side, as between a letter and a
+full stop; that is read off the vocabulary, too. Texts are laid out in blocks: the distinct words of a block, numbered by
+frequency, and the texts as sequences of these numbers. A block sends its words, each once, to parts dealt out by hash of
+the word. There every distinct word is segmented once, by merging the adjacent pair of highest score (the leftmost of
+equals) until no pair is a piece; characters without a piece become bytes. The ids go back to the blocks, and to the
+texts by position. So neither texts nor single occurrences are shuffled by word, and a word counts once for each block,
+however often it occurs: there is no hot key.
 
 A block and its numbers are written together in the shared folder before anything is joined, so a task that is
 run again cannot number a block anew.
 
-Null and empty texts have the end id alone. Very long texts are a block of their own. Repeated rows and ids give one
+Null and empty texts have the end id alone. A very long text is in one block. Repeated rows and ids give one
 row each, a null id is kept, an empty table gives no rows, and extra columns are ignored.
 """
 
@@ -21,10 +23,13 @@ import functools
 import hashlib
 import heapq
 import re
+import zlib
+from collections import defaultdict
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -32,8 +37,8 @@ from pyspark.sql import types as T
 from gaugeworks.llm.store import materialise, release
 
 MARK = "▁"
-#: Characters of text and distinct marked words after which a block is closed.
-BLOCK_CHARS, BLOCK_WORDS = 4 << 20, 100_000
+#: Characters of text and distinct words after which a block is closed; words of a part, on average.
+BLOCK_CHARS, BLOCK_WORDS, PART_WORDS = 32 << 20, 1 << 19, 100_000
 #: Symbols from which the merges of a word are kept in a heap.
 LONG = 64
 _RUNS = re.compile(f"{MARK}+[^{MARK}]*")
@@ -68,6 +73,8 @@ class Model:
             raise ValueError("a piece crosses a marker, so words cannot be segmented alone")
         self.ids = {names[i]: i for i in own}
         self.cost = {names[i]: -lib.get_score(i) for i in own}
+        letters = re.escape("".join(sorted(_side_by_side(self.ids))))
+        self.parts = re.compile(f"{MARK}*(?:[{letters}]+|[^{letters}{MARK}]+)|{MARK}+" if letters else f"{MARK}*[^{MARK}]+|{MARK}+")
 
     def segment(self, word: str) -> list[int]:
         """Ids of one marked word."""
@@ -138,6 +145,26 @@ class Model:
         return "".join(out)
 
 
+def _side_by_side(pieces: Iterable[str]) -> set[str]:
+    """The largest set of characters that pieces chain together: no piece has one of them next to any other character
+    but the marker in front."""
+    up: dict[str, str] = {}
+
+    def top(c: str) -> str:
+        while (above := up.setdefault(c, c)) != c:
+            c = above
+        return c
+
+    for p in pieces:
+        p = p.lstrip(MARK)
+        for a, b in zip(p, p[1:], strict=False):
+            up[top(a)] = top(b)
+    sets = defaultdict(set)
+    for c in list(up):
+        sets[top(c)].add(c)
+    return max(sets.values(), key=len, default=set())
+
+
 @functools.lru_cache(2)
 def _model(data: bytes) -> Model:
     return Model(data)
@@ -151,73 +178,128 @@ def marked_words(text: str) -> list[str]:
 
 
 class _Numbers(dict):
-    def __missing__(self, word: str) -> int:
-        self[word] = n = len(self)
-        return n
+    """Numbers of words in order of appearance; of a marked word, the packed numbers of its parts."""
+
+    def __init__(self, parts: re.Pattern):
+        self.words: dict[str, int] = {}
+        self.parts = parts
+
+    def __missing__(self, marked: str) -> bytes:
+        words = self.words
+        self[marked] = out = np.array([words.setdefault(w, len(words)) for w in self.parts.findall(MARK + marked)], "<u4").tobytes()
+        return out
+
+
+def _small(values: np.ndarray) -> bytes:
+    return zstandard.compress(values.astype("<u4").tobytes(), 3)
 
 
-def _blocks(docs: DataFrame, id: str, text: str, chars: int, words: int) -> DataFrame:
-    """A row for each block: the ids of its rows, the number of marked words of each, their numbers, the words."""
+def _large(data: bytes) -> np.ndarray:
+    return np.frombuffer(zstandard.decompress(data), "<u4")
+
+
+def _hash(word: str) -> int:
+    return zlib.crc32(word.encode())
+
+
+def _blocks(docs: DataFrame, model, id: str, text: str, chars: int, words: int) -> DataFrame:
+    """A row for each block: ids of its rows, how many words each has (sizes), their numbers by falling frequency (low
+    16 bits, and all of those that need more), the place of each number's word by hash, the words in that order."""
     src = docs.select(F.col(id).alias("id"), F.col(text).cast("string").alias("t"))
     kind = src.schema["id"].dataType
-    schema = T.StructType([T.StructField("block", T.LongType()), T.StructField("ids", T.ArrayType(kind)), T.StructField("sizes", T.ArrayType(T.IntegerType())), T.StructField("width", T.IntegerType()), T.StructField("slots", T.BinaryType()), T.StructField("words", T.ArrayType(T.StringType()))])
+    binary = ("sizes", "low", "high", "places", "words")
+    schema = T.StructType([T.StructField("block", T.LongType()), T.StructField("n_words", T.LongType()), T.StructField("ids", T.ArrayType(kind)), *(T.StructField(c, T.BinaryType()) for c in binary)])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        serial, held, numbers, ids, texts = TaskContext.get().partitionId() << 32, 0, _Numbers(), [], []
+        parts = _model(model.value).parts
+        serial, held, numbers, ids, texts = TaskContext.get().partitionId() << 32, 0, _Numbers(parts), [], []
 
         def close() -> pa.RecordBatch:
             nonlocal serial, held, numbers
-            width = 2 if len(numbers) <= 1 << 16 else 4
-            slots = b"".join(x.astype(f"<u{width}").tobytes() for x in texts)
-            row = [pa.array([serial], pa.int64()), pa.ListArray.from_arrays([0, len(ids)], pa.concat_arrays(ids)), pa.array([[len(x) for x in texts]], pa.list_(pa.int32())), pa.array([width], pa.int32()), pa.array([slots], pa.binary()), pa.array([list(numbers)], pa.list_(pa.string()))]
-            serial, held, numbers = serial + 1, 0, _Numbers()
+            flat = np.frombuffer(b"".join(texts), "<u4")
+            often = np.argsort(-np.bincount(flat, minlength=len(numbers.words)), kind="stable")
+            rank = np.empty(len(often), np.int64)
+            rank[often] = np.arange(len(often))
+            coded = rank[flat]
+            names = list(numbers.words)
+            by = np.argsort(np.array([_hash(w) for w in names], np.int64), kind="stable")
+            places = np.empty(len(by), np.int64)
+            places[rank[by]] = np.arange(len(by))
+            blobs = [_small(np.array([len(x) // 4 for x in texts])), zstandard.compress(np.minimum(coded, 0xFFFF).astype("<u2").tobytes(), 3), _small(coded[coded >= 0xFFFF]), _small(places), zstandard.compress(" ".join([names[k] for k in by]).encode(), 3)]
+            row = [pa.array([serial], pa.int64()), pa.array([len(names)], pa.int64()), pa.ListArray.from_arrays([0, len(ids)], pa.concat_arrays(ids)), *(pa.array([x], pa.binary()) for x in blobs)]
+            serial, held, numbers = serial + 1, 0, _Numbers(parts)
             ids.clear()
             texts.clear()
             return pa.RecordBatch.from_arrays(row, schema.names)
 
         for batch in batches:
             for k, t in enumerate(batch.column(1).to_pylist()):
-                found = marked_words(t) if t else []
-                texts.append(np.fromiter(map(numbers.__getitem__, found), np.uint32, len(found)))
+                texts.append(b"".join(map(numbers.__getitem__, marked_words(t))) if t else b"")
                 ids.append(batch.column(0).slice(k, 1))
                 held += 40 + len(t or "")
-                if held > chars or len(numbers) > words:
+                if held > chars or len(numbers.words) > words:
                     yield close()
         if ids:
             yield close()
+        del numbers
         release()
 
     return src.mapInArrow(cut, schema)
 
 
-def encode(docs: DataFrame, path: str, id: str = "doc_id", text: str = "text", digests: bool = False, block_chars: int = BLOCK_CHARS, block_words: int = BLOCK_WORDS) -> DataFrame:
+def encode(docs: DataFrame, path: str, id: str = "doc_id", text: str = "text", digests: bool = False, block_chars: int = BLOCK_CHARS, block_words: int = BLOCK_WORDS, part_words: int = PART_WORDS) -> DataFrame:
     """``id``, n_tokens and token_ids (array<int>, with the end id) of every row; with ``digests`` the SHA-256 of the
     ids in decimals joined by spaces and of the decoded text instead of the ids."""
     with open(path, "rb") as f:
         model = docs.sparkSession.sparkContext.broadcast(f.read())  # a file of the tokenizer's own fixed size
-    blocks = materialise(_blocks(docs, id, text, block_chars, block_words), "blocks")
+    blocks = materialise(_blocks(docs, model, id, text, block_chars, block_words), "blocks")
+    parts = -(-(blocks.agg(F.sum("n_words")).first()[0] or 1) // part_words)
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for block, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                words = zstandard.decompress(data).decode().split(" ") if data else []
+                mine = np.array([_hash(w) * parts >> 32 for w in words], np.int64)  # rises with the place
+                starts = np.flatnonzero(np.diff(mine, prepend=-1))
+                rows = [(int(mine[a]), block, zstandard.compress(" ".join(words[a:b]).encode(), 3)) for a, b in zip(starts, [*starts[1:], len(words)], strict=True) if words != [""]]
+                yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.binary()))], ["part", "block", "words"])
 
     def segment(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = _model(model.value)
+        part, table = None, {}
         for batch in batches:
-            ids = [np.array(own.segment(MARK + w), "<u4").tobytes() for w in batch.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary())], ["word", "ids"])
+            out = []
+            for p, data in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                if p != part:
+                    part, table = p, {}
+                found = []
+                for w in zstandard.decompress(data).decode().split(" "):
+                    ids = table.get(w)
+                    if ids is None:
+                        table[w] = ids = own.segment(w)
+                    found.append(ids)
+                out.append(_small(np.array([len(x) for x in found])) + _small(np.array([i for x in found for i in x])))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.binary())], ["part", "block", "found"])
+        del table
+        release()
 
-    words = blocks.select(F.explode("words").alias("word")).distinct().mapInArrow(segment, "word string, ids binary")
-    held = blocks.select("block", F.posexplode("words").alias("slot", "word")).join(words, "word")
-    table = held.groupBy("block").agg(F.sort_array(F.collect_list(F.struct("slot", F.col("ids").alias("ids")))).alias("table"))
-    whole = blocks.select("block", "ids", "sizes", "width", "slots").join(table.select("block", F.col("table.ids").alias("table")), "block", "left")
+    dealt = blocks.select("block", "words").mapInArrow(deal, "part long, block long, words binary")
+    found = dealt.repartition(parts, "part").sortWithinPartitions("part").mapInArrow(segment, "part long, block long, found binary")
+    table = found.groupBy("block").agg(F.sort_array(F.collect_list(F.struct("part", "found"))).alias("table"))
+    whole = blocks.select("block", "ids", "sizes", "low", "high", "places").join(table.select("block", F.col("table.found").alias("table")), "block", "left")
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = _model(model.value)
         for batch in batches:
             for r in range(batch.num_rows):
-                ids, sizes, width, slots, table = (batch.column(k)[r] for k in range(1, 6))
-                ends = np.cumsum([0, *sizes.as_py()])
-                at = np.frombuffer(slots.as_py(), f"<u{width.as_py()}")
-                parts = [np.frombuffer(x, "<u4") for x in table.as_py() or []]
+                ids, sizes, low, high, places, table = (batch.column(k)[r] for k in range(1, 7))
+                ends = np.cumsum(np.concatenate([[0], _large(sizes.as_py())]))
+                at = np.frombuffer(zstandard.decompress(low.as_py()), "<u2").astype(np.uint32)
+                at[at == 0xFFFF] = _large(high.as_py())
+                segments = [ids for data in table.as_py() or [] for ids in _segments(data)]
+                parts = [segments[k] for k in _large(places.as_py()).tolist()]
                 yield (_digests if digests else _arrays)(own, ids.values, ends, at, parts)
         release()
 
@@ -226,6 +308,13 @@ def encode(docs: DataFrame, path: str, id: str = "doc_id", text: str = "text", d
     return whole.mapInArrow(join, f"id {kind}, n_tokens long, {extra}").withColumnRenamed("id", id)
 
 
+def _segments(data: bytes) -> list[np.ndarray]:
+    """The ids of each word of a part: two frames, lengths and ids."""
+    d = zstandard.ZstdDecompressor().decompressobj()
+    counts = np.frombuffer(d.decompress(data), "<u4")
+    return np.split(_large(d.unused_data), np.cumsum(counts)[:-1]) if len(counts) else []
+
+
 def _digests(own: Model, ids: pa.Array, ends: np.ndarray, at: np.ndarray, parts: list[np.ndarray]) -> pa.RecordBatch:
     count = np.array([len(p) for p in parts], np.int64)
     shown = [" ".join(map(str, p.tolist())) + " " for p in parts]

@@ -27,7 +27,7 @@ def some_texts(n):
 def test_words_alone_give_the_ids_of_the_whole(library):
     model = pieces.Model(open(PATH, "rb").read())
     for t in ODD + some_texts(300):
-        own = [i for w in (pieces.marked_words(t) if t else []) for i in model.segment(pieces.MARK + w)]
+        own = [i for w in (pieces.marked_words(t) if t else []) for p in model.parts.findall(pieces.MARK + w) for i in model.segment(p)]
         assert own == library.encode(t)
 
 
@@ -41,12 +41,12 @@ def test_decoding(library):
         assert pieces.decode(ids, PATH) == library.decode(ids)
 
 
-@pytest.mark.parametrize(("chars", "words"), [(pieces.BLOCK_CHARS, pieces.BLOCK_WORDS), (300, 20)])
-def test_tables_with_odd_rows(spark, library, chars, words):
+@pytest.mark.parametrize(("chars", "words", "part"), [(pieces.BLOCK_CHARS, pieces.BLOCK_WORDS, pieces.PART_WORDS), (300, 20, 7)])
+def test_tables_with_odd_rows(spark, library, chars, words, part):
     texts = [*ODD, None, *some_texts(40), "hello hello", "hello hello"]
     rows = [(k if k != 3 else None, t, f"extra{k}") for k, t in enumerate(texts)] + [(7, "again", "x")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, block string").repartition(3)
-    got = pieces.encode(docs, PATH, block_chars=chars, block_words=words)
+    got = pieces.encode(docs, PATH, block_chars=chars, block_words=words, part_words=part)
     assert got.columns == ["doc_id", "n_tokens", "token_ids"]
     want = sorted(((k, library.encode(t or "", add_eos=True)) for k, t, _ in rows), key=repr)
     assert sorted(((r.doc_id, r.token_ids) for r in got.collect()), key=repr) == want
