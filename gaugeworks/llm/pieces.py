@@ -39,6 +39,8 @@ from gaugeworks.llm.store import materialise, release
 MARK = "▁"
 #: Characters of text and distinct words after which a block is closed; words of a part, on average.
 BLOCK_CHARS, BLOCK_WORDS, PART_WORDS = 32 << 20, 1 << 19, 100_000
+#: Compression of what is written and shuffled; the codes of a word of one occurrence and of a number that needs more bits.
+LEVEL, ONCE, HIGH = 9, 0xFFFF, 0xFFFE
 #: Symbols from which the merges of a word are kept in a heap.
 LONG = 64
 _RUNS = re.compile(f"{MARK}+[^{MARK}]*")
@@ -191,7 +193,7 @@ class _Numbers(dict):
 
 
 def _small(values: np.ndarray) -> bytes:
-    return zstandard.compress(values.astype("<u4").tobytes(), 3)
+    return zstandard.compress(values.astype("<u4").tobytes(), LEVEL)
 
 
 def _large(data: bytes) -> np.ndarray:
@@ -203,8 +205,9 @@ def _hash(word: str) -> int:
 
 
 def _blocks(docs: DataFrame, model, id: str, text: str, chars: int, words: int) -> DataFrame:
-    """A row for each block: ids of its rows, how many words each has (sizes), their numbers by falling frequency (low
-    16 bits, and all of those that need more), the place of each number's word by hash, the words in that order."""
+    """A row for each block: ids of its rows, how many words each has (sizes), their numbers by falling frequency (16 bits,
+    or a code for those that need more and for words that occur once, which are numbered as they occur), the place of
+    each number's word by hash, the words in that order."""
     src = docs.select(F.col(id).alias("id"), F.col(text).cast("string").alias("t"))
     kind = src.schema["id"].dataType
     binary = ("sizes", "low", "high", "places", "words")
@@ -219,15 +222,19 @@ def _blocks(docs: DataFrame, model, id: str, text: str, chars: int, words: int)
         def close() -> pa.RecordBatch:
             nonlocal serial, held, numbers
             flat = np.frombuffer(b"".join(texts), "<u4")
-            often = np.argsort(-np.bincount(flat, minlength=len(numbers.words)), kind="stable")
-            rank = np.empty(len(often), np.int64)
-            rank[often] = np.arange(len(often))
-            coded = rank[flat]
+            count = np.bincount(flat, minlength=len(numbers.words))
             names = list(numbers.words)
             by = np.argsort(np.array([_hash(w) for w in names], np.int64), kind="stable")
-            places = np.empty(len(by), np.int64)
-            places[rank[by]] = np.arange(len(by))
-            blobs = [_small(np.array([len(x) // 4 for x in texts])), zstandard.compress(np.minimum(coded, 0xFFFF).astype("<u2").tobytes(), 3), _small(coded[coded >= 0xFFFF]), _small(places), zstandard.compress(" ".join([names[k] for k in by]).encode(), 3)]
+            place = np.empty(len(by), np.int64)
+            place[by] = np.arange(len(by))
+            order = np.lexsort((np.where(count == 1, np.arange(len(count)), place), -count))
+            rank = np.empty(len(order), np.int64)
+            rank[order] = np.arange(len(order))
+            coded, once = rank[flat], count[flat] == 1
+            low = np.where(once, ONCE, np.minimum(coded, HIGH)).astype("<u2")
+            often = int((count > 1).sum())
+            places = place[order]
+            blobs = [_small(np.array([len(x) // 4 for x in texts])), zstandard.compress(low.tobytes(), LEVEL), _small(coded[low == HIGH]), _small(np.diff(places[:often], prepend=0)) + _small(places[often:]), zstandard.compress(" ".join([names[k] for k in by]).encode(), LEVEL)]
             row = [pa.array([serial], pa.int64()), pa.array([len(names)], pa.int64()), pa.ListArray.from_arrays([0, len(ids)], pa.concat_arrays(ids)), *(pa.array([x], pa.binary()) for x in blobs)]
             serial, held, numbers = serial + 1, 0, _Numbers(parts)
             ids.clear()
@@ -263,7 +270,7 @@ def encode(docs: DataFrame, path: str, id: str = "doc_id", text: str = "text", d
                 words = zstandard.decompress(data).decode().split(" ") if data else []
                 mine = np.array([_hash(w) * parts >> 32 for w in words], np.int64)  # rises with the place
                 starts = np.flatnonzero(np.diff(mine, prepend=-1))
-                rows = [(int(mine[a]), block, zstandard.compress(" ".join(words[a:b]).encode(), 3)) for a, b in zip(starts, [*starts[1:], len(words)], strict=True) if words != [""]]
+                rows = [(int(mine[a]), block, zstandard.compress(" ".join(words[a:b]).encode(), LEVEL)) for a, b in zip(starts, [*starts[1:], len(words)], strict=True) if words != [""]]
                 yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.binary()))], ["part", "block", "words"])
 
     def segment(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -297,9 +304,12 @@ def encode(docs: DataFrame, path: str, id: str = "doc_id", text: str = "text", d
                 ids, sizes, low, high, places, table = (batch.column(k)[r] for k in range(1, 7))
                 ends = np.cumsum(np.concatenate([[0], _large(sizes.as_py())]))
                 at = np.frombuffer(zstandard.decompress(low.as_py()), "<u2").astype(np.uint32)
-                at[at == 0xFFFF] = _large(high.as_py())
+                often, once = _two(places.as_py())
+                is_once, is_high = at == ONCE, at == HIGH
+                at[is_once] = len(often) + np.arange(len(once))
+                at[is_high] = _large(high.as_py())
                 segments = [ids for data in table.as_py() or [] for ids in _segments(data)]
-                parts = [segments[k] for k in _large(places.as_py()).tolist()]
+                parts = [segments[k] for k in (np.cumsum(often, dtype="<u4").tolist() + once.tolist())]
                 yield (_digests if digests else _arrays)(own, ids.values, ends, at, parts)
         release()
 
@@ -308,11 +318,17 @@ def encode(docs: DataFrame, path: str, id: str = "doc_id", text: str = "text", d
     return whole.mapInArrow(join, f"id {kind}, n_tokens long, {extra}").withColumnRenamed("id", id)
 
 
-def _segments(data: bytes) -> list[np.ndarray]:
-    """The ids of each word of a part: two frames, lengths and ids."""
+def _two(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers of two frames one after the other."""
     d = zstandard.ZstdDecompressor().decompressobj()
-    counts = np.frombuffer(d.decompress(data), "<u4")
-    return np.split(_large(d.unused_data), np.cumsum(counts)[:-1]) if len(counts) else []
+    first = np.frombuffer(d.decompress(data), "<u4")
+    return first, _large(d.unused_data)
+
+
+def _segments(data: bytes) -> list[np.ndarray]:
+    """The ids of each word of a part."""
+    counts, ids = _two(data)
+    return np.split(ids, np.cumsum(counts)[:-1]) if len(counts) else []
 
 
 def _digests(own: Model, ids: pa.Array, ends: np.ndarray, at: np.ndarray, parts: list[np.ndarray]) -> pa.RecordBatch:

@@ -54,6 +54,17 @@ def test_tables_with_odd_rows(spark, library, chars, words, part):
     assert pieces.encode(docs.limit(0), PATH).count() == 0
 
 
+def test_words_beyond_sixteen_bits(spark, library):
+    """More words of a block occur twice than 16 bits number, and some once."""
+    words = [f"w{a}{b}" for a in range(300) for b in "abcdefghijklmnopqrstuvwxyz" for _ in range(9)]
+    rng = random.Random(9)
+    names = ["".join(rng.choice("aeioustr") for _ in range(7)) for _ in range(70_000)]
+    rows = [(k, " ".join(names[k * 700 : k * 700 + 701])) for k in range(100)] + [(100 + k, " ".join(reversed(names[k * 700 : k * 700 + 700]))) for k in range(99)] + [(200, " ".join(words))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    got = {r.doc_id: r.token_ids for r in pieces.encode(docs, PATH).collect()}
+    assert got == {k: library.encode(t, add_eos=True) for k, t in rows}
+
+
 def test_query_equals_the_library(spark, library):
     sf = "/root/testdata/sf0.001"
     got = {r.doc_id: r for r in op11_sentencepiece(spark, sf).collect()}
