@@ -89,6 +89,17 @@ def ellipse(radius: int) -> np.ndarray:
     return x * x + y * y <= radius * radius + 0.25
 
 
+def squared_distance(mask: np.ndarray) -> np.ndarray:
+    """Squared distance of each cell to the nearest one of the mask, row by row from the distances along columns."""
+    h, w = mask.shape
+    at = np.arange(h)[:, None]
+    above = np.maximum.accumulate(np.where(mask, at, -2 * (h + w)), axis=0)
+    below = np.minimum.accumulate(np.where(mask, at, 2 * h + w + h + w)[::-1], axis=0)[::-1]
+    near = np.minimum(at - above, below - at).astype(np.int64) ** 2
+    across = (np.arange(w)[:, None] - np.arange(w)[None, :]) ** 2
+    return np.array([(near[i][None, :] + across).min(axis=1) for i in range(h)]).reshape(h, w)
+
+
 def line(radius: int, degrees: float, thick: bool = False) -> np.ndarray:
     """A line of 2 radius + 1 cells at an angle; a thick one holds all cells within about one of it."""
     y, x = np.mgrid[-radius : radius + 1, -radius : radius + 1]

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 from itertools import combinations
 
@@ -11,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gaugeworks.functions.columns import hamming
+from gaugeworks.session import cut
 
 #: Offending pairs that a report lists; its detail gives their whole number.
 LISTED = 100
@@ -87,6 +89,74 @@ def hamming_groups(df: DataFrame, id: str, bits: str, distance: int) -> tuple[Da
     return hamming_pairs(named, "representative", "_h", distance), member
 
 
+def _bands(n: int) -> list[int]:
+    """Where 64 bits are cut so that a band's values are about as many as the hashes."""
+    m = max(1, min(32, round(64 / math.log2(max(n, 4)))))
+    return [64 * k // m for k in range(m + 1)]
+
+
+def hamming_nearest(queries: DataFrame, bank: DataFrame, id: str, bits: str, by: Sequence[str] = (), exclude_self: bool = False) -> DataFrame:
+    """(by, id, neighbour, distance): the nearest of the ``bank``'s 64-bit hashes for each query, within equal ``by``; the least
+    id of equally near ones. With ``exclude_self`` a row of the bank with the query's id is none.
+
+    Multi-index hashing with a growing radius: hashes are cut into m bands, and in round r each open hash asks for the
+    values that differ in r bits from its own in a band. After it every hash within m (r + 1) - 1 bits has been met, so a hash
+    whose nearest lies within that is settled. Equal hashes are one entry; no pairs leave a round but the best of each."""
+    own = bank.where(F.col(bits).isNotNull()).groupBy(*by, F.col(bits).alias("_g")).agg(F.min(id).alias("_first"))
+    if exclude_self:
+        more = bank.select(*by, F.col(bits).alias("_g"), F.col(id).alias("_id")).join(own, [*by, "_g"]).where(F.col("_id") > F.col("_first"))
+        own = own.join(more.groupBy(*by, "_g").agg(F.min("_id").alias("_second")), [*by, "_g"], "left")
+    own = cut(own)
+    asked = cut(queries.where(F.col(bits).isNotNull()).select(*by, F.col(bits).alias("_h")).distinct())
+    edges = _bands(own.count())
+    m = len(edges) - 1
+
+    def band(h: str, k: int) -> Column:
+        width = edges[k + 1] - edges[k]
+        return F.shiftrightunsigned(h, edges[k]).bitwiseAND(F.lit((1 << width) - 1 if width < 63 else -1).cast("long"))
+
+    def turned(k: int, radius: int) -> Column:
+        """The values of band ``k`` with ``radius`` bits turned."""
+        flips = [sum(1 << p for p in c) for c in combinations(range(edges[k + 1] - edges[k]), radius)]
+        return F.transform(F.array(*(F.lit(x - (1 << 64) if x >> 63 else x) for x in flips)).cast("array<long>"), lambda x: band("_h", k).bitwiseXOR(x))
+
+    table = own.select(*by, "_g", "_first", F.posexplode(F.array(*(band("_g", k) for k in range(m)))).alias("_k", "_v"))
+    best, still, far = None, asked, F.lit(65)
+    for radius in range(max(b - a for a, b in zip(edges, edges[1:], strict=False)) + 1):
+        probes = still.select(*by, "_h", F.posexplode(F.array(*(turned(k, radius) for k in range(m)))).alias("_k", "_vs")).select(*by, "_h", "_k", F.explode("_vs").alias("_v"))
+        met = probes.join(table, [*by, "_k", "_v"])
+        if exclude_self:
+            met = met.where("_g <> _h")
+        near = met.groupBy(*by, "_h").agg(F.min(F.struct(hamming(F.col("_h"), F.col("_g")).cast("int").alias("distance"), F.col("_first").alias("neighbour"))).alias("_x"))
+        best = cut(near if best is None else best.unionAll(near).groupBy(*by, "_h").agg(F.min("_x").alias("_x")))
+        still = cut(asked.join(best, [*by, "_h"], "left").where(F.coalesce(F.col("_x.distance"), far) > m * (radius + 1) - 1).select(*by, "_h"))
+        if still.isEmpty():
+            break
+    rows = queries.select(*by, id, F.col(bits).alias("_h")).where("_h IS NOT NULL")
+    if not exclude_self:
+        return rows.join(best, [*by, "_h"]).select(*by, id, "_x.neighbour", "_x.distance")
+    rows = rows.join(best, [*by, "_h"], "left").join(own.withColumnRenamed("_g", "_h"), [*by, "_h"], "left")
+    twin = F.when(F.col("_first") != F.col(id), F.col("_first")).otherwise(F.col("_second"))  # one with an equal hash
+    out = rows.select(*by, id, F.coalesce(twin, F.col("_x.neighbour")).alias("neighbour"), F.when(twin.isNotNull(), F.lit(0)).otherwise(F.col("_x.distance")).alias("distance"))
+    return out.where("neighbour IS NOT NULL")
+
+
+def cross_split_audit(df: DataFrame, id: str, bits: str, split: str, by: Sequence[str] = (), percentile: float = 1.0, train: str = "train", others: Sequence[str] = ("validation", "test")) -> DataFrame:
+    """Near-duplicates across splits, on a scale of the training set's own: for each ``by``, the median and the low percentile
+    (threshold) of the distances from training hashes to their nearest, training rows that have an equal one, and for every other
+    split the median distance to the training set, the rows below the threshold and those with an equal hash."""
+    bank = df.where(F.col(split) == train)
+    within = hamming_nearest(bank, bank, id, bits, by, exclude_self=True)
+    base = within.groupBy(*by).agg(F.count("*").alias("n_train"), F.median("distance").alias("train_median"), F.percentile("distance", F.lit(percentile / 100.0)).alias("threshold"), F.count_if(F.col("distance") == 0).alias("train_equal"))
+    rest = df.where(F.col(split).isin(list(others)))
+    near = hamming_nearest(rest, bank, id, bits, by).join(rest.select(*by, id, split), [*by, id])
+    joined = near.join(base.select(*by, "threshold"), list(by)) if by else near.crossJoin(F.broadcast(base.select("threshold")))  # one row
+    of = lambda s: F.col(split) == s
+    named = [c for s in others for c in (F.count_if(of(s)).alias(f"{s}_n"), F.median(F.when(of(s), F.col("distance"))).alias(f"{s}_median"), F.count_if(of(s) & (F.col("distance") < F.col("threshold"))).alias(f"{s}_below"), F.count_if(of(s) & (F.col("distance") == 0)).alias(f"{s}_equal"))]
+    crossed = joined.groupBy(*by).agg(*named)
+    return base.join(crossed, list(by), "left") if by else base.crossJoin(F.broadcast(crossed))  # one row
+
+
 def distance_percentile(df: DataFrame, id: str, bits: str, percentile: float) -> DataFrame:
     """Distribution of the distances of all pairs of a stated query set, exact; see :func:`distance_percentile_by`."""
     return distance_percentile_by(df.withColumn("_all", F.lit(0)), "_all", bits, percentile).drop("_all")

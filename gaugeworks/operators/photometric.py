@@ -80,17 +80,17 @@ def split_statistics(df: DataFrame, values: str, by: tuple[str, ...], most_cells
     return images.join(cells, list(by))
 
 
-def background(samples: DataFrame, channels: tuple[str, ...], trim: float = 0.05, quantile: float = 0.99) -> tuple[np.ndarray, np.ndarray, float]:
+def background(samples: DataFrame, channels: tuple[str, ...], trim: float = 0.05, quantile: float = 0.995, ridge: float = 1e-3) -> tuple[np.ndarray, np.ndarray, float]:
     """A trimmed Gaussian of background colours: mean, inverse covariance, and the quantile of squared Mahalanobis
     distances that separates background from object. Moments come from aggregates, twice: the share ``trim`` of
-    the farthest samples is left out of the second."""
+    the farthest samples is left out of the second. ``ridge`` is added to the diagonal of the sample covariance."""
 
     def moments(df: DataFrame) -> tuple[np.ndarray, np.ndarray]:
         k = range(len(channels))
-        pairs = {f"c{i}_{j}": F.covar_pop(channels[i], channels[j]) for i in k for j in k if i <= j}
+        pairs = {f"c{i}_{j}": F.covar_samp(channels[i], channels[j]) for i in k for j in k if i <= j}
         r = df.agg(*(F.avg(c).alias(f"m{i}") for i, c in enumerate(channels)), *(c.alias(n) for n, c in pairs.items())).first()
         cov = np.array([[r[f"c{min(i, j)}_{max(i, j)}"] for j in k] for i in k], float)
-        return np.array([r[f"m{i}"] for i in k]), np.linalg.inv(cov + 1e-6 * np.eye(len(channels)))
+        return np.array([r[f"m{i}"] for i in k]), np.linalg.inv(cov + ridge * np.eye(len(channels)))
 
     mean, inverse = moments(samples)
     far = samples.select(*channels, distance(channels, mean, inverse).alias("_d")).persist()

@@ -12,12 +12,13 @@ from gaugeworks.functions.columns import share
 from gaugeworks.operators import ranking, statistics, thresholds
 
 
-def threshold_grid(negatives: DataFrame, value: str, limit: float, n: int) -> DataFrame:
+def threshold_grid(cells: DataFrame, value: str, limit: float, n: int, truth: str = "truth") -> DataFrame:
     """A grid dense where an overlap curve up to ``limit`` is integrated: the quantiles of the negative cells for FPRs evenly
-    spaced from 0 to 1.2 limit (1 at most), and a value above all; one pass of exact percentiles."""
+    spaced from 0 to 1.2 limit (1 at most), and a value above all cells, those of regions too; one pass of exact percentiles."""
     top = min(1.0, 1.2 * limit)
     levels = [1.0 - top * k / (n - 1) for k in range(n)]
-    own = negatives.agg(F.percentile(value, F.array(*map(F.lit, levels))).alias("q"), F.max(value).alias("m"))
+    negative = F.when(~F.col(truth), F.col(value))
+    own = cells.agg(F.percentile(negative, F.array(*map(F.lit, levels))).alias("q"), F.max(value).alias("m"))
     above = F.col("m") + F.greatest(F.abs("m"), F.lit(1.0)) * 2.0**-52
     return own.select(F.explode(F.array_distinct(F.concat("q", F.array(above)))).alias("threshold"))
 

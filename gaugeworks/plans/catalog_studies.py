@@ -209,9 +209,9 @@ def object_masks(spark, d):
 LEVELS = "[" + ", ".join(str(1.0 - 0.36 * k / 10) for k in range(11)) + "]"
 
 
-@query(f"WITH {CELLS}, n AS (SELECT value FROM c WHERE NOT truth), q AS (SELECT unnest(quantile_cont(value, {LEVELS})) AS t FROM n UNION SELECT max(value) + greatest(abs(max(value)), 1.0) * pow(2.0, -52) FROM n) SELECT DISTINCT round(t, 6) AS threshold FROM q")
+@query(f"WITH {CELLS}, n AS (SELECT value FROM c WHERE NOT truth), q AS (SELECT unnest(quantile_cont(value, {LEVELS})) AS t FROM n UNION SELECT max(value) + greatest(abs(max(value)), 1.0) * pow(2.0, -52) FROM c) SELECT DISTINCT round(t, 6) AS threshold FROM q")
 def threshold_grid(spark, d):
-    return rounded(screens.threshold_grid(T.cells(spark, d).where("NOT truth"), "value", 0.3, 11)).distinct()
+    return rounded(screens.threshold_grid(T.cells(spark, d), "value", 0.3, 11)).distinct()
 
 
 @query(f"WITH {CELLS}, r AS (SELECT unnest(['sigma', 'quantile']) AS rule, unnest([avg(value) + 3 * stddev_pop(value), quantile_cont(value, 0.999)]) AS threshold FROM c WHERE label = 0) SELECT rule, round(threshold, 6) AS threshold, round(count(*) FILTER (value > threshold AND truth) / nullif(count(*) FILTER (value > threshold), 0)::DOUBLE, 6) AS precision, round(count(*) FILTER (value > threshold AND truth) / count(*) FILTER (truth)::DOUBLE, 6) AS recall, round(2.0 * count(*) FILTER (value > threshold AND truth) / (count(*) FILTER (value > threshold) + count(*) FILTER (truth)), 6) AS f1 FROM c, r WHERE label = 1 GROUP BY rule, threshold")
