@@ -10,7 +10,8 @@ windows of a broadcast stay under about 100 MB whatever the items hold. More ite
 of that size, each against all documents, and the hits are joined by row. A document is judged
 (:func:`contamination`), dropped (:func:`remove_contaminated`) or mended (:func:`remove_spans`).
 
-Null and empty texts have no words; an item without words matches nothing; items of one text share its
+Null and empty texts have no words; an item without words matches nothing; the windows of an item without an id
+hit, but nothing is named or counted for it; items of one text share its
 windows and are all named, an id once however often it repeats; repeated documents are judged one by
 one; documents are scanned whole; extra columns are carried along, whatever their names; empty tables
 give no rows or no hits.
@@ -62,14 +63,15 @@ class NGrams:
         sizes: dict[int, list[tuple[int, int]]] = {}  # window length -> (text, where its words begin)
         total = 0
         for name, text in items:
+            named = [] if name is None else [str(name)]
             if text in texts:
-                self.names[texts[text]].append(str(name))
+                self.names[texts[text]] += named
                 continue
             own = words(text)
             if not own:
                 continue
             texts[text] = len(self.names)
-            self.names.append([str(name)])
+            self.names.append(named)
             rows.append(np.array([self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in own], np.uint32))
             sizes.setdefault(min(window, len(own)), []).append((len(rows) - 1, total))
             total += len(own)
