@@ -7,14 +7,17 @@ ancestors, however many words share the prefix, and the count at a word's end is
 pieces' probabilities follow Zipf's law by their rank in the public vocabulary file; a character
 without a piece costs one byte piece for each of its UTF-8 bytes.
 
-Null and empty texts have no tokens; repeated rows are counted alike; texts are counted whole;
-extra columns are ignored. A worker empties its trie at ``TRIE_NODES`` nodes: only work is
+A word of more than ``LONG`` characters stays out of the trie: its scores are held for the length of the longest piece only.
+
+Null and empty texts have no tokens; repeated rows are counted alike and a null id is kept; texts are counted whole;
+extra columns are ignored; an empty table gives no rows. A worker empties its trie at ``TRIE_NODES`` nodes: only work is
 repeated then, no count changes.
 """
 
 from __future__ import annotations
 
 import math
+from collections import deque
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -22,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 MARK = "▁"
-TRIE_NODES = 400_000
+TRIE_NODES, LONG = 400_000, 1_000
 
 
 def piece_scores(path: str) -> dict[str, float]:
@@ -57,6 +60,8 @@ class Trie:
         n = self.ends.get(word)
         if n is not None:
             return n
+        if len(word) > LONG:
+            return self._count_long(word)
         if len(self.best) >= self.nodes:
             self.clear()
         node, path = 0, [0]
@@ -81,6 +86,24 @@ class Trie:
         return pieces[node]
 
 
+    def _count_long(self, word: str) -> int:
+        """:meth:`count` in memory that does not grow with the word."""
+        scores, longest = self.scores, self.longest
+        last = deque([(0.0, 0)], longest)  # best score and pieces of the prefixes before, the nearest last
+        for i, c in enumerate(word):
+            size = len(c.encode("utf-8", "surrogatepass"))
+            s, m = last[-1]
+            top, n = s + (scores[c] if c in scores else size * self.byte), m + (1 if c in scores else size)
+            for k in range(max(0, i + 1 - longest), i):
+                p = scores.get(word[k : i + 1])
+                if p is not None:
+                    s, m = last[k - i - 1]
+                    if s + p > top or s + p == top and m + 1 < n:
+                        top, n = s + p, m + 1
+            last.append((top, n))
+        return last[-1][1]
+
+
 def count_tokens(docs: DataFrame, scores: dict[str, float], id: str = "doc_id", text: str = "text") -> DataFrame:
     """``id``, n_pretokens and n_tokens of every row; no shuffle. ``scores`` is bounded by the vocabulary."""
     held = docs.sparkSession.sparkContext.broadcast(scores)

@@ -1,4 +1,5 @@
 import hashlib
+import random
 import re
 
 import pytest
@@ -193,6 +194,20 @@ def test_token_counts(spark):
     assert got[0] == got[1] == got[2] == (0, 0) and got[7][0] == 6 and got[5] == got[6] == got[None]
 
 
+def test_long_words_are_counted_without_the_trie(monkeypatch):
+    rng = random.Random(2)
+    scores = tokencount.zipf(["▁", "a", "b", "ab", "▁a", "▁ab", "bb", "▁abb", "baba"])
+    for _ in range(50):
+        word = "▁" + "".join(rng.choice("aabbc日") for _ in range(rng.randrange(40)))
+        whole = tokencount.Trie(scores).count(word)
+        monkeypatch.setattr(tokencount, "LONG", 0)
+        trie = tokencount.Trie(scores)
+        assert trie.count(word) == whole and len(trie.best) == 1
+        monkeypatch.undo()
+    trie = tokencount.Trie(scores)
+    assert trie.count("▁" + "ab" * 200_000) <= 400_001 and len(trie.best) == 1
+
+
 def test_bpe_equals_the_library(spark):
     from tokenizers import Tokenizer
 
@@ -277,6 +292,17 @@ def test_decontamination_with_repeated_items(spark, words):
         assert got == {0: ["1"], 1: ["1", "2"], 2: [], None: []}
 
 
+def test_decontamination_with_an_item_without_id(spark, words):
+    item = words(20)
+    bench = spark.createDataFrame([(None, item), (None, words(14)), (3, item + " more")], "item_id long, text string")
+    docs = docs_of(spark, [item, words(9)])
+    for block in (decontam.ITEM_BYTES, 60):
+        got = {r.doc_id: (r._n_hit, r._items) for r in decontam.contamination(docs, bench, block_bytes=block).collect()}
+        assert got == {0: (20, ["3"]), 1: (0, []), None: (0, [])}
+    only = decontam.contamination(docs, bench.where("item_id IS NULL")).where("doc_id = 0").first()
+    assert only._n_hit == 20 and only._items == []
+
+
 def test_url_parts_and_rules(spark):
     rows = ["http://A.Example.NET/en/1?q", "https://example.com/de/", "ftp://x.org/fr", "x://y.org/fr/a#b", "no scheme", None, "http://net/", "http://x.net?a/en/", "a://b://c/d", "http://h\n.net/x"]
     pages = spark.createDataFrame(list(enumerate(rows)), "page_id long, url string").withColumn("host", F.lit(1))
