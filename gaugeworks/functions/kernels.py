@@ -84,6 +84,17 @@ def erode(mask: np.ndarray, element: np.ndarray) -> np.ndarray:
     return ~dilate(~mask, element[::-1, ::-1])
 
 
+def grey_opening(image: np.ndarray, element: np.ndarray) -> np.ndarray:
+    """Least values under the element, then the largest of these; cells beyond the map count for neither."""
+    out, a, b = image.astype(np.float64), element.shape[0] // 2, element.shape[1] // 2
+    for pick, beyond in ((np.minimum, np.inf), (np.maximum, -np.inf)):
+        p = np.pad(out, ((a, a), (b, b)), constant_values=beyond)
+        shifted = [p[i : i + out.shape[0], j : j + out.shape[1]] for i, j in zip(*np.nonzero(element), strict=True)]
+        out = pick.reduce(shifted)
+        element = element[::-1, ::-1]
+    return out
+
+
 def ellipse(radius: int) -> np.ndarray:
     y, x = np.mgrid[-radius : radius + 1, -radius : radius + 1]
     return x * x + y * y <= radius * radius + 0.25
