@@ -127,12 +127,8 @@ def method_comparisons(groups: DataFrame, category: str, method: str, id: str, l
     others = groups.where(F.col(method) != reference).select(category, id, method, F.col(score).alias("_own"))
     pairs = others.select(category, method).distinct().join(ref, category).join(others, [category, method, id], "left")
     stop = F.raise_error(F.lit("methods scored different images")).cast("double")
-    pairs = pairs.withColumn("_own", F.coalesce("_own", stop)).persist()
-    out = None
-    for r in pairs.select(category, method).distinct().orderBy(category, method).collect():  # a family of tests, not of rows
-        own = pairs.where((F.col(category) == r[category]) & (F.col(method) == r[method]))
-        one = statistics.paired_bootstrap(own, id, label, "_own", "_ref", n_resamples, seed=seed).select(F.lit(r[category]).alias(category), F.lit(r[method]).alias(method), "*")
-        out = one if out is None else out.unionAll(one)
+    pairs = pairs.withColumn("_own", F.coalesce("_own", stop))
+    out = statistics.paired_bootstraps(pairs, id, label, "_own", "_ref", n_resamples, seed=seed, by=(category, method), draw_by=(category,))
     return statistics.holm(out.withColumn("_key", F.concat_ws("|", category, method)), "p_value", "_key").drop("_key")
 
 

@@ -9,8 +9,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Bytes of bank vectors that are broadcast at once; a larger bank is taken in blocks.
-BANK_BYTES = 64 << 20
+#: Bytes of bank vectors up to which the whole bank is broadcast, and of a block of a larger one; rows of a block of queries.
+BANK_BYTES, QUERY_ROWS = 64 << 20, 4_096
 #: Distances held at once by a task.
 TILE = 1 << 22
 
@@ -20,17 +20,6 @@ def squared_distances(q: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.maximum(d, 0.0)
 
 
-def _blocks(bank: DataFrame, id: str, vector: str, limit: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Ids and vectors of the bank, in blocks whose counted size keeps to ``limit``."""
-    own = bank.select(F.col(id).cast("long").alias("i"), F.col(vector).cast("array<double>").alias("v")).where("v IS NOT NULL")
-    total = own.agg(F.sum(8 * F.size("v"))).first()[0] or 0
-    n = int(2 * total // limit) + 1 if total > limit else 1
-    for k in range(n):
-        rows = (own if n == 1 else own.where(F.pmod(F.xxhash64("i"), F.lit(n)) == k)).orderBy("i").collect()
-        if rows:
-            yield np.array([r.i for r in rows], np.int64), np.array([r.v for r in rows], np.float64)
-
-
 def _nearest(q: np.ndarray, own: np.ndarray, bank: np.ndarray, ids: np.ndarray, k: int, per: int | None) -> tuple[np.ndarray, ...]:
     """Row, bank position, distance and rounded distance of at least the k nearest, ties by bank id.
 
@@ -58,34 +47,65 @@ def _nearest(q: np.ndarray, own: np.ndarray, bank: np.ndarray, ids: np.ndarray,
 def knn_join(queries: DataFrame, bank: DataFrame, k: int, id: str, vector: str, bank_id: str | None = None, exclude_self: bool = False, limit: int = BANK_BYTES, per: int = 1) -> DataFrame:
     """(id, rank, neighbour, distance) of the k nearest bank vectors, ties by bank id; k is clamped to the bank.
 
-    The queries stay where they are; the bank comes to them, whole or block by block. ``exclude_self``
+    A bank of up to ``limit`` counted bytes comes whole to the queries. A larger one is dealt into blocks of that size, each a row,
+    and every block of queries meets every block of the bank in a join; no vector passes the driver. ``exclude_self``
     leaves out the bank rows whose id has the query's quotient by ``per``, as parts of one whole have."""
-    spark = queries.sparkSession
     src = queries.select(F.col(id).cast("long").alias("i"), F.col(vector).cast("array<double>").alias("v")).where("v IS NOT NULL")
-    found = None
-    for block in _blocks(bank, bank_id or id, vector, limit):
-        held = spark.sparkContext.broadcast(block)
-
-        def run(batches: Iterator[pd.DataFrame], held=held) -> Iterator[pd.DataFrame]:
-            ids, bank = held.value
-            whole = np.isfinite(bank).all(1)
-            ids, bank = ids[whole], bank[whole]
-            step = max(1, min(1024, TILE // max(1, len(ids))))
-            for batch in batches:
-                for at in range(0, len(batch) if len(ids) else 0, step):
-                    part = batch.iloc[at : at + step]
-                    own = part["i"].to_numpy()
-                    rows, cols, d, near = _nearest(np.array(part["v"].tolist(), np.float64), own, bank, ids, k, per if exclude_self else None)
-                    yield pd.DataFrame({"i": own[rows], "neighbour": ids[cols], "distance": d, "near": near})
-
-        part = src.mapInPandas(run, "i long, neighbour long, distance double, near double")
-        found = part if found is None else found.unionAll(part)
-    if found is None:
-        return spark.createDataFrame([], "i long, rank int, neighbour long, distance double").withColumnRenamed("i", id)
+    own = bank.select(F.col(bank_id or id).cast("long").alias("i"), F.col(vector).cast("array<double>").alias("v")).where("v IS NOT NULL")
+    own = own.where(~F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))))
+    apart = per if exclude_self else None
+    total = own.agg(F.sum(8 * F.size("v"))).first()[0] or 0
+    found = _meet_whole(src, own, k, apart) if total <= limit else _meet_blocks(src, own, k, apart, int(2 * total // limit) + 1)
     w = Window.partitionBy("i").orderBy("near", "neighbour")
     return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select(F.col("i").alias(id), F.col("rank").cast("int").alias("rank"), "neighbour", "distance")
 
 
+_FOUND = "i long, neighbour long, distance double, near double"
+
+
+def _met(q: np.ndarray, own: np.ndarray, bank: np.ndarray, ids: np.ndarray, k: int, per: int | None) -> Iterator[pd.DataFrame]:
+    step = max(1, min(1024, TILE // max(1, len(ids))))
+    for at in range(0, len(own) if len(ids) else 0, step):
+        part = own[at : at + step]
+        rows, cols, d, near = _nearest(q[at : at + step], part, bank, ids, k, per)
+        yield pd.DataFrame({"i": part[rows], "neighbour": ids[cols], "distance": d, "near": near})
+
+
+def _meet_whole(src: DataFrame, bank: DataFrame, k: int, per: int | None) -> DataFrame:
+    rows = bank.orderBy("i").collect()  # within the counted limit
+    held = src.sparkSession.sparkContext.broadcast((np.array([r.i for r in rows], np.int64), np.array([r.v for r in rows], np.float64)))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        ids, vectors = held.value
+        for batch in batches:
+            if len(batch):
+                yield from _met(np.array(batch["v"].tolist(), np.float64), batch["i"].to_numpy(), vectors, ids, k, per)
+
+    return src.mapInPandas(run, _FOUND)
+
+
+def _meet_blocks(src: DataFrame, bank: DataFrame, k: int, per: int | None, n: int) -> DataFrame:
+    def pack(t: pd.DataFrame) -> pd.DataFrame:
+        t = t.sort_values("i")
+        return pd.DataFrame({"b": [int(t["b"].iloc[0])], "ids": [t["i"].to_numpy(np.int64).tobytes()], "data": [np.array(t["v"].tolist(), np.float64).tobytes()]})
+
+    def packed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for at in range(0, len(batch), QUERY_ROWS):
+                t = batch.iloc[at : at + QUERY_ROWS]
+                yield pd.DataFrame({"own": [t["i"].to_numpy(np.int64).tobytes()], "q": [np.array(t["v"].tolist(), np.float64).tobytes()]})
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for own, q, ids, data in zip(batch["own"], batch["q"], batch["ids"], batch["data"], strict=True):
+                own, ids = np.frombuffer(own, np.int64), np.frombuffer(ids, np.int64)
+                yield from _met(np.frombuffer(q).reshape(len(own), -1), own, np.frombuffer(data).reshape(len(ids), -1), ids, k, per)
+
+    blocks = bank.withColumn("b", F.pmod(F.xxhash64("i"), F.lit(n))).groupBy("b").applyInPandas(pack, "b long, ids binary, data binary")
+    asked = src.mapInPandas(packed, "own binary, q binary").withColumn("b", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))))
+    return asked.join(blocks, "b").select("own", "q", "ids", "data").mapInPandas(run, _FOUND)
+
+
 def moments(df: DataFrame, vector: str) -> tuple[int, np.ndarray, np.ndarray]:
     """Number, mean and population covariance of the vectors: one partial sum a partition, summed by position."""
 

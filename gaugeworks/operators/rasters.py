@@ -29,6 +29,16 @@ def smooth(sigma: float) -> Callable[..., Column]:
     return on_maps(lambda a: K.gaussian(a, sigma))
 
 
+def smoothed_by() -> Callable[..., Column]:
+    """:func:`smooth` with its width from a column, after map, height and width."""
+
+    @F.pandas_udf("array<double>")
+    def run(m: pd.Series, h: pd.Series, w: pd.Series, sigma: pd.Series) -> pd.Series:
+        return pd.Series([None if x is None else K.gaussian(np.asarray(x, np.float64).reshape(a, b), s).ravel().tolist() for x, a, b, s in zip(m, h, w, sigma, strict=True)])
+
+    return run
+
+
 def upsample(height: int, width: int) -> Callable[..., Column]:
     return on_maps(lambda a: K.bilinear(a, height, width))
 

@@ -44,9 +44,8 @@ def bootstrap_mean(df: DataFrame, id: str, value: str, n_resamples: int, confide
 
 def weighted_auroc(rows: DataFrame, label: str, score: str, weight: str, by: Sequence[str]) -> DataFrame:
     """AUROC of weighted rows in each group of ``by``."""
-    own = rows.groupBy(*by, F.col(score).alias("_s")).agg(F.sum(F.when(F.col(label) == 1, F.col(weight)).otherwise(0)).alias("pos"), F.sum(F.when(F.col(label) == 1, 0).otherwise(F.col(weight))).alias("neg"))
-    w = Window.partitionBy(*by).orderBy("_s").rowsBetween(Window.unboundedPreceding, 0)
-    own = own.withColumn("cum_neg", F.sum("neg").over(w))
+    own = rows.groupBy(*by, F.col(score).cast("double").alias("_s")).agg(F.sum(F.when(F.col(label) == 1, F.col(weight)).otherwise(0)).alias("pos"), F.sum(F.when(F.col(label) == 1, 0).otherwise(F.col(weight))).alias("neg"))
+    own = running(own, "_s", ["neg"], by)
     return own.groupBy(*by).agg(share(F.sum(F.col("pos") * (F.col("cum_neg") - F.col("neg") / 2.0)), F.sum("pos") * F.sum("neg")).alias("auroc"))
 
 
@@ -56,19 +55,29 @@ def two_sided(delta: str) -> Column:
     return F.least(F.lit(1.0), 2.0 * (F.least(low, high) + 1) / (F.count("*") + 1))
 
 
-def paired_bootstrap(df: DataFrame, id: str, label: str, score_a: str, score_b: str, n_resamples: int, confidence: float = 0.95, seed: int | str = 0, cluster: str | None = None) -> DataFrame:
-    """Difference of AUROCs with interval and two-sided p; draws within classes, or of whole clusters."""
+def paired_bootstraps(df: DataFrame, id: str, label: str, score_a: str, score_b: str, n_resamples: int, confidence: float = 0.95, seed: int | str = 0, by: Sequence[str] = (), draw_by: Sequence[str] = (), cluster: str | None = None) -> DataFrame:
+    """For each group of ``by``: both AUROCs, their difference with interval and two-sided p, in one plan for all groups. Rows are
+    drawn within their class and ``draw_by`` (some of ``by``), or whole clusters are; groups that share these share the draws."""
+    own = df.withColumn("_g", F.lit(0))
+    keys = ["_g", *by]
     if cluster:
-        units = df.select(cluster).distinct()
-        w = resample_weights(units, cluster, n_resamples, seed).join(df, cluster)
+        w = resample_weights(own.select(*draw_by, cluster).distinct(), cluster, n_resamples, seed, tuple(draw_by)).join(own, [*draw_by, cluster])
     else:
-        w = resample_weights(df, id, n_resamples, seed, (label,)).drop(label).join(df, id)
-    both = w.select("resample", label, "weight", F.explode(F.array(F.struct(F.lit("a").alias("arm"), F.col(score_a).cast("double").alias("s")), F.struct(F.lit("b").alias("arm"), F.col(score_b).cast("double").alias("s")))).alias("x")).select("resample", label, "weight", "x.arm", "x.s")
-    each = weighted_auroc(both, label, "s", "weight", ("resample", "arm")).groupBy("resample").agg((F.max(F.when(F.col("arm") == "a", F.col("auroc"))) - F.max(F.when(F.col("arm") == "b", F.col("auroc")))).alias("d")).where("d IS NOT NULL")
-    ends = each.agg(F.percentile("d", F.lit((1 - confidence) / 2)).alias("low"), F.percentile("d", F.lit((1 + confidence) / 2)).alias("high"), two_sided("d").alias("p_value"), F.count("*").alias("n_resamples"))
-    plain = df.withColumn("_w", F.lit(1)).withColumn("_g", F.lit(0))
-    a, b = (weighted_auroc(plain, label, s, "_w", ("_g",)).select("_g", F.col("auroc").alias(n)) for s, n in ((score_a, "auroc_a"), (score_b, "auroc_b")))
-    return a.join(b, "_g").crossJoin(F.broadcast(ends)).select("auroc_a", "auroc_b", (F.col("auroc_a") - F.col("auroc_b")).alias("difference"), "low", "high", "p_value", "n_resamples")
+        w = resample_weights(own.select(*draw_by, label, id).distinct(), id, n_resamples, seed, (*draw_by, label)).join(own, [*draw_by, label, id])
+    rows = w.unionByName(own.withColumn("resample", F.lit(-1)).withColumn("weight", F.lit(1).cast("long")))
+    arms = F.array(F.struct(F.lit("a").alias("arm"), F.col(score_a).cast("double").alias("s")), F.struct(F.lit("b").alias("arm"), F.col(score_b).cast("double").alias("s")))
+    both = rows.select("resample", *keys, label, "weight", F.explode(arms).alias("x")).select("resample", *keys, label, "weight", "x.arm", "x.s")
+    arm = lambda k: F.max(F.when(F.col("arm") == k, F.col("auroc")))
+    each = weighted_auroc(both, label, "s", "weight", ("resample", *keys, "arm")).groupBy("resample", *keys).agg(arm("a").alias("auroc_a"), arm("b").alias("auroc_b"))
+    each = each.withColumn("d", F.col("auroc_a") - F.col("auroc_b"))
+    plain = each.where("resample < 0").select(*keys, "auroc_a", "auroc_b", F.col("d").alias("difference"))
+    drawn = each.where("resample >= 0 AND d IS NOT NULL").groupBy(*keys).agg(F.percentile("d", F.lit((1 - confidence) / 2)).alias("low"), F.percentile("d", F.lit((1 + confidence) / 2)).alias("high"), two_sided("d").alias("p_value"), F.count("*").alias("n_resamples"))
+    return plain.join(drawn, keys).drop("_g")
+
+
+def paired_bootstrap(df: DataFrame, id: str, label: str, score_a: str, score_b: str, n_resamples: int, confidence: float = 0.95, seed: int | str = 0, cluster: str | None = None) -> DataFrame:
+    """:func:`paired_bootstraps` of a whole table: one row."""
+    return paired_bootstraps(df, id, label, score_a, score_b, n_resamples, confidence, seed, cluster=cluster)
 
 
 def holm(df: DataFrame, p: str, key: str, alpha: float = 0.05, by: Sequence[str] = ()) -> DataFrame:

@@ -16,11 +16,11 @@ QUERIES: dict[str, Query] = {}
 ORACLE: dict[str, str] = {}
 
 
-def query(sql: str | None = None) -> Callable[[Query], Query]:
+def query(sql: str | None = None, name: str | None = None) -> Callable[[Query], Query]:
     def add(f: Query) -> Query:
-        QUERIES[f.__name__] = f
+        QUERIES[name or f.__name__] = f
         if sql:
-            ORACLE[f.__name__] = sql
+            ORACLE[name or f.__name__] = sql
         return f
 
     return add
@@ -213,15 +213,13 @@ def near_duplicates_hamming(spark, d):
     return integrity.hamming_pairs(h.select(F.explode(both).alias("x")).select("x.*"), "vec_id", "bits", 14)
 
 
-@query(f"WITH {HASHES}, q AS (SELECT * FROM h WHERE category = 0), p AS (SELECT bit_count(xor(a.bits, b.bits)) AS d FROM q a JOIN q b ON a.vec_id < b.vec_id) SELECT count(*) AS pairs, CAST(min(d) AS INT) AS least, round(quantile_cont(CAST(d AS DOUBLE), 0.01), 6) AS threshold FROM p")
+@query(f"WITH {HASHES}, p AS (SELECT a.category, bit_count(xor(a.bits, b.bits)) AS d FROM h a JOIN h b ON a.category = b.category AND a.vec_id < b.vec_id) SELECT category, count(*) AS pairs, CAST(min(d) AS INT) AS least, round(quantile_cont(CAST(d AS DOUBLE), 0.01), 6) AS threshold FROM p GROUP BY category")
 def phash_threshold(spark, d):
-    return rounded(integrity.distance_percentile(T.hashes(spark, d).where("category = 0"), "vec_id", "bits", 1.0))
+    """A row for each category, over all its pairs."""
+    return rounded(integrity.distance_percentile_by(T.hashes(spark, d), "category", "bits", 1.0))
 
 
-@query()
-def phash_threshold_all(spark, d):
-    """A row for each category; the query above keeps to the one that its twin names."""
-    return rounded(integrity.distance_percentile_by(T.hashes(spark, d), "category", "bits", 1.0))
+query(ORACLE["phash_threshold"], "phash_threshold_all")(phash_threshold)
 
 
 @query(f"WITH {TEXTS}, r AS (SELECT count(*) - count(DISTINCT h) AS n FROM x), c AS (SELECT h FROM x GROUP BY h HAVING count(DISTINCT source) > 1) SELECT 'duplicates' AS rule, n = 0 AS ok, n || ' repeated rows' AS detail FROM r UNION ALL SELECT 'disjoint', count(*) = 0, count(*) || ' shared contents' FROM c")
@@ -304,10 +302,20 @@ def holm_bonferroni(spark, d):
     return rounded(statistics.holm(p, "p", "p_brand"))
 
 
-@query(f"WITH {EVENTS}, {VAL}, b AS (SELECT score, 0 AS y FROM v UNION ALL SELECT score, 1 FROM t WHERE label = 0), f AS (SELECT score, sum(y) AS pos, count(*) - sum(y) AS neg FROM b GROUP BY score) SELECT round(sum(pos * (cn - neg / 2.0)) / (sum(pos) * sum(neg)), 6) AS auroc, (SELECT round(median(score) FILTER (y = 0), 6) FROM b) AS median_a, (SELECT round(median(score) FILTER (y = 1), 6) FROM b) AS median_b FROM (SELECT *, sum(neg) OVER (ORDER BY score) AS cn FROM f)")
+def normal_tail_sql(z: str) -> str:
+    """Two-sided normal tail of a z-score from 0 on, by Simpson's rule up to z + 10 in 4,000 steps of 1 / 400."""
+    return f"list_sum(list_transform(range(4001), lambda i: (CASE WHEN i IN (0, 4000) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END) * exp(-0.5 * ({z} + i / 400.0) * ({z} + i / 400.0)))) * 2 / 1200.0 / sqrt(2 * pi())"
+
+
+@query(
+    f"WITH {EVENTS}, {VAL}, b AS (SELECT score, 0 AS y FROM v UNION ALL SELECT score, 1 FROM t WHERE label = 0), f AS (SELECT score, sum(y) AS pos, count(*) - sum(y) AS neg FROM b GROUP BY score), "
+    "u AS (SELECT sum(pos * (cn - neg / 2.0)) AS u, CAST(sum(pos) AS DOUBLE) AS p, CAST(sum(neg) AS DOUBLE) AS n, CAST(sum((pos + neg) * (pos + neg) * (pos + neg) - (pos + neg)) AS DOUBLE) AS ties FROM (SELECT *, sum(neg) OVER (ORDER BY score) AS cn FROM f)), "
+    "z AS (SELECT u / (p * n) AS auroc, greatest(abs(u - p * n / 2) - 0.5, 0) / sqrt(p * n / 12 * (p + n + 1 - ties / ((p + n) * (p + n - 1)))) AS z FROM u) "
+    f"SELECT round(auroc, 6) AS auroc, (SELECT round(median(score) FILTER (y = 0), 6) FROM b) AS median_a, (SELECT round(median(score) FILTER (y = 1), 6) FROM b) AS median_b, round({normal_tail_sql('z')}, 6) AS p_value FROM z"
+)
 def normal_shift(spark, d):
     e = T.events(spark, d).where("label = 0")
-    return rounded(statistics.normal_shift(e.where("split = 'validation'"), e.where("split = 'test'"), "score").drop("z", "p_value", "n_a", "n_b"))
+    return rounded(statistics.normal_shift(e.where("split = 'validation'"), e.where("split = 'test'"), "score").drop("z", "n_a", "n_b"))
 
 
 WEIGHTS = "r AS (SELECT doc_id, row_number() OVER (ORDER BY sha256('1:' || CAST(doc_id AS VARCHAR)), doc_id) AS k FROM labels), d AS (SELECT resample, floor(CAST(('0x' || substr(sha256('1:' || resample || ':' || k), 1, 8))::BIGINT AS DOUBLE) / 4294967296.0 * (SELECT count(*) FROM r)) + 1 AS k, count(*) AS weight FROM r, range(50) AS g(resample) GROUP BY ALL)"
@@ -328,21 +336,45 @@ def calibration_study(spark, d):
     return rounded(test.groupBy("draw", "threshold").agg(F.avg((F.col("score") > F.col("threshold")).cast("double")).alias("fpr")))
 
 
-@query()
+def boot_sql(rows: str, n: int, seed: int, id: str, by: str = "", draw: str = "label") -> str:
+    """CTEs up to bo: both AUROCs and their difference for each resample (-1: as it is) of ``rows`` (by, id, label, a, b)."""
+    by, text = by and f"{by}, ", "".join(f" || {c} || ':'" for c in draw.split(", ") if c)
+    part, of, using = (f"PARTITION BY {draw} " if draw else ""), (f"{draw}, " if draw else ""), ", ".join(x for x in (draw, id) if x)
+    return (
+        f"rk AS (SELECT *, row_number() OVER ({part}ORDER BY sha256('{seed}:' || {id}), {id}) AS k, count(*) OVER ({part}) AS n FROM (SELECT DISTINCT {of}{id} FROM {rows})), "
+        f"dr AS (SELECT {of}resample, floor(CAST(('0x' || substr(sha256('{seed}:' || resample || ':'{text} || k), 1, 8))::BIGINT AS DOUBLE) / 4294967296.0 * n) + 1 AS k, count(*) AS w FROM rk, range({n}) AS g(resample) GROUP BY ALL), "
+        f"wt AS (SELECT resample, w, r.* FROM (SELECT {of}{id}, resample, w FROM dr JOIN rk USING ({of}k)) JOIN {rows} r USING ({using})), "
+        f"ar AS (SELECT resample, {by}label, w, unnest(['a', 'b']) AS arm, unnest([a, b]) AS s FROM wt UNION ALL SELECT -1, {by}label, 1, unnest(['a', 'b']), unnest([a, b]) FROM {rows}), "
+        f"fd AS (SELECT resample, {by}arm, s, coalesce(sum(w) FILTER (label = 1), 0) AS pos, coalesce(sum(w) FILTER (label = 0), 0) AS neg FROM ar GROUP BY ALL), "
+        f"ax AS (SELECT resample, {by}arm, sum(pos * (cn - neg / 2.0)) / nullif(sum(pos) * sum(neg), 0) AS auroc FROM (SELECT *, sum(neg) OVER (PARTITION BY resample, {by}arm ORDER BY s) AS cn FROM fd) GROUP BY resample, {by}arm), "
+        f"bo AS (SELECT resample, {by}max(auroc) FILTER (arm = 'a') AS auroc_a, max(auroc) FILTER (arm = 'b') AS auroc_b, max(auroc) FILTER (arm = 'a') - max(auroc) FILTER (arm = 'b') AS d FROM ax GROUP BY resample{', ' + by[:-2] if by else ''})"
+    )
+
+
+TWO_SIDED = "least(1.0, 2.0 * (least(count(*) FILTER (resample >= 0 AND d <= 0), count(*) FILTER (resample >= 0 AND d >= 0)) + 1) / (count(d) FILTER (resample >= 0) + 1))"
+BOOT = f"round(max(auroc_a) FILTER (resample < 0), 6) AS auroc_a, round(max(auroc_b) FILTER (resample < 0), 6) AS auroc_b, round(max(d) FILTER (resample < 0), 6) AS difference, round(quantile_cont(d, 0.025) FILTER (resample >= 0), 6) AS low, round(quantile_cont(d, 0.975) FILTER (resample >= 0), 6) AS high, round({TWO_SIDED}, 6) AS p_value, count(d) FILTER (resample >= 0) AS n_resamples"
+
+
+@query(f"WITH {DOCS}, x AS (SELECT doc_id, label, score AS a, CAST(doc_id % 97 AS DOUBLE) AS b FROM e), {boot_sql('x', 50, 2, 'doc_id')} SELECT {BOOT} FROM bo")
 def paired_bootstrap(spark, d):
     x = T.labelled_documents(spark, d).withColumn("other", F.pmod("doc_id", F.lit(97)).cast("double"))
-    return statistics.paired_bootstrap(x, "doc_id", "label", "score", "other", 50, seed=2)
+    return rounded(statistics.paired_bootstrap(x, "doc_id", "label", "score", "other", 50, seed=2))
 
 
-@query()
+@query(f"WITH {EVENTS}, x AS (SELECT user_id, label, score AS a, CAST(event_id % 97 AS DOUBLE) AS b FROM e), {boot_sql('x', 20, 2, 'user_id', draw='')} SELECT {BOOT} FROM bo")
 def cluster_bootstrap(spark, d):
     x = T.events(spark, d).withColumn("other", F.pmod("event_id", F.lit(97)).cast("double"))
-    return statistics.paired_bootstrap(x, "event_id", "label", "score", "other", 20, seed=2, cluster="user_id")
+    return rounded(statistics.paired_bootstrap(x, "event_id", "label", "score", "other", 20, seed=2, cluster="user_id"))
 
 
-@query()
+@query(
+    "WITH x AS (SELECT abs(l_discount - l_tax) AS m, CAST(l_discount > l_tax AS INT) AS up FROM lineitem WHERE l_discount - l_tax <> 0), g AS (SELECT m, count(*) AS t, sum(up) AS up FROM x GROUP BY m), "
+    "k AS (SELECT *, sum(t) OVER (ORDER BY m) - (t - 1) / 2.0 AS r FROM g), s AS (SELECT CAST(sum(t) AS DOUBLE) AS n, sum(up * r) AS w, CAST(sum(t * t * t - t) AS DOUBLE) AS ties FROM k), "
+    "q AS (SELECT n, least(w, n * (n + 1) / 2 - w) AS w, sqrt(n * (n + 1) * (2 * n + 1) / 24 - ties / 48) AS sd FROM s), z AS (SELECT n, w, (n * (n + 1) / 4 - w) / sd AS z FROM q) "
+    f"SELECT CAST(n AS BIGINT) AS n, round(w, 6) AS statistic, round({normal_tail_sql('z')}, 6) AS p_value FROM z"
+)
 def wilcoxon_signed_rank(spark, d):
-    return statistics.one_row(spark, statistics.wilcoxon(T.read(spark, d, "lineitem"), "l_discount", "l_tax"))
+    return rounded(statistics.one_row(spark, statistics.wilcoxon(T.read(spark, d, "lineitem"), "l_discount", "l_tax")))
 
 
 @query()

@@ -8,7 +8,7 @@ from gaugeworks.functions import columns as C
 from gaugeworks.functions.kernels import PERTURBATIONS
 from gaugeworks.operators import neighbours, pooled, predictions, ranking, rasters, splits, statistics, studies, thresholds
 from gaugeworks.plans import tables as T
-from gaugeworks.plans.catalog import AUROC, CELLS, EVENTS, KTH, MAPS, VAL, query, rounded
+from gaugeworks.plans.catalog import AUROC, CELLS, EVENTS, KTH, MAPS, ORACLE, VAL, query, rounded
 
 REGIONS = "g AS (SELECT vec_id, pos, value FROM c WHERE truth), k AS (SELECT vec_id, pos, pos AS root FROM g UNION SELECT k.vec_id, g.pos, k.root FROM k JOIN g ON g.vec_id = k.vec_id AND abs(g.pos // 8 - k.pos // 8) <= 1 AND abs(g.pos % 8 - k.pos % 8) <= 1), l AS (SELECT vec_id, pos, min(root) AS region FROM k GROUP BY ALL), r AS (SELECT vec_id, region, count(*) AS area, min(pos // 8) AS top, min(pos % 8) AS \"left\", max(pos // 8) + 1 AS bottom, max(pos % 8) + 1 AS \"right\" FROM l GROUP BY ALL)"
 
@@ -76,10 +76,21 @@ def recommend_resolution(spark, d):
     return studies.recommend(studies.resolution_impact(found(spark, d), 640, 480, least=2.0))
 
 
-@query()
+def blur_sql(sigma: str) -> str:
+    """CTE bl (vec_id, sigma, pos, x): maps blurred along rows, then columns, mirrored at the edges, for the widths of ``sigma``."""
+    return (
+        f"sg AS (SELECT unnest({sigma})::DOUBLE AS sigma), wr AS (SELECT sigma, CAST(greatest(1, floor(3 * sigma + 0.5)) AS INT) AS r FROM sg WHERE sigma > 0), "
+        "wo AS (SELECT sigma, unnest(range(-r, r + 1)) AS o, r FROM wr), wk AS (SELECT sigma, o, exp(-0.5 * (o / sigma) * (o / sigma)) AS k FROM wo), wn AS (SELECT sigma, o, k / sum(k) OVER (PARTITION BY sigma) AS k FROM wk), "
+        "ax AS (SELECT sigma, i, CASE WHEN abs(i + o) > 7 THEN 14 - abs(i + o) ELSE abs(i + o) END AS j, sum(k) AS k FROM wn, range(8) AS g(i) GROUP BY ALL), "
+        "b1 AS (SELECT vec_id, sigma, i AS row, pos % 8 AS col, sum(value * k) AS x FROM c JOIN ax ON ax.j = pos // 8 GROUP BY ALL), "
+        "bl AS (SELECT vec_id, b1.sigma, row * 8 + i AS pos, sum(x * k) AS x FROM b1 JOIN ax ON ax.sigma = b1.sigma AND ax.j = col GROUP BY ALL UNION ALL SELECT vec_id, sigma, pos, value FROM c, sg WHERE sigma = 0)"
+    )
+
+
+@query(f"WITH {CELLS}, {blur_sql('[1.0]')} SELECT vec_id, list(round(x, 6) ORDER BY pos) AS map FROM bl GROUP BY vec_id")
 def smoothed_maps(spark, d):
     m = T.maps(spark, d)
-    return m.select("vec_id", rasters.smooth(1.0)("map", F.lit(8), F.lit(8)).alias("map"))
+    return m.select("vec_id", F.transform(rasters.smooth(1.0)("map", F.lit(8), F.lit(8)), lambda x: F.round(x, 6)).alias("map"))
 
 
 @query()
@@ -116,53 +127,36 @@ def map_fusion(spark, d):
 # --- vectors -----------------------------------------------------------------------------------
 
 
-def bank(spark, d):
-    return T.maps(spark, d).where("label = 0 AND vec_id % 5 = 0")
+def normals(spark, d):
+    return T.maps(spark, d).where("label = 0")
 
 
-BANK = "b AS (SELECT * FROM m WHERE label = 0 AND vec_id % 5 = 0), n AS (SELECT m.vec_id, m.label, b.vec_id AS neighbour, sqrt(list_sum(list_transform(list_zip(m.map, b.map), lambda z: (z[1] - z[2]) * (z[1] - z[2])))) AS distance FROM m, b WHERE m.vec_id <> b.vec_id), o AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY round(distance, 9), neighbour) AS r FROM n)"
+BANK = "b AS (SELECT * FROM m WHERE label = 0), n AS (SELECT m.vec_id, m.label, b.vec_id AS neighbour, sqrt(list_sum(list_transform(list_zip(m.map, b.map), lambda z: (z[1] - z[2]) * (z[1] - z[2])))) AS distance FROM m, b WHERE m.vec_id <> b.vec_id), o AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY round(distance, 9), neighbour) AS r FROM n)"
 
 
 @query(f"WITH {MAPS}, {BANK} SELECT vec_id, CAST(r AS INT) AS rank, neighbour, round(distance, 6) AS distance FROM o WHERE r <= 3")
 def knn_join(spark, d):
-    return rounded(neighbours.knn_join(T.maps(spark, d), bank(spark, d), 3, "vec_id", "map", exclude_self=True))
+    return rounded(neighbours.knn_join(T.maps(spark, d), normals(spark, d), 3, "vec_id", "map", exclude_self=True))
 
 
 @query(f"WITH {MAPS}, {BANK}, e AS (SELECT vec_id, label, round(distance, 9) AS score FROM o WHERE r = 1), f AS (SELECT score, sum(label) AS pos, count(*) - sum(label) AS neg FROM e GROUP BY score) SELECT round({AUROC}, 6) AS auroc, CAST(sum(pos) AS BIGINT) AS n_pos, CAST(sum(neg) AS BIGINT) AS n_neg FROM (SELECT *, sum(neg) OVER (ORDER BY score) AS cn FROM f)")
 def train_proximity(spark, d):
-    near = neighbours.knn_join(T.maps(spark, d), bank(spark, d), 1, "vec_id", "map", exclude_self=True)
+    near = neighbours.knn_join(T.maps(spark, d), normals(spark, d), 1, "vec_id", "map", exclude_self=True)
     own = near.join(T.maps(spark, d).select("vec_id", "label"), "vec_id").withColumn("distance", F.round("distance", 9))
     return rounded(ranking.roc_auc(own, "label", "distance"))
 
 
-def normals(spark, d):
-    return T.maps(spark, d).where("label = 0")
+query(ORACLE["knn_join"], "knn_join_all")(knn_join)
+query(ORACLE["train_proximity"], "train_proximity_all")(train_proximity)
 
 
-@query()
-def knn_join_all(spark, d):
-    """Neighbours among all normals; knn_join keeps to the bank that its twin names."""
-    return rounded(neighbours.knn_join(T.maps(spark, d), normals(spark, d), 3, "vec_id", "map", exclude_self=True))
-
-
-@query()
-def train_proximity_all(spark, d):
-    near = neighbours.knn_join(T.maps(spark, d), normals(spark, d), 1, "vec_id", "map", exclude_self=True)
-    own = near.join(T.maps(spark, d).select("vec_id", "label"), "vec_id").withColumn("distance", F.round("distance", 9))
-    return rounded(ranking.roc_auc(own, "label", "distance"))
-
-
-@query(f"WITH {MAPS}, v AS (SELECT * FROM m WHERE label = 0 AND vec_id % 2 = 0), n AS (SELECT a.vec_id, min(sqrt(list_sum(list_transform(list_zip(a.map, b.map), lambda z: (z[1] - z[2]) * (z[1] - z[2]))))) AS d FROM v a JOIN v b ON a.vec_id <> b.vec_id GROUP BY 1) SELECT round(max(d), 6) AS guard_limit FROM n")
+@query(f"WITH {MAPS}, v AS (SELECT * FROM m WHERE label = 0), n AS (SELECT a.vec_id, min(sqrt(list_sum(list_transform(list_zip(a.map, b.map), lambda z: (z[1] - z[2]) * (z[1] - z[2]))))) AS d FROM v a JOIN v b ON a.vec_id <> b.vec_id GROUP BY 1) SELECT round(max(d), 6) AS guard_limit FROM n")
 def shading_guard_limit(spark, d):
-    v = T.maps(spark, d).where("label = 0 AND vec_id % 2 = 0")
+    v = normals(spark, d)
     return rounded(neighbours.knn_join(v, v, 1, "vec_id", "map", exclude_self=True).agg(F.max("distance").alias("guard_limit")))
 
 
-@query()
-def shading_guard_limit_all(spark, d):
-    """The limit over all normals; the query above keeps to the subset that its twin names."""
-    v = T.maps(spark, d).where("label = 0")
-    return rounded(neighbours.knn_join(v, v, 1, "vec_id", "map", exclude_self=True).agg(F.max("distance").alias("guard_limit")))
+query(ORACLE["shading_guard_limit"], "shading_guard_limit_all")(shading_guard_limit)
 
 
 @query(f"WITH {MAPS}, s AS (SELECT vec_id, label, list_sum(map) / 64 AS x FROM m), t AS (SELECT avg(x) AS mu, greatest(stddev_samp(x), 1e-6) AS sd FROM s WHERE label = 0) SELECT vec_id, round(abs(x - mu) / sd, 6) AS score FROM s, t")

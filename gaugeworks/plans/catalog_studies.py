@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from gaugeworks.functions import columns as C
 from gaugeworks.operators import calibration, photometric, predictions, ranking, rasters, screens, splits, studies, thresholds
 from gaugeworks.plans import tables as T
-from gaugeworks.plans.catalog import AUROC, CELLS, EVENTS, KTH, MAPS, VAL, query, rounded
+from gaugeworks.plans.catalog import AUROC, BOOT, CELLS, EVENTS, KTH, MAPS, TWO_SIDED, VAL, boot_sql, query, rounded
+from gaugeworks.plans.catalog_models import blur_sql
 
 # --- calibration -------------------------------------------------------------------------------
 
@@ -90,21 +91,33 @@ def aggregation_study(spark, d):
     return rounded(calibration.aggregation_study(runs(spark, d), rules(), "vec_id", "seed", "label", "split", 0.05))
 
 
-@query()
+@query(
+    f"WITH {MAPS}, {RUNS}, rk AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY sha256('3:' || vec_id), vec_id) AS k, count(*) OVER (PARTITION BY label) AS n FROM (SELECT DISTINCT vec_id, label FROM ls WHERE split = 'test')), "
+    "dr AS (SELECT label, resample, floor(CAST(('0x' || substr(sha256('3:' || resample || ':' || label || ':' || k), 1, 8))::BIGINT AS DOUBLE) / 4294967296.0 * n) + 1 AS k, count(*) AS w FROM rk, range(20) AS g(resample) GROUP BY ALL), "
+    "wt AS (SELECT resample, vec_id, w FROM dr JOIN rk USING (label, k) UNION ALL SELECT -1, vec_id, 1 FROM rk), "
+    "fd AS (SELECT resample, rule, seed, score, coalesce(sum(w) FILTER (label = 1), 0) AS pos, coalesce(sum(w) FILTER (label = 0), 0) AS neg FROM ls JOIN wt USING (vec_id) WHERE split = 'test' GROUP BY ALL), "
+    "ax AS (SELECT resample, rule, seed, sum(pos * (cn - neg / 2.0)) / (sum(pos) * sum(neg)) AS a FROM (SELECT *, sum(neg) OVER (PARTITION BY resample, rule, seed ORDER BY score) AS cn FROM fd) GROUP BY ALL), "
+    "mn AS (SELECT resample, rule, avg(a) AS a FROM ax GROUP BY ALL), gp AS (SELECT o.resample, o.rule, o.a - b.a AS d FROM mn o JOIN mn b ON b.resample = o.resample AND b.rule = 'max' WHERE o.rule <> 'max') "
+    "SELECT rule, round(max(d) FILTER (resample < 0), 6) AS difference, round(quantile_cont(d, 0.025) FILTER (resample >= 0), 6) AS low, round(quantile_cont(d, 0.975) FILTER (resample >= 0), 6) AS high FROM gp GROUP BY rule"
+)
 def aggregation_differences(spark, d):
-    return calibration.aggregation_differences(runs(spark, d).where("split = 'test'"), rules(), "max", "vec_id", "seed", "label", 20, 3)
+    return rounded(calibration.aggregation_differences(runs(spark, d).where("split = 'test'"), rules(), "max", "vec_id", "seed", "label", 20, 3))
 
 
-@query()
+COMPARED = "cp AS (SELECT o.vec_id % 2 AS category, o.rule, o.vec_id, o.label, o.score AS a, r.score AS b FROM ls o JOIN ls r ON r.vec_id = o.vec_id AND r.seed = o.seed AND r.split = o.split AND r.rule = 'max' WHERE o.rule <> 'max' AND o.split = 'test' AND o.seed = 0), " + boot_sql("cp", 20, 3, "vec_id", "category, rule", "category, label")
+HOLM = f"mc AS (SELECT category, rule, {BOOT}, {TWO_SIDED} AS p FROM bo GROUP BY category, rule), ho AS (SELECT *, round(least(1.0, max(s) OVER (ORDER BY p, key)), 6) AS p_holm FROM (SELECT *, category || '|' || rule AS key, (count(*) OVER () - row_number() OVER (ORDER BY p, category || '|' || rule) + 1) * p AS s FROM mc))"
+
+
+@query(f"WITH {MAPS}, {RUNS}, {COMPARED}, {HOLM} SELECT category, rule, auroc_a, auroc_b, difference, low, high, p_value, n_resamples, p_holm, p_holm <= 0.05 AS rejected FROM ho")
 def method_comparisons(spark, d):
     own = calibration.long_scores(runs(spark, d).where("split = 'test' AND seed = 0"), rules(), ("vec_id", "label")).withColumn("category", F.pmod("vec_id", F.lit(2)))
-    return calibration.method_comparisons(own, "category", "rule", "vec_id", "label", "score", "max", 20, 3)
+    return rounded(calibration.method_comparisons(own, "category", "rule", "vec_id", "label", "score", "max", 20, 3))
 
 
-@query(f"WITH {MAPS}, s AS (SELECT vec_id, label, category, list_sum(map) / 64 AS mean FROM m), g AS (SELECT min(mean) AS a, max(mean) AS b FROM s WHERE label = 0 AND vec_id % 2 = 0) SELECT category, label, count(*) AS n, round(avg(CAST(mean < a OR mean > b AS DOUBLE)), 6) AS refused FROM s, g GROUP BY ALL")
+@query(f"WITH {MAPS}, s AS (SELECT vec_id, label, category, list_sum(map) / 64 AS mean FROM m), g AS (SELECT min(mean) AS a, max(mean) AS b FROM s WHERE label = 0) SELECT category, label, count(*) AS n, round(avg(CAST(mean < a OR mean > b AS DOUBLE)), 6) AS refused FROM s, g GROUP BY ALL")
 def guards_by_condition(spark, d):
     s = T.maps(spark, d).select("vec_id", "label", "category", C.mean_of(F.col("map")).alias("mean"))
-    limits = studies.guard_limits(s.where("label = 0 AND vec_id % 2 = 0"), ("mean",))
+    limits = studies.guard_limits(s.where("label = 0"), ("mean",))
     return rounded(calibration.guards_by_condition(studies.guard_check(s, limits, ("mean",)), "category", "label"))
 
 
@@ -257,20 +270,21 @@ def transform_policy(spark, d):
     return screens.transform_policy(verdicts, 448).unionAll(screens.transform_policy(verdicts, 999))
 
 
-@query()
+@query(
+    f"WITH {MAPS}, {RUNS}, {COMPARED}, {HOLM}, cf AS (SELECT rule, CAST(count(*) FILTER (difference > 0) AS INT) AS wins, CAST(count(*) FILTER (difference <> 0) AS INT) AS n, avg(difference) AS gain, count(*) FILTER (high < 0) AS worse FROM ho GROUP BY rule), "
+    "tl AS (SELECT *, coalesce(list_sum(list_transform(range(wins, n + 1), lambda i: gamma(n + 1.0) / gamma(i + 1.0) / gamma(n - i + 1.0))), 0) / pow(2.0, n) AS p FROM cf) "
+    "SELECT rule, wins, n, round(gain, 6) AS mean_gain, worse, round(p, 6) AS sign_p, p <= 0.05 AND gain > 0 AND worse = 0 AS confirmed FROM tl"
+)
 def confirmation_rule(spark, d):
-    return screens.confirmed(method_comparisons(spark, d), ("rule",))
+    return rounded(screens.confirmed(method_comparisons(spark, d), ("rule",)))
 
 
-@query()
+@query(f"WITH {CELLS}, {blur_sql('[0.0, 0.5, 1.0, 2.0]')}, s AS (SELECT c.label, sigma, round(max(x), 9) AS score FROM bl JOIN c USING (vec_id, pos) GROUP BY vec_id, c.label, sigma), f AS (SELECT sigma, score, sum(label) AS pos, count(*) - sum(label) AS neg FROM s GROUP BY ALL) SELECT sigma, round({AUROC}, 6) AS auroc, CAST(sum(pos) AS BIGINT) AS n_pos, CAST(sum(neg) AS BIGINT) AS n_neg FROM (SELECT *, sum(neg) OVER (PARTITION BY sigma ORDER BY score) AS cn FROM f) GROUP BY sigma")
 def smoothing_sweep(spark, d):
     """AUROC of the maximum after smoothing by each of several widths."""
-    m = T.maps(spark, d)
-    swept = None
-    for sigma in (0.0, 0.5, 1.0, 2.0):
-        one = m.select("label", F.lit(sigma).alias("sigma"), F.array_max(rasters.smooth(sigma)("map", F.lit(8), F.lit(8)) if sigma else F.col("map")).alias("score"))
-        swept = one if swept is None else swept.unionAll(one)
-    return ranking.roc_auc(swept, "label", "score", ("sigma",))
+    m = T.maps(spark, d).select("label", "map", F.explode(F.array(*map(F.lit, (0.0, 0.5, 1.0, 2.0)))).alias("sigma"))
+    swept = m.select("label", "sigma", F.round(F.array_max(rasters.smoothed_by()("map", F.lit(8), F.lit(8), "sigma")), 9).alias("score"))
+    return rounded(ranking.roc_auc(swept, "label", "score", ("sigma",)))
 
 
 @query()

@@ -1,7 +1,7 @@
 import pytest
 DATA = "/root/testdata/sf0.001"
 
-from gaugeworks.plans import catalog, catalog_models, flagship  # noqa: F401
+from gaugeworks.plans import catalog, catalog_models, catalog_studies, flagship  # noqa: F401
 
 
 @pytest.mark.parametrize("name", sorted(catalog.ORACLE))
