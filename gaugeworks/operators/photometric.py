@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from gaugeworks.functions import kernels as K
 from gaugeworks.functions.columns import mean_of
+from gaugeworks.operators.injections import stream
 from gaugeworks.operators.rasters import on_maps
 
 #: Channel means and deviations of the usual photographic statistics, red, green, blue.
@@ -43,21 +44,25 @@ def light_field(sigma_fraction: float = 0.1) -> Callable[..., Column]:
     return on_maps(lambda a: K.gaussian(a, sigma_fraction * max(a.shape)))
 
 
-def relit(seed: int) -> Callable[..., Column]:
-    """A seeded change of light from (map, height, width, id): a gradient in a random direction, one broad highlight
-    or shadow, and a gain; values stay between 0 and 1."""
+def relit(seed: int, slope: float = 0.4, spot: float = 0.3, gains: tuple[float, float] = (0.6, 1.2), reach: tuple[float, float] = (0.15, 0.4)) -> Callable[..., Column]:
+    """A seeded change of light from (map, height, width, id), values kept between 0 and 1: brightness changes by up to ``slope``
+    from end to end of a random direction and by up to ``spot`` around a random cell (half as much at a distance of ``reach`` of
+    the longer side), and all of it is scaled by one of ``gains``."""
 
     @F.pandas_udf("array<double>")
     def run(m: pd.Series, h: pd.Series, w: pd.Series, i: pd.Series) -> pd.Series:
         out = []
-        for x, a, b, key in zip(m, h, w, i, strict=True):
-            rng = np.random.default_rng([seed, int(key)])
-            y, z = np.mgrid[0:a, 0:b] / float(max(a, b))
-            y, z = y - y.mean(), z - z.mean()
-            turn, slope, spot, gain = rng.uniform(0, 2 * np.pi), rng.uniform(-0.4, 0.4), rng.uniform(-0.3, 0.3), rng.uniform(0.6, 1.2)
-            cy, cz, radius = rng.uniform(y.min(), y.max()), rng.uniform(z.min(), z.max()), rng.uniform(0.15, 0.4)
-            field = 1 + slope * (z * np.cos(turn) + y * np.sin(turn)) + spot * np.exp(-((z - cz) ** 2 + (y - cy) ** 2) / (2 * radius**2))
-            out.append(np.clip(np.asarray(x, float).reshape(a, b) * field * gain, 0, 1).ravel().tolist())
+        for x, rows, cols, key in zip(m, h, w, i, strict=True):
+            rng = stream(seed, int(key), 2)
+            image = np.asarray(x, float).reshape(rows, cols)
+            at = np.stack(np.meshgrid(np.arange(rows), np.arange(cols), indexing="ij"))
+            way = rng.normal(size=2)
+            along = np.tensordot(way, at, 1)
+            along = (along - along.min()) / max(np.ptp(along), 1e-9) - 0.5
+            centre = rng.integers([rows, cols])
+            off = np.sqrt(((at - centre[:, None, None]) ** 2).sum(0)) / (rng.uniform(*reach) * max(rows, cols))
+            light = (1 + rng.uniform(-slope, slope) * along) * (1 + rng.uniform(-spot, spot) / (1 + off**2))
+            out.append(np.clip(image * light * rng.uniform(*gains), 0, 1).ravel().tolist())
         return pd.Series(out)
 
     return run

@@ -4,7 +4,7 @@ but what an aggregate needs."""
 from __future__ import annotations
 
 import zlib
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
@@ -170,35 +170,19 @@ def percentile_of(values: Column, q: float) -> Column:
     return F.get(s, low) + (at - low) * (F.get(s, F.least(low + 1, F.size(values) - 1)) - F.get(s, low))
 
 
-def tile_plan(length: int, tile: int, overlap: int) -> list[tuple[int, int, int, int]]:
-    """Windows (start, stop, own from, own to) of ``tile`` cells over one axis, spread evenly from 0 to ``length`` with
-    neighbours sharing twice the ``overlap`` or more; a cell belongs to the window in whose middle half it lies, so the
-    cuts are midway through what two windows share. A short axis is one window."""
-    if length <= tile + 2 * overlap:
-        return [(0, length, 0, length)]
+def tile_windows(length: Column, tile: int, overlap: int) -> Column:
+    """Windows of ``tile`` cells over an axis, as structs (start, stop, own_from, own_to): evenly spread from 0 to ``length``, as few
+    as let neighbours share twice the ``overlap``; of what two share, each owns the half on its side. An axis of no more than a
+    tile and two overlaps is one window."""
     if tile <= 2 * overlap:
         raise ValueError("a tile must be longer than both its overlaps")
-    room = length - tile
-    gaps = -(-room // (tile - 2 * overlap))
-    starts = [round(k * room / gaps) for k in range(gaps + 1)]
-    cuts = [(left + tile + right) // 2 for left, right in zip(starts, starts[1:], strict=False)]
-    return [(s, s + tile, a, b) for s, a, b in zip(starts, [0, *cuts], [*cuts, length], strict=True)]
-
-
-def generate(spark, n: int, height: int, width: int, seed: int = 0, share: float = 0.3) -> DataFrame:
-    """Seeded synthetic maps with exact masks: (id, label, map, mask), built on the executors."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            rows = []
-            for i in batch["id"]:
-                rng = np.random.default_rng([seed, int(i)])
-                m = K.value_noise(height, width, rng)
-                mask = np.zeros((height, width), bool)
-                if rng.random() < share:
-                    mask = K.synthetic_defect(height, width, rng)
-                    m = m + 0.8 * mask
-                rows.append((int(i), int(mask.any()), m.ravel().tolist(), mask.ravel().tolist()))
-            yield pd.DataFrame(rows, columns=["id", "label", "map", "mask"])
-
-    return spark.range(n).mapInPandas(run, "id long, label int, map array<double>, mask array<boolean>")
+    gaps = F.ceil((length - tile) / (tile - 2 * overlap)).cast("int")
+    start = lambda k: F.bround(k * (length - tile) / gaps).cast("int")
+    middle = lambda k: F.floor((start(k) + tile + start(k + 1)) / 2).cast("int")
+
+    def window(k: Column) -> Column:
+        return F.struct(start(k).alias("start"), (start(k) + tile).alias("stop"), F.when(k == 0, 0).otherwise(middle(k - 1)).alias("own_from"), F.when(k == gaps, length.cast("int")).otherwise(middle(k)).alias("own_to"))
+
+    whole, none = length.cast("int"), F.lit(0)
+    one = F.array(F.struct(none.alias("start"), whole.alias("stop"), none.alias("own_from"), whole.alias("own_to")))
+    return F.when(length <= tile + 2 * overlap, one).otherwise(F.transform(F.sequence(none, gaps), window))

@@ -56,9 +56,9 @@ def undone(plan: DataFrame, done: DataFrame, keys: Sequence[str]) -> DataFrame:
     return plan.join(done.select(*keys).distinct(), list(keys), "left_anti")
 
 
-def severity_grid(spark, names: Sequence[str], severities: Sequence[int]) -> DataFrame:
-    one = spark.range(1).select(F.explode(F.array(*map(F.lit, names))).alias("name"))
-    return one.select("name", F.explode(F.array(*map(F.lit, severities))).alias("severity"))
+def severity_grid(names: DataFrame, name: str, severities: Sequence[int]) -> DataFrame:
+    """Every row of ``names`` at every severity."""
+    return names.select(name, F.explode(F.array(*map(F.lit, severities))).alias("severity"))
 
 
 def resolution_impact(regions: DataFrame, width: int, height: int, candidates: Sequence[int] = CANDIDATES, least: float = LEAST_DIAMETER) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from gaugeworks.functions import columns as C
 from gaugeworks.functions.kernels import PERTURBATIONS
-from gaugeworks.operators import neighbours, pooled, predictions, ranking, rasters, splits, statistics, studies, thresholds
+from gaugeworks.operators import injections, neighbours, pooled, predictions, ranking, rasters, splits, statistics, studies, thresholds
 from gaugeworks.plans import tables as T
 from gaugeworks.plans.catalog import AUROC, CELLS, EVENTS, KTH, MAPS, ORACLE, VAL, query, rounded
 
@@ -114,7 +114,19 @@ def perturbation_grid(spark, d):
 
 @query()
 def synthetic_dataset(spark, d):
-    return rasters.generate(spark, 64, 16, 16, seed=3)
+    """For every image a synthetic one of 16 x 16: its pattern by category, and for an anomalous one a defect by id."""
+    m = T.maps(spark, d).select("vec_id", "label", F.element_at(F.array(*map(F.lit, injections.PATTERNS)), (F.col("category") % 3 + 1).cast("int")).alias("pattern"), F.when(F.col("label") == 1, F.element_at(F.array(*map(F.lit, injections.DEFECTS)), (F.pmod("vec_id", F.lit(6)) + 1).cast("int"))).alias("kind"))
+    made = m.withColumn("x", injections.injected(16, 16, 3)("vec_id", injections.patterned(16, 16, 3)("vec_id", "pattern"), "kind"))
+    return made.select("vec_id", "label", "pattern", "kind", "x.map", "x.mask")
+
+
+@query(f"WITH {MAPS} SELECT vec_id, CASE WHEN label = 1 THEN ['pit', 'scratch', 'contamination', 'bubble', 'crack', 'chip'][vec_id % 6 + 1] END AS kind, true AS exact, label = 1 AS changed FROM m")
+def injected_defects(spark, d):
+    """Defects blended into the given anomalous maps: whether the mask is just what changed, and whether anything did."""
+    kind = F.when(F.col("label") == 1, F.element_at(F.array(*map(F.lit, injections.DEFECTS)), (F.pmod("vec_id", F.lit(6)) + 1).cast("int")))
+    m = T.maps(spark, d).withColumn("kind", kind).withColumn("x", injections.injected(8, 8, 5)("vec_id", "map", "kind"))
+    differs = F.zip_with("map", "x.map", lambda a, b: a != b)
+    return m.select("vec_id", "kind", (differs == F.col("x.mask")).alias("exact"), F.exists("x.mask", lambda t: t).alias("changed"))
 
 
 @query(f"WITH {MAPS}, s AS (SELECT vec_id, map, list_sort(map) AS o FROM m) SELECT vec_id, round(list_max(list_transform(range(1, 65), lambda i: greatest(map[i], map[65 - i] / 2))), 6) AS fused, round(o[60] + 0.85 * (o[61] - o[60]), 6) AS p95 FROM s")
@@ -256,9 +268,10 @@ def resumable_work_list(spark, d):
     return studies.undone(T.read(spark, d, "customer").select("c_custkey"), T.read(spark, d, "orders").where("o_orderstatus = 'P'").withColumnRenamed("o_custkey", "c_custkey"), ("c_custkey",))
 
 
-@query("SELECT name, severity FROM (SELECT unnest(['blur', 'noise', 'light']) AS name), (SELECT unnest([0, 1, 2, 3, 4, 5]) AS severity)")
+@query("SELECT name, severity FROM (SELECT DISTINCT event_type AS name FROM events), (SELECT unnest([0, 1, 2, 3, 4, 5]) AS severity)")
 def severity_grid(spark, d):
-    return studies.severity_grid(spark, ("blur", "noise", "light"), range(6))
+    """Every event type, as a perturbation's name, at every severity."""
+    return studies.severity_grid(T.read(spark, d, "events").select(F.col("event_type").alias("name")).distinct(), "name", range(6))
 
 
 @query(f"WITH {EVENTS} SELECT round(coalesce(2.0 * tp / nullif(2 * tp + fp + fn, 0), 0), 6) AS class_f1, round(2.0 * p / (p + n), 6) AS reject_all_f1, 2.0 * tp / (2 * tp + fp + fn) > 2.0 * p / (p + n) AS passes FROM (SELECT count(*) FILTER (label = 1 AND score > 20) AS tp, count(*) FILTER (label = 0 AND score > 20) AS fp, count(*) FILTER (label = 1 AND score <= 20) AS fn, count(*) FILTER (label = 1) AS p, count(*) AS n FROM e)")

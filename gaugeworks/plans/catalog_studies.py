@@ -8,7 +8,7 @@ from gaugeworks.functions import columns as C
 from gaugeworks.operators import calibration, photometric, predictions, ranking, rasters, screens, splits, studies, thresholds
 from gaugeworks.plans import tables as T
 from gaugeworks.plans.catalog import AUROC, BOOT, CELLS, EVENTS, KTH, MAPS, TWO_SIDED, VAL, boot_sql, query, rounded
-from gaugeworks.plans.catalog_models import blur_sql
+from gaugeworks.plans.catalog_models import REGIONS, blur_sql, found
 
 # --- calibration -------------------------------------------------------------------------------
 
@@ -264,10 +264,15 @@ def sweep_variants(spark, d):
     return screens.sweep_labels(p.withColumn("settings", held), "settings", {"brand": "Brand#11", "size": "7"}).select("p_partkey", "variant")
 
 
-@query("SELECT CAST(unnest([448, 999]) AS INT) AS long_side, unnest(['marginal', NULL]) AS verdict, unnest([false, false]) AS accepted")
+@query(
+    f"WITH RECURSIVE {CELLS}, {REGIONS}, s AS (SELECT long_side, avg(CAST(2.0 * sqrt(area / 3.141592653589793) * long_side / 640.0 < 2.0 AS DOUBLE)) AS lost FROM r, (SELECT unnest([320, 448, 640, 960]) AS long_side) GROUP BY 1), "
+    "w AS (SELECT CAST(unnest([448, 960, 999]) AS INT) AS long_side) SELECT w.long_side, CASE WHEN lost > 0.25 THEN 'reject' WHEN lost > 0.05 THEN 'marginal' WHEN lost IS NOT NULL THEN 'accept' END AS verdict, coalesce(lost <= 0.05, false) AS accepted FROM w LEFT JOIN s ON s.long_side = w.long_side"
+)
 def transform_policy(spark, d):
-    verdicts = spark.createDataFrame([(320, "reject"), (448, "marginal"), (640, "accept")], "long_side int, verdict string")
-    return screens.transform_policy(verdicts, 448).unionAll(screens.transform_policy(verdicts, 999))
+    """Three configured sizes, one of which was not weighed, against the verdicts on the measured regions."""
+    verdicts = studies.resolution_impact(found(spark, d), 640, 480, least=2.0).select("long_side", "verdict")
+    each = [screens.transform_policy(verdicts, side) for side in (448, 960, 999)]
+    return each[0].unionAll(each[1]).unionAll(each[2])
 
 
 @query(
@@ -292,3 +297,15 @@ def logistic_head(spark, d):
     m = T.maps(spark, d).select("vec_id", "label", F.array_max("map").alias("high"), C.mean_of(F.col("map")).alias("mean"), C.top_fraction_mean(F.col("map"), 0.05).alias("top"))
     model = screens.logistic_head(m.where("vec_id % 3 <> 0"), ("high", "mean", "top"), "label")
     return screens.head_scores(model, m).select("vec_id", "label", "score")
+
+
+@query(
+    "WITH s AS (SELECT p_partkey, CAST(p_partkey % 700 + 50 AS INT) AS n FROM part), g AS (SELECT *, CASE WHEN n <= 224 THEN 0 ELSE CAST(ceil((n - 192) / 160.0) AS INT) END AS gaps FROM s), "
+    "k AS (SELECT *, unnest(range(gaps + 1)) AS k FROM g), w AS (SELECT *, CASE WHEN gaps = 0 THEN 0 ELSE CAST(round_even(k * (n - 192)::DOUBLE / gaps, 0) AS INT) END AS start FROM k), "
+    "c AS (SELECT *, (start + 192 + lead(start) OVER o) // 2 AS cut FROM w WINDOW o AS (PARTITION BY p_partkey ORDER BY k)) "
+    "SELECT p_partkey, start, CASE WHEN gaps = 0 THEN n ELSE start + 192 END AS stop, coalesce(CAST(lag(cut) OVER o AS INT), 0) AS own_from, coalesce(CAST(cut AS INT), n) AS own_to FROM c WINDOW o AS (PARTITION BY p_partkey ORDER BY k)"
+)
+def tile_windows(spark, d):
+    """Windows of 192 cells with overlaps of 16 over axes of many lengths."""
+    s = T.read(spark, d, "part").select("p_partkey", F.explode(rasters.tile_windows((F.col("p_partkey") % 700 + 50).cast("int"), 192, 16)).alias("w"))
+    return s.select("p_partkey", "w.*")

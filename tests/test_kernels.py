@@ -1,9 +1,10 @@
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from gaugeworks.functions import kernels as K
 from gaugeworks.operators.neighbours import greedy_coreset, squared_distances
-from gaugeworks.operators.rasters import tile_plan
+from gaugeworks.operators.rasters import tile_windows
 
 
 def test_diagonal_cells_are_one_region():
@@ -81,6 +82,6 @@ def test_coreset_covers():
 
 
 @pytest.mark.parametrize("n, tile, overlap", [(100, 30, 5), (64, 64, 8), (101, 20, 0), (37, 10, 3)])
-def test_tiles_own_every_cell_once(n, tile, overlap):
-    owned = [i for a, b, c, d in tile_plan(n, tile, overlap) for i in range(c, d)]
-    assert owned == list(range(n)) and all(a <= c and d <= b for a, b, c, d in tile_plan(n, tile, overlap))
+def test_tiles_own_every_cell_once(spark, n, tile, overlap):
+    windows = spark.range(1).select(tile_windows(F.lit(n), tile, overlap).alias("w")).first().w
+    assert [i for _, _, c, d in windows for i in range(c, d)] == list(range(n)) and all(a <= c and d <= b for a, b, c, d in windows)
