@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from gaugeworks.operators import fusion, global_branch, patch_memory, profile
+from gaugeworks.operators import fusion, global_branch, grids, patch_memory, profile
 from gaugeworks.plans import tables as T
 from gaugeworks.plans.catalog import CELLS, MAPS, query, rounded
 from gaugeworks.plans.catalog_models import REGIONS, masked
@@ -124,3 +124,45 @@ def global_branch_scores(spark, d):
     n = global_branch.neighbour_scores(own, train, "vec_id", ("l1", "l2"), exclude_self=True)
     each = [global_branch.standardised(s, s.join(val, "vec_id")).withColumnRenamed("score", c) for s, c in ((g, "gaussian"), (n, "neighbours"))]
     return rounded(each[0].join(each[1], "vec_id"))
+
+
+# --- experiment grids --------------------------------------------------------------------------
+
+BASE = {"brand": "Brand#11", "size": "7"}
+
+
+def planned(spark, d):
+    """A sweep over the brands and sizes of parts, on every region."""
+    axes = T.read(spark, d, "part").select(F.explode(F.array(F.struct(F.lit("brand").alias("axis"), F.col("p_brand").alias("value")), F.struct(F.lit("size").alias("axis"), F.col("p_size").cast("string").alias("value")))).alias("x")).select("x.*")
+    return grids.sweep(axes, "axis", "value", T.read(spark, d, "region"), "r_name", BASE, (0, 1, 2), "CAST(settings['size'] AS INT) <= 40")
+
+
+GRID = (
+    "ax AS (SELECT DISTINCT 'brand' AS a, p_brand AS v FROM part WHERE p_brand <> 'Brand#11' UNION SELECT DISTINCT 'size', CAST(p_size AS VARCHAR) FROM part WHERE p_size <> 7), "
+    "vr AS (SELECT 'sweep' AS \"group\", a || '=' || v AS variant, CASE a WHEN 'brand' THEN v ELSE 'Brand#11' END AS brand, CASE a WHEN 'size' THEN v ELSE '7' END AS size, 0 AS seed FROM ax UNION ALL SELECT 'reference', 'base', 'Brand#11', '7', unnest([0, 1, 2])), "
+    "pl AS (SELECT \"group\", r_name AS category, r_regionkey, seed, variant, substr(sha256('brand=' || brand || ',category=' || r_name || ',seed=' || seed || ',size=' || size), 1, 12) AS digest FROM vr, region WHERE CAST(size AS INT) <= 40)"
+)
+
+
+@query(f"WITH {GRID} SELECT \"group\", category, CAST(seed AS INT) AS seed, variant, digest FROM pl WHERE r_regionkey <> 0")
+def experiment_plan(spark, d):
+    """What is left of the sweep when the runs of one region are in the registry."""
+    runs = planned(spark, d)
+    done = runs.join(T.read(spark, d, "region").where("r_regionkey = 0").select(F.col("r_name").alias("category")), "category")
+    return grids.unfinished(runs, done).drop("settings")
+
+
+@query(
+    "WITH v AS (SELECT 'size=' || (l_suppkey % 23) AS variant, l_linenumber % 3 AS category, l_discount AS o, l_tax AS t, l_quantity AS q FROM lineitem), g AS (SELECT variant, category, count(*) AS n, avg(o) AS o, avg(t) AS t, var_samp(t) AS s, avg(q) AS q FROM v GROUP BY ALL), "
+    "p AS (SELECT a.variant, a.category, a.o - b.o AS og, a.t - b.t AS dt, abs(a.t - b.t) > 0.5 * sqrt(a.s / a.n + b.s / b.n) AS sig, a.q AS q FROM g a JOIN g b ON b.category = a.category AND b.variant = 'size=0' WHERE a.variant <> 'size=0'), "
+    "z AS (SELECT variant, count(*) AS categories, count(*) FILTER (og > 0) AS improved, min(og) AS worst, count(*) FILTER (sig AND dt > 0) AS better, count(*) FILTER (sig AND dt < 0) AS worse, max(q) AS cost FROM p GROUP BY variant) "
+    "SELECT variant, categories, improved, round(worst, 6) AS worst, better, worse, round(cost, 6) AS cost, CASE WHEN improved >= 1 AND worst >= -0.01 AND better >= 1 AND worse = 0 THEN CASE WHEN cost < 25.8 THEN 'adopted' ELSE 'accuracy only' END ELSE 'not adopted' END AS verdict FROM z"
+)
+def sweep_decision(spark, d):
+    """The decision on each variant from its paired differences to the base on three categories."""
+    v = T.read(spark, d, "lineitem").select(F.concat(F.lit("size="), (F.col("l_suppkey") % 23).cast("string")).alias("variant"), (F.col("l_linenumber") % 3).alias("category"), "l_discount", "l_tax", "l_quantity")
+    g = v.groupBy("variant", "category").agg(F.count("*").alias("n"), F.avg("l_discount").alias("o"), F.avg("l_tax").alias("t"), F.var_samp("l_tax").alias("s"), F.avg("l_quantity").alias("q"))
+    b = g.where("variant = 'size=0'").select("category", *(F.col(c).alias(f"{c}0") for c in ("n", "o", "t", "s")))
+    p = g.where("variant <> 'size=0'").join(F.broadcast(b), "category")  # a row for each category
+    p = p.select("variant", "category", (F.col("o") - F.col("o0")).alias("do"), (F.col("t") - F.col("t0")).alias("dt"), "q", F.expr("abs(t - t0) > 0.5D * sqrt(s / n + s0 / n0)").alias("sig"))
+    return rounded(grids.decided(p, "variant", "do", "dt", "sig", "q", 25.8, least=1))
