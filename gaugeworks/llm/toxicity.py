@@ -24,9 +24,10 @@ through, whatever their names.
 
 from __future__ import annotations
 
+import hashlib
 import math
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -88,21 +89,24 @@ class Model:
         norm = math.sqrt(float(w @ w))
         return at, w / norm if norm else w
 
-    def add(self, examples: list[tuple[int, int, tuple[np.ndarray, np.ndarray]]]) -> Model:
+    def add(self, examples: Iterable[tuple[int, int, tuple[np.ndarray, np.ndarray]]]) -> Model:
         """``examples``: id, label, vector. Equal vectors are merged; similar ones become neighbours in blocks."""
         merged: dict[bytes, list] = {}
         for i, y, (at, w) in sorted(examples, key=lambda e: e[0]):
             if len(at):
-                slot = merged.setdefault(at.tobytes() + np.round(w, 9).tobytes(), [at, w, [0, 0], i])
+                name = hashlib.blake2b(at.astype(np.int32).tobytes() + np.round(w, 9).tobytes(), digest_size=32).digest()
+                slot = merged.setdefault(name, [at, w, [0, 0], i])
                 slot[2][y] += 1
         rows = sorted(merged.values(), key=lambda r: [*r[0][np.lexsort((r[0], -r[1]))[:4]].tolist(), r[3]])
         self.votes = np.array([r[2] for r in rows], float).reshape(-1, 2)
         self.evidence = [r[3] for r in rows]
+        del merged
         at = np.concatenate([np.zeros(0, np.int64), *(r[0] for r in rows)])
         of = np.repeat(np.arange(len(rows)), [len(r[0]) for r in rows])
         order = np.lexsort((of, at))
         self.example = of[order].astype(np.int32)
         self.value = np.concatenate([np.zeros(0), *(r[1] for r in rows)])[order]
+        del rows, of
         key = at[order] << 32 | self.example // BLOCK
         first = np.flatnonzero(np.diff(key, prepend=-1))
         self.segment_first, self.segment_size = first, np.diff(first, append=len(key))
@@ -194,12 +198,13 @@ def fit(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "tex
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *(pa.array([f[k].astype(np.int32).tobytes() for f in own], pa.binary()) for k in (0, 1))], ["i", "y", "f", "n"])
 
     kind = taken.schema["i"].dataType.simpleString()
-    rows = taken.mapInArrow(places, f"i {kind}, y int, f binary, n binary").collect()  # ``examples`` rows of 2**BITS places at most
+    rows = taken.mapInArrow(places, f"i {kind}, y int, f binary, n binary").toArrow()  # ``examples`` rows of 2**BITS places at most
     model = Model(np.zeros(1 << BITS), 0.0)
-    if not rows:
+    if not rows.num_rows:
         return model
-    own = [(r.i, 1 if r.y == 1 else 0, (np.frombuffer(r.f, np.int32).astype(np.int64), np.frombuffer(r.n, np.int32).astype(np.int64))) for r in rows]
-    present = [sum((np.bincount(c[0], minlength=1 << BITS) for _, y, c in own if y == label), np.zeros(1 << BITS)) for label in (1, 0)]
+    counts = lambda c: [np.frombuffer(x.as_buffer(), np.int32) for chunk in rows.column(c).chunks for x in chunk]  # noqa: E731  no copies
+    own = list(zip(rows.column("i").to_pylist(), [1 if y == 1 else 0 for y in rows.column("y").to_pylist()], zip(counts("f"), counts("n"), strict=True), strict=True))
+    present = [np.bincount(np.concatenate([np.zeros(0, np.int32), *(c[0] for _, y, c in own if y == label)]), minlength=1 << BITS) for label in (1, 0)]
     n_toxic = float(sum(y for _, y, _ in own))
     n_clean = len(own) - n_toxic
     held = docs.sparkSession.sparkContext.broadcast(np.packbits(present[0] + present[1] > 0))
@@ -215,17 +220,19 @@ def fit(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "tex
         release()
 
     counted = docs.select(F.col(text).cast("string").alias("t")).mapInArrow(frequency, "f long, n long").groupBy("f").agg(F.sum("n").alias("n")).toArrow()  # 2**BITS rows at most
+    held.unpersist()
     at, n = (counted.column(k).to_numpy() for k in ("f", "n"))
     total = int(n[at < 0].sum())
-    idf = np.zeros(1 << BITS)
-    idf[at[at >= 0]] = np.log((1 + total) / (1 + n[at >= 0])) + 1
-    depends = dependence(present[0], present[1], n_toxic, n_clean)
-    often = np.zeros(1 << BITS, bool)
-    often[at[at >= 0]] = n[at >= 0] > max(1.0, MOST_TEXTS * total)
-    model.weight = np.where(often & (depends <= TELLING), 0.0, idf * depends)
+    at, n = at[at >= 0], n[at >= 0]
+    idf = np.log((1 + total) / (1 + n)) + 1
+    depends = dependence(present[0][at].astype(float), present[1][at].astype(float), n_toxic, n_clean)
+    model.weight[at] = np.where((n > max(1.0, MOST_TEXTS * total)) & (depends <= TELLING), 0.0, idf * depends)
     bare = [y for _, y, c in own if not len(c[0])]
     model.base = (sum(bare) + n_toxic / len(own)) / (len(bare) + 1)
-    return model.add([(i, y, model.vector(c)) for i, y, c in own])
+    model.add((i, y, model.vector(c)) for i, y, c in own)
+    del own, rows, present, counted
+    release()
+    return model
 
 
 def score(docs: DataFrame, model: Model, text: str = "text", into: str = "_toxicity") -> DataFrame:
