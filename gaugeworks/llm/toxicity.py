@@ -114,6 +114,7 @@ class Model:
         self.segment_max = np.maximum.reduceat(self.value, first) if len(first) else np.zeros(0)
         self.places, start = np.unique(key[first] >> 32, return_index=True)
         self.segments = np.append(start, len(first))  # of each place
+        self.first = np.append(first, len(key))[self.segments]  # postings of each place, in a row
         return self
 
     def neighbours(self, query: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -121,42 +122,38 @@ class Model:
         at, x = query
         where = np.searchsorted(self.places, at)
         met = np.flatnonzero(self.places[np.minimum(where, len(self.places) - 1)] == at) if len(self.places) else where[:0]
-        first = self.segments[where[met]]
-        size = self.segments[where[met] + 1] - first
-        segment, x = _runs(first, size), np.repeat(x[met], size)
-        block = self.segment_block[segment]
+        where, x = where[met], x[met]
+        whole = self.first[where + 1] - self.first[where]
         n = len(self.votes)
-        if int(self.segment_size[segment].sum()) <= SHORT:  # nothing to skip
-            order, bound = None, None
-        else:
-            bound = np.bincount(block, x * self.segment_max[segment], n // BLOCK + 1)
-            order = np.argsort(-bound, kind="stable")
+        if int(whole.sum()) <= SHORT:  # nothing to skip
+            return self._best(_runs(self.first[where], whole), np.repeat(x, whole), np.zeros(0, np.int64), np.zeros(0))
+        first = self.segments[where]
+        size = self.segments[where + 1] - first
+        segment, x = _runs(first, size), np.repeat(x, size)
+        block = self.segment_block[segment]
+        bound = np.bincount(block, x * self.segment_max[segment], n // BLOCK + 1)
+        order = np.argsort(-bound, kind="stable")
         best, score = np.zeros(0, np.int64), np.zeros(0)
         done, step = 0, VISITED
-        while True:
-            if order is None:
-                inside = slice(None)
-            else:
-                if done >= len(order) or bound[order[done]] <= 0 or len(best) >= self.k and bound[order[done]] < score[-1] - 1e-12:
-                    break
-                chosen = np.zeros(len(bound), bool)
-                chosen[order[done : done + step]] = True
-                inside = np.flatnonzero(chosen[block])
-                done, step = done + step, 2 * step
-            own = segment[inside]
-            size = self.segment_size[own]
-            posting = _runs(self.segment_first[own], size)
-            sums = np.bincount(self.example[posting], np.repeat(x[inside], size) * self.value[posting], n)
-            found = np.flatnonzero(sums > 0)
-            if len(found) > 4 * self.k:  # ties with the k-th stay
-                found = found[sums[found] >= np.partition(sums[found], -self.k)[-self.k]]
-            best, score = np.concatenate((best, found)), np.concatenate((score, sums[found]))
-            top = np.lexsort((best, -score))[: self.k]
-            best, score = best[top], score[top]
-            if order is None:
-                break
+        while done < len(order) and bound[order[done]] > 0 and not (len(best) >= self.k and bound[order[done]] < score[-1] - 1e-12):
+            chosen = np.zeros(len(bound), bool)
+            chosen[order[done : done + step]] = True
+            inside = np.flatnonzero(chosen[block])
+            done, step = done + step, 2 * step
+            size = self.segment_size[segment[inside]]
+            best, score = self._best(_runs(self.segment_first[segment[inside]], size), np.repeat(x[inside], size), best, score)
         return best, score
 
+    def _best(self, posting: np.ndarray, x: np.ndarray, best: np.ndarray, score: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """``best`` and its ``score`` with the examples that the postings add up to."""
+        sums = np.bincount(self.example[posting], x * self.value[posting], len(self.votes))
+        found = np.flatnonzero(sums > 0)
+        if len(found) > 4 * self.k:  # ties with the k-th stay
+            found = found[sums[found] >= np.partition(sums[found], -self.k)[-self.k]]
+        best, score = np.concatenate((best, found)), np.concatenate((score, sums[found]))
+        top = np.lexsort((best, -score))[: self.k]
+        return best[top], score[top]
+
     def score(self, counts: tuple[np.ndarray, np.ndarray]) -> tuple[float, list[int]]:
         """Calibrated score, and the ids of the voting examples, nearest first."""
         met, near = self.neighbours(self.vector(counts))
