@@ -54,7 +54,7 @@ SOURCES = (
 )
 
 
-@query(f"WITH {EVENTS}, {SOURCES} SELECT source, target AS requested_fpr, CAST((SELECT n FROM s) AS BIGINT) AS n_calibration, CAST(max(k) AS INT) AS rank_k, round(max(k) / ((SELECT n FROM s) + 1.0::DOUBLE), 6) AS bound, round(avg(fpr), 6) AS fpr_mean, round(stddev_samp(fpr) / sqrt(count(*)), 6) AS fpr_mc_se, round(quantile_cont(fpr, 0.05), 6) AS fpr_p05, round(quantile_cont(fpr, 0.95), 6) AS fpr_p95, round(avg(recall), 6) AS recall_mean, count(*) AS draws FROM f JOIN rc USING (source, draw, target) GROUP BY source, target")
+@query(f"WITH {EVENTS}, {SOURCES} SELECT source, target AS requested_fpr, CAST((SELECT n FROM s) AS BIGINT) AS n_calibration, CAST(max(k) AS INT) AS rank_k, round(max(k) / ((SELECT n FROM s) + 1.0::DOUBLE), 6) AS bound, round(avg(fpr), 6) AS fpr_mean, round(stddev_samp(fpr) / sqrt(count(*)), 6) AS fpr_mc_se, round(quantile_cont(fpr, 0.05), 6) AS fpr_p05, round(quantile_cont(fpr, 0.95), 6) AS fpr_p95, round(avg(recall), 6) AS recall_mean, count(*) AS draws FROM f JOIN rc USING (source, draw, target) WHERE (SELECT n FROM s) BETWEEN 10 AND (SELECT count(*) FROM nv) GROUP BY source, target")
 def calibration_source(spark, d):
     e = T.events(spark, d)
     return rounded(calibration.calibration_source_study(e.where("split = 'validation' AND label = 0"), e.where("split = 'test'"), "event_id", "label", "score", (0.02, 0.1), 6, 5))
