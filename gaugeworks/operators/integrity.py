@@ -108,7 +108,7 @@ def hamming_nearest(queries: DataFrame, bank: DataFrame, id: str, bits: str, by:
         own = own.join(more.groupBy(*by, "_g").agg(F.min("_id").alias("_second")), [*by, "_g"], "left")
     own = cut(own)
     asked = cut(queries.where(F.col(bits).isNotNull()).select(*by, F.col(bits).alias("_h")).distinct())
-    edges = _bands(own.count())
+    edges = _bands((own.groupBy(*by).count().agg(F.max("count")).first()[0] if by else own.count()) or 0)
     m = len(edges) - 1
 
     def band(h: str, k: int) -> Column:
