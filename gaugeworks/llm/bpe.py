@@ -5,7 +5,9 @@ and compiled into a minimal acyclic automaton over UTF-8 bytes: words share pref
 suffixes, and every arc carries an additive output, so that the outputs along a word sum to
 its ordinal, which indexes the table of its token ids. The file is shipped with
 ``SparkContext.addFile`` (a replaced executor fetches it again) and memory-mapped by the
-Python workers; words the lexicon lacks are merged exactly by the ranked merge rules.
+Python workers; words the lexicon lacks are merged exactly by the ranked merge rules. Texts meet both
+as columns: chunks and words are made distinct by Arrow dictionaries, and numpy takes all distinct words
+one arc or one merge further at a time.
 
 Null texts and empty texts have no tokens. Very long texts are handled in one pass; repeated
 rows and repeated ids give one output row each; extra columns are ignored.
@@ -25,7 +27,9 @@ import unicodedata
 from collections import Counter
 from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -34,15 +38,12 @@ from gaugeworks.llm.store import materialise, release
 
 #: Words compiled into the lexicon; bounds the driver's work and the size of the file.
 LEXICON_WORDS = 32_768
-#: Bytes of a worker's memo of chunks before it is emptied, what an entry costs besides its characters and
-#: ids, and the longest chunk held.
-MEMO_BYTES, ENTRY_BYTES, MEMO_CHUNK = 48 << 20, 220, 128
 #: While words are counted: characters of text and distinct chunks after which the counts are handed on.
 COUNTED_CHARS, COUNTED_CHUNKS = 16 << 20, 150_000
-#: Characters of a text that are split at once.
-PIECE = 1 << 20
-#: Nodes of the lexicon whose arcs a worker holds outside the memory map.
-NEAR_NODES = 16_384
+#: Characters of a text that are split at once, and bytes of texts that are encoded at once.
+PIECE, GROUP_BYTES = 1 << 20, 1 << 20
+#: Bytes of the longest word that is merged side by side with others (places must fit six bits), and words in a block.
+SHORT, BLOCK = 64, 8_192
 #: Texts whose characters all lie here are normalised alike by Python and by the tokenizers
 #: library: printable ASCII, tab, line feed, carriage return and U+00A1-U+017F but U+0130.
 _PLAIN = re.compile("[\t\n\r\x20-\x7e\xa1-įı-ſ]*")
@@ -59,16 +60,102 @@ def plain(text: str) -> bool:
 
 def _chunks(text: str) -> Iterator[list[str]]:
     """The white-space separated chunks of a plain text, of about ``PIECE`` characters at a time."""
+    return (piece.split() for piece in _pieces(text))
+
+
+def _pieces(text: str) -> Iterator[str]:
+    """A plain text cut at white space after about ``PIECE`` characters each."""
     at = 0
     while at < len(text):
         end = at + PIECE
         if end < len(text):
             gap = _GAP.search(text, end)
             end = gap.start() if gap else len(text)
-        yield (text[at:end] if at or end < len(text) else text).split()
+        yield text[at:end] if at or end < len(text) else text
         at = end
 
 
+#: Kind of a plain character: 1 letter, 2 number, 0 any other.
+_KIND = np.zeros(0x180, np.uint8)
+_KIND[[c for c in range(0x180) if re.match(f"[{_LETTER}]", chr(c))]] = 1
+_KIND[[c for c in range(0x180) if re.match(f"[{_NUMBER}]", chr(c))]] = 2
+
+
+def _word_starts(data: np.ndarray, chunk: np.ndarray) -> np.ndarray:
+    """Where the matches of ``_WORDS`` begin in ``data``, the UTF-8 of lower-cased plain chunks that begin at ``chunk``."""
+    code = np.append(data, np.zeros(3, np.uint8)).astype(np.int32)
+    inner = code & 0xC0 == 0x80  # the second byte of a character; there is no third in this range
+    lead = np.flatnonzero(code >= 0xC0)
+    code[lead] = code[lead + 1] = (code[lead] & 0x1F) << 6 | code[lead + 1] & 0x3F
+    kind, first = _KIND[code], np.zeros(len(code), bool)
+    first[chunk] = True
+    start = first.copy()
+    start[1:] |= (kind[1:] != kind[:-1]) | (kind[1:] == 2)
+    start &= ~inner
+    quote = np.flatnonzero(start[:-3] & (code[:-3] == ord("'")))  # 's, 't, 're, 've, 'm, 'll and 'd are words
+    if len(quote):
+        a, b = code[quote + 1], code[quote + 2]
+        one = ~first[quote + 1] & np.isin(a, [ord(c) for c in "stmd"])
+        two = ~first[quote + 1] & ~first[quote + 2] & (((a == ord("r")) | (a == ord("v"))) & (b == ord("e")) | (a == ord("l")) & (b == ord("l")))
+        start[quote[one | two] + 1] = False
+        start[quote[one] + 2] = True
+        start[quote[two] + 3] = True
+    return np.flatnonzero(start[: len(data)])
+
+
+def _column(words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Bytes and offsets of an Arrow column of strings without nulls."""
+    at = np.frombuffer(words.buffers()[1], np.int32)[words.offset : words.offset + len(words) + 1] if len(words) else np.zeros(1, np.int32)
+    data = np.frombuffer(words.buffers()[2] or b"", np.uint8)
+    return data[at[0] : at[-1]], at - at[0]
+
+
+def _distinct(words: pa.Array) -> tuple[np.ndarray, pa.Array]:
+    """The place of each word among the distinct ones, and those."""
+    found = words.dictionary_encode()
+    return found.indices.to_numpy(), found.dictionary
+
+
+def _ranges(first: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """first, first + 1, ... of each range of so many numbers, one range after the other."""
+    return np.repeat(first - (np.cumsum(count) - count), count) + np.arange(count.sum())
+
+
+class _Table:
+    """Distinct integers from 0 in open addressing: the positions of many at once."""
+
+    def __init__(self, keys: np.ndarray):
+        self.bits = max(4, (2 * len(keys)).bit_length())
+        self.key, self.at = np.full(1 << self.bits, -1, np.int64), np.full(1 << self.bits, -1, np.int32)
+        left, slot = np.arange(len(keys)), self._slot(keys)
+        while len(left):
+            free = self.key[slot] < 0
+            self.key[slot[free]], self.at[slot[free]] = keys[left[free]], left[free]  # of several in one slot the last stays
+            lost = self.key[slot] != keys[left]
+            left, slot = left[lost], self._next(slot[lost])
+
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
+        return (keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def _next(self, slot: np.ndarray) -> np.ndarray:
+        return slot + 1 & (1 << self.bits) - 1
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """The position of each key, -1 if it is not there."""
+        slot = self._slot(keys)
+        held, out = self.key[slot], self.at[slot]
+        open = np.flatnonzero(held != keys)
+        out[open] = -1
+        open = open[held[open] >= 0]
+        while len(open):
+            slot[open] = self._next(slot[open])
+            held = self.key[slot[open]]
+            met = held == keys[open]
+            out[open[met]] = self.at[slot[open[met]]]
+            open = open[~met & (held >= 0)]
+        return out
+
+
 class Vocabulary:
     """Vocabulary, ranked merges and special tokens of a word-level BPE file of the tokenizers library."""
 
@@ -92,6 +179,11 @@ class Vocabulary:
         self.last = {b: ids[c + suffix] for b, c in byte_char.items()}
         self.pairs = {ids[a] << 20 | ids[b]: r << 20 | ids[a + b] for r, (a, b) in enumerate(merges)}
         self.none = 1 << 62
+        # the same in numpy: pairs by ascending rank, so that a pair's position stands for its rank
+        ranked = sorted(self.pairs, key=self.pairs.__getitem__)
+        self.table = _Table(np.array(ranked, np.int64))
+        self.merged = np.array([self.pairs[k] & 0xFFFFF for k in ranked], np.int32)
+        self.bytes = np.array([[self.inner[b], self.last[b]] for b in range(256)], np.int32).T
         #: the pieces in UTF-8 by id
         self.names: list[bytes] = [b""] * (1 + max(*ids.values(), *self.special.values(), 0))
         for piece, i in (ids | self.special).items():
@@ -144,6 +236,59 @@ class Vocabulary:
                 ranks[i] = get(ids[i] << 20 | ids[i + 1], none)
         return ids
 
+    def merge_all(self, data: np.ndarray, at: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """First id, number of ids and all ids of the words of ``size`` bytes at ``at`` in ``data``, as ``merge`` finds them."""
+        order = np.argsort(size, kind="stable")
+        short = order[: np.searchsorted(size[order], SHORT, "right")]
+        found = [x for k in range(0, len(short), BLOCK) for x in self._merge_block(data, at, size, short[k : k + BLOCK])]
+        for k in order[len(short) :].tolist():
+            ids = self.merge(data[at[k] : at[k] + size[k]].tobytes().decode())
+            found.append((np.array([k]), np.array([len(ids)]), np.array(ids, np.uint32)))
+        first, count = np.zeros((2, len(size)), np.int64)
+        if found:
+            who, n = np.concatenate([x[0] for x in found]), np.concatenate([x[1] for x in found])
+            first[who], count[who] = np.cumsum(n) - n, n
+        return first, count, np.concatenate([np.zeros(0, np.uint32), *(x[2] for x in found)])
+
+    def _merge_block(self, data: np.ndarray, at: np.ndarray, size: np.ndarray, who: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Words in ``who``, by ascending length, with their numbers of ids and ids. A column of ``ids`` is a word, ``rank``
+        has the shifted ranks of neighbours, and each round merges one pair of every column."""
+        at, size = at[who], size[who].astype(np.int64)
+        wide, pad, none = int(size[-1]), np.int32(len(self.names)), np.int32(1 << 30)
+
+        def ranks(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+            found = self.table.find((left.astype(np.int64) << 20 | right).ravel())
+            return np.where(found < 0, none, found << 6).reshape(left.shape)
+
+        place = np.arange(wide)[:, None]
+        byte = data[np.where(place < size, at + place, 0)] if len(data) else np.zeros((wide, len(who)), np.uint8)
+        ids = np.where(place < size, np.where(place == size - 1, self.bytes[1][byte], self.bytes[0][byte]), pad)
+        rank = ranks(ids[:-1], ids[1:])
+        while True:
+            best = np.full(len(who), none)
+            for j in range(wide - 1):
+                np.minimum(best, rank[j] + np.int32(j), out=best)
+            open = best < none
+            if not open.all():
+                done = ~open
+                yield who[done], size[done], ids[:, done].T[np.arange(wide) < size[done][:, None]].astype(np.uint32)
+                if done.all():
+                    return
+                ids, rank, who, size, best = ids[:, open], rank[:, open], who[open], size[open], best[open]
+            p, new = best & 63, self.merged[best >> 6]
+            for j in range(1, wide - 1):
+                after = p < j
+                np.copyto(ids[j], ids[j + 1], where=after)
+                if j < wide - 2:
+                    np.copyto(rank[j], rank[j + 1], where=after)
+            wide, size = wide - 1, size - 1
+            ids, rank = ids[:wide], rank[: wide - 1]
+            ids[p, np.arange(len(who))] = new
+            c = np.flatnonzero(p > 0)
+            rank[p[c] - 1, c] = ranks(ids[p[c] - 1, c], new[c])
+            c = np.flatnonzero(p < wide - 1)
+            rank[p[c], c] = ranks(new[c], ids[p[c] + 1, c])
+
     def _merge_long(self, ids: list[int]) -> list[int]:
         """The same merges by a heap over a linked list, for words of thousands of characters."""
         import heapq
@@ -221,33 +366,37 @@ class Lexicon:
     """Reader of a compiled lexicon; ``buffer`` is usually a memory map."""
 
     def __init__(self, buffer):
-        view = memoryview(buffer).cast("I")
-        magic, self.n_words, nodes, arcs, ids, self.root = view[:6]
+        view = np.frombuffer(buffer, np.uint32)
+        magic, self.n_words, nodes, arcs, ids, self.root = view[:6].tolist()
         if magic != 0x4D415458:
             raise ValueError("not a lexicon")
         at = 6
         self.first, at = view[at : at + nodes + 1], at + nodes + 1
-        self.arcs, at = view[at : at + 3 * arcs], at + 3 * arcs
+        self.arcs, at = view[at : at + 3 * arcs].reshape(arcs, 3), at + 3 * arcs
         self.offsets, at = view[at : at + self.n_words + 1], at + self.n_words + 1
         self.ids = view[at : at + ids]
-        self.near: dict[int, dict[int, tuple[int, int]]] = {}  # arcs of the nodes met first
-
-    def _arcs(self, node: int) -> dict[int, tuple[int, int]]:
-        arcs = self.arcs
-        own = {arcs[3 * k]: (arcs[3 * k + 1], arcs[3 * k + 2]) for k in range(self.first[node] >> 1, self.first[node + 1] >> 1)}
-        if len(self.near) < NEAR_NODES:
-            self.near[node] = own
-        return own
+        node = np.repeat(np.arange(nodes), np.diff(self.first >> 1))
+        self.table = _Table(node << 8 | self.arcs[:, 0])
+
+    def find(self, data: np.ndarray, at: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """The ordinals of the words of ``size`` bytes at ``at`` in ``data``, -1 for those not there: all follow an arc a step."""
+        node, rank, found = np.full(len(size), self.root), np.zeros(len(size), np.int64), np.full(len(size), -1)
+        live, j = np.flatnonzero(size), 0
+        while len(live):
+            arc = self.table.find(node[live] << 8 | data[at[live] + j])
+            live, arc = live[arc >= 0], arc[arc >= 0]
+            node[live] = self.arcs[arc, 1]
+            rank[live] += self.arcs[arc, 2]
+            j += 1
+            ended = live[(size[live] == j) & (self.first[node[live]] & 1 == 1)]
+            found[ended] = rank[ended]
+            live = live[size[live] > j]
+        return found
 
     def get(self, word: str) -> list[int] | None:
-        node, rank, near = self.root, 0, self.near
-        for byte in word.encode():
-            arc = (near.get(node) or self._arcs(node)).get(byte)
-            if arc is None:
-                return None
-            node, out = arc
-            rank += out
-        return self.ids[self.offsets[rank] : self.offsets[rank + 1]].tolist() if self.first[node] & 1 and word else None
+        data = np.frombuffer(word.encode(), np.uint8)
+        k = int(self.find(data, np.array([0]), np.array([len(data)]))[0])
+        return None if k < 0 else self.ids[self.offsets[k] : self.offsets[k + 1]].tolist()
 
 
 @functools.lru_cache(2)
@@ -329,57 +478,93 @@ def encoder(docs: DataFrame, path: str, lexicon_words: int = LEXICON_WORDS, text
     return vocabulary, lexicon
 
 
-class _Codec(dict):
-    """Memo of one worker: white-space separated chunk of a plain text -> packed ids.
+class _Codec:
+    """Encoder and decoder of one worker.
 
     No pre-token holds white space, and normalisation of plain characters looks at one at a time,
-    so a text's ids are those of its chunks in order.
+    so a plain text's ids are those of its white-space separated chunks in order.
     """
 
-    def __init__(self, vocabulary: str, lexicon: str):
-        self.voc, self.lexicon = _vocabulary(vocabulary), _lexicon(lexicon)
-        self.names = self.voc.names
-        self.held = 0
-
-    def __missing__(self, chunk: str) -> bytes:
-        words = _WORDS.findall(chunk.lower())
-        if len(words) == 1:
-            out = self.get(words[0]) or self._word(words[0])
-        else:
-            out = b"".join([self.get(w) or self._word(w) for w in words])
-        self._hold(chunk, out)
-        return out
-
-    def _hold(self, chunk: str, ids: bytes) -> None:
-        if len(chunk) <= MEMO_CHUNK:
-            self.held += ENTRY_BYTES + len(chunk) + len(ids)
-            if self.held > MEMO_BYTES:
-                self.clear()
-                self.held = 0
-            self[chunk] = ids
-
-    def _word(self, word: str | int) -> bytes:
-        """The packed ids of a pre-token, which as a chunk has the same ones."""
-        if word.__class__ is int:
-            return struct.pack("<I", word)
-        ids = self.lexicon.get(word)
-        if ids is None:
-            ids = self.voc.merge(word)
-        out = struct.pack(f"<{len(ids)}I", *ids)
-        self._hold(word, out)
-        return out
-
-    def encode(self, text: str | None) -> bytes:
-        """Ids as little-endian unsigned 32-bit integers."""
-        if not text:
-            return b""
-        if plain(text):
-            return b"".join([b"".join(map(self.__getitem__, piece)) for piece in _chunks(text)])
-        return b"".join(map(self._word, self.voc.words(text)))
+    def __init__(self, vocabulary: Vocabulary, lexicon: Lexicon):
+        self.voc, self.lexicon = vocabulary, lexicon
+
+    def encode(self, texts: list[str | None]) -> list[bytes]:
+        """The ids of each text as little-endian unsigned 32-bit integers."""
+        out: list[list[bytes]] = [[] for _ in texts]
+        easy = ((k, piece) for k, text in enumerate(texts) if text and plain(text) for piece in _pieces(text))
+        hard = ((k, self.voc.words(text)) for k, text in enumerate(texts) if text and not plain(text))
+        for source, encoded in ((easy, self._plain), (hard, self._other)):
+            for own in _grouped(source):
+                ids, ends = encoded([x for _, x in own])
+                view = memoryview(ids.astype("<u4")).cast("B")
+                for (k, _), a, b in zip(own, [0, *ends], ends, strict=False):
+                    out[k].append(bytes(view[4 * a : 4 * b]))
+        return [p[0] if len(p) == 1 else b"".join(p) for p in out]
+
+    def _plain(self, pieces: list[str]) -> tuple[np.ndarray, list[int]]:
+        """The ids of plain pieces in one, and where each piece ends."""
+        split = pc.ascii_split_whitespace(pc.utf8_lower(pa.array(pieces, pa.string())))
+        place, chunks = _distinct(split.values)
+        data, at = _column(chunks)
+        start = _word_starts(data, at[:-1][at[:-1] < at[1:]])
+        words = pa.StringArray.from_buffers(len(start), pa.py_buffer(np.append(start, len(data)).astype(np.int32)), pa.py_buffer(data))
+        which, words = _distinct(words)
+        first, count, ids = self._words(words)
+        # ids of the distinct chunks, then of the chunks as they follow in the texts
+        chunk_ids = ids[_ranges(first[which], count[which])]
+        upto = np.append(0, np.cumsum(count[which]))[np.searchsorted(start, at)]
+        first, count = upto[:-1][place], np.diff(upto)[place]
+        return chunk_ids[_ranges(first, count)], np.append(0, np.cumsum(count))[split.offsets.to_numpy()[1:]].tolist()
+
+    def _other(self, texts: list[list[str | int]]) -> tuple[np.ndarray, list[int]]:
+        """The ids of the pre-tokens of other texts in one, and where each text ends."""
+        # no pre-token holds a space, so a special token's id behind one is told from them
+        which, words = _distinct(pa.array([f" {w}" if w.__class__ is int else w for text in texts for w in text], pa.string()))
+        first, count, ids = self._words(words)
+        count = count[which]
+        return ids[_ranges(first[which], count)], np.append(0, np.cumsum(count))[np.cumsum([len(t) for t in texts])].tolist()
+
+    def _words(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """First id, number of ids and all ids of distinct words."""
+        data, at = _column(words)
+        at, size = at[:-1], np.diff(at)
+        rank = self.lexicon.find(data, at, size)
+        lacking, known = np.flatnonzero(rank < 0), np.flatnonzero(rank >= 0)
+        first, count = np.zeros((2, len(size)), np.int64)
+        first[known] = self.lexicon.offsets[rank[known]]
+        count[known] = self.lexicon.offsets[rank[known] + 1] - first[known]
+        n = len(self.lexicon.ids)
+        first[lacking], count[lacking], merged = self.voc.merge_all(data, at[lacking], size[lacking])
+        first[lacking] += n
+        ids = np.concatenate([self.lexicon.ids, merged])
+        held = np.flatnonzero(size)
+        for k in held[data[at[held]] == ord(" ")].tolist():
+            ids[first[k]], count[k] = int(words[k].as_py()), 1
+        return first, count, ids
 
     def decode(self, packed: bytes) -> bytes:
         """The pieces of the ids joined by single spaces, in UTF-8."""
-        return b" ".join(map(self.names.__getitem__, memoryview(packed).cast("I")))
+        return b" ".join(map(self.voc.names.__getitem__, memoryview(packed).cast("I")))
+
+
+def _grouped(items: Iterable[tuple[int, str | list]]) -> Iterator[list[tuple[int, str | list]]]:
+    """Runs of ``items`` that hold about ``GROUP_BYTES`` characters or pre-tokens together."""
+    own, size = [], 0
+    for item in items:
+        own.append(item)
+        size += len(item[1])
+        if size >= GROUP_BYTES:
+            yield own
+            own, size = [], 0
+    if own:
+        yield own
+
+
+def _slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """``batch`` in runs of rows of about ``GROUP_BYTES`` of text."""
+    part = np.cumsum(pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False).astype(np.int64)) // GROUP_BYTES
+    cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), batch.num_rows]
+    return (batch.slice(a, b - a) for a, b in zip(cuts, cuts[1:], strict=False) if a < b)
 
 
 def encode(docs: DataFrame, path: str, id: str = "doc_id", text: str = "text", lexicon_words: int = LEXICON_WORDS, digests: bool = False) -> DataFrame:
@@ -388,12 +573,12 @@ def encode(docs: DataFrame, path: str, id: str = "doc_id", text: str = "text", l
     vocabulary, lexicon = encoder(docs, path, lexicon_words, text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = _Codec(vocabulary, lexicon)
-        for batch in batches:
-            packed = [codec.encode(t) for t in batch.column(1).to_pylist()]
+        codec = _Codec(_vocabulary(vocabulary), _lexicon(lexicon))
+        for batch in (own for whole in batches for own in _slices(whole)):
+            packed = codec.encode(batch.column(1).to_pylist())
             cols = [batch.column(0), pa.array([len(p) // 4 for p in packed], pa.int64())]
             if digests:
-                cols += [pa.array([hashlib.sha256(p).hexdigest() for p in packed]), pa.array([hashlib.sha256(codec.decode(p)).hexdigest() for p in packed])]
+                cols += [pa.array([hashlib.sha256(p).hexdigest() for p in packed]), pa.array([hashlib.sha256(d).hexdigest() for d in map(codec.decode, packed)])]
                 yield pa.RecordBatch.from_arrays(cols, ["id", "n_tokens", "ids_sha256", "decoded_sha256"])
             else:
                 offsets = [0]

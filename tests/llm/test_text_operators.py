@@ -224,6 +224,28 @@ def test_bpe_equals_the_library(spark):
     assert bpe.encode(docs.limit(0), path).count() == 0
 
 
+@pytest.mark.parametrize("lexicon_texts, group, piece", [(0, 1 << 22, 1 << 20), (200, 300, 40)])
+def test_bpe_takes_short_words_side_by_side(monkeypatch, lexicon_texts, group, piece):
+    from tokenizers import Tokenizer
+
+    path = queries.tokenizer_path()
+    library = Tokenizer.from_file(path)
+    with open(path, "rb") as f:
+        voc = bpe.Vocabulary(f.read())
+    rng = random.Random(5)
+    pools = ["'''stmdrevlleaSX1 !", "abcdeéßü '.,12\n\t", "'s't're've'm'll'd", "aéĿŉſªº²µ'x 日İ\x85😀"]
+    texts = ["".join(rng.choice(pool) for _ in range(rng.randrange(1, 60))) for pool in pools * 150]
+    texts += [*ODD, "a" * 64, "a" * 65, "é" * 33, "'", "'s", "'l", "<|endoftext|> 7<|endoftext|>é 49407"]
+    lexicon = bpe.Lexicon(bpe.compile_lexicon((w, voc.merge(w)) for t in texts[:lexicon_texts] for w in voc.words(t) if isinstance(w, str)))
+    alone, merge = [], bpe.Vocabulary.merge
+    monkeypatch.setattr(bpe.Vocabulary, "merge", lambda self, word: alone.append(word) or merge(self, word))
+    monkeypatch.setattr(bpe, "GROUP_BYTES", group)
+    monkeypatch.setattr(bpe, "PIECE", piece)
+    got = bpe._Codec(voc, lexicon).encode(texts)
+    assert [memoryview(p).cast("I").tolist() for p in got] == [library.encode(t or "", add_special_tokens=False).ids for t in texts]
+    assert alone and all(len(w.encode()) > 64 for w in alone)
+
+
 def test_lexicon_is_minimal():
     entries = [(w, [i, i + 1]) for i, w in enumerate(("tops", "stops", "top", "stop", "é", "tap", "taps"))]
     lexicon = bpe.Lexicon(bpe.compile_lexicon(entries))
