@@ -89,8 +89,7 @@ def blur_sql(sigma: str) -> str:
 
 @query(f"WITH {CELLS}, {blur_sql('[1.0]')} SELECT vec_id, list(round(x, 6) ORDER BY pos) AS map FROM bl GROUP BY vec_id")
 def smoothed_maps(spark, d):
-    m = T.maps(spark, d)
-    return m.select("vec_id", F.transform(rasters.smooth(1.0)("map", F.lit(8), F.lit(8)), lambda x: F.round(x, 6)).alias("map"))
+    return T.maps(spark, d).select("vec_id", rasters.smooth(1.0, 6)("map", F.lit(8), F.lit(8)).alias("map"))
 
 
 @query()
