@@ -139,17 +139,54 @@ def wilcoxon(df: DataFrame, a: str, b: str, least_n: int = 6) -> dict[str, float
     return {"n": n, "statistic": w, "p_value": p}
 
 
-def _log_choose(n: int, k: int) -> float:
-    return math.lgamma(n + 1) - math.lgamma(k + 1) - math.lgamma(n - k + 1)
+def _stirling_error(n: float) -> float:
+    """log n! less Stirling's formula."""
+    if n <= 15:
+        return math.lgamma(n + 1) - (n + 0.5) * math.log(n) + n - 0.5 * math.log(2 * math.pi) if n else 0.0
+    return (1 / 12 - (1 / 360 - (1 / 1260 - (1 / 1680 - 1 / 1188 / n**2) / n**2) / n**2) / n**2) / n
+
+
+def _deviance(x: float, m: float) -> float:
+    """x log(x / m) + m - x, also where x is near m."""
+    if abs(x - m) >= 0.1 * (x + m):
+        return x * math.log(x / m) + m - x
+    v = (x - m) / (x + m)
+    s, term, j = (x - m) * v, 2 * x * v, 1
+    while True:
+        term *= v * v
+        new = s + term / (2 * j + 1)
+        if new == s:
+            return s
+        s, j = new, j + 1
+
+
+def _log_binomial(k: int, n: int, p: float) -> float:
+    """log P[X = k] for 0 < p < 1, by deviances from the mean, so that it stays exact for large n."""
+    if k == 0:
+        return n * math.log1p(-p)
+    if k == n:
+        return n * math.log(p)
+    core = _stirling_error(n) - _stirling_error(k) - _stirling_error(n - k) - _deviance(k, n * p) - _deviance(n - k, n * (1 - p))
+    return core + 0.5 * math.log(n / (2 * math.pi * k * (n - k)))
 
 
 def binomial_tail(k: int, n: int, p: float) -> float:
-    """P[X <= k]."""
-    if p <= 0:
+    """P[X <= k]: terms outward from ``k`` on its side of the mode, each from the one before, until what is left cannot be seen."""
+    if p <= 0 or k >= n:
         return 1.0
-    if p >= 1:
-        return float(k >= n)
-    return math.fsum(math.exp(_log_choose(n, i) + i * math.log(p) + (n - i) * math.log1p(-p)) for i in range(k + 1))
+    if p >= 1 or k < 0:
+        return 0.0
+    odds, below = p / (1 - p), k <= (n + 1) * p
+    i = k if below else k + 1
+    term, s = 1.0, 0.0
+    while term:
+        s += term
+        ratio = i / ((n - i + 1) * odds) if below else (n - i) / (i + 1) * odds
+        if ratio < 1 and term * ratio <= 1e-17 * s * (1 - ratio):
+            break
+        term, i = term * ratio, i - 1 if below else i + 1
+    s = min(1.0, s * math.exp(_log_binomial(k if below else k + 1, n, p)))
+    return s if below else 1.0 - s
 
 
 def binomial_upper_bound(failures: int, trials: int, confidence: float = 0.95) -> float:
@@ -166,7 +203,9 @@ def binomial_upper_bound(failures: int, trials: int, confidence: float = 0.95) -
 
 
 def sign_test(wins: int, n: int) -> float:
-    """Exact one-sided p of ``wins`` or more among ``n`` untied pairs."""
+    """Exact one-sided p of ``wins`` or more among ``n`` untied pairs; of many pairs, to double precision."""
+    if n > 1000:
+        return binomial_tail(n - wins, n, 0.5)
     return sum(math.comb(n, i) for i in range(wins, n + 1)) / 2**n
 
 
@@ -176,8 +215,11 @@ def exceedance_p(fp: int, n_test: int, n_calibration: int, k: int) -> float:
     if fp <= 0:
         return 1.0
     top = min(marked, n_test)
-    whole = _log_choose(total, marked)
-    return min(1.0, math.fsum(math.exp(_log_choose(n_test, i) + _log_choose(n_calibration, marked - i) - whole) for i in range(fp, top + 1) if 0 <= marked - i <= n_calibration))
+    if marked >= total:
+        return 1.0
+    p = marked / total  # a hypergeometric term is one of two binomials over one of their sum
+    whole = _log_binomial(marked, total, p)
+    return min(1.0, math.fsum(math.exp(_log_binomial(i, n_test, p) + _log_binomial(marked - i, n_calibration, p) - whole) for i in range(max(fp, marked - n_calibration), top + 1)))
 
 
 def one_row(spark: SparkSession, values: dict[str, object]) -> DataFrame:

@@ -1,4 +1,5 @@
 import math
+import time
 
 import numpy as np
 import pytest
@@ -22,6 +23,21 @@ def test_exact_tails():
     assert statistics.exceedance_p(1, 1, 1, 1) == pytest.approx(0.5)
 
 
+def test_tails_of_many_rows():
+    """Sums of millions of terms would take hours; the values are those of exact arithmetic."""
+    n, wins = 4000, 2100
+    assert statistics.sign_test(wins, n) == pytest.approx(sum(math.comb(n, i) for i in range(wins, n + 1)) / 2**n, rel=1e-11)
+    for k, n, p in ((3, 50, 0.2), (30, 50, 0.2), (49, 50, 0.9), (0, 9, 0.5), (8, 9, 0.01)):
+        assert statistics.binomial_tail(k, n, p) == pytest.approx(sum(math.comb(n, i) * p**i * (1 - p) ** (n - i) for i in range(k + 1)), rel=1e-11)
+    assert statistics.exceedance_p(3, 7, 9, 2) == pytest.approx(sum(math.comb(7, i) * math.comb(9, 4 - i) for i in (3, 4)) / math.comb(16, 4))
+    start = time.perf_counter()
+    assert statistics.sign_test(10**7 // 2, 10**7) == pytest.approx(0.5 + 0.5 / math.sqrt(math.pi * 10**7 / 2), rel=1e-9)
+    bound = statistics.binomial_upper_bound(190_000, 19_000_000)
+    assert bound == pytest.approx(0.01 + 1.6449 * math.sqrt(0.01 * 0.99 / 19e6), rel=1e-4)
+    assert statistics.exceedance_p(190_000, 19_000_000, 100, 1) == pytest.approx(0.99**100, rel=1e-3)
+    assert time.perf_counter() - start < 20
+
+
 def test_exceedance_is_calibrated():
     rng = np.random.default_rng(0)
     ps = []
