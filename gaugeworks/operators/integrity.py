@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 from itertools import combinations
 
@@ -41,8 +40,8 @@ def repeats(df: DataFrame, content: str, id: str) -> DataFrame:
 def sign_hash(values: Column) -> Column:
     """64 bits as a signed long: bit i tells whether component i exceeds the median of components 1 to 63."""
     rest = F.sort_array(F.slice(values, 2, 63))
-    middle = F.element_at(rest, 32)
-    return F.aggregate(F.sequence(F.lit(0), F.lit(63)), F.lit(0).cast("long"), lambda h, i: F.when(F.get(values, i) > middle, h.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), i))).otherwise(h))
+    bits = lambda m: F.aggregate(F.sequence(F.lit(0), F.lit(63)), F.lit(0).cast("long"), lambda h, i: F.when(F.get(values, i) > m, h.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), i))).otherwise(h))
+    return F.get(F.transform(F.array(F.element_at(rest, 32)), bits), F.lit(0))  # the median is taken once, not for each bit
 
 
 #: Bands that a hash is cut into at most, so that a band's value stays selective.
@@ -89,55 +88,71 @@ def hamming_groups(df: DataFrame, id: str, bits: str, distance: int) -> tuple[Da
     return hamming_pairs(named, "representative", "_h", distance), member
 
 
-def _bands(n: int) -> list[int]:
-    """Where 64 bits are cut so that a band's values are about as many as the hashes."""
-    m = max(1, min(32, round(64 / math.log2(max(n, 4)))))
-    return [64 * k // m for k in range(m + 1)]
+#: Hashes of a block of a bank and of a chunk of queries; pairs that a task holds at once.
+BLOCK, CHUNK, TILE = 1 << 17, 1 << 14, 1 << 17
 
 
-def hamming_nearest(queries: DataFrame, bank: DataFrame, id: str, bits: str, by: Sequence[str] = (), exclude_self: bool = False) -> DataFrame:
+def _nearest_in(asked: np.ndarray, bank: np.ndarray, apart: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Position and distance of the first nearest of ``bank`` for each hash; ``apart`` leaves out equal ones (distance 256: none)."""
+    asked, bank = asked.view(np.uint64), bank.view(np.uint64)  # of a negative number the bits of its absolute value would be counted
+    at, least = np.zeros(len(asked), np.int64), np.full(len(asked), 256, np.int64)
+    width = min(len(bank), TILE // 16)
+    for lo in range(0, len(bank), width):
+        own = bank[lo : lo + width]
+        for q in range(0, len(asked), max(1, TILE // len(own))):
+            d = np.bitwise_count(asked[q : q + max(1, TILE // len(own)), None] ^ own)
+            if apart:
+                d -= np.uint8(1)  # 0 comes to 255
+            k = d.argmin(1)
+            v = d[np.arange(len(d)), k].astype(np.int64) + apart
+            better = v < least[q : q + len(d)]
+            at[q : q + len(d)][better], least[q : q + len(d)][better] = lo + k[better], v[better]
+    return at, least
+
+
+def hamming_nearest(queries: DataFrame, bank: DataFrame, id: str, bits: str, by: Sequence[str] = (), exclude_self: bool = False, block: int = BLOCK, chunk: int = CHUNK) -> DataFrame:
     """(by, id, neighbour, distance): the nearest of the ``bank``'s 64-bit hashes for each query, within equal ``by``; the least
     id of equally near ones. With ``exclude_self`` a row of the bank with the query's id is none.
 
-    Multi-index hashing with a growing radius: hashes are cut into m bands, and in round r each open hash asks for the
-    values that differ in r bits from its own in a band. After it every hash within m (r + 1) - 1 bits has been met, so a hash
-    whose nearest lies within that is settled. Equal hashes are one entry; no pairs leave a round but the best of each."""
-    own = bank.where(F.col(bits).isNotNull()).groupBy(*by, F.col(bits).alias("_g")).agg(F.min(id).alias("_first"))
+    Equal hashes are one entry. Every chunk of asked hashes meets every block of its bank in a task of its own, which holds
+    ``TILE`` distances at once; the best of a block leaves it, no pairs do, and the plan does not grow with the table. Hashes of
+    unlike vectors lie about evenly far apart, so look-ups within a radius would soon ask for more values than there are hashes."""
+    keys = list(by) or ["_all"]
+    whole = lambda df: cut((df if by else df.withColumn("_all", F.lit(0))).select(*keys, F.col(id).alias("_id"), F.col(bits).alias("_h")).where("_h IS NOT NULL"))
+    queries, bank = whole(queries), whole(bank)
+    own = bank.groupBy(*keys, F.col("_h").alias("_g")).agg(F.min("_id").alias("_first"))
     if exclude_self:
-        more = bank.select(*by, F.col(bits).alias("_g"), F.col(id).alias("_id")).join(own, [*by, "_g"]).where(F.col("_id") > F.col("_first"))
-        own = own.join(more.groupBy(*by, "_g").agg(F.min("_id").alias("_second")), [*by, "_g"], "left")
-    own = cut(own)
-    asked = cut(queries.where(F.col(bits).isNotNull()).select(*by, F.col(bits).alias("_h")).distinct())
-    edges = _bands((own.groupBy(*by).count().agg(F.max("count")).first()[0] if by else own.count()) or 0)
-    m = len(edges) - 1
-
-    def band(h: str, k: int) -> Column:
-        width = edges[k + 1] - edges[k]
-        return F.shiftrightunsigned(h, edges[k]).bitwiseAND(F.lit((1 << width) - 1 if width < 63 else -1).cast("long"))
-
-    def turned(k: int, radius: int) -> Column:
-        """The values of band ``k`` with ``radius`` bits turned."""
-        flips = [sum(1 << p for p in c) for c in combinations(range(edges[k + 1] - edges[k]), radius)]
-        return F.transform(F.array(*(F.lit(x - (1 << 64) if x >> 63 else x) for x in flips)).cast("array<long>"), lambda x: band("_h", k).bitwiseXOR(x))
-
-    table = own.select(*by, "_g", "_first", F.posexplode(F.array(*(band("_g", k) for k in range(m)))).alias("_k", "_v"))
-    best, still, far = None, asked, F.lit(65)
-    for radius in range(max(b - a for a, b in zip(edges, edges[1:], strict=False)) + 1):
-        probes = still.select(*by, "_h", F.posexplode(F.array(*(turned(k, radius) for k in range(m)))).alias("_k", "_vs")).select(*by, "_h", "_k", F.explode("_vs").alias("_v"))
-        met = probes.join(table, [*by, "_k", "_v"])
-        if exclude_self:
-            met = met.where("_g <> _h")
-        near = met.groupBy(*by, "_h").agg(F.min(F.struct(hamming(F.col("_h"), F.col("_g")).cast("int").alias("distance"), F.col("_first").alias("neighbour"))).alias("_x"))
-        best = cut(near if best is None else best.unionAll(near).groupBy(*by, "_h").agg(F.min("_x").alias("_x")))
-        still = cut(asked.join(best, [*by, "_h"], "left").where(F.coalesce(F.col("_x.distance"), far) > m * (radius + 1) - 1).select(*by, "_h"))
-        if still.isEmpty():
-            break
-    rows = queries.select(*by, id, F.col(bits).alias("_h")).where("_h IS NOT NULL")
+        more = bank.withColumnRenamed("_h", "_g").join(own, [*keys, "_g"]).where(F.col("_id") > F.col("_first"))
+        own = own.join(more.groupBy(*keys, "_g").agg(F.min("_id").alias("_second")), [*keys, "_g"], "left")
+    own, asked = cut(own), cut(queries.select(*keys, "_h").distinct())
+    of = lambda df, rows, n: df.groupBy(*keys).agg(F.ceil(F.count("*") / rows).cast("int").alias(n))
+    parts = cut(of(own, block, "_nb").join(of(asked, chunk, "_nc"), keys))
+    dealt = lambda c, n: F.pmod(F.xxhash64(c), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    kind = own.schema["_first"].dataType.simpleString()
+    blocks = own.join(parts, keys).groupBy(*keys, dealt("_g", "_nb").alias("_b"), "_nc").agg(F.sort_array(F.collect_list(F.struct("_first", "_g"))).alias("_x"))  # by id, so that the first of equally near ones is the least
+    blocks = blocks.select(*keys, "_b", every("_nc").alias("_c"), F.col("_x._g").alias("_hs"), F.col("_x._first").alias("_ids"))
+    chunks = asked.join(parts, keys).groupBy(*keys, dealt("_h", "_nc").alias("_c"), "_nb").agg(F.collect_list("_h").alias("_hs"))
+    chunks = chunks.select(*keys, every("_nb").alias("_b"), "_c", "_hs", F.lit(None).cast(f"array<{kind}>").alias("_ids"))
+
+    def run(t: pd.DataFrame) -> pd.DataFrame:
+        held = t["_ids"].notna().to_numpy()
+        if len(t) < 2:  # a block or a chunk that got no hash
+            return pd.DataFrame({c: [] for c in [*keys, "_h", "distance", "neighbour"]})
+        (asks,), (hashes,), (ids,) = t["_hs"][~held], t["_hs"][held], t["_ids"][held]
+        asks = np.asarray(asks, np.int64)
+        at, d = _nearest_in(asks, np.asarray(hashes, np.int64), exclude_self)
+        some = np.flatnonzero(d < 256)
+        return pd.DataFrame({c: [t[c].iloc[0]] * len(some) for c in keys} | {"_h": asks[some], "distance": d[some].astype(np.int32), "neighbour": [ids[k] for k in at[some]]})
+
+    fields = ", ".join(f"`{c}` {own.schema[c].dataType.simpleString()}" for c in keys)
+    near = chunks.unionByName(blocks).groupBy(*keys, "_b", "_c").applyInPandas(run, f"{fields}, _h long, distance int, neighbour {kind}")
+    best = near.groupBy(*keys, "_h").agg(F.min(F.struct("distance", "neighbour")).alias("_x"))
     if not exclude_self:
-        return rows.join(best, [*by, "_h"]).select(*by, id, "_x.neighbour", "_x.distance")
-    rows = rows.join(best, [*by, "_h"], "left").join(own.withColumnRenamed("_g", "_h"), [*by, "_h"], "left")
-    twin = F.when(F.col("_first") != F.col(id), F.col("_first")).otherwise(F.col("_second"))  # one with an equal hash
-    out = rows.select(*by, id, F.coalesce(twin, F.col("_x.neighbour")).alias("neighbour"), F.when(twin.isNotNull(), F.lit(0)).otherwise(F.col("_x.distance")).alias("distance"))
+        return queries.join(best, [*keys, "_h"]).select(*by, F.col("_id").alias(id), "_x.neighbour", "_x.distance")
+    rows = queries.join(best, [*keys, "_h"], "left").join(own.withColumnRenamed("_g", "_h"), [*keys, "_h"], "left")
+    twin = F.when(F.col("_first") != F.col("_id"), F.col("_first")).otherwise(F.col("_second"))  # one with an equal hash
+    out = rows.select(*by, F.col("_id").alias(id), F.coalesce(twin, F.col("_x.neighbour")).alias("neighbour"), F.when(twin.isNotNull(), F.lit(0)).otherwise(F.col("_x.distance")).alias("distance"))
     return out.where("neighbour IS NOT NULL")
 
 
@@ -145,6 +160,7 @@ def cross_split_audit(df: DataFrame, id: str, bits: str, split: str, by: Sequenc
     """Near-duplicates across splits, on a scale of the training set's own: for each ``by``, the median and the low percentile
     (threshold) of the distances from training hashes to their nearest, training rows that have an equal one, and for every other
     split the median distance to the training set, the rows below the threshold and those with an equal hash."""
+    df = cut(df.select(*by, id, bits, split))
     bank = df.where(F.col(split) == train)
     within = hamming_nearest(bank, bank, id, bits, by, exclude_self=True)
     base = within.groupBy(*by).agg(F.count("*").alias("n_train"), F.median("distance").alias("train_median"), F.percentile("distance", F.lit(percentile / 100.0)).alias("threshold"), F.count_if(F.col("distance") == 0).alias("train_equal"))

@@ -9,6 +9,7 @@ from gaugeworks.operators import calibration, component_tree, crossfit, focus, i
 from gaugeworks.plans import tables as T
 from gaugeworks.plans.catalog import CELLS, HASHES, MAPS, query, rounded
 from gaugeworks.plans.catalog_models import PRO, REGIONS, found, masked
+from gaugeworks.session import cut
 
 # --- regions of interest -----------------------------------------------------------------------
 
@@ -166,7 +167,7 @@ SPLIT_HASHES = HASHES + (
 @query(f"WITH {SPLIT_HASHES}, p AS (SELECT x.vec_id, t.vec_id AS neighbour, CAST(bit_count(xor(x.bits, t.bits)) AS INT) AS distance FROM x JOIN t ON x.vec_id <> t.vec_id) SELECT vec_id, neighbour, distance FROM (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY distance, neighbour) AS r FROM p) WHERE r = 1")
 def nearest_hashes(spark, d):
     """For each hash the nearest of the training set, itself left out."""
-    x = split_hashes(spark, d)
+    x = cut(split_hashes(spark, d))  # read as queries and as bank
     return integrity.hamming_nearest(x, x.where("split = 'train'"), "vec_id", "bits", exclude_self=True)
 
 
