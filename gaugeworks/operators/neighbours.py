@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 BANK_BYTES, QUERY_ROWS = 64 << 20, 4_096
 #: Distances held at once by a task.
 TILE = 1 << 22
+#: Vectors of up to so many components, in banks from so many rows on, are met by boxes; about the rows of a box, rows of a block of queries, and queries that a task gathers.
+BOX_DIMS, BOX_LEAST, BOX_ROWS, BOX_BLOCK, BOX_QUERIES = 16, 8_192, 1_024, 512, 1 << 17
 
 
 def squared_distances(q: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -44,12 +46,111 @@ def _nearest(q: np.ndarray, own: np.ndarray, bank: np.ndarray, ids: np.ndarray,
     return rows[top], cols[first], exact[first], near[first]
 
 
+class _Boxes:
+    """A bank of short vectors halved at medians into boxes; a query meets the boxes that may hold one of its nearest."""
+
+    def __init__(self, vectors: np.ndarray, ids: np.ndarray, per: int | None):
+        order, edges = np.arange(len(ids)), np.array([0, len(ids)])
+        self.cuts: list[tuple[np.ndarray, np.ndarray]] = []
+        while len(ids) // (len(edges) - 1) > BOX_ROWS:
+            axis, at = np.zeros(len(edges) - 1, np.int64), np.zeros(len(edges) - 1)
+            middles = (edges[:-1] + edges[1:]) // 2
+            for b, (lo, mid, hi) in enumerate(zip(edges, middles, edges[1:], strict=False)):
+                own = vectors[order[lo:hi]]
+                axis[b] = (own.max(0) - own.min(0)).argmax()
+                part = np.argpartition(own[:, axis[b]], mid - lo)
+                order[lo:hi], at[b] = order[lo:hi][part], own[part[mid - lo], axis[b]]
+            self.cuts.append((axis, at))
+            edges = np.sort(np.concatenate([edges, middles]))
+        self.edges, self.vectors, self.ids, self.per = edges, vectors[order], ids[order], per
+        self.low, self.high = np.minimum.reduceat(self.vectors, edges[:-1]), np.maximum.reduceat(self.vectors, edges[:-1])
+        bb = (self.vectors**2).sum(1)
+        self.largest = bb.max()
+        self.lifted = np.ascontiguousarray(np.hstack([-2.0 * self.vectors, np.ones((len(bb), 1)), bb[:, None]]).T)
+        if per:
+            self.wholes = np.argsort(self.ids // per, kind="stable")
+            self.sorted = (self.ids // per)[self.wholes]
+
+    def box_of(self, q: np.ndarray) -> np.ndarray:
+        box = np.zeros(len(q), np.int64)
+        for axis, at in self.cuts:
+            box = 2 * box + (q[np.arange(len(q)), axis[box]] >= at[box])
+        return box
+
+    def _apart(self, own: np.ndarray) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+        """By box, the queries and positions of the bank that belong to one whole."""
+        if not self.per:
+            return {}
+        lo, hi = (np.searchsorted(self.sorted, own // self.per, side) for side in ("left", "right"))
+        n = hi - lo
+        row = np.repeat(np.arange(len(own)), n)
+        at = self.wholes[np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + lo[row]]
+        box = np.searchsorted(self.edges, at, "right") - 1
+        order = np.argsort(box, kind="stable")
+        found, first = np.unique(box[order], return_index=True)
+        return {b: (row[o], at[o]) for b, o in zip(found.tolist(), np.split(order, first[1:]), strict=True)} if len(found) else {}
+
+    def _block(self, q: np.ndarray, own: np.ndarray, k: int) -> pd.DataFrame:
+        """As :func:`_nearest`: squared distances by matrix products bound the k-th, what may lie within it is measured exactly."""
+        qq = (q * q).sum(1)
+        least = np.zeros((len(q), len(self.low)))  # squared distance from each box
+        for c in range(q.shape[1]):
+            gap = np.maximum(self.low[:, c] - q[:, c, None], q[:, c, None] - self.high[:, c])
+            np.maximum(gap, 0.0, out=gap)
+            least += gap * gap
+        slack = 1e-12 * (qq + self.largest)
+        lifted = np.hstack([q, qq[:, None], np.ones((len(q), 1))])
+        best, within = np.full((len(q), k), np.inf), np.full(len(q), np.inf)
+        apart, held = self._apart(own), []
+        boxes, step = np.argsort(least.sum(0)), 8
+        while len(boxes):
+            now, boxes = boxes[:step].tolist(), boxes[step:]
+            for b in now:
+                rows = np.flatnonzero(least[:, b] <= within)
+                if not len(rows):
+                    continue
+                lo = self.edges[b]
+                d = lifted[rows] @ self.lifted[:, lo : self.edges[b + 1]]
+                if b in apart:
+                    row, at = apart[b]
+                    place = np.minimum(np.searchsorted(rows, row), len(rows) - 1)
+                    same = rows[place] == row
+                    d[place[same], at[same] - lo] = np.inf
+                near = np.flatnonzero(d.min(1) <= within[rows])
+                rows, d = rows[near], d[near]
+                best[rows] = np.partition(np.hstack([best[rows], d]), k - 1, axis=1)[:, :k]
+                within[rows] = (np.sqrt(np.maximum(best[rows].max(1), 0.0) + slack[rows]) + 2e-9) ** 2 + slack[rows]
+                r, c = np.nonzero((d <= within[rows, None]) & (d < np.inf))
+                held.append((rows[r], c + lo, d[r, c]))
+            boxes, step = boxes[(least[:, boxes] <= within[:, None]).any(0)], 2 * step
+        rows, cols, d = (np.concatenate(x) for x in zip(*held, strict=True)) if held else (np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))
+        kept = d <= within[rows]
+        rows, cols = rows[kept], cols[kept]
+        exact = np.sqrt(((q[rows] - self.vectors[cols]) ** 2).sum(1))
+        near, ids = np.round(exact, 9), self.ids[cols]  # so that equal distances tie in spite of rounding
+        order = np.lexsort((ids, near, rows))
+        top = np.arange(len(rows)) - np.searchsorted(rows[order], rows[order]) < k
+        first = order[top]
+        return pd.DataFrame({"i": own[rows[first]], "neighbour": ids[first], "distance": exact[first], "near": near[first]})
+
+    def met(self, q: np.ndarray, own: np.ndarray, k: int) -> Iterator[pd.DataFrame]:
+        order = np.argsort(self.box_of(q), kind="stable")  # queries of a block lie near each other
+        for at in range(0, len(order), BOX_BLOCK):
+            part = order[at : at + BOX_BLOCK]
+            yield self._block(q[part], own[part], min(k, len(self.ids)))
+
+
+def _boxes(vectors: np.ndarray, ids: np.ndarray, per: int | None) -> _Boxes | None:
+    return _Boxes(vectors, ids, per) if len(ids) >= BOX_LEAST and vectors.shape[1] <= BOX_DIMS else None
+
+
 def knn_join(queries: DataFrame, bank: DataFrame, k: int, id: str, vector: str, bank_id: str | None = None, exclude_self: bool = False, limit: int = BANK_BYTES, per: int = 1) -> DataFrame:
     """(id, rank, neighbour, distance) of the k nearest bank vectors, ties by bank id; k is clamped to the bank.
 
     A bank of up to ``limit`` counted bytes comes whole to the queries. A larger one is dealt into blocks of that size, each a row,
-    and every block of queries meets every block of the bank in a join; no vector passes the driver. ``exclude_self``
-    leaves out the bank rows whose id has the query's quotient by ``per``, as parts of one whole have."""
+    and every block of queries meets every block of the bank in a join; no vector passes the driver. Of large banks of short
+    vectors only the boxes that may hold a nearest are met (:class:`_Boxes`). ``exclude_self`` leaves out the bank rows whose
+    id has the query's quotient by ``per``, as parts of one whole have."""
     src = queries.select(F.col(id).cast("long").alias("i"), F.col(vector).cast("array<double>").alias("v")).where("v IS NOT NULL")
     own = bank.select(F.col(bank_id or id).cast("long").alias("i"), F.col(vector).cast("array<double>").alias("v")).where("v IS NOT NULL")
     own = own.where(~F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))))
@@ -72,8 +173,18 @@ def _met(q: np.ndarray, own: np.ndarray, bank: np.ndarray, ids: np.ndarray, k: i
 
 
 def _meet_whole(src: DataFrame, bank: DataFrame, k: int, per: int | None) -> DataFrame:
-    rows = bank.orderBy("i").collect()  # within the counted limit
-    held = src.sparkSession.sparkContext.broadcast((np.array([r.i for r in rows], np.int64), np.array([r.v for r in rows], np.float64)))
+    def packed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            if len(batch):
+                yield pd.DataFrame({"ids": [batch["i"].to_numpy(np.int64).tobytes()], "data": [np.array(batch["v"].tolist(), np.float64).tobytes()]})
+
+    rows = bank.mapInPandas(packed, "ids binary, data binary").collect()  # within the counted limit
+    ids = np.concatenate([np.frombuffer(r.ids, np.int64) for r in rows] or [np.empty(0, np.int64)])
+    vectors = np.concatenate([np.frombuffer(r.data).reshape(len(r.ids) // 8, -1) for r in rows]) if rows else np.empty((0, 0))
+    order = np.argsort(ids, kind="stable")
+    ids, vectors = ids[order], vectors[order]
+    boxes = _boxes(vectors, ids, per)
+    held = src.sparkSession.sparkContext.broadcast(boxes or (ids, vectors))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         ids, vectors = held.value
@@ -81,7 +192,22 @@ def _meet_whole(src: DataFrame, bank: DataFrame, k: int, per: int | None) -> Dat
             if len(batch):
                 yield from _met(np.array(batch["v"].tolist(), np.float64), batch["i"].to_numpy(), vectors, ids, k, per)
 
-    return src.mapInPandas(run, _FOUND)
+    def run_boxes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        own, q, n = [], [], 0
+        for batch in batches:
+            if len(batch):
+                own.append(batch["i"].to_numpy(np.int64))
+                q.append(np.array(batch["v"].tolist(), np.float64))
+                n += len(batch)
+            if n >= BOX_QUERIES:
+                yield from held.value.met(np.concatenate(q), np.concatenate(own), k)
+                own, q, n = [], [], 0
+        if n:
+            yield from held.value.met(np.concatenate(q), np.concatenate(own), k)
+
+    if boxes is None:
+        return src.mapInPandas(run, _FOUND)
+    return src.repartition(4 * src.sparkSession.sparkContext.defaultParallelism, "i").mapInPandas(run_boxes, _FOUND)  # few bytes, much work
 
 
 def _meet_blocks(src: DataFrame, bank: DataFrame, k: int, per: int | None, n: int) -> DataFrame:
@@ -96,14 +222,18 @@ def _meet_blocks(src: DataFrame, bank: DataFrame, k: int, per: int | None, n: in
                 yield pd.DataFrame({"own": [t["i"].to_numpy(np.int64).tobytes()], "q": [np.array(t["v"].tolist(), np.float64).tobytes()]})
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        last, boxes = None, None
         for batch in batches:
-            for own, q, ids, data in zip(batch["own"], batch["q"], batch["ids"], batch["data"], strict=True):
+            for b, own, q, ids, data in zip(batch["b"], batch["own"], batch["q"], batch["ids"], batch["data"], strict=True):
                 own, ids = np.frombuffer(own, np.int64), np.frombuffer(ids, np.int64)
-                yield from _met(np.frombuffer(q).reshape(len(own), -1), own, np.frombuffer(data).reshape(len(ids), -1), ids, k, per)
+                q, vectors = np.frombuffer(q).reshape(len(own), -1), np.frombuffer(data).reshape(len(ids), -1)
+                if b != last:  # a join gives the rows of a block one after another
+                    last, boxes = b, _boxes(vectors, ids, per)
+                yield from boxes.met(q, own, k) if boxes else _met(q, own, vectors, ids, k, per)
 
     blocks = bank.withColumn("b", F.pmod(F.xxhash64("i"), F.lit(n))).groupBy("b").applyInPandas(pack, "b long, ids binary, data binary")
     asked = src.mapInPandas(packed, "own binary, q binary").withColumn("b", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))))
-    return asked.join(blocks, "b").select("own", "q", "ids", "data").mapInPandas(run, _FOUND)
+    return asked.join(blocks, "b").select("b", "own", "q", "ids", "data").mapInPandas(run, _FOUND)
 
 
 def moments(df: DataFrame, vector: str) -> tuple[int, np.ndarray, np.ndarray]:
