@@ -64,12 +64,22 @@ class _Boxes:
             edges = np.sort(np.concatenate([edges, middles]))
         self.edges, self.vectors, self.ids, self.per = edges, vectors[order], ids[order], per
         self.low, self.high = np.minimum.reduceat(self.vectors, edges[:-1]), np.maximum.reduceat(self.vectors, edges[:-1])
+        self._derive()
+
+    def _derive(self) -> None:
         bb = (self.vectors**2).sum(1)
         self.largest = bb.max()
         self.lifted = np.ascontiguousarray(np.hstack([-2.0 * self.vectors, np.ones((len(bb), 1)), bb[:, None]]).T)
-        if per:
-            self.wholes = np.argsort(self.ids // per, kind="stable")
-            self.sorted = (self.ids // per)[self.wholes]
+        if self.per:
+            self.wholes = np.argsort(self.ids // self.per, kind="stable")
+            self.sorted = (self.ids // self.per)[self.wholes]
+
+    def __getstate__(self) -> dict:  # what can be derived does not travel
+        return {k: v for k, v in vars(self).items() if k not in ("largest", "lifted", "wholes", "sorted")}
+
+    def __setstate__(self, state: dict) -> None:
+        vars(self).update(state)
+        self._derive()
 
     def box_of(self, q: np.ndarray) -> np.ndarray:
         box = np.zeros(len(q), np.int64)
@@ -181,6 +191,7 @@ def _meet_whole(src: DataFrame, bank: DataFrame, k: int, per: int | None) -> Dat
     rows = bank.mapInPandas(packed, "ids binary, data binary").collect()  # within the counted limit
     ids = np.concatenate([np.frombuffer(r.ids, np.int64) for r in rows] or [np.empty(0, np.int64)])
     vectors = np.concatenate([np.frombuffer(r.data).reshape(len(r.ids) // 8, -1) for r in rows]) if rows else np.empty((0, 0))
+    del rows
     order = np.argsort(ids, kind="stable")
     ids, vectors = ids[order], vectors[order]
     boxes = _boxes(vectors, ids, per)
